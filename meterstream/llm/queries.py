@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, warc
+from . import chat, decontaminate, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,20 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(talks.unionByName(own)))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("outside", ",").alias("outside"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_chat": op3_chat, "op9_packing": op9_packing}
+QUERIES = {"op1_warc": op1_warc, "op3_chat": op3_chat, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing}
 
 ORACLES = {
     "op1_warc": """
@@ -40,4 +49,49 @@ ORACLES = {
                1::BIGINT AS n_requests, 1::BIGINT AS n_metadata
         FROM p LEFT JOIN r USING (payload_digest)
     """,
+    "op8_quality": r"""
+        WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+        w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        p AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        g AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM p) WHERE c > 1),
+        rep AS (SELECT r, count(DISTINCT i + o) AS n FROM g, range(3) AS s(o) GROUP BY r),
+        f AS (
+            SELECT d.*, len(w)::BIGINT AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
+                   (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+                   coalesce(n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
+                   (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')))::BIGINT AS n_capitals, (length(t) - length(translate(t, '!', '')))::BIGINT AS n_marks
+            FROM d JOIN w USING (r) LEFT JOIN rep USING (r)
+        ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+        m AS (
+            SELECT r, lang, source, metric, v, greatest(length(bin(v)) - 6, 0)::INT AS s FROM (
+                SELECT r, lang, source, unnest(['symbols', 'word_length', 'repeats', 'dup_lines', 'capitals', 'marks']) AS metric,
+                       unnest([1000 * n_symbols // n_words, 1000 * word_chars // n_words, 1000 * n_repeat_words // n_words, 1000 * n_dup_lines // n_lines, 1000 * n_capitals // word_chars, 1000 * n_marks // n_words]) AS v
+                FROM b WHERE NOT base_failed)
+        ), k AS (SELECT r, lang, source, metric, (v >> s) << s AS bucket FROM m),
+        floors AS (SELECT unnest(['symbols', 'word_length', 'repeats', 'dup_lines', 'capitals', 'marks']) AS metric, unnest([150, 900, 150, 250, 150, 150]) AS least),
+        q1 AS (SELECT lang, source, metric, count(*) AS rows, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM k GROUP BY ALL),
+        q2 AS (SELECT lang, metric, count(*) AS rows, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM k GROUP BY ALL),
+        q3 AS (SELECT metric, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM k GROUP BY ALL),
+        c AS (
+            SELECT q1.lang, q1.source, q1.metric, least,
+                   CASE WHEN q1.rows >= 100 THEN q1.q1 WHEN q2.rows >= 100 THEN q2.q1 ELSE q3.q1 END AS a, CASE WHEN q1.rows >= 100 THEN q1.q3 WHEN q2.rows >= 100 THEN q2.q3 ELSE q3.q3 END AS z
+            FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.metric = q2.metric JOIN q3 ON q1.metric = q3.metric JOIN floors ON floors.metric = q1.metric
+        ), o AS (
+            SELECT r, string_agg(k.metric, ',' ORDER BY list_position(['symbols', 'word_length', 'repeats', 'dup_lines', 'capitals', 'marks'], k.metric)) AS outside
+            FROM k JOIN c ON k.lang IS NOT DISTINCT FROM c.lang AND k.source IS NOT DISTINCT FROM c.source AND k.metric = c.metric
+            WHERE bucket < a - greatest(4 * (z - a), least) OR bucket > z + greatest(4 * (z - a), least) GROUP BY r
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside IS NULL AS kept, coalesce(outside, '') AS outside
+        FROM b LEFT JOIN o USING (r)
+    """,
+    "op7_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+        bs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM b WHERE len(w) > 0)),
+        ks AS (SELECT DISTINCT k FROM bs),
+        ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+        n AS (SELECT item_id, count(*)::INT AS n_item FROM bs GROUP BY 1)
+        SELECT doc_id, item_id, count(*)::INT AS n_shared, n_item, count(*)::DOUBLE / n_item AS containment
+        FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*)::DOUBLE / n_item >= 0.8
+    """,
 }
