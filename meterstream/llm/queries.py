@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, warc
+from . import chat, decontaminate, langid, license_scan, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(talks.unionByName(own)))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fitted(docs), keep=["doc_id"])
+    return found.select("doc_id", (langid.fold(found, 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,7 +46,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_chat": op3_chat, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing}
+QUERIES = {"op1_warc": op1_warc, "op3_chat": op3_chat, "op4_licenses": op4_licenses, "op5_language": op5_language, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing}
 
 ORACLES = {
     "op1_warc": """
