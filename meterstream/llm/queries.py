@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, license_scan, packing, quality, warc
+from . import chat, decontaminate, langid, license_scan, neardup, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold(found, 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +50,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_chat": op3_chat, "op4_licenses": op4_licenses, "op5_language": op5_language, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing}
+QUERIES = {"op1_warc": op1_warc, "op3_chat": op3_chat, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing}
 
 ORACLES = {
     "op1_warc": """
