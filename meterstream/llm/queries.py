@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, license_scan, neardup, packing, quality, warc
+from . import chat, classlm, decontaminate, langid, license_scan, neardup, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(table(spark, sf_dir, "pages"))
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -50,7 +54,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_chat": op3_chat, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing}
+QUERIES = {"op1_warc": op1_warc, "op2_class_lm": op2_class_lm, "op3_chat": op3_chat, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing}
 
 ORACLES = {
     "op1_warc": """
