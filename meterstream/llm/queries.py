@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classlm, decontaminate, langid, license_scan, neardup, packing, quality, warc
+from . import chat, classlm, decontaminate, html_extract, langid, license_scan, neardup, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_class_lm": op2_class_lm, "op3_chat": op3_chat, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_class_lm": op2_class_lm, "op3_chat": op3_chat, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_html": op10_html}
 
 ORACLES = {
     "op1_warc": """
@@ -112,4 +116,12 @@ ORACLES = {
         SELECT doc_id, item_id, count(*)::INT AS n_shared, n_item, count(*)::DOUBLE / n_item AS containment
         FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*)::DOUBLE / n_item >= 0.8
     """,
+    # for pages as these tables have them: blocks of an article element, with few kinds of references
+    "op10_html": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+        b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(a, '</?(h1|p)>'),
+                     lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))),
+                     lambda x: x <> '') AS b FROM a)
+        SELECT page_id, url, array_to_string(b, chr(10) || chr(10)) AS text, length(array_to_string(b, chr(10) || chr(10)))::BIGINT AS n_chars FROM b
+    """,
 }
