@@ -1,4 +1,539 @@
 """All queries of the engine by name, and for each the SQL of the same rows where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import clock, columns
+from ..operators import grid, joins, metrics, pipeline, prep, scores, split, windows
+from ..streaming import detector
+from . import views
+from .views import HOURLY, PAIRS, forecast_pairs, hourly_meters, rounded, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, digits: int | None = 6) -> Callable:
+    """Register a query under its function's name, with the SQL for its rows."""
+
+    def register(make: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        name = make.__name__
+        QUERIES[name] = (lambda spark, sf_dir: rounded(make(spark, sf_dir), digits)) if digits is not None else make
+        if sql is not None:
+            ORACLES[name] = sql
+        return make
+
+    return register
+
+
+def _round(names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names.split())
+
+
+_E = "epoch(ts)::BIGINT AS ts"
+_W = "OVER (PARTITION BY meter_id ORDER BY ts)"
+#: Statistics of residuals around each hour (two on either side) and overall.
+_STATS = PAIRS + """,
+    r AS (SELECT meter_id, (position + o) % 24 AS position, residual FROM s, (SELECT unnest([22, 23, 0, 1, 2]) AS o)),
+    a1 AS (SELECT meter_id, position, avg(residual) AS mean, coalesce(stddev_samp(residual), 0) AS std, median(residual) AS median FROM r GROUP BY 1, 2),
+    a AS (SELECT a1.*, mad FROM a1 JOIN (SELECT meter_id, position, median(abs(residual - median)) AS mad FROM r JOIN a1 USING (meter_id, position) GROUP BY 1, 2) USING (meter_id, position)),
+    g1 AS (SELECT meter_id, avg(residual) AS gmean, coalesce(stddev_samp(residual), 0) AS gstd, median(residual) AS gmedian FROM s GROUP BY 1),
+    g AS (SELECT g1.*, gmad FROM g1 JOIN (SELECT meter_id, median(abs(residual - gmedian)) AS gmad FROM s JOIN g1 USING (meter_id) GROUP BY 1) USING (meter_id)),
+    z0 AS (SELECT s.*, CASE WHEN std > 0 THEN mean ELSE gmean END AS mu, CASE WHEN std > 0 THEN std ELSE gstd END AS sd,
+                  CASE WHEN mad > 0 THEN median ELSE gmedian END AS robust_mu, CASE WHEN mad > 0 THEN 1.4826 * mad WHEN gmad > 0 THEN 1.4826 * gmad ELSE gstd END AS robust_sd
+           FROM s LEFT JOIN a USING (meter_id, position) LEFT JOIN g USING (meter_id)),
+    z AS (SELECT *, CASE WHEN sd = 0 THEN 0 ELSE (residual - mu) / sd END AS z_score, CASE WHEN robust_sd = 0 THEN 0 ELSE (residual - robust_mu) / robust_sd END AS z_score_robust FROM z0)
+"""
+
+
+def _scored(spark: SparkSession, sf_dir: str, key: str = "event_type", k: int = 2) -> DataFrame:
+    rows = forecast_pairs(spark, sf_dir, key)
+    at = scores.position_stats(rows, F.lit(24), F.lit(k))
+    return scores.z_scores(rows, at, scores.global_stats(rows))
+
+
+_FLAGGED = _STATS + """,
+    f AS (SELECT *, (is_anomaly <> 0)::BIGINT AS is_anomaly_actual, coalesce(abs(z_score) > 3, false)::BIGINT AS is_anomaly_predicted, coalesce(abs(z_score_robust) > 3, false)::BIGINT AS is_anomaly_robust_predicted,
+                 predicted + (mu + 3 * sd) AS upper_band, greatest(predicted - (mu + 3 * sd), 0) AS lower_band, predicted + (robust_mu + 3 * robust_sd) AS upper_band_robust, greatest(predicted - (robust_mu + 3 * robust_sd), 0) AS lower_band_robust FROM z)
+"""
+
+
+@query(f"WITH {_FLAGGED} SELECT meter_id, {_E}, position::BIGINT AS position, {_round('actual predicted residual z_score z_score_robust upper_band lower_band upper_band_robust lower_band_robust')}, is_anomaly_actual, is_anomaly_predicted, is_anomaly_robust_predicted FROM f")
+def flagship_scores(spark, sf_dir):
+    out = scores.flags_and_bands(_scored(spark, sf_dir))
+    return out.select("meter_id", "ts", "position", "actual", "predicted", "residual", "z_score", "z_score_robust", "upper_band", "lower_band", "upper_band_robust", "lower_band_robust", "is_anomaly_actual", "is_anomaly_predicted", "is_anomaly_robust_predicted")
+
+
+@query(f"WITH {HOURLY} SELECT meter_id, {_E}, {_round('diff reading')} FROM m")
+def src_meter_view(spark, sf_dir):
+    return hourly_meters(spark, sf_dir)
+
+
+@query("SELECT o_custkey AS meter_id, epoch(o_orderdate)::BIGINT AS ts, round(o_totalprice, 6) AS reading FROM orders WHERE o_totalprice > 1000")
+def prj_rename_clash(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("reading", F.lit("old"))
+    return columns.renamed(rows, {"o_custkey": "meter_id", "o_orderdate": "ts", "o_totalprice": "reading"}).where("reading > 1000").select("meter_id", "ts", "reading")
+
+
+@query("SELECT 'metric_mae' AS name UNION ALL SELECT 'metric_rmse'", None)
+def prj_metric_columns(spark, sf_dir):
+    names = columns.metric_columns(["filename", "metric_mae", "metric_rmse", "metric_mae_nz", "unresampled_metric_mae"])
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+@query(f"WITH {HOURLY}, d AS (SELECT meter_id, ts, reading - lag(reading) {_W} - 150 AS x FROM m) SELECT meter_id, {_E}, round(CASE WHEN x <= -0.002 THEN NULL WHEN x < 0 THEN 0 ELSE x END, 6) AS cleaned, round(CASE WHEN x < 0 THEN 0 ELSE x END, 6) AS clipped FROM d")
+def prj_clean_increment(spark, sf_dir):
+    x = F.col("reading") - F.lag("reading").over(prep.by_time()) - 150
+    return hourly_meters(spark, sf_dir).withColumn("x", x).select("meter_id", "ts", columns.clean_increment(F.col("x")).alias("cleaned"), columns.at_least_zero(F.col("x")).alias("clipped"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN NULL ELSE round(value, 6) END AS v FROM events")
+def prj_number(spark, sf_dir):
+    text = F.when(F.col("event_id") % 5 == 0, F.lit(" NaN ")).when(F.col("event_id") % 5 == 1, F.lit("none")).otherwise(F.col("value").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", columns.number(text).alias("v"))
+
+
+@query("SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE event_type <> 'click' AND value >= 50 AND user_id < 100")
+def flt_candidates(spark, sf_dir):
+    wanted = [{"name": "event_type", "value": "click", "comparator": "!="}, {"name": "value", "value": 50.0, "comparator": ">="}, {"name": "user_id", "value": 100, "comparator": "<"}]
+    return split.candidates(table(spark, sf_dir, "events"), wanted).select("event_id", "user_id", "value")
+
+
+@query("SELECT event_id, floor(epoch(ts))::BIGINT AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09'")
+def flt_time_slice(spark, sf_dir):
+    return split.between(table(spark, sf_dir, "events"), F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-09").cast("timestamp_ntz")).select("event_id", "ts")
+
+
+@query(f"WITH {HOURLY}, n AS (SELECT *, row_number() {_W} AS k, row_number() OVER (PARTITION BY meter_id ORDER BY ts DESC) AS b FROM m) SELECT meter_id, {_E}, round(diff, 6) AS diff FROM n WHERE k > 100 AND b <= 50")
+def flt_warm_up_and_tail(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir)
+    return windows.last_rows(windows.warmed_up(rows, 100), 50).select("meter_id", "ts", "diff")
+
+
+_META = HOURLY + f""", w AS (SELECT *, epoch(ts) - lag(epoch(ts)) {_W} AS gap FROM m),
+    c AS (SELECT meter_id, gap, count(*) AS n FROM w WHERE gap IS NOT NULL GROUP BY 1, 2),
+    t AS (SELECT meter_id, min(gap) AS period, count(*) AS n_tied FROM c WHERE n = (SELECT max(n) FROM c c2 WHERE c2.meter_id = c.meter_id) GROUP BY 1),
+    o AS (SELECT meter_id, coalesce(sum(n) FILTER (abs(gap - period) > 300), 0)::BIGINT AS gaps_fixed, coalesce(sum(n) FILTER (gap < 0.9 * period OR gap > 1.1 * period), 0)::BIGINT AS gaps_share FROM c JOIN t USING (meter_id) GROUP BY 1),
+    f AS (SELECT meter_id, count(*) AS n_rows, count(*) FILTER (reading IS NULL) AS null_readings, count(*) FILTER (diff IS NULL) AS null_diffs, epoch(min(ts))::BIGINT AS first_ts, epoch(max(ts))::BIGINT AS last_ts,
+                 min(reading) AS min_reading, max(reading) AS max_reading, avg(reading) AS mean_reading, stddev_samp(reading) AS std_reading, min(diff) AS min_diff, max(diff) AS max_diff, avg(diff) AS mean_diff, stddev_samp(diff) AS std_diff FROM m GROUP BY 1)
+"""
+
+
+@query(f"WITH {_META} SELECT meter_id, n_rows, null_readings, null_diffs, first_ts, last_ts, {', '.join(f'round({n}, 4) AS {n}' for n in 'min_reading max_reading mean_reading std_reading min_diff max_diff mean_diff std_diff'.split())}, round(period, 4) AS period, n_tied, gaps_fixed, gaps_share, round(gaps_fixed / n_rows, 4) AS share_fixed, round(gaps_share / n_rows, 4) AS share_share FROM f LEFT JOIN t USING (meter_id) LEFT JOIN o USING (meter_id)", 4)
+def agg_metadata(spark, sf_dir):
+    return prep.metadata(hourly_meters(spark, sf_dir)).withColumn("n_tied", F.size("periods").cast("long")).drop("periods")
+
+
+@query(f"WITH {_META} SELECT meter_id, round(period, 6) AS mode_seconds, round(CASE WHEN period >= 180 THEN period END, 6) AS period FROM t")
+def ts_period(spark, sf_dir):
+    return grid.periods(hourly_meters(spark, sf_dir))
+
+
+@query("SELECT p AS mode, CASE WHEN p < 180 THEN NULL WHEN p IN (180, 240) THEN p * 5 WHEN p IN (300, 360) THEN p * 3 WHEN p IN (420, 500) THEN p * 2 ELSE p END AS period FROM (SELECT unnest([120, 180, 240, 300, 360, 420, 500, 600, 3619]) AS p)", None)
+def ts_effective_period(spark, sf_dir):
+    modes = spark.createDataFrame([(p,) for p in (120, 180, 240, 300, 360, 420, 500, 600, 3619)], "mode int")
+    return modes.select("mode", clock.effective_period(F.col("mode")).alias("period"))
+
+
+@query(f"SELECT event_id, (round_even((hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 1800.0, 0)::BIGINT % 48) AS position, 48::BIGINT AS daily, 336::BIGINT AS weekly, 4::BIGINT AS k FROM events")
+def ts_position(spark, sf_dir):
+    p = F.lit(1800.0)
+    daily = clock.steps_per_day(p)
+    return table(spark, sf_dir, "events").select("event_id", clock.position(F.col("ts"), p, daily).cast("long").alias("position"), daily.cast("long").alias("daily"), clock.steps_per_cycle(p, "weekly").cast("long").alias("weekly"), clock.neighbourhood(daily).cast("long").alias("k"))
+
+
+@query("""
+    SELECT event_id, floor(epoch(ts - INTERVAL 1 HOUR))::BIGINT AS ts_utc FROM events
+""")
+def ts_local_to_utc(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("meter_id"), F.col("ts").cast("timestamp").alias("ts_local"), F.col("event_id").alias("ordinal"))
+    return clock.local_to_utc(rows).select("event_id", "ts_utc")
+
+
+@query(f"WITH {HOURLY}, c AS (SELECT meter_id, ts::DATE AS day, count(*) AS n FROM m GROUP BY 1, 2), d AS (SELECT meter_id, unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM m GROUP BY 1) SELECT meter_id, strftime(day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM d LEFT JOIN c USING (meter_id, day)")
+def jn_day_coverage(spark, sf_dir):
+    return joins.day_coverage(hourly_meters(spark, sf_dir))
+
+
+@query(f"WITH {HOURLY} SELECT meter_id, {_E}, round(reading, 6) AS reading FROM m WHERE hour(ts) % 5 = 0")
+def jn_removed(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir).select("meter_id", "ts", "reading")
+    return joins.removed(rows, rows.where(F.hour("ts") % 5 != 0))
+
+
+@query("""
+    WITH l AS (SELECT user_id AS meter_id, ts, event_id FROM events WHERE event_type = 'click'), r AS (SELECT user_id AS meter_id, ts, max(value) AS reading FROM events WHERE event_type <> 'click' GROUP BY 1, 2),
+    b AS (SELECT l.*, r.ts AS b_ts, r.reading AS b_v FROM l ASOF LEFT JOIN r ON l.meter_id = r.meter_id AND l.ts >= r.ts),
+    a AS (SELECT b.*, r.ts AS a_ts, r.reading AS a_v FROM b ASOF LEFT JOIN r ON b.meter_id = r.meter_id AND b.ts <= r.ts),
+    d AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(b_ts) <= 3600000000 THEN epoch_us(ts) - epoch_us(b_ts) END AS back, CASE WHEN epoch_us(a_ts) - epoch_us(ts) <= 3600000000 THEN epoch_us(a_ts) - epoch_us(ts) END AS ahead FROM a)
+    SELECT meter_id, event_id, CASE WHEN back IS NOT NULL AND (ahead IS NULL OR back <= ahead) THEN floor(epoch(b_ts))::BIGINT WHEN ahead IS NOT NULL THEN floor(epoch(a_ts))::BIGINT END AS nearest_ts,
+           round(CASE WHEN back IS NOT NULL AND (ahead IS NULL OR back <= ahead) THEN b_v WHEN ahead IS NOT NULL THEN a_v END, 6) AS nearest_reading FROM d
+""")
+def jn_nearest(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    left = events.where("event_type = 'click'").select(F.col("user_id").alias("meter_id"), "ts", "event_id")
+    right = events.where("event_type <> 'click'").groupBy(F.col("user_id").alias("meter_id"), "ts").agg(F.max("value").alias("reading"))
+    return joins.nearest(left, right, tolerance=3600.0).select("meter_id", "event_id", "nearest_ts", "nearest_reading")
+
+
+@query(f"""
+    WITH {PAIRS}, x AS (SELECT meter_id, ts, diff FROM m WHERE hour(ts) % 6 = 0), i AS (SELECT meter_id, ts, diff, lag(ts) {_W} AS prev FROM x)
+    SELECT i.meter_id, epoch(i.ts)::BIGINT AS ts, round(max(i.diff), 6) AS actual, round(sum(p.predicted), 6) AS predicted, count(*) AS n_predicted FROM i JOIN p ON p.meter_id = i.meter_id AND p.ts > i.prev AND p.ts <= i.ts GROUP BY 1, 2
+""")
+def jn_interval_sums(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir).where(F.hour("ts") % 6 == 0).select("meter_id", "ts", "diff")
+    return joins.interval_sums(rows, forecast_pairs(spark, sf_dir).select("meter_id", "ts", "predicted"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def jn_semi(spark, sf_dir):
+    some = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").join(some, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query(f"WITH {_META} SELECT meter_id, {_E}, round(diff, 6) AS diff, round(period, 6) AS period FROM m JOIN t USING (meter_id)")
+def jn_facts_lookup(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir)
+    return prep.with_facts(rows.select("meter_id", "ts", "diff"), grid.periods(rows), "period")
+
+
+@query(f"WITH {_STATS} SELECT meter_id, position::BIGINT AS position, {_round('mean std median mad')} FROM a")
+def agg_position_stats(spark, sf_dir):
+    rows = forecast_pairs(spark, sf_dir)
+    return scores.position_stats(rows, F.lit(24), F.lit(2)).drop("n")
+
+
+@query(f"WITH {_STATS} SELECT meter_id, round(gmean, 6) AS global_mean, round(gstd, 6) AS global_std, round(gmedian, 6) AS global_median, round(gmad, 6) AS global_mad FROM g")
+def agg_global_stats(spark, sf_dir):
+    return scores.global_stats(forecast_pairs(spark, sf_dir))
+
+
+@query(f"WITH {_STATS} SELECT meter_id, {_E}, {_round('z_score z_score_robust')} FROM z")
+def mdl_z_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("meter_id", "ts", "z_score", "z_score_robust")
+
+
+@query(f"WITH {_STATS}, y AS (SELECT meter_id, median(actual) AS typical FROM s WHERE actual <> 0 GROUP BY 1) SELECT meter_id, {_E}, round(greatest(sd, 0.3 * gstd, 0.25 * typical), 6) AS sd FROM z JOIN g USING (meter_id) JOIN y USING (meter_id)")
+def mdl_sigma_floor(spark, sf_dir):
+    rows = _scored(spark, sf_dir)
+    typical = rows.where("actual != 0").groupBy("meter_id").agg(F.expr("percentile(actual, 0.5)").alias("typical"))
+    joined = rows.join(scores.global_stats(rows), "meter_id").join(typical, "meter_id")
+    return joined.select("meter_id", "ts", scores.floored(F.col("sd"), F.col("global_std"), F.col("typical")).alias("sd"))
+
+
+def _regression_sql(where: str, suffix: str, having: str) -> str:
+    return f"""
+    WITH {PAIRS}, v AS (SELECT *, actual - predicted AS e, abs(actual - predicted) / greatest(abs(actual), 2.220446049250313e-16) AS ape, actual - lag(actual) {_W} AS da, predicted - lag(predicted) {_W} AS dp FROM s WHERE {where})
+    SELECT meter_id, count(*) AS metric_count{suffix}, round(sqrt(avg(e * e)), 6) AS metric_rmse{suffix}, round(avg(abs(e)), 6) AS metric_mae{suffix}, round(quantile_cont(abs(e), 0.5), 6) AS metric_medae{suffix}, round(quantile_cont(abs(e), 0.75), 6) AS metric_p75_ae{suffix}, round(quantile_cont(abs(e), 0.9), 6) AS metric_p90_ae{suffix},
+           round(1 - sum(e * e) / nullif(var_pop(actual) * count(*), 0), 6) AS metric_r2{suffix}, round(avg(ape), 6) AS metric_mape{suffix}, round(quantile_cont(ape, 0.5), 6) AS metric_median_ape{suffix}, round(sum(abs(e)) / nullif(sum(abs(actual)), 0), 6) AS metric_wape{suffix},
+           round(avg(e), 6) AS metric_mean_residual{suffix}, round(stddev_pop(e), 6) AS metric_std_residual{suffix}, round(max(e), 6) AS metric_max_residual{suffix}, round(min(e), 6) AS metric_min_residual{suffix}, round(sqrt(avg(e * e)) / nullif(stddev_pop(actual), 0), 6) AS metric_normalized_rmse{suffix},
+           round(avg(predicted - actual), 6) AS metric_prediction_bias{suffix}, round(avg(e / greatest(abs(actual), 2.220446049250313e-16)), 6) AS metric_mpe{suffix}, round(avg(CASE WHEN da IS NOT NULL THEN (sign(da) = sign(dp))::INT END), 6) AS metric_direction_accuracy{suffix}
+    FROM v GROUP BY 1 {having}
+    """
+
+
+@query(_regression_sql("true", "", ""))
+def agg_regression(spark, sf_dir):
+    return metrics.regression(forecast_pairs(spark, sf_dir), "meter_id")
+
+
+@query(_regression_sql("actual <> 0", "_nz", "HAVING count(*) > 2"))
+def agg_regression_nonzero(spark, sf_dir):
+    return metrics.regression(forecast_pairs(spark, sf_dir), "meter_id", nonzero=True, suffix="_nz")
+
+
+_CONFUSION = _FLAGGED + ", cm AS (SELECT meter_id, count(*) FILTER (is_anomaly_actual = 1 AND is_anomaly_predicted = 1) AS tp, count(*) FILTER (is_anomaly_actual = 0 AND is_anomaly_predicted = 0) AS tn, count(*) FILTER (is_anomaly_actual = 0 AND is_anomaly_predicted = 1) AS fp, count(*) FILTER (is_anomaly_actual = 1 AND is_anomaly_predicted = 0) AS fn FROM f GROUP BY 1)"
+
+
+@query(f"WITH {_CONFUSION} SELECT * FROM cm")
+def agg_confusion(spark, sf_dir):
+    return metrics.confusion(scores.flags_and_bands(_scored(spark, sf_dir)), "meter_id")
+
+
+@query(f"WITH {_CONFUSION} SELECT round(sum(tp + tn) / sum(tp + tn + fp + fn), 6) AS accuracy, round(sum(tp) / nullif(sum(tp + fp), 0), 6) AS precision, round(sum(tp) / nullif(sum(tp + fn), 0), 6) AS recall, round(2 * sum(tp) / nullif(sum(2 * tp + fp + fn), 0), 6) AS f1 FROM cm")
+def agg_detection_rates(spark, sf_dir):
+    return metrics.detection_rates(metrics.confusion(scores.flags_and_bands(_scored(spark, sf_dir)), "meter_id"))
+
+
+def _two_models(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    rows = forecast_pairs(spark, sf_dir, "user_id % 50")
+    return {"naive": metrics.regression(rows, "meter_id"), "zero": metrics.regression(rows.where("meter_id != 7").withColumn("predicted", F.lit(0.0)), "meter_id")}
+
+
+_USERS = PAIRS.replace("event_type AS meter_id", "user_id % 50 AS meter_id")
+
+
+@query(f"""
+    WITH {_USERS}, a AS (SELECT meter_id, avg(abs(actual - predicted)) AS metric_mae, sqrt(avg((actual - predicted) ** 2)) AS metric_rmse FROM s GROUP BY 1), b AS (SELECT meter_id, avg(abs(actual)) AS metric_mae, sqrt(avg(actual ** 2)) AS metric_rmse FROM s WHERE meter_id <> 7 GROUP BY 1),
+    u AS (SELECT 'naive' AS model, * FROM a WHERE meter_id IN (SELECT meter_id FROM b) UNION ALL SELECT 'zero', * FROM b WHERE meter_id IN (SELECT meter_id FROM a)),
+    l AS (SELECT model, 'metric_mae' AS metric, metric_mae AS v FROM u UNION ALL SELECT model, 'metric_rmse', metric_rmse FROM u)
+    SELECT metric, {', '.join(f"round({f}(v) FILTER (model = '{m}'), 6) AS {m}_{n}" for m in ('naive', 'zero') for n, f in (('mean', 'avg'), ('std', 'stddev_samp'), ('median', 'median')))} FROM l GROUP BY 1
+""")
+def agg_model_summary(spark, sf_dir):
+    return metrics.model_summary(_two_models(spark, sf_dir), ["metric_mae", "metric_rmse"])
+
+
+@query(f"WITH {_USERS} SELECT DISTINCT meter_id FROM s WHERE meter_id <> 7")
+def set_common_meters(spark, sf_dir):
+    return metrics.common_meters(_two_models(spark, sf_dir))
+
+
+@query("""
+    WITH e AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]))) AS edges FROM lineitem)
+    SELECT greatest(len(list_filter(edges, lambda x: x < l_quantity)), 1)::BIGINT AS bin, count(*) AS n, round(min(l_quantity), 6) AS low, round(max(l_quantity), 6) AS high FROM lineitem, e GROUP BY 1
+""")
+def agg_quantile_bins(spark, sf_dir):
+    return metrics.quantile_bins(table(spark, sf_dir, "lineitem").select("l_quantity"), "l_quantity").groupBy("bin").agg(F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+
+
+@query("SELECT l_returnflag, (CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity > 40 THEN 7 ELSE least(floor((l_quantity - 10) / 5.0) + 1, 6) END)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def agg_histogram(spark, sf_dir):
+    return metrics.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 10.0, 40.0, 6, "l_returnflag")
+
+
+@query("SELECT hour(ts)::BIGINT AS hour, dayname(ts) AS day, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY 1, 2")
+def agg_hour_profile(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.hour("ts").alias("hour"), F.date_format("ts", "EEEE").alias("day")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query(f"WITH {HOURLY} SELECT meter_id, round(count(*)::DOUBLE / count(*) FILTER (diff <> 0), 6) AS adi, round((stddev_pop(diff) FILTER (diff <> 0) / avg(diff) FILTER (diff <> 0)) ** 2, 6) AS cv2, round(count(*) FILTER (diff <> 0) / count(*)::DOUBLE, 6) AS nonzero_share FROM m GROUP BY 1")
+def agg_intermittency(spark, sf_dir):
+    return metrics.intermittency(hourly_meters(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS}, n AS (SELECT meter_id, abs(actual - lag(actual) {_W}) AS a, abs(actual - lag(actual, 24) {_W}) AS b, residual FROM s) SELECT meter_id, round(avg(residual), 6) AS mae, round(avg(residual) / nullif(avg(a), 0), 6) AS mase_naive, round(avg(residual) / nullif(avg(b), 0), 6) AS mase_seasonal FROM n GROUP BY 1")
+def agg_mase(spark, sf_dir):
+    return metrics.scaled_errors(forecast_pairs(spark, sf_dir), 24)
+
+
+@query(f"""
+    WITH {HOURLY}, c AS (SELECT meter_id, ts, diff - avg(diff) OVER (PARTITION BY meter_id) AS x, count(*) OVER (PARTITION BY meter_id) AS n FROM m),
+    l AS (SELECT meter_id, x, {', '.join(f'lag(x, {k}) {_W} AS l{k}' for k in range(1, 7))} FROM c WHERE n >= 12)
+    {' UNION ALL '.join(f'SELECT meter_id, {k}::BIGINT AS lag, round(sum(x * l{k}) / sum(x * x), 6) AS acf FROM l GROUP BY 1 HAVING sum(x * x) > 0' for k in range(1, 7))}
+""")
+def agg_acf(spark, sf_dir):
+    return metrics.autocorrelation(hourly_meters(spark, sf_dir), 6)
+
+
+@query("""
+    WITH r AS (SELECT c_custkey AS meter_id, CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN c_custkey % 3 = 0 THEN (CASE WHEN c_custkey % 2 = 0 THEN 'ValueError' ELSE 'KeyError' END) || ': ' || c_custkey END AS error FROM customer)
+    SELECT split_part(error, ':', 1) AS reason, count(*) AS n FROM r WHERE status <> 'success' GROUP BY 1 ORDER BY n DESC, reason LIMIT 5
+""")
+def agg_failure_reasons(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("meter_id"), F.when(k % 3 == 0, "failed").otherwise("success").alias("status"), F.when(k % 3 == 0, F.concat(F.when(k % 2 == 0, "ValueError").otherwise("KeyError"), F.lit(": "), k.cast("string"))).alias("error"))
+    return metrics.failure_reasons(rows)
+
+
+@query("""
+    WITH d AS (SELECT c_custkey AS meter_id, (c_custkey % 20)::DOUBLE AS fill_pct, (c_custkey % 100) / 100.0 AS f_s, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey % 130) / 100.0 END AS mase FROM customer)
+    SELECT meter_id, fill_pct < 10 AND f_s > 0.5 AND coalesce(mase < 0.95, false) AS passed, array_to_string(list_filter([CASE WHEN fill_pct < 10 THEN NULL ELSE 'fill' END, CASE WHEN f_s > 0.5 THEN NULL ELSE 'seasonality' END, CASE WHEN coalesce(mase < 0.95, false) THEN NULL ELSE 'mase' END], lambda x: x IS NOT NULL), ',') AS reasons FROM d
+""")
+def mdl_quality_gate(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("meter_id"), (k % 20).cast("double").alias("fill_pct"), (k % 100 / 100.0).alias("f_s"), F.when(k % 7 != 0, k % 130 / 100.0).alias("mase"))
+    return metrics.quality_gate(rows).select("meter_id", "passed", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {HOURLY} SELECT meter_id, {_E}, {', '.join(f'round(lag(diff, {k}) {_W}, 6) AS diff_lag_{k}' for k in (1, 2, 3))}, round(avg(diff) OVER (PARTITION BY meter_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS diff_mean_3, round((sum(round(diff * 100)::BIGINT) OVER (PARTITION BY meter_id ORDER BY ts)) / 100.0, 6) AS diff_total FROM m")
+def win_lags_and_means(spark, sf_dir):
+    rows = windows.cumulative(windows.trailing_mean(windows.lags(hourly_meters(spark, sf_dir), 3)))
+    return rows.select("meter_id", "ts", "diff_lag_1", "diff_lag_2", "diff_lag_3", "diff_mean_3", "diff_total")
+
+
+_AROUND = "OVER (PARTITION BY meter_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)"
+
+
+@query(f"WITH {PAIRS}, q AS (SELECT meter_id, ts, CASE WHEN count(residual) {_AROUND} = 24 THEN (residual - avg(residual) {_AROUND}) / (stddev_samp(residual) {_AROUND} + 1e-6) END AS rolling_z FROM s) SELECT meter_id, {_E}, round(rolling_z, 6) AS rolling_z, coalesce(abs(rolling_z) > 4, false)::BIGINT AS rolling_flag FROM q")
+def win_centered_score(spark, sf_dir):
+    return windows.centered_score(forecast_pairs(spark, sf_dir)).select("meter_id", "ts", "rolling_z", "rolling_flag")
+
+
+_TRAIL = "OVER (PARTITION BY meter_id ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
+
+
+@query(f"WITH {HOURLY}, q AS (SELECT meter_id, ts, CASE WHEN count(diff) {_TRAIL} = 24 THEN stddev_samp(diff) {_TRAIL} END AS sd FROM m), c AS (SELECT meter_id, quantile_cont(sd, 0.25) AS cut FROM q GROUP BY 1) SELECT meter_id, count(*) FILTER (sd < cut) AS n_stable, count(*) AS n FROM q JOIN c USING (meter_id) GROUP BY 1")
+def win_stable(spark, sf_dir):
+    return windows.stable(hourly_meters(spark, sf_dir)).groupBy("meter_id").agg(F.count_if("is_stable").alias("n_stable"), F.count("*").alias("n"))
+
+
+@query(f"""
+    WITH {HOURLY}, x AS (SELECT meter_id, ts, CASE WHEN hour(ts) % 4 = 1 OR hour(ts) % 4 = 2 THEN NULL ELSE diff END AS v, row_number() {_W} AS n FROM m),
+    g AS (SELECT *, count(v) {_W} AS a, count(v) OVER (PARTITION BY meter_id ORDER BY ts DESC) AS b FROM x),
+    k AS (SELECT *, first_value(v) OVER (PARTITION BY meter_id, a ORDER BY n) AS pv, first_value(n) OVER (PARTITION BY meter_id, a ORDER BY n) AS pn, first_value(v) OVER (PARTITION BY meter_id, b ORDER BY n DESC) AS nv, first_value(n) OVER (PARTITION BY meter_id, b ORDER BY n DESC) AS nn FROM g)
+    SELECT meter_id, {_E}, round(coalesce(CASE WHEN a > 0 THEN pv END, 0), 6) AS diff_ffill, round(CASE WHEN b > 0 THEN nv END, 6) AS diff_bfill,
+           round(CASE WHEN a = 0 THEN nv WHEN b = 0 THEN pv WHEN pn = nn THEN v ELSE pv + (n - pn) / (nn - pn)::DOUBLE * (nv - pv) END, 6) AS diff_linear FROM k
+""")
+def win_filled(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir).withColumn("diff", F.when((F.hour("ts") % 4 == 1) | (F.hour("ts") % 4 == 2), F.lit(None)).otherwise(F.col("diff")))
+    return windows.filled(rows, "diff").select("meter_id", "ts", "diff_ffill", "diff_bfill", "diff_linear")
+
+
+@query(f"WITH {HOURLY}, w AS (SELECT meter_id, epoch(ts) - lag(epoch(ts)) {_W} AS gap FROM m), v AS (SELECT meter_id, 100 * avg((abs(gap - 3600) <= 360)::INT) FILTER (gap IS NOT NULL) AS valid_pct FROM w GROUP BY 1) SELECT meter_id, round(valid_pct, 6) AS valid_pct, coalesce(valid_pct < 80, true) AS warned FROM v")
+def win_valid_pairs(spark, sf_dir):
+    return windows.valid_pairs(hourly_meters(spark, sf_dir), 3600.0)
+
+
+@query("WITH d AS (SELECT user_id AS meter_id, event_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS t, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) SELECT meter_id, count(*) FILTER (ts < t) AS n_back, coalesce(bool_and(ts >= t), true) AS times_rise, coalesce(bool_and(value >= r), true) AS readings_rise FROM d GROUP BY 1")
+def win_disorder(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("meter_id"), "ts", F.col("value").alias("reading"), F.col("event_id").alias("ordinal"))
+    return prep.disorder(rows)
+
+
+@query("SELECT meter_id, min(ordinal) AS ordinal FROM (SELECT user_id AS meter_id, date_trunc('day', ts) AS ts, event_id AS ordinal FROM events) GROUP BY meter_id, ts")
+def srt_first_of_duplicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("meter_id"), F.date_trunc("day", "ts").alias("ts"), F.col("event_id").alias("ordinal"))
+    return prep.first_of_duplicates(rows).select("meter_id", "ordinal")
+
+
+@query(f"WITH {HOURLY} SELECT meter_id, round(min_by(reading, ts), 6) AS first_reading, round(max_by(reading, ts), 6) AS last_reading FROM m GROUP BY 1")
+def win_first_and_last(spark, sf_dir):
+    return windows.first_and_last(hourly_meters(spark, sf_dir))
+
+
+@query("WITH f AS (SELECT c_custkey, c_acctbal > 0 AS solvent, c_nationkey < 10 AS near FROM customer) SELECT solvent, near, count(*) AS n FROM f GROUP BY 1, 2")
+def set_membership(spark, sf_dir):
+    flags = table(spark, sf_dir, "customer").select((F.col("c_acctbal") > 0).alias("solvent"), (F.col("c_nationkey") < 10).alias("near"))
+    return split.membership(flags, "solvent", "near")
+
+
+@query(f"""
+    WITH {HOURLY}, b AS (SELECT meter_id, date_trunc('day', min(ts)) AS d0, max(ts) AS last FROM m GROUP BY 1), w AS (SELECT meter_id, last, d0 + to_days((k * 3)::INT) AS start FROM b, range(0, 20) t(k) WHERE d0 + to_days((k * 3 + 7)::INT) < last)
+    SELECT w.meter_id, strftime(start, '%Y-%m-%d') AS start, count(*) FILTER (m.ts < start + INTERVAL 7 DAY) AS n_train, count(*) FILTER (m.ts >= start + INTERVAL 7 DAY) AS n_predict
+    FROM w JOIN m ON m.meter_id = w.meter_id AND m.ts >= start AND m.ts < start + INTERVAL 9 DAY GROUP BY w.meter_id, start HAVING count(*) FILTER (m.ts < start + INTERVAL 7 DAY) >= 2 AND count(*) FILTER (m.ts >= start + INTERVAL 7 DAY) >= 1
+""")
+def ts_rolling_windows(spark, sf_dir):
+    return split.rolling_windows(hourly_meters(spark, sf_dir), train_days=7, predict_days=2, slide_days=3).withColumn("start", F.col("start").cast("string"))
+
+
+@query(f"WITH {HOURLY} SELECT meter_id, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 'train' WHEN ts < TIMESTAMP '2024-01-18' THEN 'second' ELSE 'predict' END AS segment, count(*) AS n, round(sum(diff), 2) AS total FROM m WHERE ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-01-22' GROUP BY 1, 2", 2)
+def ts_segments(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir)
+    starts = rows.select("meter_id").distinct().withColumn("start", F.lit("2024-01-04").cast("timestamp"))
+    return split.segments(rows, starts, train_days=7, second_days=7, predict_days=4).groupBy("meter_id", "segment").agg(F.count("*").alias("n"), F.sum("diff").alias("total"))
+
+
+@query(f"""
+    WITH {HOURLY}, x AS (SELECT * FROM m WHERE hour(ts) % 7 <> 3), c AS (SELECT meter_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM x GROUP BY 1)
+    SELECT meter_id, {_E}, round(reading, 6) AS reading, CASE WHEN reading IS NULL THEN 0 ELSE 1 END::BIGINT AS readings_count, reading IS NULL AS interpolated FROM c LEFT JOIN x USING (meter_id, ts)
+""")
+def ts_hourly(spark, sf_dir):
+    return grid.hourly(hourly_meters(spark, sf_dir).where(F.hour("ts") % 7 != 3))
+
+
+@query(f"WITH {HOURLY}, x AS (SELECT * FROM m WHERE hour(ts) % 7 < 5), g AS (SELECT meter_id, ts, (floor((epoch(lead(ts) {_W}) - epoch(ts)) / 3600) - 1)::INT AS n FROM x) SELECT meter_id, epoch(ts)::BIGINT + 3600 * unnest(range(1, n + 1)) AS ts FROM g WHERE n >= 1")
+def ts_gap_rows(spark, sf_dir):
+    return grid.gap_rows(hourly_meters(spark, sf_dir).where(F.hour("ts") % 7 < 5), 3600.0)
+
+
+@query(f"""
+    WITH {HOURLY}, g AS (SELECT meter_id, unnest(generate_series(min(ts) + INTERVAL 1 HOUR, max(ts), INTERVAL 1 HOUR)) AS ts FROM m GROUP BY 1 HAVING count(*) > 1),
+    f AS (SELECT g.meter_id, g.ts, m.reading FROM g LEFT JOIN m USING (meter_id, ts))
+    SELECT meter_id, {_E}, round(reading, 6) AS reading, round(reading - lag(reading) {_W}, 6) AS diff, reading IS NULL AS synthetic FROM f
+""")
+def ts_gap_fill(spark, sf_dir):
+    return grid.fill_gaps(hourly_meters(spark, sf_dir)).select("meter_id", "ts", "reading", "diff", "synthetic")
+
+
+_LEVEL = f"""
+    o AS (SELECT meter_id, ts, diff AS y, row_number() {_W} AS k FROM m),
+    rec AS (SELECT meter_id, k, ts, y, y AS x, 10.0::DOUBLE AS p, NULL::DOUBLE AS predicted, NULL::DOUBLE AS variance FROM o WHERE k = 1
+            UNION ALL
+            SELECT o.meter_id, o.k, o.ts, o.y, {{update}}, rec.x, rec.p + 4.0 + 25.0 FROM rec JOIN o ON o.meter_id = rec.meter_id AND o.k = rec.k + 1)
+    SELECT meter_id, epoch(ts)::BIGINT AS ts, round(y, 6) AS actual, round(greatest(predicted, 0), 6) AS predicted, round(variance, 6) AS variance FROM rec WHERE k > 1
+"""
+_GAIN = "(rec.p + 4.0) / (rec.p + 4.0 + 25.0)"
+
+
+@query(f"WITH RECURSIVE {HOURLY}, {_LEVEL.format(update=f'rec.x + {_GAIN} * (o.y - rec.x), (rec.p + 4.0) * 25.0 / (rec.p + 4.0 + 25.0)')}")
+def mdl_local_level(spark, sf_dir):
+    return pipeline.local_level(hourly_meters(spark, sf_dir), q=4.0, r=25.0, p0=10.0)
+
+
+_SMALL = "abs(o.y - rec.x) <= 20.0 * sqrt(rec.p + 4.0 + 25.0)"
+
+
+@query(f"WITH RECURSIVE {HOURLY}, {_LEVEL.format(update=f'CASE WHEN {_SMALL} THEN rec.x + {_GAIN} * (o.y - rec.x) ELSE rec.x END, CASE WHEN {_SMALL} THEN (rec.p + 4.0) * 25.0 / (rec.p + 4.0 + 25.0) ELSE rec.p + 4.0 END')}")
+def mdl_local_level_masked(spark, sf_dir):
+    return pipeline.local_level(hourly_meters(spark, sf_dir), q=4.0, r=25.0, p0=10.0, threshold=20.0)
+
+
+@query()
+def smp_split_meters(spark, sf_dir):
+    return split.split_meters(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meter_id")))
+
+
+@query()
+def smp_random_starts(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir, "user_id % 50")
+    return split.random_starts(rows.groupBy("meter_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")), days=14)
+
+
+@query()
+def ts_inject_spikes(spark, sf_dir):
+    return split.inject_spikes(hourly_meters(spark, sf_dir))
+
+
+@query()
+def srt_repair_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("meter_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("reading"), F.col("event_id").alias("ordinal"))
+    return prep.repair_order(rows)
+
+
+@query()
+def mdl_seasonal_strength(spark, sf_dir):
+    return pipeline.seasonal_strength(grid.fill_gaps(hourly_meters(spark, sf_dir)), 24, 168)
+
+
+@query()
+def mdl_fit(spark, sf_dir):
+    return pipeline.fit_meters(hourly_meters(spark, sf_dir), checked=False, most=30).drop("seconds", "model", "theta")
+
+
+@query()
+def mdl_evaluate(spark, sf_dir):
+    filled = grid.fill_gaps(hourly_meters(spark, sf_dir))
+    starts = filled.select("meter_id").distinct().withColumn("start", F.lit("2024-01-02").cast("timestamp"))
+    return metrics.regression(pipeline.evaluate_meters(split.segments(filled, starts, train_days=14, second_days=7, predict_days=5), most=20).where("segment = 'predict'"), "meter_id")
+
+
+@query()
+def mdl_isolation_forest(spark, sf_dir):
+    return pipeline.isolation(hourly_meters(spark, sf_dir))
+
+
+@query()
+def mdl_negative_binomial(spark, sf_dir):
+    return pipeline.count_model(hourly_meters(spark, sf_dir))
+
+
+@query()
+def mdl_recurrent(spark, sf_dir):
+    return pipeline.recurrent(hourly_meters(spark, sf_dir), epochs=2)
+
+
+@query()
+def mdl_fourier_filter(spark, sf_dir):
+    return metrics.filter_metrics(pipeline.fourier_filter(hourly_meters(spark, sf_dir), steps=24))
+
+
+@query()
+def mdl_lag_filter(spark, sf_dir):
+    return metrics.filter_metrics(pipeline.fourier_filter(hourly_meters(spark, sf_dir), steps=24, lags=[1, 24]))
+
+
+@query()
+def mdl_recursive_least_squares(spark, sf_dir):
+    return pipeline.transitions(hourly_meters(spark, sf_dir), steps=24).select("meter_id", "unstable", F.size("a").alias("n"))
+
+
+@query()
+def str_replay(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir)
+    cut = F.lit("2024-01-22").cast("timestamp")
+    models = pipeline.fit_meters(rows.where(F.col("ts") < cut), checked=False, most=20).where("status = 'success'").select("meter_id", "model")
+    return detector.status_counts(detector.replay(rows.where(F.col("ts") >= cut), models))
