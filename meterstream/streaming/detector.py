@@ -111,5 +111,5 @@ def detect_stream(readings: DataFrame, models: DataFrame) -> DataFrame:
 
 def status_counts(records: DataFrame) -> DataFrame:
     """Records of each meter by status, a column each."""
-    counts = records.groupBy("meter_id").pivot("status", ["ok", "anomaly", "post_gap_skipped", "outage", "reset", "skipped_early", "skipped_duplicate", "invalid", "no_model", "invalid_timestamp"]).agg(F.count("*"))
+    counts = records.groupBy("meter_id").pivot("status", ["ok", "anomaly", "post_gap_skipped", "outage", "reset", "skipped_early", "skipped_duplicate", "invalid", "no_model", "invalid_timestamp"]).agg(F.count("status"))
     return counts.fillna(0).withColumnsRenamed({c: f"status_{c}" for c in counts.columns if c != "meter_id"})
