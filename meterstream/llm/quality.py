@@ -16,8 +16,8 @@ POSITION_BITS = 20
 METRICS = [
     ("symbols", 150, "n_symbols", "n_words"),
     ("word_length", 900, "word_chars", "n_words"),
-    ("repeats", 150, "n_repeat_words", "n_words"),
-    ("dup_lines", 250, "n_dup_lines", "n_lines"),
+    ("repeats", 300, "n_repeat_words", "n_words"),
+    ("dup_lines", 500, "n_dup_lines", "n_lines"),
     ("capitals", 150, "n_capitals", "word_chars"),
     ("marks", 150, "n_marks", "n_words"),
 ]

@@ -90,7 +90,7 @@ ORACLES = {
                        unnest([1000 * n_symbols // n_words, 1000 * word_chars // n_words, 1000 * n_repeat_words // n_words, 1000 * n_dup_lines // n_lines, 1000 * n_capitals // word_chars, 1000 * n_marks // n_words]) AS v
                 FROM b WHERE NOT base_failed)
         ), k AS (SELECT r, lang, source, metric, (v >> s) << s AS bucket FROM m),
-        floors AS (SELECT unnest(['symbols', 'word_length', 'repeats', 'dup_lines', 'capitals', 'marks']) AS metric, unnest([150, 900, 150, 250, 150, 150]) AS least),
+        floors AS (SELECT unnest(['symbols', 'word_length', 'repeats', 'dup_lines', 'capitals', 'marks']) AS metric, unnest([150, 900, 300, 500, 150, 150]) AS least),
         q1 AS (SELECT lang, source, metric, count(*) AS rows, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM k GROUP BY ALL),
         q2 AS (SELECT lang, metric, count(*) AS rows, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM k GROUP BY ALL),
         q3 AS (SELECT metric, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM k GROUP BY ALL),
