@@ -166,3 +166,23 @@ def quality_gate(rows: DataFrame, kind: str = "initial") -> DataFrame:
 def failure_reasons(rows: DataFrame, most: int = 5) -> DataFrame:
     """The commonest reasons of failed meters, by the text before a colon."""
     return rows.where("status != 'success'").groupBy(F.trim(F.split_part("error", F.lit(":"), F.lit(1))).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(most)
+
+
+def compared(results: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """Each metric of a meter under every model, a column each, for meters that any has."""
+    parts = [df.select("meter_id", *names).unpivot("meter_id", names, "metric", model) for model, df in results.items()]
+    return reduce(lambda a, b: a.join(b, ["meter_id", "metric"], "full"), parts)
+
+
+def batch_totals(results: DataFrame) -> DataFrame:
+    """Meters by outcome and what their grids gained, over all."""
+    return results.agg(F.count("*").alias("n"), F.count_if(F.col("n_after") > 0).alias("n_success"), F.sum("n_before").alias("rows_before"), F.sum("n_after").alias("rows_after"), F.avg("fill_pct").alias("mean_fill_pct"))
+
+
+def innovation_diagnostics(rows: DataFrame, most: int = 30) -> DataFrame:
+    """Mean and deviation of innovations by meter, their quantiles, how many autocorrelations leave the band of noise, and its half width."""
+    some = rows.where(F.col("innovation").isNotNull())
+    acf = autocorrelation(some.withColumnRenamed("innovation", "diff").select("meter_id", "ts", "diff"), most)
+    base = some.groupBy("meter_id").agg(F.avg("innovation").alias("mean"), F.stddev_pop("innovation").alias("std"), F.expr("percentile(innovation, array(0.05, 0.25, 0.5, 0.75, 0.95))").alias("q"), (1.96 / F.sqrt(F.count("*"))).alias("band"))
+    out = base.join(acf, "meter_id", "left").groupBy("meter_id", "mean", "std", "q", "band").agg(F.count_if(F.abs("acf") > F.col("band")).alias("n_outside"))
+    return out.select("meter_id", "mean", "std", "band", "n_outside", *(F.col("q")[k].alias(f"q{p}") for k, p in enumerate((5, 25, 50, 75, 95))))

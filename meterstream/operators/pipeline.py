@@ -303,3 +303,35 @@ def transitions(rows: DataFrame, *, steps: int, harmonics_: int = 1, forget: flo
         return pd.DataFrame([{"meter_id": group["meter_id"].iloc[0], "a": A.ravel(), "q": Q.ravel(), "unstable": kalman.unstable(A)}])
 
     return rows.select("meter_id", "ts", "diff").where(F.col("diff").isNotNull()).groupBy("meter_id").applyInPandas(run, f"meter_id {_key(rows)}, a array<double>, q array<double>, unstable int")
+
+
+def rolling_refit(readings: DataFrame, *, train_days: int, predict_days: int, slide_days: int, variant: str = "fourier", most: int = 20) -> DataFrame:
+    """Records of a detector that is fitted anew in every window and judges the days after it; a fit starts from the one before.
+
+    Windows lie on one calendar for all meters and are a bounded loop on the driver, one grouped
+    job each; models are written out between windows.
+    """
+    from ..streaming.detector import replay
+
+    first, last = readings.agg(F.date_trunc("day", F.min("ts")), F.max("ts")).first()
+    out, previous = None, None
+    start = pd.Timestamp(first)
+    while start + pd.Timedelta(days=train_days) < pd.Timestamp(last):
+        cut, end = start + pd.Timedelta(days=train_days), start + pd.Timedelta(days=train_days + predict_days)
+        window = readings.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(cut)))
+        models = fit_meters(window, previous=previous, checked=False, variant=variant, most=most).where("status = 'success'").checkpoint()
+        records = replay(readings.where((F.col("ts") >= F.lit(cut)) & (F.col("ts") < F.lit(end))), models).withColumn("window_start", F.lit(start))
+        out = records if out is None else out.unionByName(records)
+        previous, start = models, start + pd.Timedelta(days=slide_days)
+    return out
+
+
+def densities(rows: DataFrame, value: str, low: float, high: float, points: int = 50, clip: float | None = None) -> DataFrame:
+    """Kernel density of each meter's values on a common grid; values beyond ``clip`` are left out."""
+    kept = rows.where(F.col(value).isNotNull() & (F.abs(value) <= clip if clip is not None else F.lit(True)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        at = np.linspace(low, high, points)
+        return pd.DataFrame({"meter_id": group["meter_id"].iloc[0], "at": at, "density": detectors.density(group[value].to_numpy(float), at)})
+
+    return kept.select("meter_id", value).groupBy("meter_id").applyInPandas(run, f"meter_id {_key(rows)}, at double, density double")

@@ -65,7 +65,7 @@ def rolling_windows(rows: DataFrame, *, train_days: int = 28, predict_days: int
 
 def seed_of(name: Column, seed: int) -> Column:
     """A seed for each meter from one for all: ``(seed * 1000003 + crc32(name)) mod 2^63``."""
-    return ((F.lit(seed).cast("decimal(38,0)") * 1000003 + F.crc32(name.cast("string").cast("binary"))) % F.lit(1 << 63).cast("decimal(38,0)")).cast("long")
+    return ((F.lit(seed).cast("decimal(38,0)") * 1000003 + F.crc32(name.cast("string").cast("binary"))) % F.lit(str(1 << 63)).cast("decimal(38,0)")).cast("long")
 
 
 def random_starts(facts: DataFrame, *, days: int, tries: int = 30) -> DataFrame:

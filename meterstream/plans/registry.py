@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock, columns
-from ..operators import grid, joins, metrics, pipeline, prep, scores, split, windows
+from ..operators import grid, impute, joins, metrics, pipeline, prep, scores, split, windows
 from ..streaming import detector
 from . import views
 from .views import HOURLY, PAIRS, forecast_pairs, hourly_meters, rounded, table
@@ -537,3 +537,109 @@ def str_replay(spark, sf_dir):
     cut = F.lit("2024-01-22").cast("timestamp")
     models = pipeline.fit_meters(rows.where(F.col("ts") < cut), checked=False, most=20).where("status = 'success'").select("meter_id", "model")
     return detector.status_counts(detector.replay(rows.where(F.col("ts") >= cut), models))
+
+
+@query(f"""
+    WITH {_USERS}, a AS (SELECT meter_id, avg(abs(actual - predicted)) AS v FROM s GROUP BY 1), b AS (SELECT meter_id, avg(abs(actual)) AS v FROM s WHERE meter_id <> 7 GROUP BY 1)
+    SELECT meter_id, 'metric_mae' AS metric, round(a.v, 6) AS naive, round(b.v, 6) AS zero FROM a FULL JOIN b USING (meter_id)
+""")
+def jn_compared_models(spark, sf_dir):
+    return metrics.compared(_two_models(spark, sf_dir), ["metric_mae"])
+
+
+@query(f"WITH {HOURLY}, x AS (SELECT * FROM m WHERE hour(ts) % 7 <> 3), c AS (SELECT meter_id, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts FROM x GROUP BY 1) SELECT meter_id, {_E}, round(reading, 6) AS reading FROM c LEFT JOIN x USING (meter_id, ts)")
+def ts_at_frequency(spark, sf_dir):
+    return grid.at_frequency(hourly_meters(spark, sf_dir).where(F.hour("ts") % 7 != 3))
+
+
+@query(f"WITH {HOURLY}, n AS (SELECT meter_id, ts, lead(ts) {_W} AS after_ts, row_number() {_W} AS k FROM m) SELECT meter_id, {_E}, epoch(after_ts)::BIGINT AS after_ts FROM n WHERE k = 1")
+def ts_unmatched(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir)
+    return grid.unmatched(rows, grid.fill_gaps(rows)).select("meter_id", "ts", "after_ts")
+
+
+@query(f"WITH {HOURLY}, x AS (SELECT *, epoch(ts) - lag(epoch(ts)) {_W} AS gap FROM m) SELECT meter_id, {_E}, round(gap, 6) AS gap_seconds FROM x WHERE gap < 1800 OR gap > 5400")
+def ts_odd_spacing(spark, sf_dir):
+    return grid.odd_spacing(hourly_meters(spark, sf_dir).withColumn("period", F.lit(3600.0))).select("meter_id", "ts", "gap_seconds")
+
+
+@query("""
+    WITH d AS (SELECT o_custkey % 20 AS meter_id, o_orderdate AS ts FROM orders), l AS (SELECT meter_id, date_trunc('month', max(ts)) AS last FROM d GROUP BY 1)
+    SELECT meter_id, CASE WHEN ts < last THEN 'train' ELSE 'predict' END AS segment, count(*) AS n FROM d JOIN l USING (meter_id) WHERE ts >= last - INTERVAL 2 MONTH GROUP BY 1, 2
+""")
+def ts_month_segments(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("meter_id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return split.month_segments(rows).groupBy("meter_id", "segment").agg(F.count("*").alias("n"))
+
+
+_REPORT = HOURLY + ", g AS (SELECT meter_id, count(*) AS n_before, (epoch(max(ts)) - epoch(min(ts)))::BIGINT // 3600 AS n_after FROM m GROUP BY 1 HAVING count(*) > 1), rp AS (SELECT meter_id, n_before, n_after, 100.0 * (n_after - (n_before - 1)) / n_after AS fill_pct FROM g)"
+
+
+@query(f"WITH {_REPORT} SELECT meter_id, n_before, n_after, round(fill_pct, 6) AS fill_pct, round(1 - n_after / n_before, 6) AS reduction, round((n_before - 1) / n_before, 6) AS preserved FROM rp")
+def agg_fill_report(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir)
+    return grid.fill_report(rows, grid.fill_gaps(rows))
+
+
+@query(f"WITH {_REPORT} SELECT count(*) AS n, count(*) FILTER (n_after > 0) AS n_success, sum(n_before)::BIGINT AS rows_before, sum(n_after)::BIGINT AS rows_after, round(avg(fill_pct), 6) AS mean_fill_pct FROM rp")
+def agg_batch_totals(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir)
+    return metrics.batch_totals(grid.fill_report(rows, grid.fill_gaps(rows)))
+
+
+@query("SELECT c_custkey AS meter_id, (c_custkey % 10) / 10.0 >= 0.5 AS good_strength, CASE WHEN c_custkey % 7 = 0 THEN false ELSE (c_custkey % 13) / 10.0 < 0.95 END AS good_mase, c_custkey % 20 <= 10 AS good_fill FROM customer")
+def flt_good_meters(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("meter_id"), (k % 10 / 10.0).alias("f_s_daily"), F.when(k % 7 != 0, k % 13 / 10.0).alias("mase_seasonal"), (k % 20).alias("filled_pct_second"))
+    return split.good_meters(rows).select("meter_id", "good_strength", "good_mase", "good_fill")
+
+
+@query("WITH f AS (SELECT o_custkey AS meter_id, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1) SELECT meter_id FROM f WHERE datediff('day', a, b) >= 365 AND meter_id % 24 <= 12")
+def flt_eligible(spark, sf_dir):
+    facts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("meter_id")).agg(F.min("o_orderdate").alias("first_ts"), F.max("o_orderdate").alias("last_ts")).withColumn("period", F.col("meter_id") % 24 * 3600)
+    return prep.eligible(facts).select("meter_id")
+
+
+@query("SELECT c_custkey AS k FROM customer WHERE c_nationkey < 5 UNION ALL SELECT s_suppkey FROM supplier EXCEPT ALL SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def set_union_except(spark, sf_dir):
+    own = table(spark, sf_dir, "customer")
+    parts = own.where("c_nationkey < 5").select(F.col("c_custkey").alias("k")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")))
+    return parts.exceptAll(own.where("c_acctbal < 0").select(F.col("c_custkey").alias("k")))
+
+
+@query(f"WITH {PAIRS}, i AS (SELECT meter_id, ts, actual - predicted AS x FROM s), c AS (SELECT *, x - avg(x) OVER (PARTITION BY meter_id) AS d, count(*) OVER (PARTITION BY meter_id) AS n FROM i), l AS (SELECT *, {', '.join(f'lag(d, {k}) {_W} AS l{k}' for k in range(1, 6))} FROM c), a AS (SELECT meter_id, [{', '.join(f'sum(d * l{k}) / sum(d * d)' for k in range(1, 6))}] AS r FROM l WHERE n >= 10 GROUP BY 1) SELECT meter_id, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(1.96 / sqrt(count(*)), 6) AS band, coalesce(len(list_filter(any_value(r), lambda v: abs(v) > 1.96 / sqrt(any_value(n)))), 0)::BIGINT AS n_outside, {', '.join(f'round(quantile_cont(x, {p / 100}), 6) AS q{p}' for p in (5, 25, 50, 75, 95))} FROM c LEFT JOIN a USING (meter_id) GROUP BY meter_id".replace("lambda v: abs(v) > 1.96 / sqrt(any_value(n))", "lambda v: abs(v) > 1.96 / sqrt(count(*))"))
+def agg_innovation_diagnostics(spark, sf_dir):
+    return metrics.innovation_diagnostics(forecast_pairs(spark, sf_dir).withColumn("innovation", F.col("actual") - F.col("predicted")), 5)
+
+
+@query()
+def agg_density(spark, sf_dir):
+    return pipeline.densities(_scored(spark, sf_dir), "z_score", -5.0, 5.0, clip=5.0)
+
+
+@query()
+def smp_seeds(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meter_id"), split.seed_of(F.col("c_custkey"), 42).alias("seed"))
+
+
+@query()
+def ts_forecast_imputation(spark, sf_dir):
+    return impute.imputed(grid.fill_gaps(hourly_meters(spark, sf_dir)))
+
+
+@query()
+def win_cubic_imputation(spark, sf_dir):
+    return impute.imputed(grid.fill_gaps(hourly_meters(spark, sf_dir)), "cubic")
+
+
+@query()
+def mdl_warm_start(spark, sf_dir):
+    rows = hourly_meters(spark, sf_dir)
+    previous = pipeline.fit_meters(rows, checked=False, most=10).select("meter_id", "theta", "signature")
+    return pipeline.fit_meters(rows, previous=previous, checked=False, most=10).select("meter_id", "status", "warm_started", "llf")
+
+
+@query()
+def str_rolling_refit(spark, sf_dir):
+    records = pipeline.rolling_refit(hourly_meters(spark, sf_dir), train_days=14, predict_days=7, slide_days=7, most=8)
+    return records.groupBy("meter_id", "window_start", "status").agg(F.count("*").alias("n"))

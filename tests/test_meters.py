@@ -235,3 +235,22 @@ def test_predicates_reject_unknown(spark):
         split.candidates(spark.range(1), [{"name": "x", "value": 1, "comparator": "=="}])
     with pytest.raises(ValueError):
         split.candidates(spark.range(1), [{"name": "id", "value": 1, "comparator": "~"}])
+
+
+def test_imputation():
+    from meterstream.operators import impute
+
+    t = np.arange(120.0)
+    y = np.sin(t / 9)
+    gap = y.copy()
+    gap[60:63] = np.nan
+    assert np.abs(impute.forecast_gaps(gap) - y).max() < 0.05
+    assert np.abs(impute.cubic(np.where(np.isfinite(gap), gap + 2, np.nan)) - y - 2).max() < 0.01
+    assert np.isnan(impute.forecast_gaps(np.array([np.nan, 1.0]))[0]) and impute.forecast_gaps(np.array([1.0, np.nan]))[1] == 1.0
+
+
+def test_seeds(spark):
+    import zlib
+
+    got = spark.range(5).select(split.seed_of(F.col("id"), 12345).alias("s")).collect()
+    assert [r["s"] for r in got] == [(12345 * 1000003 + zlib.crc32(str(k).encode())) % (1 << 63) for k in range(5)]
