@@ -56,7 +56,7 @@ class Tokens:
         tail = b[end - 1].astype(np.uint64) if len(end) else np.zeros(0, np.uint64)
         for back in (2, 3):
             tail |= np.where(size >= back, b[np.maximum(end - back, 0)].astype(np.uint64), np.uint64(0)) << np.uint64(8 * (back - 1))
-        form = (_mix(tail * _BASE) % np.uint64(self.forms - 1)).astype(np.int64) + 1
+        form = (_mix(tail * _BASE) % np.uint64(self.forms - 1)).astype(np.int32) + np.int32(1)
         return start, hashed.view(np.int64), form
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ class Tokens:
                     n += len(h)
                     at = to
                 hashes.append(np.array([END]))
-                forms.append(np.array([END_FORM]))
+                forms.append(np.array([END_FORM], np.int32))
                 counts.append(n + 1)
                 continue
             small.append(raw)
@@ -101,11 +101,10 @@ class Tokens:
                 flush()
                 size = 0
         flush()
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *hashes]), np.concatenate([none, *forms]), np.array(counts, np.int64)
+        return np.concatenate([np.zeros(0, np.int64), *hashes]), np.concatenate([np.zeros(0, np.int32), *forms]), np.array(counts, np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int, forms: int, tokens: int = 4 << 20) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, forms: int, tokens: int = 3 << 19) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
     """Tokens of a partition's texts in blocks of at least ``tokens`` (but for the last), with the other column's values."""
     split = Tokens(forms)
     other: list = []
@@ -145,10 +144,10 @@ class Units:
 
     def of(self, hashes: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit of each token (forms first), and whether it is a frequent word."""
-        at = np.searchsorted(self.words, hashes)
+        at = np.searchsorted(self.words, hashes).astype(np.int32)
         at[at == len(self.words)] = 0
         frequent = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
-        return np.where(frequent, at + self.forms, form), frequent
+        return np.where(frequent, at + np.int32(self.forms), form), frequent
 
 
 def count_bigrams(texts: DataFrame, units: Units) -> DataFrame:
@@ -161,7 +160,8 @@ def count_bigrams(texts: DataFrame, units: Units) -> DataFrame:
         for _, hashes, form, _ in _blocks(batches, 0, own.forms):
             unit, _ = own.of(hashes, form)
             before = np.concatenate([[end], unit[:-1]])  # what follows an end token follows the end of a text
-            pair, n = np.unique(before << 32 | unit, return_counts=True)
+            pair, n = np.unique(before.astype(np.int64) << 32 | unit, return_counts=True)
+            del before, unit, hashes, form
             yield pa.RecordBatch.from_arrays([pa.array((pair >> 32).astype(np.int32)), pa.array((pair & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["u", "v", "n"])
 
     return texts.select("text").mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
@@ -286,15 +286,16 @@ def _scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
         end = int(own.units.of(np.array([END]), np.array([END_FORM]))[0][0])
         block = TaskContext.get().partitionId() << 32
         for keys, hashes, form, counts in _blocks(batches, 1, own.units.forms):
-            doc = np.repeat(np.arange(len(counts)), counts)
+            doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
             unit, frequent = own.units.of(hashes, form)
-            cls = own.of[unit]
-            before = np.concatenate([[own.of[end]], cls[:-1]])
-            classes = np.bincount(doc, own.step[before, cls] - own.mass[cls], len(counts))
-            c = own.frequent[np.where(frequent, unit - own.units.forms, 0)] if len(own.frequent) else np.zeros(len(unit))
-            counted = np.bincount(doc, np.where(frequent, np.log10(c + 0.5), 0), len(counts))
-            known = np.bincount(doc, frequent, len(counts))
+            cls = own.of[unit].astype(np.int32)
+            before = np.concatenate([[own.of[end]], cls[:-1]]).astype(np.int32)
             n = len(counts)
+            classes = np.bincount(doc, own.step[before, cls] - own.mass[cls], n)
+            often = np.flatnonzero(frequent)
+            counted = np.bincount(doc[often], np.log10(own.frequent + 0.5)[unit[often] - own.units.forms], n).astype(float)  # of no frequent word, bincount gives whole numbers
+            known = np.bincount(doc[often], minlength=n)
+            del before, cls, unit, form, often
             none = pa.nulls(n)
             ids, held = zip(*((k["doc_id"], k["held_out"]) for k in keys))
             columns = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, types[2]), pa.array(held), pa.array(counts), pa.array(known.astype(np.int64)), pa.array(counted), pa.array(classes), none.cast(types[8]), none.cast(types[9])]
