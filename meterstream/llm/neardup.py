@@ -9,9 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import forget, saved
+from .common import saved
 from .components import components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -165,13 +164,13 @@ def _bags(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bag binary, members array<bigint>")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact Jaccard distance of each pair (a, b)."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each pair (a, b): the sizes of both bags, what they share, and ``novel``, the occurrences that only a has."""
     one = sets.select(F.col("bag").alias("a"), F.col("members").alias("a_members"))
     two = sets.select(F.col("bag").alias("b"), F.col("members").alias("b_members"))
-    both = F.size(F.array_intersect("a_members", "b_members"))
-    joined = pairs.join(one, "a").join(two, "b").withColumn("shared", both)
-    return joined.withColumn("distance", 1 - F.col("shared") / (F.size("a_members") + F.size("b_members") - F.col("shared"))).select("a", "b", "distance")
+    joined = pairs.join(one, "a").join(two, "b").withColumn("novel", F.array_except("a_members", "b_members"))
+    sized = joined.select("a", "b", "novel", F.size("a_members").alias("n_a"), F.size("b_members").alias("n_b"))
+    return sized.withColumn("shared", F.col("n_a") - F.size("novel"))
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -182,60 +181,62 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5,
     one node. A link is missed if no band of the signature agrees, which at the threshold happens
     for one of 70,000; every other step is exact:
 
-    Within a bucket (texts that agree in a band) all are compared with one member drawn for that
-    bucket, so a group of copies costs its size, not its square. Texts nearer than the threshold
-    to it are linked through it. Those that aren't are compared with the near ones wherever the
-    triangle inequality leaves a link possible and none connects them yet, and go on among
-    themselves with four times as many drawn members in each round, until no one is left.
+    Within a bucket (texts that agree in a band) all are compared with its centre, the member that
+    meets most others, so a group of copies costs its size, not its square. Texts similar enough
+    to it are linked through it. Two others, or one of them and a linked one, can only share what
+    each shares with the centre and what is novel in both; how much of a text's novel part any
+    other text around the centre has is counted, and pairs for which the two don't add up to
+    enough, or that are connected already, are left out. The rest is compared.
 
     Null texts and texts without words are classes of their own, equal ids are kept as rows, null
     ids come last as a class's name, an empty table gives no rows, other columns are ignored.
     """
-    far = 1 - threshold
+    part = threshold / (1 + threshold)  # bags are linked if they share this much of the sum of their sizes
+    linked = F.col("shared") >= part * (F.col("n_a") + F.col("n_b")) - 1e-9
     signed = saved(_signed(docs, width, bands, rows), "signed")
     nodes = saved(signed.where(F.col("bag").isNotNull()).groupBy("bag").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "keys")).alias("least"), F.count("*").alias("n_copies")).select("bag", "least.doc_id", "n_copies", "least.keys"), "nodes")
     spread = nodes.select(F.col("bag").alias("a"), F.explode("keys").alias("key"))
-    drawn = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("a", "key").alias("order"), F.col("a").alias("b"))).alias("least"))
-    chosen = drawn.where("n > 1").select("key", F.col("least.b").alias("b"))
-    members = saved(spread.join(chosen, "key").where("a != b"), "bucket-members")  # (key, a, b): to be compared with b
-    wanted = members.select(F.col("a").alias("bag")).union(members.select(F.col("b").alias("bag"))).distinct()
+    crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = saved(spread.join(crowded, "key"), "buckets")
+    # a bucket's centre is the member that meets most others in all bands: of edited copies, the text that they come from
+    reach = met.groupBy("a").agg(F.sum("n").alias("reach"))
+    centres = met.join(reach, "a").groupBy("key").agg(F.min(F.struct(-F.col("reach"), F.xxhash64("a").alias("order"), F.col("a").alias("b"))).alias("least")).select("key", F.col("least.b").alias("b"))
+    stars = saved(met.join(centres, "key").where("a != b").select("a", "b").distinct(), "stars")
+    wanted = stars.select(F.col("a").alias("bag")).union(stars.select(F.col("b").alias("bag"))).distinct()
     owners = saved(nodes.join(wanted, "bag", "left_semi").select("bag", "doc_id"), "candidates")
-    few = owners.count() <= most_broadcast
     ids = owners.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if owners.count() <= most_broadcast else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = saved(_bags(texts, width).join(owners.select("bag"), "bag", "left_semi").dropDuplicates(["bag"]), "bags")
-    links = known = None
-    leaders = 1
-    while True:
-        met = saved(_distances(members.select("a", "b").distinct(), sets), "distances")
-        near = met.where(F.col("distance") <= far + 1e-12).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = near if links is None else links.unionByName(near)
-        placed = saved(members.join(met, ["a", "b"]), "bucket-distances")
-        outer, inner = placed.where(F.col("distance") > far + 1e-12), placed.where(F.col("distance") <= far + 1e-12)
-        known = components(links)
-        name = known.select("node", "component")
-        others = outer.join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        nears = inner.select("key", "b", F.col("a").alias("c"), F.col("distance").alias("own")).join(name.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c")
-        # only where the triangle inequality allows a link, and none leads there yet
-        crossed = others.join(nears, ["key", "b"]).where((F.col("own") >= F.col("distance") - far - 1e-12) & ~F.col("ca").eqNullSafe(F.col("cc"))).select("a", F.col("c").alias("b")).distinct()
-        extra = saved(_distances(crossed, sets).where(F.col("distance") <= far + 1e-12).select(F.col("a").alias("u"), F.col("b").alias("v")), "cross-links")
-        links = links.unionByName(extra)
-        # a text that met several drawn members of a bucket in vain is left once; one that a link joined to any of them is done
-        joined = inner.select("key", "a").distinct()
-        left = saved(outer.select("key", "a").distinct().join(joined, ["key", "a"], "left_anti"), "bucket-rest")
-        leaders *= 4
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("a", "key"), "a"))
-        heads = left.withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", F.col("a").alias("b"), F.col("rank").alias("b_rank"))
-        ranked = left.join(heads.select("key", F.col("b").alias("a"), F.col("b_rank").alias("a_rank")), ["key", "a"], "left")
-        following = saved(ranked.join(heads, "key").where(F.col("a_rank").isNull() | (F.col("a_rank") > F.col("b_rank"))).select("key", "a", "b"), "bucket-members")
-        forget(members, left)
-        members = following
-        if members.isEmpty():
-            break
-    final = components(links)
-    named = nodes.join(final.withColumnRenamed("node", "bag"), "bag", "left").withColumn("component", F.coalesce("component", "bag"))
-    classes = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n_copies").alias("class_size"))
-    by_bag = named.join(classes, "component").select("bag", "class_id", "class_size", "n_copies")
+    around = saved(_measured(stars, sets), "measured")
+    first = saved(components(around.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+
+    def named(table: DataFrame, bag: str, name: str) -> DataFrame:
+        """The table with the component of one of its bags, its own name where it has no link."""
+        return table.join(first.select(F.col("node").alias(bag), F.col("component").alias(name)), bag, "left").withColumn(name, F.coalesce(name, bag))
+
+    # what two texts around a centre share is shared with the centre too, or novel in both
+    novel = around.select("a", "b", F.explode("novel").alias("h"))
+    twice = novel.groupBy("b", "h").agg(F.count("*").alias("n")).where("n > 1").select("b", "h")
+    common = novel.join(twice, ["b", "h"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+    least = around.groupBy("b").agg(F.min("n_a").alias("least"))
+    sized = around.drop("novel").join(common, ["a", "b"], "left").fillna(0, ["common"]).join(least, "b")
+    able = F.col("shared") + F.col("common") >= part * (F.col("n_a") + F.greatest(F.col("least"), F.ceil(threshold * F.col("n_a")))) - 1e-9
+    able = saved(named(sized.where(able).withColumn("near", linked), "a", "component"), "able")
+    left = able.select("b", F.col("a").alias("x"), F.col("n_a").alias("n_x"), F.col("shared").alias("s_x"), F.col("common").alias("c_x"), F.col("component").alias("u")).where(~F.col("near"))
+    right = able.select("b", F.col("a").alias("y"), F.col("n_a").alias("n_y"), F.col("shared").alias("s_y"), F.col("common").alias("c_y"), F.col("component").alias("v"), F.col("near").alias("near_y"))
+    both = part * (F.col("n_x") + F.col("n_y")) - 1e-9
+    fits = (F.col("u") != F.col("v")) & (F.col("near_y") | (F.col("x") < F.col("y"))) & (F.least("s_x", "s_y") + F.least("c_x", "c_y") >= both) & (F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y"))
+    pairs = saved(left.join(right, "b").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"), "u", "v").distinct(), "pairs")
+    joined = None
+    if not pairs.isEmpty():
+        found = _measured(pairs.select("a", "b").distinct(), sets).where(linked).select("a", "b")
+        joined = saved(pairs.join(found, ["a", "b"]).select("u", "v").distinct(), "component-links")
+    whole = named(nodes.select("bag", "doc_id", "n_copies"), "bag", "component")
+    if joined is not None and not joined.isEmpty():
+        second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        whole = whole.join(second, "component", "left").withColumn("component", F.coalesce("joined", "component"))
+    classes = whole.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n_copies").alias("class_size"))
+    by_bag = whole.join(classes, "component").select("bag", "class_id", "class_size", "n_copies")
     found = signed.where(F.col("bag").isNotNull()).select("doc_id", "bag").join(by_bag, "bag").select("doc_id", "class_id", "class_size", "n_copies")
     alone = signed.where(F.col("bag").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(1).cast("long").alias("n_copies"))
     return found.unionByName(alone)
