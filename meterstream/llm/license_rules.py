@@ -11,7 +11,7 @@ GAP = r"[^0-9a-z\x80-\xff]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature. Rules are tried only in texts that hold one of ``keywords``; a lower ``priority`` wins."""
+    """A signature. Rules are tried only in texts that hold one of ``keywords``, whatever gaps are between its words; a lower ``priority`` wins."""
 
     name: str
     label: str
@@ -22,7 +22,7 @@ class Rule:
 
 
 # Labels after public license identifiers, a keyword that any naming of the license
-# holds, and regexes for its names. A blank in a regex stands for a gap between words.
+# holds (or several, of which it holds one), and regexes for its names. A blank in a regex stands for a gap between words.
 _NAMED = [
     ("apache-1.0", "apache", [r"apache (?:software )?license,? (?:version )?1\.0"]),
     ("apache-1.1", "apache", [r"apache (?:software )?license,? (?:version )?1\.1"]),
@@ -34,16 +34,16 @@ _NAMED = [
     ("bsd-3-clause", "bsd", [r"bsd 3 clause", r"new bsd", r"modified bsd", r"revised bsd", r"three clause bsd"]),
     ("bsd-4-clause", "bsd", [r"bsd 4 clause", r"original bsd", r"four clause bsd"]),
     ("0bsd", "bsd", [r"zero clause bsd", r"bsd zero clause"]),
-    ("bsd", "bsd", [r"bsd (?:style )?licen[sc]e", r"berkeley software distribution licen[sc]e"]),
+    ("bsd", ("bsd", "berkeley"), [r"bsd (?:style )?licen[sc]e", r"berkeley software distribution licen[sc]e"]),
     ("gpl-1.0", "g", [r"gnu (?:gpl|general public licen[sc]e),? (?:version |v)1"]),
     ("gpl-2.0", "g", [r"gnu (?:gpl|general public licen[sc]e),? (?:as published .{0,80}?either )?(?:version |v)2", r"gpl ?v?2(?:\.0)?"]),
     ("gpl-3.0", "g", [r"gnu (?:gpl|general public licen[sc]e),? (?:as published .{0,80}?either )?(?:version |v)3", r"gpl ?v?3(?:\.0)?"]),
     ("gpl", "g", [r"gnu general public licen[sc]e", r"gnu gpl"]),
-    ("lgpl-2.0", "lesser", [r"gnu (?:library|lesser) general public licen[sc]e,? (?:version |v)2(?:\.0)?"]),
+    ("lgpl-2.0", "general public", [r"gnu (?:library|lesser) general public licen[sc]e,? (?:version |v)2(?:\.0)?"]),
     ("lgpl-2.1", "lesser", [r"gnu lesser general public licen[sc]e,? (?:version |v)2\.1"]),
     ("lgpl-3.0", "lesser", [r"gnu lesser general public licen[sc]e,? (?:version |v)3"]),
     ("lgpl", "lgpl", [r"gnu lgpl", r"lgpl ?v?[23](?:\.[01])?", r"under the lgpl"]),
-    ("lgpl", "lesser", [r"gnu lesser general public licen[sc]e", r"gnu library general public licen[sc]e"]),
+    ("lgpl", "general public", [r"gnu lesser general public licen[sc]e", r"gnu library general public licen[sc]e"]),
     ("agpl-3.0", "affero", [r"affero general public licen[sc]e,? (?:version |v)3"]),
     ("agpl", "affero", [r"gnu affero general public licen[sc]e", r"affero general public licen[sc]e"]),
     ("agpl", "agpl", [r"gnu agpl", r"agpl ?v?3(?:\.0)?"]),
@@ -73,7 +73,7 @@ _NAMED = [
     ("cecill", "cecill", [r"licence cecill", r"cecill licen[sc]e"]),
     ("artistic-1.0", "artistic", [r"artistic licen[sc]e,? (?:version |v)?1\.0"]),
     ("artistic-2.0", "artistic", [r"artistic licen[sc]e,? (?:version |v)?2\.0"]),
-    ("artistic", "artistic", [r"artistic licen[sc]e", r"same terms as perl itself"]),
+    ("artistic", ("artistic", "as perl itself"), [r"artistic licen[sc]e", r"same terms as perl itself"]),
     ("isc", "isc", [r"isc licen[sc]e", r"internet systems consortium licen[sc]e"]),
     ("zlib", "zlib", [r"zlib licen[sc]e", r"zlib libpng licen[sc]e"]),
     ("libpng", "libpng", [r"libpng licen[sc]e"]),
@@ -119,7 +119,7 @@ _NAMED = [
     ("pddl", "public domain dedication", [r"public domain dedication and licen[sc]e"]),
     ("ogl-uk-3.0", "open government", [r"open government licen[sc]e,? (?:version |v)?3\.0", r"open government licen[sc]e"]),
     ("mulan-2.0", "mulan", [r"mulan (?:permissive software licen[sc]e|psl),? (?:version |v)?2", r"mulan permissive software licen[sc]e"]),
-    ("rail", "responsible ai", [r"responsible ai licen[sc]e", r"openrail(?: m)?"]),
+    ("rail", ("responsible ai", "openrail"), [r"responsible ai licen[sc]e", r"openrail(?: m)?"]),
     ("llama", "llama", [r"llama \d? ?community licen[sc]e"]),
     ("polyform", "polyform", [r"polyform (?:noncommercial|strict|shield|perimeter|small business) licen[sc]e"]),
     ("commons-clause", "commons clause", [r"commons clause licen[sc]e condition", r"commons clause"]),
@@ -176,7 +176,7 @@ _WORDING = [
     ("copyright", "copyright", r"copyright (?:\(?c\)? )?(?:19|20)\d\d"),
     ("copyright", "copyright", r"copyright (?:\(?c\)? )?by"),
     ("copyright", "©", r"\xc2\xa9 ?(?:19|20)\d\d"),
-    ("no-redistribution", "redistribut", r"may not be (?:reproduced|copied|redistributed)(?: or (?:reproduced|copied|redistributed))?"),
+    ("no-redistribution", "may not be", r"may not be (?:reproduced|copied|redistributed)(?: or (?:reproduced|copied|redistributed))?"),
     ("permission-required", "permission", r"without (?:the )?(?:prior |express )?(?:written )?permission of"),
     ("terms", "terms", r"subject to the terms and conditions of"),
     ("cc0-1.0", "waived", r"waived all copyright and related or neighbou?ring rights"),
@@ -184,9 +184,9 @@ _WORDING = [
 ]
 
 
-def _creative_commons() -> list[tuple[str, str, str]]:
+def _creative_commons() -> list[tuple[str, str | tuple[str, ...], str]]:
     """Label, keyword and regex of the Creative Commons licenses: each mix of elements by code, by version and by name."""
-    out = [("cc0-1.0", "cc0", r"cc ?0(?: 1\.0)?"), ("cc0-1.0", "creative commons", r"creative commons (?:cc ?0|zero)"), ("cc", "creative commons", r"creative commons(?: public)? licen[sc]e")]
+    out = [("cc0-1.0", ("cc0", "cc 0"), r"cc ?0(?: 1\.0)?"), ("cc0-1.0", "creative commons", r"creative commons (?:cc ?0|zero)"), ("cc", "creative commons", r"creative commons(?: public)? licen[sc]e")]
     long = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}
     for code in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"):
         parts = code.split("-")
@@ -221,6 +221,6 @@ def rules() -> list[Rule]:
     made = []
     for n, (label, priority, weight, keyword, source) in enumerate(out):
         # the single letter stands for the short names of the GNU licenses
-        keywords = ("gpl", "general public") if keyword == "g" else ("cc by", "cc-by", "cc_by", "cc/by") if keyword == "cc" else ("mit license", "mit licence", "the mit", "mit no", "mit x11") if keyword == "mit" else ("isc license", "isc licence", "internet systems") if keyword == "isc" else (keyword,)
+        keywords = ("gpl", "general public") if keyword == "g" else ("cc by",) if keyword == "cc" else ("mit license", "mit licence", "the mit", "under mit", "mit no", "mit x11") if keyword == "mit" else ("isc license", "isc licence", "internet systems") if keyword == "isc" else keyword if isinstance(keyword, tuple) else (keyword,)
         made.append(Rule(f"{label}:{n}", label, priority, weight, keywords, _compiled(source)))
     return made

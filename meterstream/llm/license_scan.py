@@ -14,21 +14,29 @@ from .license_rules import GAP, Rule, rules
 #: Bytes of words become ``a`` and all others blanks, so that splitting counts words. Bytes from 0x80 on belong to words.
 _WORDS = bytes(97 if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+#: Bytes of words stay and all others become blanks.
+_GAPS = bytes(b if _WORDS[b] == 97 else 32 for b in range(256))
+
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 _BASE = [(label, phrase.split()[0].encode(), re.compile(rf"(?<![0-9a-z\x80-\xff]){GAP.join(phrase.split())}(?![0-9a-z\x80-\xff])".encode("latin-1"))) for phrase, label in BASE.items()]
 
 
+def spaced(lowered: bytes) -> str:
+    """The words with one blank for each gap between them, as a string of a character a byte: however a notice is wrapped, it reads the same."""
+    return b" ".join(lowered.translate(_GAPS).split()).decode("latin-1")
+
+
 @lru_cache(maxsize=1)
 def _gate():
-    """The automaton that finds keywords, and the rules that each of them opens."""
+    """The automaton that finds keywords in a text made by ``spaced``, and the rules that each of them opens."""
     import ahocorasick
 
     opened: dict[str, list[int]] = {}
     ordered = rules()
     for n, rule in enumerate(ordered):
         for word in rule.keywords:
-            opened.setdefault(word, []).append(n)
+            opened.setdefault(spaced(word.encode()), []).append(n)
     automaton = ahocorasick.Automaton()
     for word, numbers in opened.items():
         automaton.add_word(word, (word, tuple(numbers)))
@@ -40,14 +48,14 @@ def count_words(lowered: bytes) -> int:
     return len(lowered.translate(_WORDS).split())
 
 
-def detect(lowered: bytes, text: str) -> list[tuple[int, int, Rule]]:
+def detect(lowered: bytes) -> list[tuple[int, int, Rule]]:
     """Detections (start, end, rule) in lower-cased UTF-8 bytes, without those that a better or equal one contains.
 
     A rule is better by a lower priority; of equals on the same interval the earlier rule stays,
     and an interval within a longer one of the same priority goes.
     """
     automaton, ordered = _gate()
-    open_rules = sorted({n for _, (_, numbers) in automaton.iter(text) for n in numbers})
+    open_rules = sorted({n for _, (_, numbers) in automaton.iter(spaced(lowered)) for n in numbers})
     found = sorted(((m.start(), -m.end(), rule.priority, n) for n in open_rules for rule in (ordered[n],) for m in rule.pattern.finditer(lowered)))
     kept: list[tuple[int, int, Rule]] = []
     furthest: dict[int, int] = {}  # by priority: the end reached by an interval that starts no later
@@ -73,8 +81,7 @@ def _scan(text: str) -> tuple:
             hits = [m.start() for m in pattern.finditer(raw)]
             places += hits
             base_labels |= {label} if hits else set()
-    low = raw.decode("utf-8", "surrogatepass")
-    found = detect(raw, low)
+    found = detect(raw)
     labels = base_labels | {rule.label for _, _, rule in found}
     score = 0.0
     for weight in (rule.weight for _, _, rule in found):

@@ -176,6 +176,65 @@ def test_license_rules(text, labels):
     assert license_scan._scan(text)[5] == labels
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("the GNU General\n * Public License, version 2", "gpl,gpl-2.0"),
+        ("Permission is hereby\ngranted, free of charge, to any person obtaining a copy", "mit"),
+        ("Creative\n# Commons Attribution 4.0", "cc-by-4.0"),
+        ("under the MIT  License", "mit"),
+        ("licensed under MIT", "mit"),
+        ("GNU Library General Public License", "gpl,lgpl"),
+        ("CC 0 1.0", "cc0-1.0"),
+    ],
+)
+def test_license_keywords_across_gaps(text, labels):
+    assert license_scan._scan(text)[5] == labels
+
+
+def test_license_keywords_open_their_rules():
+    """Texts made from each rule's own regex, with all kinds of gaps, open that rule."""
+    from re import _constants as op
+    from re import _parser
+
+    rng = random.Random(13)
+
+    def made(part):
+        kind, arg = part
+        if kind is op.LITERAL:
+            return bytes([arg])
+        if kind is op.SUBPATTERN:
+            return several(arg[-1])
+        if kind is op.BRANCH:
+            return several(rng.choice(arg[1]))
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+            least, most, inner = arg
+            if most == op.MAXREPEAT:
+                return rng.choice([b" ", b"\n * ", b"  ", b"-", b"_", b"\n\n", b"/"])
+            return b"".join(several(inner) for _ in range(rng.randint(least, min(most, 3))))
+        if kind is op.IN:
+            if arg[0][0] is op.CATEGORY:
+                return b"7"
+            return bytes([rng.choice([x for name, x in arg if name is op.LITERAL])])
+        assert kind in (op.ANY, op.ASSERT, op.ASSERT_NOT), kind
+        return b"z" if kind is op.ANY else b""
+
+    def several(parts):
+        return b"".join(map(made, parts))
+
+    automaton, ordered = license_scan._gate()
+    tried, closed = 0, []
+    for n, rule in enumerate(ordered):
+        for _ in range(40):
+            text = several(_parser.parse(rule.pattern.pattern, rule.pattern.flags))
+            if rule.pattern.search(text):
+                tried += 1
+                if not any(n in numbers for _, (_, numbers) in automaton.iter(license_scan.spaced(text))):
+                    closed.append((rule.name, text))
+    assert not closed
+    assert tried > 30 * len(ordered)
+
+
 def test_license_rules_are_many():
     assert len(license_scan.rules()) > 200
 
