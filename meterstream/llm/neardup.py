@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,6 +129,18 @@ def _named(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes() + counts.tobytes())
 
 
+def _parts(batch: pa.RecordBatch, column: int, rows: int = 128, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with few rows and, unless it is a single one, few bytes of text, so that long texts that fall together need no more memory."""
+    at, held = 0, 0
+    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if k > at and (k - at == rows or held + (n or 0) > size):
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n or 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, bag`` (128-bit name of the weighted shingle set; null without words) and ``keys``, a hash for each band."""
     kind = docs.schema["doc_id"].dataType
@@ -136,8 +149,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in _parts(batch, 1):
                 bags = [shingles(x.as_py() or "", width) for x in part.column(1)]
                 names = [_named(*bag) if len(bag[0]) else None for bag in bags]
                 some = [i for i, bag in enumerate(bags) if len(bag[0])]
@@ -157,8 +169,8 @@ def _bags(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                bags = [b for x in batch.column(0).slice(at, 128) if len((b := shingles(x.as_py() or "", width))[0])]
+            for part in _parts(batch, 0):
+                bags = [b for x in part.column(0) if len((b := shingles(x.as_py() or "", width))[0])]
                 yield pa.RecordBatch.from_arrays([pa.array([_named(*b) for b in bags], pa.binary()), pa.array([occurrences(*b).view(np.int64) for b in bags], pa.list_(pa.int64()))], names=["bag", "members"])
 
     return docs.select("text").mapInArrow(run, "bag binary, members array<bigint>")
@@ -243,9 +255,20 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5,
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, that of the least doc_id (rows that tie on it: one of them), with the columns that they came with."""
-    found = near_duplicates(docs, **options)
-    drop = saved(found.where((F.col("class_size") > 1) & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    """One row of each class, that of the least doc_id (of rows that tie on it, one of them; null ids come last), with the columns that it came with.
+
+    Ids may repeat or be null, so classes are made of rows: each has a number that is written out
+    with it first, and a row is dropped by that number alone. Rows without words all stay.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), **options)
+    members = found.where("class_size > 1").select(F.col("doc_id").alias("_member"), "class_id")
+    members = saved(members.join(numbered.select("doc_id", row), F.col("_member") == F.col(row)).select("_member", "class_id", "doc_id"), "members")
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_member")).alias("least")).select(F.col("least._member").alias("_member"))
+    drop = saved(members.select("_member").join(first, "_member", "left_anti"), "duplicates")
     if drop.count() <= options.get("most_broadcast", 1_000_000):
         drop = F.broadcast(drop)
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_gone"]), "left_anti")
+    return numbered.join(drop, numbered[row] == drop["_member"], "left_anti").select(*docs.columns)

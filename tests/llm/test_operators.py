@@ -361,6 +361,23 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("most_broadcast", [1_000_000, 0])
+def test_kept_rows_of_repeated_and_null_ids(spark, most_broadcast):
+    rng = random.Random(14)
+    a, b, c, d, e, f = (prose(rng, 40) for _ in range(6))
+    rows = [(7, a), (7, a), (7, a)]  # repeated rows: one stays
+    rows += [(1, b), (None, b + " more"), (None, c)]  # a null id among others: only the copy goes
+    rows += [(3, d), (9, d), (9, e)]  # an id with two texts: only the copy goes
+    rows += [(None, f), (None, f)]  # null ids only: one stays
+    rows += [(20, None), (20, None), (None, ""), (None, "")]  # without words: all stay
+    df = docs(spark, rows).withColumn("_row", F.lit("own")).repartition(3)
+    kept = neardup.kept_documents(df, most_broadcast=most_broadcast)
+    assert kept.columns == df.columns and {r["_row"] for r in kept.collect()} == {"own"}
+    want = [(7, a), (1, b), (None, c), (3, d), (9, e), (None, f), (20, None), (20, None), (None, ""), (None, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert neardup.kept_documents(docs(spark, []), most_broadcast=most_broadcast).count() == 0
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     off = []
