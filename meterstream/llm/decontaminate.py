@@ -33,16 +33,24 @@ def least_hits(functions: int, threshold: float, miss: float) -> int:
 
 
 def item_shingles(benchmark: DataFrame, width: int = 5) -> DataFrame:
-    """``item_id, width, item`` (sorted distinct shingle hashes), for items with a word; a shorter item is one shingle of all its words."""
-    items = benchmark.select("item_id", _words(F.col("text")).alias("_words")).where(F.size("_words") > 0)
-    out = items.where(F.size("_words") >= width).select("item_id", F.lit(width).alias("width"), F.array_distinct(_shingles(width)).alias("item"))
+    """``number, item_id, widths, item`` (distinct shingle hashes), for items with a word; a text of fewer words than ``width`` is one shingle of them all.
+
+    Rows with equal item_id are one item of all their shingles. Rows without an item_id have
+    nothing to tell that they belong together: each set of shingles is an item. Items are numbered
+    anew by each evaluation, so the table is to be written out before it is used twice.
+    """
+    rows = benchmark.select("item_id", _words(F.col("text")).alias("_words")).where(F.size("_words") > 0)
+    out = rows.where(F.size("_words") >= width).select("item_id", F.lit(width).alias("width"), F.array_distinct(_shingles(width)).alias("item"))
     for short in range(1, width):
-        out = out.unionByName(items.where(F.size("_words") == short).select("item_id", F.lit(short).alias("width"), F.array_distinct(_shingles(short)).alias("item")))
-    return out
+        out = out.unionByName(rows.where(F.size("_words") == short).select("item_id", F.lit(short).alias("width"), F.array_distinct(_shingles(short)).alias("item")))
+    own = F.when(F.col("item_id").isNull(), F.array_sort("item"))
+    # distinct rows first, so that a row repeated any number of times is gathered once
+    whole = out.withColumn("own", own).withColumn("item", F.array_sort("item")).distinct().groupBy("item_id", "own").agg(F.array_distinct(F.flatten(F.collect_set("item"))).alias("item"), F.collect_set("width").alias("widths"))
+    return whole.select(F.monotonically_increasing_id().alias("number"), "item_id", "widths", "item")
 
 
 def sketches(items: DataFrame, threshold: float, functions: int, miss: float) -> DataFrame:
-    """MinHash sketches by size partition: ``hash, item_id, votes, least_votes, least_words``.
+    """MinHash sketches by size partition: ``hash, number, votes, least_votes, least_shingles``.
 
     Items fall into partitions of doubling size. In each, the number of hash functions is that of
     ``functions`` or the partition's upper bound, whichever is less, and so is the number of hits
@@ -54,10 +62,10 @@ def sketches(items: DataFrame, threshold: float, functions: int, miss: float) ->
     bound = F.least(F.lit(functions), F.call_function("shiftleft", F.lit(1), F.col("part")) - 1)
     table = F.create_map(*(F.lit(x) for k in range(1, functions + 1) for x in (k, least_hits(k, threshold, miss))))
     picked = sized.select(
-        "item_id", "item", "width", bound.alias("functions"), F.explode(F.expr(f"transform(sequence(1, least({functions}, cast(shiftleft(1, part) - 1 AS int))), j -> array_min(transform(item, h -> struct(xxhash64(h, j) AS order, h AS hash))).hash)")).alias("hash")
+        "number", "item", bound.alias("functions"), F.explode(F.expr(f"transform(sequence(1, least({functions}, cast(shiftleft(1, part) - 1 AS int))), j -> array_min(transform(item, h -> struct(xxhash64(h, j) AS order, h AS hash))).hash)")).alias("hash")
     )
-    return picked.groupBy("item_id", "hash", "width", "functions", F.size("item").alias("n_item")).agg(F.count("*").alias("votes")).select(
-        "hash", "item_id", "votes", table[F.col("functions")].alias("least_votes"), F.ceil(F.lit(threshold) * F.col("n_item")).alias("least_shingles")
+    return picked.groupBy("number", "hash", "functions", F.size("item").alias("n_item")).agg(F.count("*").alias("votes")).select(
+        "hash", "number", "votes", table[F.col("functions")].alias("least_votes"), F.ceil(F.lit(threshold) * F.col("n_item")).alias("least_shingles")
     )
 
 
@@ -70,12 +78,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, widt
     containment of shingles. Small tables (the sketches, the ids of candidates) are counted first
     and broadcast up to ``most_broadcast`` rows, and joined by shuffle beyond.
 
-    Null texts and items without words match nothing; rows with equal doc_id are one document;
-    null ids are matched like any other; empty tables give no rows.
+    Null texts and items without words match nothing; rows with equal doc_id are one document, and
+    rows with equal item_id one item, each shingle counted once; null ids are matched like any
+    other, but each text with a null item_id is an item of its own; empty tables give no rows.
     """
     items = saved(item_shingles(benchmark, width), "benchmark-items")
     index = saved(sketches(items, threshold, functions, miss), "benchmark-index")
-    widths = [r[0] for r in items.select("width").distinct().collect()]  # at most ``width`` values
+    widths = [r[0] for r in items.select(F.explode("widths")).distinct().collect()]  # at most ``width`` values
     if not widths:
         return docs.select("doc_id").limit(0).join(items.select("item_id"), F.lit(False)).selectExpr("doc_id", "item_id", "0 AS n_shared", "0 AS n_item", "0D AS containment")
 
@@ -89,14 +98,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, widt
     # explode_outer: for explode, Spark would put a filter on the array below, and there take the text apart for every shingle again
     terms = shingled(docs.select("doc_id", "text")).select("doc_id", "_size", F.explode_outer("_shingles").alias("hash"))
     hits = terms.join(small(index), "hash").where(F.col("_size") >= F.col("least_shingles"))
-    hits = hits.groupBy("doc_id", "item_id", "hash").agg(F.first("votes").alias("votes"), F.first("least_votes").alias("least_votes"))
-    found = hits.groupBy("doc_id", "item_id").agg(F.sum("votes").alias("votes"), F.first("least_votes").alias("least_votes"))
-    pairs = saved(found.where(F.col("votes") >= F.col("least_votes")).select("doc_id", "item_id"), "leak-candidates")
+    hits = hits.groupBy("doc_id", "number", "hash").agg(F.first("votes").alias("votes"), F.first("least_votes").alias("least_votes"))
+    found = hits.groupBy("doc_id", "number").agg(F.sum("votes").alias("votes"), F.first("least_votes").alias("least_votes"))
+    pairs = saved(found.where(F.col("votes") >= F.col("least_votes")).select("doc_id", "number"), "leak-candidates")
     ids = small(pairs.select("doc_id").distinct())
     again = docs.select("doc_id", "text").join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     parts = shingled(again).select("doc_id", F.explode_outer("_shingles").alias("hash")).distinct()
-    wanted = pairs.withColumnRenamed("doc_id", "_id").join(small(items.select("item_id", "item")), "item_id").select("_id", "item_id", F.size("item").alias("n_item"), F.explode("item").alias("_hash"))
-    exact = wanted.join(parts, wanted["_id"].eqNullSafe(parts["doc_id"]) & (wanted["_hash"] == parts["hash"])).groupBy("doc_id", "item_id", "n_item").agg(F.count("*").cast("int").alias("n_shared"))
+    wanted = pairs.withColumnRenamed("doc_id", "_id").join(small(items.select("number", "item_id", "item")), "number").select("_id", "number", "item_id", F.size("item").alias("n_item"), F.explode("item").alias("_hash"))
+    exact = wanted.join(parts, wanted["_id"].eqNullSafe(parts["doc_id"]) & (wanted["_hash"] == parts["hash"])).groupBy("doc_id", "number", "item_id", "n_item").agg(F.count("*").cast("int").alias("n_shared"))
     return exact.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold).select(*LEAK_COLUMNS)
 
 

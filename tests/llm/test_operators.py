@@ -429,6 +429,23 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_broadcast", [1_000_000, 0])
+def test_leaks_of_repeated_and_null_items(spark, most_broadcast):
+    rng = random.Random(15)
+    a, b, c, d, e, f = (prose(rng, 44) for _ in range(6))
+    items = [(1, a)] * 3 + [(None, b), (None, c), (None, c)] + [(2, d), (2, e)] + [(3, "one two three"), (3, f)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    part = " ".join(a.split()[:20])  # 16 of 40 shingles
+    rows = [(10, a), (11, part), (12, b), (13, c), (14, d), (15, d + " " + e), (16, f + " one two three"), (None, a), (17, None)]
+    found = decontaminate.leaks(docs(spark, rows), bench, most_broadcast=most_broadcast).collect()
+    want = [(10, 1), (12, None), (13, None), (15, 2), (16, 3), (None, 1)]
+    assert sorted(((r["doc_id"], r["item_id"]) for r in found), key=repr) == sorted(want, key=repr)
+    assert all(r["n_shared"] == r["n_item"] and r["containment"] == 1.0 for r in found)
+    assert {r["n_item"] for r in found if r["item_id"] == 2} == {80} and {r["n_item"] for r in found if r["item_id"] == 3} == {41}
+    clean = decontaminate.clean_documents(docs(spark, rows), bench, most_broadcast=most_broadcast)
+    assert {r["doc_id"] for r in clean.collect()} == {11, 14, 17}
+
+
 # --- class model
 
 
