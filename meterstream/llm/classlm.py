@@ -4,133 +4,110 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import forget, saved, slices
 from .langid import fold
 
 #: Hash and form of the token that ends every text.
-END = np.int64(-0x5851F42D4C957F2D)
+END = -0x5851F42D4C957F2D
 END_FORM = 0
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 class Tokens:
     """Splits lower-cased texts into words: a 64-bit hash of each and its form, a number below ``forms`` made from its last letters."""
 
-    def __init__(self, forms: int, piece: int = 1 << 20):
+    def __init__(self, forms: int, piece: int = 1 << 18):
         self.forms, self.piece = forms, piece
-        self.up, self.down = _powers(_BASE, 1), _powers(_INVERSE, 1)
 
-    def _words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, hash and form of the words in a piece."""
-        b = np.frombuffer(raw, np.uint8)
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and forms of the words of some texts, and how many each has."""
+        words = [x.split() for x in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(counts.sum())).view(np.int64)
+        del words
+        # two blanks in front, one behind: every word's last three bytes and what is before it can be looked at
+        b = np.frombuffer(b"  " + b"\n".join(texts) + b" ", np.uint8)
         blank = _BLANK[b]
-        edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if len(self.up) < len(b):
-            self.up, self.down = _powers(_BASE, len(b)), _powers(_INVERSE, len(b))
-        total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.up[: len(b)], dtype=np.uint64)])
-        hashed = _mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
-        size = end - start
-        tail = b[end - 1].astype(np.uint64) if len(end) else np.zeros(0, np.uint64)
-        for back in (2, 3):
-            tail |= np.where(size >= back, b[np.maximum(end - back, 0)].astype(np.uint64), np.uint64(0)) << np.uint64(8 * (back - 1))
-        form = (_mix(tail * _BASE) % np.uint64(self.forms - 1)).astype(np.int32) + np.int32(1)
-        return start, hashed.view(np.int64), form
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes and forms of the texts' tokens, each text closed by the end token, and the number of tokens in each."""
-        hashes, forms, counts = [], [], []
-        small: list[bytes] = []
-
-        def flush() -> None:
-            if not small:
-                return
-            begin = np.cumsum([0] + [len(x) + 1 for x in small])
-            start, h, f = self._words(b"\n".join(small))
-            n = np.diff(np.searchsorted(start, begin))
-            at = np.cumsum(n)
-            hashes.append(np.insert(h, at, END))
-            forms.append(np.insert(f, at, END_FORM))
-            counts.extend((n + 1).tolist())
-            small.clear()
-
-        size = 0
-        for raw in texts:
+        last = np.flatnonzero(~blank[:-1] & blank[1:])
+        tail, inside = b[last].astype(np.uint32), np.ones(len(last), bool)
+        for back in (1, 2):
+            inside &= ~blank[last - back]
+            tail |= np.where(inside, b[last - back], np.uint8(0)).astype(np.uint32) << np.uint32(8 * back)
+        form = (tail * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(self.forms - 1)
+        return hashes, form.astype(np.int32) + np.int32(1), counts
+
+    def of(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The texts' tokens, each text closed by the end token, in pieces: the number of a piece's first text, hashes and forms, and the tokens that each of its texts has there.
+
+        A long text takes several pieces.
+        """
+
+        def closed(first: int, hashes: np.ndarray, form: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+            at = np.cumsum(counts)
+            return first, np.insert(hashes, at, END), np.insert(form, at, END_FORM), counts + 1
+
+        first, size = 0, 0
+        for k, raw in enumerate(texts):
+            if k > first and size + len(raw) > self.piece:
+                yield closed(first, *self._words(texts[first:k]))
+                first, size = k, 0
+            size += len(raw)
             if len(raw) > self.piece:
-                flush()
-                size = 0
-                at, n = 0, 0
-                while at < len(raw):  # long texts in pieces, cut at blanks
-                    to = min(len(raw), at + self.piece)
+                at = 0
+                while len(raw) - at > self.piece:  # cut at blanks
+                    to = at + self.piece
                     while to < len(raw) and not _BLANK[raw[to]]:
                         to += 1
-                    _, h, f = self._words(raw[at:to])
-                    hashes.append(h)
-                    forms.append(f)
-                    n += len(h)
+                    yield k, *self._words([raw[at:to]])
                     at = to
-                hashes.append(np.array([END]))
-                forms.append(np.array([END_FORM], np.int32))
-                counts.append(n + 1)
-                continue
-            small.append(raw)
-            size += len(raw)
-            if size >= self.piece:
-                flush()
-                size = 0
-        flush()
-        return np.concatenate([np.zeros(0, np.int64), *hashes]), np.concatenate([np.zeros(0, np.int32), *forms]), np.array(counts, np.int64)
+                yield closed(k, *self._words([raw[at:]]))
+                first, size = k + 1, 0
+        if first < len(texts):
+            yield closed(first, *self._words(texts[first:]))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int, forms: int, tokens: int = 3 << 19) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """Tokens of a partition's texts in blocks of at least ``tokens`` (but for the last), with the other column's values."""
+def _blocks(batches: Iterator[pa.RecordBatch], forms: int, tokens: int = 1 << 19) -> Iterator[tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of a partition's texts (the first column) in blocks of about ``tokens``: for each text or part of one its number in the partition, the values of the second column and its number of tokens, and the tokens' hashes and forms."""
     split = Tokens(forms)
-    other: list = []
-    parts: list[tuple] = []
-    waiting = 0
+    waiting, before = 0, 0
+    numbers, keys, parts = [], [], []
+
+    def block() -> tuple:
+        return np.concatenate(numbers), keys, *(np.concatenate(x) for x in zip(*parts))
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            found = split.of([(x.as_py() or "").encode("utf-8", "surrogatepass").lower() for x in part.column(column)])
-            parts.append(found)
-            other += part.column(1 - column).to_pylist() if batch.num_columns > 1 else []
-            waiting += len(found[0])
-            if waiting >= tokens:
-                yield other, *(np.concatenate(x) for x in zip(*parts))
-                other, parts, waiting = [], [], 0
+        for part in slices(batch, 0):
+            own = part.column(1).to_pylist() if part.num_columns > 1 else []
+            for first, hashes, form, counts in split.of([(x.as_py() or "").encode("utf-8", "surrogatepass").lower() for x in part.column(0)]):
+                numbers.append(before + first + np.arange(len(counts)))
+                keys += own[first : first + len(counts)]
+                parts.append((counts, hashes, form))
+                waiting += len(hashes)
+                if waiting >= tokens:
+                    yield block()
+                    numbers, keys, parts, waiting = [], [], [], 0
+            before += part.num_rows
     if parts:
-        yield other, *(np.concatenate(x) for x in zip(*parts))
+        yield block()
 
 
 def count_words(texts: DataFrame, forms: int) -> DataFrame:
     """``word, form, c`` of all tokens of the column ``text``; each task sums its blocks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, form, _ in _blocks(batches, 0, forms):
+        for _, _, _, hashes, form in _blocks(batches, forms):
             word, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(form[first].astype(np.int32)), pa.array(n)], names=["word", "form", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(form[first]), pa.array(n)], names=["word", "form", "n"])
 
     return texts.select("text").mapInArrow(run, "word long, form int, n long").groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("c"))
 
@@ -149,6 +126,10 @@ class Units:
         frequent = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
         return np.where(frequent, at + np.int32(self.forms), form), frequent
 
+    def end(self) -> int:
+        """Unit of the end token."""
+        return int(self.of(np.array([END]), np.array([END_FORM], np.int32))[0][0])
+
 
 def count_bigrams(texts: DataFrame, units: Units) -> DataFrame:
     """``u, v, n``: how often unit v follows unit u. A text begins after an end token."""
@@ -156,12 +137,11 @@ def count_bigrams(texts: DataFrame, units: Units) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        end = int(own.of(np.array([END]), np.array([END_FORM]))[0][0])
-        for _, hashes, form, _ in _blocks(batches, 0, own.forms):
+        last = own.end()  # what follows an end token follows the end of a text
+        for _, _, _, hashes, form in _blocks(batches, own.forms):
             unit, _ = own.of(hashes, form)
-            before = np.concatenate([[end], unit[:-1]])  # what follows an end token follows the end of a text
-            pair, n = np.unique(before.astype(np.int64) << 32 | unit, return_counts=True)
-            del before, unit, hashes, form
+            pair, n = np.unique(np.concatenate([[last], unit[:-1]]).astype(np.int64) << 32 | unit, return_counts=True)
+            last = unit[-1]
             yield pa.RecordBatch.from_arrays([pa.array((pair >> 32).astype(np.int32)), pa.array((pair & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["u", "v", "n"])
 
     return texts.select("text").mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
@@ -273,45 +253,46 @@ class Scorer:
 
 
 def _scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """In one table, a row for each document (its tokens and what is known of its scores) and rows for infrequent words (the documents of a block that hold them)."""
+    """In one table, rows for each document or part of a long one (its tokens and what is known of its scores) and rows for infrequent words (where a block holds them: documents, counted from ``number``)."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by units and classes
-    names = ["block", "at", "doc_id", "held_out", "n_tokens", "n_known", "counted", "classes", "word", "places"]
+    names = ["number", "doc_id", "held_out", "n_tokens", "n_known", "counted", "classes", "word", "places"]
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        types = [pa.int64(), pa.int32(), to_arrow_type(kind), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
+        types = [pa.int64(), to_arrow_type(kind), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
         own = shared.value
-        end = int(own.units.of(np.array([END]), np.array([END_FORM]))[0][0])
-        block = TaskContext.get().partitionId() << 32
-        for keys, hashes, form, counts in _blocks(batches, 1, own.units.forms):
-            doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-            unit, frequent = own.units.of(hashes, form)
-            cls = own.of[unit].astype(np.int32)
-            before = np.concatenate([[own.of[end]], cls[:-1]]).astype(np.int32)
+        last = own.of[own.units.end()]
+        base = TaskContext.get().partitionId() << 40
+        log_frequent = np.log10(own.frequent + 0.5)
+        for numbers, keys, counts, hashes, form in _blocks(batches, own.units.forms):
             n = len(counts)
-            classes = np.bincount(doc, own.step[before, cls] - own.mass[cls], n)
+            doc = np.repeat(np.arange(n, dtype=np.int32), counts)
+            unit, frequent = own.units.of(hashes, form)
+            cls = own.of[unit]
+            classes = np.bincount(doc, own.step[np.concatenate([[last], cls[:-1]]), cls] - own.mass[cls], n)
+            last = cls[-1]
             often = np.flatnonzero(frequent)
-            counted = np.bincount(doc[often], np.log10(own.frequent + 0.5)[unit[often] - own.units.forms], n).astype(float)  # of no frequent word, bincount gives whole numbers
+            counted = np.bincount(doc[often], log_frequent[unit[often] - own.units.forms], n).astype(float)  # of no frequent word, bincount gives whole numbers
             known = np.bincount(doc[often], minlength=n)
-            del before, cls, unit, form, often
+            del cls, unit, form, often
             none = pa.nulls(n)
-            ids, held = zip(*((k["doc_id"], k["held_out"]) for k in keys))
-            columns = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, types[2]), pa.array(held), pa.array(counts), pa.array(known.astype(np.int64)), pa.array(counted), pa.array(classes), none.cast(types[8]), none.cast(types[9])]
+            columns = [pa.array(base + numbers), pa.array([k["doc_id"] for k in keys], types[1]), pa.array([k["held_out"] for k in keys]), pa.array(counts), pa.array(known.astype(np.int64)), pa.array(counted), pa.array(classes), none.cast(types[7]), none.cast(types[8])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             rare = np.flatnonzero(~frequent)
             order = rare[np.argsort(hashes[rare], kind="stable")]
             words, first = np.unique(hashes[order], return_index=True)
-            for at in range(0, len(words), 1 << 16):
-                to = min(len(words), at + (1 << 16))
+            del rare, frequent
+            places = (numbers[doc[order]] - numbers[0]).astype(np.int32)
+            for at in range(0, len(words), 1 << 14):
+                to = min(len(words), at + (1 << 14))
                 cuts = np.append(first, len(order))[at : to + 1]
-                places = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), pa.array(doc[order[cuts[0] : cuts[-1]]].astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), pa.array(places[cuts[0] : cuts[-1]]))
                 none = pa.nulls(to - at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(to - at, block)), *(none.cast(t) for t in types[1:8]), pa.array(words[at:to]), places], names=names)
-            block += 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(to - at, base + numbers[0])), *(none.cast(t) for t in types[1:7]), pa.array(words[at:to]), lists], names=names)
 
-    return docs.select(F.struct("doc_id", "held_out").alias("key"), "text").mapInArrow(run, f"block long, at int, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, counted double, classes double, word long, places array<int>")
+    return docs.select("text", F.struct("doc_id", "held_out").alias("key")).mapInArrow(run, f"number long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, counted double, classes double, word long, places array<int>")
 
 
 def score(docs: DataFrame, *, classes: int = 64, forms: int = 256, share: float = 5e-5, rounds: int = 8, smooth: float = 50.0) -> DataFrame:
@@ -355,18 +336,20 @@ def score(docs: DataFrame, *, classes: int = 64, forms: int = 256, share: float
     forget(bigrams)
     parts = saved(_scored(folded, scorer), "scored-parts")
     value = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    places = parts.where(F.col("word").isNotNull()).select("block", "word", "places").join(vocabulary.select("word", "c"), "word", "left")
-    sums = places.select("block", F.explode("places").alias("at"), value.alias("counted"), F.when(F.col("c") > 0, 1).otherwise(0).alias("known")).groupBy("block", "at").agg(F.sum("counted").alias("more"), F.sum("known").alias("more_known"))
-    found = parts.where(F.col("at").isNotNull()).select("block", "at", "doc_id", "held_out", "n_tokens", "n_known", "counted", "classes").join(sums, ["block", "at"], "left")
-    counted = F.col("counted") + F.coalesce("more", F.lit(0.0))
-    scored = F.col("classes") + counted
+    places = parts.where(F.col("word").isNotNull()).select("number", "word", "places").join(vocabulary.select("word", "c"), "word", "left")
+    at = places.select("number", F.explode("places").alias("at"), value.alias("counted"), F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("n_known")).select((F.col("number") + F.col("at")).alias("number"), "n_known", "counted")
+    nothing = {name: F.lit(None).cast(parts.schema[name].dataType) for name in ("doc_id", "held_out", "n_tokens", "classes")}
+    rows = parts.where(F.col("word").isNull()).select("number", "doc_id", "held_out", "n_tokens", "n_known", "counted", "classes").unionByName(at.withColumns(nothing))
+    # parts of a document agree in the columns of which the largest is taken
+    found = rows.groupBy("number").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "counted", "classes")))
+    scored = F.col("classes") + F.col("counted")
     return found.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (counted - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))).alias("base_score"),
+        (F.col("counted") - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))).alias("base_score"),
         scored.alias("score"),
         F.pow(F.lit(10.0), -scored / F.col("n_tokens")).alias("perplexity"),
     )

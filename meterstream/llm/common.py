@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of anything but these white-space characters (Java and RE2 syntax).
@@ -56,3 +57,15 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tupl
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             yield from zip(*(column.to_pylist() for column in part.columns))
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 128, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with few rows and, unless it is a single one, few bytes of text, so that long texts that fall together need no more memory."""
+    at, held = 0, 0
+    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if k > at and (k - at == rows or held + (n or 0) > size):
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n or 0
+    if at < batch.num_rows:
+        yield batch.slice(at)

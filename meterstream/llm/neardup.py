@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices
 from .components import components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -129,18 +128,6 @@ def _named(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes() + counts.tobytes())
 
 
-def _parts(batch: pa.RecordBatch, column: int, rows: int = 128, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with few rows and, unless it is a single one, few bytes of text, so that long texts that fall together need no more memory."""
-    at, held = 0, 0
-    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        if k > at and (k - at == rows or held + (n or 0) > size):
-            yield batch.slice(at, k - at)
-            at, held = k, 0
-        held += n or 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, bag`` (128-bit name of the weighted shingle set; null without words) and ``keys``, a hash for each band."""
     kind = docs.schema["doc_id"].dataType
@@ -149,7 +136,7 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, 1):
+            for part in slices(batch, 1):
                 bags = [shingles(x.as_py() or "", width) for x in part.column(1)]
                 names = [_named(*bag) if len(bag[0]) else None for bag in bags]
                 some = [i for i, bag in enumerate(bags) if len(bag[0])]
@@ -169,7 +156,7 @@ def _bags(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch, 0):
+            for part in slices(batch, 0):
                 bags = [b for x in part.column(0) if len((b := shingles(x.as_py() or "", width))[0])]
                 yield pa.RecordBatch.from_arrays([pa.array([_named(*b) for b in bags], pa.binary()), pa.array([occurrences(*b).view(np.int64) for b in bags], pa.list_(pa.int64()))], names=["bag", "members"])
 
