@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 #: Multipliers that mix the code points of a subword (odd constants).
@@ -74,22 +75,30 @@ class Model:
     bits: int
 
     def logits(self, text: str) -> np.ndarray | None:
+        """Scores before the softmax; null for a text without letters."""
         points = code_points(text)
         if len(points) == 0:
             return None
         total, count = np.zeros(len(self.languages)), 0
         for at in range(0, len(points), 1 << 20):  # long texts in pieces that overlap by the longest subword
             found = subwords(points[at : at + (1 << 20) + 3], self.bits)
-            counts = np.bincount(found, minlength=0) if len(found) > len(self.table) else None
-            total += counts @ self.table[: len(counts)] if counts is not None else self.table[found].sum(axis=0, dtype=np.float64)
+            if len(found) > len(self.table):
+                total += np.bincount(found, minlength=len(self.table)) @ self.table
+            else:
+                total += self.table[found].sum(axis=0, dtype=np.float64)
             count += len(found)
         return total / max(1, count) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, calibrated probability, and whether it falls short of the least confidence."""
+        """Language, calibrated probability, and whether it falls short of the least confidence.
+
+        A model without languages knows none of a text with letters, and rejects none either.
+        """
         logits = self.logits(text) if text else None
         if logits is None:
             return UNKNOWN, 0.0, True
+        if not self.languages:
+            return UNKNOWN, 0.0, False
         scaled = logits / self.temperature
         p = np.exp(scaled - scaled.max())
         p /= p.sum()
@@ -153,20 +162,25 @@ def train(texts: list[str], langs: list[str], *, bits: int = 16, dims: int = 16,
     return Model(languages, table, bias, temperature, least, bits)
 
 
-def sample(docs: DataFrame, *, per_language: int = 400, longest: int = 20_000) -> tuple[list[str], list[str]]:
-    """Labelled rows to fit on: about ``per_language`` for each language, of texts of at most ``longest`` characters.
+def sample(docs: DataFrame, *, per_language: int = 400, longest: int = 20_000, most_languages: int = 500) -> tuple[list[str], list[str]]:
+    """Labelled texts to fit on: ``per_language`` different ones for each language (all where there are fewer), of ``longest`` characters at most.
 
-    Both bounds are the operator's only ones. Rows are chosen by a hash of their text against a
-    share worked out from the language's count, so that nothing is sorted or shuffled but counts.
+    These bounds are the operator's only ones; of more languages than ``most_languages``, those
+    with most texts are learned. Texts are chosen by the least hashes, each language by itself and
+    each text once, however often it occurs: a share worked out from the language's number of
+    different texts comes first, so that little more than what is chosen is shuffled.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= longest))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    hashed = F.xxhash64("text", F.lit("language sample"))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= longest)).select("lang", "text", hashed.alias("order"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("order", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return [], []
-    draw = F.pmod(F.xxhash64("text", F.lit("language sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
-    rows = labelled.where(draw < shares[F.col("lang")]).select("text", "lang").limit(2 * per_language * len(counts)).collect()  # copies of one text are drawn together
-    rows = sorted(set((r["lang"], r["text"]) for r in rows))
+    # half as many again and a few more, so that the share falls short of none
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, (1.5 * per_language + 20) / max(1, r["n"])))))
+    draw = F.pmod("order", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = labelled.where(draw < shares[F.col("lang")]).dropDuplicates(["lang", "order"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("order", F.lit(1 << 20)), "order"))
+    rows = sorted((r["lang"], r["text"]) for r in drawn.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text").collect())
     return [t for _, t in rows], [x for x, _ in rows]
 
 
@@ -174,8 +188,9 @@ def identify(docs: DataFrame, model: Model, *, keep: list[str] | None = None, te
     """Add ``lang_pred``, ``score`` and ``rejected`` to each document; ``keep`` names the input columns to return.
 
     The whole text is used and nothing else. A text that is null or has no letter gets ``und``
-    with score 0 and is rejected; repeated texts get equal results; input columns called like an
-    added one are replaced.
+    with score 0 and is rejected; so does any text, without being rejected, from a model that has
+    learned no language. Repeated texts get equal results; an empty table gives an empty one;
+    input columns called like an added one are replaced.
     """
     keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score", "rejected")]
     plain = docs.select(*keep, docs[text_col].alias("_body"))
@@ -199,11 +214,15 @@ def fold(docs: DataFrame, n: int):
 
 
 def fitted(docs: DataFrame, **options) -> Model:
-    """A model learned from the labelled documents whose fold modulo 3 isn't 1."""
+    """A model learned from the labelled documents whose fold modulo 3 isn't 1; without any, it knows no language."""
     return train(*sample(docs.where(fold(docs, 3) != 1)), **options)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is recognised with enough confidence, with the columns that they came with."""
+    """The documents whose language is recognised with enough confidence, with the columns that they came with.
+
+    Needs the columns ``doc_id``, ``text`` and ``lang``. Where no document has a label, there is
+    nothing to judge by, and only texts that are null or have no letter go.
+    """
     whole = docs.select(F.struct(*docs.columns).alias("_own"), "text")
     return identify(whole, fitted(docs), keep=["_own"]).where(~F.col("rejected")).select("_own.*")
