@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+LONG_BLANK = 20_000
+_LONG_BLANK = re.compile(rf"(?<!\s)\s{{{LONG_BLANK}}}")
 PIECES = "length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 
 
@@ -21,9 +24,12 @@ def encoder(vocabulary: str):
 
     In such a vocabulary ids follow the order of the merges, so its ids serve as ranks and the
     faster of the installed encoders gives the same ids (a test holds the two against each other).
+    Its splitter backtracks through white space and breaks down on very long runs of it; texts
+    that hold one of ``LONG_BLANK`` characters are left to the other.
     """
     import tiktoken
     from public_tokenizers import PATTERN
+    from tokenizers import Tokenizer
 
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {b: chr(b) for b in printable}
@@ -33,7 +39,16 @@ def encoder(vocabulary: str):
         model = json.load(f)
     special = {x["content"] for x in model["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    steady = Tokenizer.from_file(vocabulary)
+    steady.encode_special_tokens = True  # in a text, their names are text
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_BLANK and _LONG_BLANK.search(text):
+            return steady.encode(text, add_special_tokens=False).ids
+        return fast(text)
+
+    return encode
 
 
 def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray]:
@@ -72,7 +87,7 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, vocabulary: str, end_id: int, capacity: int, block: int, linear: float, quadratic: float, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = encoder(vocabulary).encode_ordinary
+    encode = encoder(vocabulary)
     first = TaskContext.get().partitionId() << 40
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_cost"] + ["ids"] * with_ids
     docs: list[tuple[object, np.ndarray]] = []
