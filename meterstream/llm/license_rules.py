@@ -6,7 +6,8 @@ import re
 from dataclasses import dataclass
 
 #: What may stand between two words of a notice: white space, comment leaders, quotes and the like.
-GAP = r"[^0-9a-z\x80-\xff]+"
+#: A gap is taken whole or not at all, so that optional words between gaps cost no more than a look at each.
+GAP = r"[^0-9a-z\x80-\xff]++"
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,7 @@ class Rule:
 _NAMED = [
     ("apache-1.0", "apache", [r"apache (?:software )?license,? (?:version )?1\.0"]),
     ("apache-1.1", "apache", [r"apache (?:software )?license,? (?:version )?1\.1"]),
-    ("apache-2.0", "apache", [r"apache (?:software )?license,? ?(?:version|v\.?)? ?2(?:\.0)?", r"apache 2(?:\.0)? licen[sc]e", r"apache 2\.0"]),
+    ("apache-2.0", "apache", [r"apache (?:software )?license,? (?:version|v\.?)? ?2(?:\.0)?", r"apache 2(?:\.0)? licen[sc]e", r"apache 2\.0"]),
     ("apache", "apache", [r"apache (?:software |public )?licen[sc]e"]),
     ("mit", "mit", [r"the mit licen[sc]e", r"mit licen[sc]e", r"mit x11 licen[sc]e", r"licensed under (?:the )?mit"]),
     ("mit-0", "mit", [r"mit no attribution"]),

@@ -59,20 +59,26 @@ def detect(lowered: bytes) -> list[tuple[int, int, Rule]]:
     found = sorted(((m.start(), -m.end(), rule.priority, n) for n in open_rules for rule in (ordered[n],) for m in rule.pattern.finditer(lowered)))
     kept: list[tuple[int, int, Rule]] = []
     furthest: dict[int, int] = {}  # by priority: the end reached by an interval that starts no later
-    for at, (start, minus_end, priority, n) in enumerate(found):
-        end = -minus_end
-        twins = found[at + 1 : at + 1 + len(ordered)]
-        shadowed = any(p <= priority and reach >= end for p, reach in furthest.items())
-        for s, e, p, _ in twins:  # the same interval under a better priority comes later in this order only by its number
-            if (s, e) != (start, minus_end):
-                break
-            shadowed |= p < priority
-        furthest[priority] = max(furthest.get(priority, -1), end)
-        if not shadowed:
-            kept.append((start, end, ordered[n]))
+    for start, minus_end, priority, n in found:  # what contains an interval comes before it, and so does the same one by a better or earlier rule
+        if not any(p <= priority and reach >= -minus_end for p, reach in furthest.items()):
+            kept.append((start, -minus_end, ordered[n]))
+        furthest[priority] = max(furthest.get(priority, -1), -minus_end)
     return kept
 
 
+#: Bytes of UTF-8 that go on with a character.
+_INNER = bytes(range(0x80, 0xC0))
+
+
+def characters(raw: bytes, offsets: list[int]) -> dict[int, int]:
+    """How many code points stand before each byte offset."""
+    out, last, n = {}, 0, 0
+    for at in sorted(set(offsets)):
+        n += len(raw[last:at].translate(None, _INNER))
+        out[at], last = n, at
+    return out
+
+
 def _scan(text: str) -> tuple:
     raw = text.encode("utf-8", "surrogatepass").lower()
     places, base_labels = [], set()
@@ -88,8 +94,8 @@ def _scan(text: str) -> tuple:
         score = score + weight - score * weight
     if base_labels:
         score = max(score, 0.6)
-    # code points before a byte offset
-    spans = [{"start": len(raw[:s].decode("utf-8", "ignore")), "end": len(raw[:e].decode("utf-8", "ignore")), "label": r.label, "rule": r.name} for s, e, r in found]
+    at = characters(raw, [x for s, e, _ in found for x in (s, e)])
+    spans = [{"start": at[s], "end": at[e], "label": r.label, "rule": r.name} for s, e, r in found]
     first, last = (count_words(raw[: min(places)]), count_words(raw[: max(places)])) if places else (None, None)
     return count_words(raw), len(places), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), min(1.0, score), spans
 
