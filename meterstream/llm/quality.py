@@ -10,8 +10,6 @@ from .common import saved
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
-#: Bits of a packed shingle that hold its position.
-POSITION_BITS = 20
 #: Metric, the least distance of its fences from the middle half, and its parts: a count and what it is a share of.
 METRICS = [
     ("symbols", 150, "n_symbols", "n_words"),
@@ -28,23 +26,43 @@ def _without(chars: str) -> Column:
     return F.char_length(F.translate("_text", chars, ""))
 
 
-def _repeat_words(words: str) -> Column:
-    """Words in three-word windows that occur twice or more: windows are hashed, sorted with their positions, and equal neighbours marked.
+def _repeats(out: DataFrame, hashed: str) -> DataFrame:
+    """Add ``n_repeat_words``: the words in three-word windows that occur twice or more.
 
-    A hash and a position share one 64-bit number, which sorts without boxing; a text with more
-    words than a position holds has pairs of both sorted instead.
+    Windows are hashed and sorted with their positions, and the words of neighbours with equal
+    hashes are compared. Hash and position share one 64-bit number, which sorts without boxing; the
+    position takes as many bits as the text needs. If words differ under one hash, windows that
+    are equal may have been sorted apart; in that text, windows are sorted by their words.
     """
-    return F.expr(f"""
-        CASE WHEN size({words}) < 4 THEN array()
-             WHEN size({words}) < {1 << POSITION_BITS} THEN
-                sort_array(transform(sequence(0, size({words}) - 3), i -> shiftleft(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]), {POSITION_BITS}) | cast(i AS bigint)))
-             ELSE array() END
+    same_words = "_words[cast(x & _mask AS int) + {0}] = _words[cast(get(_packed, k - 1) & _mask AS int) + {0}]"
+    windows = "transform(sequence(0, size(_words) - 3), i -> {})"
+    out = out.withColumn("_bits", F.length(F.bin(F.size("_words").cast("long"))))
+    out = out.withColumns(
+        {
+            "_mask": F.expr("shiftleft(1L, _bits) - 1"),
+            "_packed": F.expr(f"CASE WHEN size(_words) < 4 THEN array() ELSE sort_array({windows.format(f'shiftleft({hashed}, _bits) | cast(i AS bigint)')}) END"),
+        }
+    )
+    # for each window: 0 if its hash isn't that of the one before, 1 if their words agree as well, 2 if they don't
+    like = f"""
+        transform(_packed, (x, k) -> CASE WHEN k = 0 OR shiftright(x, _bits) != shiftright(get(_packed, k - 1), _bits) THEN 0
+                                          WHEN {' AND '.join(same_words.format(o) for o in range(3))} THEN 1 ELSE 2 END)
+    """
+    out = out.withColumn("_like", F.expr(like))
+    by_words = "array_sort(" + windows.format("struct(_words[i] AS a, _words[i + 1] AS b, _words[i + 2] AS c, cast(i AS bigint) AS i)") + ")"
+    alike = "x.a = y.a AND x.b = y.b AND x.c = y.c"
+    out = out.withColumn("_exact", F.expr(f"CASE WHEN array_contains(_like, 2) THEN {by_words} END"))
+    before, after = (f"coalesce({alike.replace('y.', f'get(_exact, k {side} 1).')}, false)" for side in "-+")
+    twice = F.expr(f"""
+        CASE WHEN _exact IS NULL THEN transform(filter(_packed, (x, k) -> _like[k] = 1 OR coalesce(get(_like, k + 1), 0) = 1), x -> x & _mask)
+             ELSE transform(filter(_exact, (x, k) -> {before} OR {after}), x -> x.i) END
     """)
+    out = out.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p, p + 1, p + 2))))).cast("long"))
+    return out.drop("_bits", "_mask", "_packed", "_like", "_exact")
 
 
-def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the columns of ``FEATURES``, counted over the whole text (null: none)."""
-    mask = (1 << POSITION_BITS) - 1
+def text_features(docs: DataFrame, text_col: str = "text", *, hashed: str = "xxhash64(_words[i], _words[i + 1], _words[i + 2])") -> DataFrame:
+    """Add the columns of ``FEATURES``, counted over the whole text (null: none). ``hashed`` is the hash of the window at ``i``; no result depends on it."""
     out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     out = out.withColumns(
         {
@@ -61,17 +79,9 @@ def text_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_words": F.size("_words").cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_packed": _repeat_words("_words"),
-            "_paired": F.expr(f"CASE WHEN size(_words) >= {1 << POSITION_BITS} THEN array_sort(transform(sequence(0, size(_words) - 3), i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) AS h, cast(i AS bigint) AS i))) END"),
         }
     )
-    twice = F.expr(f"""
-        CASE WHEN _paired IS NULL THEN transform(filter(_packed, (x, k) -> shiftright(x, {POSITION_BITS}) <=> shiftright(get(_packed, k - 1), {POSITION_BITS})
-                                                                        OR shiftright(x, {POSITION_BITS}) <=> shiftright(get(_packed, k + 1), {POSITION_BITS})), x -> x & {mask}L)
-             ELSE transform(filter(_paired, (x, k) -> x.h <=> get(_paired, k - 1).h OR x.h <=> get(_paired, k + 1).h), x -> x.i) END
-    """)
-    out = out.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p, p + 1, p + 2))))).cast("long"))
-    return out.drop("_text", "_words", "_lines", "_packed", "_paired")
+    return _repeats(out, hashed).drop("_text", "_words", "_lines")
 
 
 def base_failed() -> Column:
