@@ -27,6 +27,10 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
 }
+#: Cells and tables, the end tags that don't reach out of them, and what holds a paragraph back from being ended.
+CELLS = ("table", "td", "th")
+IN_CELL = frozenset("p div b i a span".split())
+HOLDS_P = ("table", "td", "th", "button", "caption")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
@@ -59,10 +63,17 @@ class Page:
     def _read(self, source: str) -> None:
         stack, at = [0], 0
         tags, events = self.tags, self.events
+        places: dict[str, list[int]] = {}  # by tag: where in the stack its open elements are
+
+        def nearest(names) -> int:
+            """Where the innermost open element of these is; 0 if there is none."""
+            return max((own[-1] for name in names if (own := places.get(name))), default=0)
 
         def close(depth: int) -> None:
             while len(stack) > depth:
-                if tags[stack.pop()] in BLOCK:
+                tag = tags[stack.pop()]
+                places[tag].pop()
+                if tag in BLOCK:
                     events.append((stack[-1], None))
 
         while True:
@@ -78,29 +89,18 @@ class Page:
                 continue
             tag = tag.lower()
             if ends:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == tag:
-                        close(k)
-                        break
-                    if tags[stack[k]] in ("table", "td", "th") and tag in ("p", "div", "b", "i", "a", "span"):
-                        break
+                k = nearest((tag,))
+                if k and (tag not in IN_CELL or k > nearest(CELLS)):
+                    close(k)
                 continue
-            if tag in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == "p":
-                        close(k)
-                        break
-                    if tags[stack[k]] in ("table", "td", "th", "button", "caption"):
-                        break
+            if tag in ENDS_P and (k := nearest(("p",))) > nearest(HOLDS_P):
+                close(k)
             if tag in IMPLIED:
                 shut, limits = IMPLIED[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] in limits:
+                while (k := nearest(shut)) > nearest(limits):
+                    close(k)
+                    if tag not in ("tr", "tbody", "tfoot"):
                         break
-                    if tags[stack[k]] in shut:
-                        close(k)
-                        if tag not in ("tr", "tbody", "tfoot"):
-                            break
             node = self._open(tag, stack[-1], attributes or "")
             if tag in BLOCK:
                 events.append((stack[-1], None))
@@ -109,16 +109,16 @@ class Page:
             if tag in VOID or (attributes or "").endswith("/") and tag in ("svg", "path"):
                 continue
             if tag in RAW or tag in DECODED:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(source, at)
+                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
                 body = source[at : end.start() if end else len(source)]
                 at = end.end() if end else len(source)
                 events.append((node, html.unescape(body) if tag in DECODED else body))
                 if tag in BLOCK:
                     events.append((stack[-1], None))
                 continue
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
-
     def text(self, kept: np.ndarray) -> str:
         """The text of kept elements: white space within a block becomes one blank, and blocks are joined by two line ends."""
         blocks, parts = [], []
