@@ -64,6 +64,46 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_packing_of_long_runs(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    exact.encode_special_tokens = True
+    runs = [" " * 2_000_000, "a" * 2_000_000, "é" * 1_000_000, "\n" * 300_000 + "x", "x" + " \t" * 200_000 + "y", "." * 500_000, "\u3000" * 100_000, "<|endoftext|>" + " " * 30_000 + "</s>"]
+    got = packing.pack(docs(spark, list(enumerate(runs))), with_ids=False).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
+    assert {r["doc_id"]: (r["n"], r["d"]) for r in got} == {k: (n, n) for k, t in enumerate(runs) for n in [len(exact.encode(t, add_special_tokens=False).ids) + 1]}
+    encode = packing.encoder(path("byte_bpe_50k.json"))
+    for length in (packing.LONG_BLANK - 1, packing.LONG_BLANK, packing.LONG_BLANK + 1):
+        text = "one" + " " * length + "two </s>"
+        assert encode(text) == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_go_to_the_cheapest_sequence():
+    """Against a plain search of all sequences, with fractions for costs."""
+    from fractions import Fraction
+
+    rng = random.Random(18)
+    for _ in range(40):
+        capacity = 64
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 60))]
+        placed, cost = packing.assign(lengths, capacity, 1.0, 0.5)
+        total = sum(lengths)
+        rooms = [capacity] * (total // capacity) + [1 << b for b in range(6, -1, -1) if (total % capacity) >> b & 1]
+        costs, used, want = [Fraction(0)] * len(rooms), [0] * len(rooms), []
+        for piece in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            start, left = 0, lengths[piece]
+            while left:
+                able = [k for k in range(len(rooms)) if rooms[k] - used[k] >= left]
+                k = min(able, key=lambda k: (costs[k], k)) if able else max(range(len(rooms)), key=lambda k: (rooms[k] - used[k], -k))
+                n = min(left, rooms[k] - used[k])
+                want.append((piece, start, n, k, used[k]))
+                costs[k] += n + Fraction(n * n, 2)
+                used[k] += n
+                start, left = start + n, left - n
+        assert placed == want and used == rooms and [float(c) for c in costs] == cost.tolist()
+
+
 def test_packing_balances_cost():
     placed, cost = packing.assign([900, 800, 300, 200, 124, 700, 48], 1024, 1.0, 1 / 1024)
     used = collections.Counter()
@@ -207,7 +247,7 @@ def test_license_keywords_open_their_rules():
             return several(arg[-1])
         if kind is op.BRANCH:
             return several(rng.choice(arg[1]))
-        if kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
             least, most, inner = arg
             if most == op.MAXREPEAT:
                 return rng.choice([b" ", b"\n * ", b"  ", b"-", b"_", b"\n\n", b"/"])
@@ -235,6 +275,38 @@ def test_license_keywords_open_their_rules():
     assert tried > 30 * len(ordered)
 
 
+def test_license_detections_against_brute_force():
+    rng = random.Random(17)
+    phrases = ["GNU General Public License, version 2", "the GNU Lesser General Public License", "Creative Commons Attribution-ShareAlike 4.0 International", "CC BY-SA 4.0", "cc by", "Apache License, Version 2.0", "SPDX-License-Identifier: MIT", "All rights reserved", "Copyright (c) 2020", "the MIT License", "BSD 3-Clause", "mit", "é"]
+    _, ordered = license_scan._gate()
+    kept = 0
+    for _ in range(60):
+        text = "".join(rng.choice(phrases) + rng.choice([" ", "\n# ", ", ", "  "]) for _ in range(rng.randrange(1, 25)))
+        raw = text.lower().encode()
+        found = [(m.start(), m.end(), rule.priority, n) for n, rule in enumerate(ordered) for m in rule.pattern.finditer(raw)]
+
+        def gone(s, e, p, n):
+            return any(a <= s and e <= b and (q < p or q == p and ((a, b) != (s, e) or k < n)) for a, b, q, k in found if (a, b, q, k) != (s, e, p, n))
+
+        want = sorted((s, e, ordered[n].name) for s, e, p, n in found if not gone(s, e, p, n))
+        assert sorted((s, e, r.name) for s, e, r in license_scan.detect(raw)) == want
+        spans = license_scan._scan(text)[7]
+        assert sorted((x["start"], x["end"], x["rule"]) for x in spans) == sorted((len(raw[:s].decode()), len(raw[:e].decode()), name) for s, e, name in want)
+        assert license_scan._scan(text)[5] == ",".join(sorted({label for label, phrase, pattern in license_scan._BASE if pattern.search(raw)} | {r.label for _, _, r in license_scan.detect(raw)}))
+        kept += len(want)
+    assert kept > 300
+
+
+def test_license_scan_is_linear():
+    """Runs of gaps between a rule's words, and very many detections in one text."""
+    for start in ("creative commons attribution", "gnu general public license", "mozilla public license", "copyright", "mulan psl", "licensed under the"):
+        for gap in (" ", "-", ". "):
+            license_scan._scan(start + gap * 500_000 + "x")
+    many = "é the MIT License. " * 30_000
+    spans = license_scan._scan(many)[7]
+    assert len(spans) == 30_000 and many[spans[-1]["start"] : spans[-1]["end"]] == "the MIT License"
+
+
 def test_license_rules_are_many():
     assert len(license_scan.rules()) > 200
 
@@ -263,8 +335,53 @@ def test_subwords_stay_within_words():
 
 
 def test_language_without_labels(spark):
-    df = docs(spark, [(1, "abc", None, None), (2, None, None, None)])
-    assert langid.sample(df) == ([], [])
+    """No label at all, labels in the held-out fold alone, an empty table."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1)
+    for rows in ([(1, "abc def", None, None), (2, None, None, None), (3, "12", None, None), (None, "x y", None, None)], [(held, "abc def", "en", None)], []):
+        df = docs(spark, rows)
+        model = langid.fitted(df)
+        got = langid.identify(df, model).collect()
+        assert len(got) == len(rows) and all((r["lang_pred"], r["score"]) == ("und", 0.0) and r["rejected"] == (r["text"] in (None, "12")) for r in got)
+        assert langid.kept_documents(df).count() == sum(t not in (None, "12") for _, t, *_ in rows)
+    assert langid.sample(docs(spark, [(1, "abc", None, None)])) == ([], [])
+
+
+def test_language_sample_behind_a_hot_text(spark):
+    rng = random.Random(19)
+    rows = [(k, "uno dos tres", "es", "s") for k in range(4000)] + [(5000 + k, prose(rng, 12), "de", "s") for k in range(4000)] + [(9999, "rare one", "nl", "s")]
+    df = docs(spark, rows).repartition(3)
+    texts, langs = langid.sample(df, per_language=50)
+    assert collections.Counter(langs) == {"es": 1, "de": 50, "nl": 1} and len(set(texts)) == 52
+    assert langid.sample(df.coalesce(1), per_language=50) == (texts, langs)
+    assert set(langid.sample(df, per_language=50, most_languages=2)[1]) < {"es", "de", "nl"}
+
+
+def test_language_scores_against_brute_force():
+    """The averaged embedding of all subwords, one by one, under the linear layer, for short and long texts and very odd ones."""
+    rng = random.Random(20)
+    texts, langs = zip(*((prose(rng, 30, w), lang) for _ in range(60) for lang, w in (("aa", "salto perro gato".split()), ("bb", "hund katze mond".split()))))
+    model = langid.train(list(texts), list(langs), epochs=3, bits=12)
+    assert sum(model.predict(t)[0] == lang for t, lang in zip(texts, langs)) == len(texts)
+    for text in ["perro", "Hund, GATO! 日本 \U0001d51e", "x" * 5000, prose(rng, 20_000), "é", texts[0] + "\n" * 3 + texts[1]]:
+        low = [c if c.isalpha() else " " for c in text.lower()]
+        points = [0]
+        for c in low:
+            if c != " " or points[-1] != 0:
+                points.append(0 if c == " " else ord(c))
+        points += [0] * (points[-1] != 0)
+        found = [langid.subwords(np.array(points[k : k + n], np.uint32), 12, (n,)) for n in (2, 3, 4) for k in range(len(points) - n + 1)]
+        total = sum(model.table[x.astype(int)].sum(axis=0, dtype=np.float64) for x in found)
+        n = sum(map(len, found))
+        assert np.allclose(model.logits(text), total / n + model.bias, atol=1e-6)
+
+
+def test_language_of_odd_rows(spark):
+    rng = random.Random(22)
+    rows = odd(rng) + [(k, prose(rng, 20), "en" if k % 2 else None, None) for k in range(20, 60)]
+    df = docs(spark, rows).withColumn("score", F.lit("x"))
+    got = langid.identify(df, langid.fitted(df)).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] in ("en", "und") and 0 <= r["score"] <= 1 for r in got)
+    assert {(r["lang_pred"], r["score"], r["rejected"]) for r in got if r["doc_id"] == 1 or r["text"] in ("", " \n\t ")} == {("und", 0.0, True)}
 
 
 # --- quality
@@ -298,12 +415,21 @@ def test_quality_rejects_outliers_only(spark):
 
 
 def test_quality_of_very_many_words(spark):
-    words = 1 << quality.POSITION_BITS
     rng = random.Random(8)
-    long = " ".join(f"{rng.getrandbits(60):x}" for _ in range(words + 10)) + " p q r p q r"
+    long = " ".join(f"{rng.getrandbits(60):x}" for _ in range(1 << 20)) + " p q r p q r"
     assert quality.text_features(docs(spark, [(1, long)])).first()["n_repeat_words"] == 6
 
 
+def test_repeats_do_not_depend_on_the_hash(spark):
+    """With a hash of a few values nearly all windows collide; the words decide."""
+    rng = random.Random(16)
+    rows = odd(rng) + [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(200)))) for k in range(20, 80)]
+    rows = [(i, t and t[:3000]) for i, t in rows]
+    for hashed in ("1L", "cast(length(_words[i]) % 3 AS bigint)", "xxhash64(_words[i]) % 5", "-1L"):
+        got = quality.text_features(docs(spark, rows), hashed=hashed).collect()
+        assert sorted(((r["doc_id"], r["n_repeat_words"]) for r in got), key=repr) == sorted(((i, brute_quality(t)[4]) for i, t in rows), key=repr)
+
+
 def test_sketches_merge(spark):
     df = spark.range(2000).select((F.col("id") % 3).alias("lang"), (F.col("id") % 5).alias("source"), *(F.lit(0).cast("long").alias(c) for c in quality.FEATURES)).withColumn("n_words", F.lit(100).cast("long")).withColumn("n_symbols", F.col("source") * 100).withColumn("n_lines", F.lit(1).cast("long")).withColumn("word_chars", F.lit(500).cast("long"))
     whole, parts = quality.sketch(df, ["lang"]), quality.merged(quality.sketch(df, ["lang", "source"]), ["lang"])
@@ -451,14 +577,16 @@ def test_leaks_of_repeated_and_null_items(spark, most_broadcast):
 
 def test_class_scores_against_brute_force(spark):
     rng = random.Random(10)
-    rows = odd(rng)[:6] + [(k, prose(rng, rng.randrange(0, 200)).replace("the", "THE")) for k in range(10, 60)]
+    rows = odd(rng) + [(k, prose(rng, rng.randrange(0, 200)).replace("the", "THE")) for k in range(10, 60)]
     got = classlm.score(docs(spark, rows).withColumn("score", F.lit(0)), classes=8, forms=16, share=1e-2, rounds=3).collect()
     tokens = [(i, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows]
     tokens = [(i, [*WORDS.findall(t), None]) for i, t in tokens]
-    count = collections.Counter(w for i, ws in tokens for w in ws if zlib.crc32(str(i).encode()) % 5 != 1)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    count = collections.Counter(w for i, ws in tokens for w in ws if not held(i))
     total, distinct = sum(count.values()), len(count)
-    want = sorted((i, len(ws), sum(count[w] > 0 for w in ws), total, round(sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws), 6)) for i, ws in tokens)
-    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    want = sorted(((i, len(ws), sum(count[w] > 0 for w in ws), total, round(sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in ws), 5)) for i, ws in tokens), key=repr)
+    assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got), key=repr) == want
+    assert all(r["held_out"] == held(r["doc_id"]) for r in got)
     assert all(r["score"] < 0 and r["perplexity"] > 1 for r in got)
     assert classlm.score(docs(spark, [])).count() == 0
 
@@ -489,9 +617,29 @@ def test_exchange_moves_gain_what_they_say():
 
 def test_tokens_in_pieces_agree():
     rng = random.Random(11)
-    texts = [prose(rng, 500).encode(), b"", b"  ", b"one", prose(rng, 3000).encode()]
-    a, b = classlm.Tokens(64).of(texts), classlm.Tokens(64, piece=100).of(texts)
-    assert all((x == y).all() for x, y in zip(a, b)) and a[2].tolist() == [501, 1, 1, 2, 3001]
+    texts = [prose(rng, 500).encode(), b"", b"  ", b"one", prose(rng, 3000).encode(), b" x" * 400]
+
+    def whole(piece):
+        counts, parts = np.zeros(len(texts), np.int64), []
+        for first, hashes, form, n in classlm.Tokens(64, piece).of(texts):
+            counts[first : first + len(n)] += n
+            assert len(hashes) == len(form) == n.sum()
+            parts.append((hashes, form))
+        return counts.tolist(), *(np.concatenate(x).tolist() for x in zip(*parts))
+
+    assert whole(1 << 20) == whole(100) and whole(7)[0] == [501, 1, 1, 2, 3001, 401]
+    forms = whole(1 << 20)[2][501 + 1 + 1 + 2 + 3001 :]
+    assert len(set(forms[:400])) == 1 and forms[0] != classlm.END_FORM and forms[400] == classlm.END_FORM
+
+
+def test_words_of_constructed_texts_differ():
+    """Thue-Morse words collide under any polynomial hash modulo a power of two."""
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    (_, hashes, _, _), = classlm.Tokens(64).of([f"{a} {b}".encode()])
+    assert hashes[0] != hashes[1]
 
 
 # --- HTML
@@ -526,6 +674,27 @@ def test_html_extraction(spark):
     assert got[99]["text"] == "" and got[98]["text"] == "" and got[99]["n_chars"] == 0
 
 
+def test_html_of_deep_and_long_pages(spark):
+    deep = "<div>" * 100_000 + "<p>in</p>" + "</div>" * 100_000
+    pages = [deep, "<p>" * 100_000, "<b>" * 50_000 + "x" + "</i>" * 50_000, "<ul><li>" * 30_000 + "y", "<table><tr><td>" * 20_000 + "z", "<a '>" * 50_000, "</script " * 50_000, "<script>" + "</script " * 50_000, "<a b=" + " " * 300_000 + ">t</a>", "text " * 200_000]
+    rows = [(k, "u", html) for k, html in enumerate(pages)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("x")})
+    got = html_extract.extract(df).collect()
+    assert len(got) == len(rows) and len({(r["page_id"], r["text"]) for r in got}) == len(pages)
+    page = Page(deep)
+    assert max(page.depths) == 100_001 and page.text(np.ones(len(page.tags), bool)) == "in"
+
+
+def test_html_reader_ends_what_it_must():
+    """Implied ends reach as far as the limits between."""
+    shown = lambda source: Page(source).text(np.ones(len(Page(source).tags), bool))
+    depth = lambda source, tag: [Page(source).depths[k] for k, t in enumerate(Page(source).tags) if t == tag]
+    assert depth("<p>a<p>b", "p") == [1, 1] and depth("<p><button><p>b", "p") == [1, 3]
+    assert depth("<ul><li>a<ul><li>b</ul><li>c</ul>", "li") == [2, 4, 2]
+    assert depth("<table><tr><td>a<table><tr><td>b</table><td>c<tr><td>d</table>", "tr") == [2, 5, 2]
+    assert depth("<div><table><tr><td></div><p>x", "p") == [5] and shown("a</div></p>b<br/>c") == "ab c"
+
+
 def test_html_of_an_empty_table(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
