@@ -42,8 +42,8 @@ def position(ts: Column, period: Column, steps: Column) -> Column:
     return F.pmod(F.bround(second / period).cast("int"), steps)
 
 
-def neighbourhood(steps: Column, hours: float = 2.0, least: int = 1) -> Column:
-    """Positions on either side that are pooled."""
+def neighbourhood(steps: Column, hours: float = 2.0, least: int = 2) -> Column:
+    """Positions on either side that are pooled; no fewer than ``least``, so that coarse meters pool enough."""
     return F.greatest(F.lit(least), F.bround(hours * steps / 24).cast("int"))
 
 

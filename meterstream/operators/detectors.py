@@ -96,15 +96,26 @@ class Gru:
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self._forward(x)[0] @ self.p["V"] + self.p["d"][0]
 
+    def predict_all(self, x: np.ndarray) -> np.ndarray:
+        """The output behind each row of the windows."""
+        h, kept = self._forward(x)
+        return np.stack([*(k[0] for k in kept[1:]), h], axis=1) @ self.p["V"] + self.p["d"][0]
+
     def step(self, x: np.ndarray, y: np.ndarray, rate: float, clip: float = 1.0) -> float:
+        """One step of Adam on targets behind the last row of each window, or, in two dimensions, behind every row."""
         n = self.hidden
         h, kept = self._forward(x)
-        e = h @ self.p["V"] + self.p["d"][0] - y
+        after = [*(k[0] for k in kept[1:]), h]
+        every = y.ndim == 2
+        e = (np.stack(after, axis=1) if every else h) @ self.p["V"] + self.p["d"][0] - y
+        back = 2 * e / e.size
+        back = back if every else np.concatenate([np.zeros((len(y), x.shape[1] - 1)), back[:, None]], axis=1)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        back = 2 * e / len(y)
-        g["V"], g["d"] = h.T @ back, np.array([back.sum()])
-        dh = np.outer(back, self.p["V"])
+        g["d"] = np.array([back.sum()])
+        dh = np.zeros_like(h)
         for t in range(x.shape[1] - 1, -1, -1):
+            g["V"] += after[t].T @ back[:, t]
+            dh = dh + np.outer(back[:, t], self.p["V"])
             before, r, z, c, hu = kept[t]
             dc = dh * (1 - z) * (1 - c * c)
             dz = dh * (before - c) * z * (1 - z)

@@ -70,6 +70,34 @@ def walk(stamps: np.ndarray, period: float, tolerance: float) -> tuple[list[floa
     return times, rows
 
 
+def marked(readings: DataFrame) -> DataFrame:
+    """``meter_id, ts, reading, is_anomaly``, the last 0 where readings have no such column."""
+    return readings.select("meter_id", "ts", F.col("reading").cast("double").alias("reading"), (F.col("is_anomaly").cast("double") if "is_anomaly" in readings.columns else F.lit(0.0)).alias("is_anomaly"))
+
+
+def filled_frame(group: pd.DataFrame, tolerance_pct: float = 10.0) -> pd.DataFrame:
+    """The grid of one meter's rows: ``meter_id, ts, reading, is_anomaly, diff, period, synthetic``, missing numbers as NaN."""
+    group = group[group["ts"].notna()].sort_values("ts", kind="stable").drop_duplicates("ts", keep="first")
+    stamps = group["ts"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
+    period = period_of(stamps)
+    times, at = walk(stamps, period, tolerance_pct / 100 * period) if period else ([], [])
+    at = np.array(at, dtype=int)
+    value, mark = group["reading"].to_numpy(float), group["is_anomaly"].to_numpy(float)
+    reading = np.where(at >= 0, value[at], np.nan) if len(at) else np.array([])
+    diff = np.diff(reading, prepend=np.nan)
+    return pd.DataFrame(
+        {
+            "meter_id": group["meter_id"].iloc[0] if len(group) else None,
+            "ts": pd.to_datetime(np.round(np.array(times) * 1e6).astype("int64"), unit="us"),
+            "reading": reading,
+            "is_anomaly": np.where(at >= 0, mark[at], 0.0) if len(at) else reading,
+            "diff": np.where(diff <= -NOISE, np.nan, np.where(diff < 0, 0.0, diff)),
+            "period": period if period else np.nan,
+            "synthetic": at < 0,
+        }
+    )
+
+
 def fill_gaps(readings: DataFrame, *, tolerance_pct: float = 10.0) -> DataFrame:
     """Put each meter's readings on a grid that follows them; made-up rows have no reading.
 
@@ -77,38 +105,23 @@ def fill_gaps(readings: DataFrame, *, tolerance_pct: float = 10.0) -> DataFrame:
     Meters without a usable period, or with one row, give no rows. One meter is held at a time.
     """
     key = readings.schema["meter_id"].dataType.simpleString()
-    rows = readings.select("meter_id", "ts", "reading", (F.col("is_anomaly") if "is_anomaly" in readings.columns else F.lit(0.0)).alias("is_anomaly"))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group[group["ts"].notna()].sort_values("ts", kind="stable").drop_duplicates("ts", keep="first")
-        stamps = group["ts"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
-        period = period_of(stamps)
-        times, at = walk(stamps, period, tolerance_pct / 100 * period) if period else ([], [])
-        at = np.array(at, dtype=int)
-        value, mark = group["reading"].to_numpy(float), group["is_anomaly"].to_numpy(float)
-        reading = np.where(at >= 0, value[at], np.nan) if len(at) else np.array([])
-        diff = np.diff(reading, prepend=np.nan)
-        diff = np.where(diff <= -NOISE, np.nan, np.where(diff < 0, 0.0, diff))
-        return pd.DataFrame(
-            {
-                "meter_id": group["meter_id"].iloc[0] if len(group) else None,
-                "ts": pd.to_datetime(np.round(np.array(times) * 1e6).astype("int64"), unit="us"),
-                "reading": pd.array(reading, dtype="Float64") if len(at) else reading,
-                "is_anomaly": np.where(at >= 0, mark[at], 0.0) if len(at) else reading,
-                "diff": diff,
-                "period": period if period else np.nan,
-                "synthetic": at < 0,
-            }
-        ).astype({"reading": object, "diff": object}).where(lambda x: x.notna(), None)
-
-    return rows.groupBy("meter_id").applyInPandas(fill, GRID.format(key=key))
+        return filled_frame(group, tolerance_pct).astype({"reading": object, "diff": object}).where(lambda x: x.notna(), None)
+
+    return marked(readings).groupBy("meter_id").applyInPandas(fill, GRID.format(key=key))
 
 
 def unmatched(readings: DataFrame, grid: DataFrame) -> DataFrame:
-    """Readings that the grid left out, with the readings before and after them."""
+    """Readings that the grid left out, with the readings before and after them and the nearest grid time (the earlier of equally near ones) and how far it is."""
+    from .joins import nearest
+
     each = Window.partitionBy("meter_id").orderBy("ts")
     around = readings.withColumns({"before_ts": F.lag("ts").over(each), "after_ts": F.lead("ts").over(each)})
-    return around.join(grid.where(~F.col("synthetic")).select("meter_id", "ts"), ["meter_id", "ts"], "left_anti")
+    lost = around.join(grid.where(~F.col("synthetic")).select("meter_id", "ts"), ["meter_id", "ts"], "left_anti")
+    slots = grid.select("meter_id", F.col("ts").cast("timestamp").alias("ts"), F.col("synthetic").alias("slot"))
+    out = nearest(lost.withColumn("ts", F.col("ts").cast("timestamp")), slots, tolerance=float("inf"), value="slot")
+    return out.withColumn("slot_distance", seconds(F.col("nearest_ts")) - seconds(F.col("ts"))).withColumnsRenamed({"nearest_ts": "slot_ts", "nearest_slot": "slot_synthetic"})
 
 
 def odd_spacing(grid: DataFrame) -> DataFrame:
@@ -125,11 +138,23 @@ def periods(readings: DataFrame) -> DataFrame:
     return gaps.groupBy("meter_id").agg(F.mode("gap_seconds", True).alias("mode_seconds")).withColumn("period", effective_period(F.col("mode_seconds")))
 
 
-def hourly(readings: DataFrame, how: str = "mean") -> DataFrame:
-    """One row for each hour from a meter's first to its last: mean, first or last reading in it, how many there were, and null where none."""
+def hourly(readings: DataFrame, how: str = "mean", fill: str | None = None) -> DataFrame:
+    """One row for each hour from a meter's first to its last: mean, first or last reading in it (nearest to the hour: the first), how many there were, whether there was none, and the seconds from the last reading before it to its first one.
+
+    ``fill`` says what stands in hours without a reading: null, the value before (``ffill``), the
+    value after (``bfill``) or one between both by time (``time``).
+    """
     pick = {"mean": F.avg("reading"), "first": F.min_by("reading", "ts"), "last": F.max_by("reading", "ts"), "nearest": F.min_by("reading", "ts")}[how]
-    hours = readings.groupBy("meter_id", F.date_trunc("hour", "ts").alias("ts")).agg(pick.alias("reading"), F.count("reading").alias("readings_count"))
-    return _calendar(hours, "1 HOUR").join(hours, ["meter_id", "ts"], "left").withColumn("interpolated", F.col("readings_count").isNull()).fillna(0, ["readings_count"])
+    each = Window.partitionBy("meter_id").orderBy("ts")
+    hours = readings.groupBy("meter_id", F.date_trunc("hour", "ts").alias("_hour")).agg(pick.alias("reading"), F.count("reading").alias("readings_count"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    hours = hours.withColumnRenamed("_hour", "ts").withColumn("time_gap", seconds(F.col("_first")) - seconds(F.lag("_last").over(each))).drop("_first", "_last")
+    out = _calendar(hours, "1 HOUR").join(hours, ["meter_id", "ts"], "left").withColumn("interpolated", F.col("readings_count").isNull()).fillna(0, ["readings_count"])
+    if fill is None:
+        return out
+    from .windows import filled
+
+    kept = [c for c in out.columns if c != "reading"]
+    return filled(out).select(*kept, F.when(F.col("reading").isNotNull(), F.col("reading")).otherwise({"ffill": F.when(F.col("reading_any"), F.col("reading_ffill")), "bfill": F.col("reading_bfill"), "time": F.col("reading_time")}[fill]).alias("reading"))
 
 
 def _calendar(rows: DataFrame, step: str) -> DataFrame:
@@ -150,11 +175,31 @@ def gap_rows(readings: DataFrame, period: float) -> DataFrame:
     return gaps.where("_n >= 1").select("meter_id", F.col("ts").alias("_t"), F.explode(steps).alias("_k")).select("meter_id", F.timestamp_micros(F.unix_micros(F.col("_t").cast("timestamp")) + (F.col("_k") * period * 1e6).cast("long")).alias("ts"))
 
 
+def gap_filled(readings: DataFrame, period: float) -> DataFrame:
+    """Readings with rows added in gaps longer than a period, whose readings lie between those around them by time; ``synthetic`` tells them."""
+    from .windows import filled
+
+    rows = readings.select("meter_id", F.col("ts").cast("timestamp").alias("ts"), "reading", F.lit(False).alias("synthetic"))
+    added = gap_rows(readings, period).select("meter_id", F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("double").alias("reading"), F.lit(True).alias("synthetic"))
+    return filled(rows.unionByName(added)).select("meter_id", "ts", F.coalesce("reading", F.when(F.col("synthetic"), F.col("reading_time"))).alias("reading"), "synthetic")
+
+
+def off_period(readings: DataFrame, slack: float = 300.0) -> DataFrame:
+    """By meter: the most frequent distance, how many distances are longer than it by more than ``slack`` seconds, the longest of all, and whether there is none such."""
+    each = Window.partitionBy("meter_id").orderBy("ts")
+    gaps = readings.withColumn("_gap", seconds(F.col("ts")) - F.lag(seconds(F.col("ts"))).over(each)).join(periods(readings).select("meter_id", "mode_seconds"), "meter_id")
+    late = F.count_if(F.col("_gap") > F.col("mode_seconds") + slack)
+    return gaps.groupBy("meter_id", "mode_seconds").agg(late.alias("n_late"), F.max("_gap").alias("longest_gap")).withColumn("periodic", F.col("n_late") == 0)
+
+
 def fill_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows before and after, share of rows made up, and share of readings kept, by meter."""
-    a = before.groupBy("meter_id").agg(F.count("*").alias("n_before"))
-    b = after.groupBy("meter_id").agg(F.count("*").alias("n_after"), (100 * F.avg(F.col("reading").isNull().cast("int"))).alias("fill_pct"), F.count("reading").alias("_kept"))
-    return a.join(b, "meter_id", "left").withColumns({"reduction": 1 - F.col("n_after") / F.col("n_before"), "preserved": F.col("_kept") / F.col("n_before")}).drop("_kept")
+    """Rows before and after, share of rows without a reading, share of readings kept, share of the time covered, and made-up rows and their share, by meter."""
+    a = before.groupBy("meter_id").agg(F.count("*").alias("n_before"), (seconds(F.max("ts")) - seconds(F.min("ts"))).alias("_span"))
+    b = after.groupBy("meter_id").agg(
+        F.count("*").alias("n_after"), (100 * F.avg(F.col("reading").isNull().cast("int"))).alias("fill_pct"), F.count("reading").alias("_kept"), F.count_if("synthetic").alias("n_made_up"), (seconds(F.max("ts")) - seconds(F.min("ts"))).alias("_covered")
+    )
+    out = a.join(b, "meter_id", "left").fillna(0, ["n_after", "n_made_up"])
+    return out.withColumns({"reduction": 1 - F.col("n_after") / F.col("n_before"), "preserved": F.col("_kept") / F.col("n_before"), "coverage": F.try_divide("_covered", "_span"), "made_up_rate": F.try_divide("n_made_up", "n_after")}).drop("_kept", "_span", "_covered")
 
 
 def recleaned(grid: DataFrame) -> DataFrame:

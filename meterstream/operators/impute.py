@@ -47,23 +47,36 @@ def forecast_gaps(y: np.ndarray, history: int = 500, most: int = 5) -> np.ndarra
 
 
 def cubic(y: np.ndarray) -> np.ndarray:
-    """Missing values within a series from a natural cubic spline through the known ones, not below 0; ends are carried on."""
-    at = np.flatnonzero(np.isfinite(y))
+    """Missing values within a series from the cubic spline through the known ones whose first two and last two pieces are one (not-a-knot), not below 0; ends are carried on.
+
+    Three known values give their parabola, two their line.
+    """
+    at = np.flatnonzero(np.isfinite(y)).astype(float)
     n = len(at)
     if n < 3:
-        return np.maximum(np.interp(np.arange(len(y)), at, y[at]), 0) if n else y.copy()
-    v, h = y[at], np.diff(at).astype(float)
-    # second derivatives by the tridiagonal system of the knots
+        return np.maximum(np.interp(np.arange(len(y)), at, y[at.astype(int)]), 0) if n else y.copy()
+    v, h = y[at.astype(int)], np.diff(at)
+    x = np.clip(np.arange(len(y)), at[0], at[-1])
+    if n == 3:
+        spline = np.polyval(np.polyfit(at - at[0], v, 2), x - at[0])
+        return np.where(np.isfinite(y), y, np.maximum(spline, 0))
+    # second derivatives at the knots; the ends' are led back to their neighbours'
     a, b, c = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
     r = 6 * (np.diff(v[1:]) / h[1:] - np.diff(v[:-1]) / h[:-1])
+    b[0] += h[0] * (h[0] + h[1]) / h[1]
+    c[0] -= h[0] ** 2 / h[1]
+    b[-1] += h[-1] * (h[-1] + h[-2]) / h[-2]
+    a[-1] -= h[-1] ** 2 / h[-2]
     for k in range(1, n - 2):
         w = a[k] / b[k - 1]
         b[k] -= w * c[k - 1]
         r[k] -= w * r[k - 1]
     m = np.zeros(n)
-    for k in range(n - 3, -1, -1):
+    m[n - 2] = r[-1] / b[-1]
+    for k in range(n - 4, -1, -1):
         m[k + 1] = (r[k] - c[k] * m[k + 2]) / b[k]
-    x = np.clip(np.arange(len(y)), at[0], at[-1])
+    m[0] = m[1] + (m[1] - m[2]) * h[0] / h[1]
+    m[-1] = m[-2] + (m[-2] - m[-3]) * h[-1] / h[-2]
     k = np.clip(np.searchsorted(at, x, side="right") - 1, 0, n - 2)
     s, e = x - at[k], at[k + 1] - x
     spline = (m[k] * e**3 + m[k + 1] * s**3) / (6 * h[k]) + (v[k] / h[k] - m[k] * h[k] / 6) * e + (v[k + 1] / h[k] - m[k + 1] * h[k] / 6) * s
@@ -73,12 +86,10 @@ def cubic(y: np.ndarray) -> np.ndarray:
 def imputed(grid: DataFrame, how: str = "forecast", value: str = "diff") -> DataFrame:
     """Grids with ``imputed``, the values where missing ones are filled in, meter by meter."""
     fill = {"forecast": forecast_gaps, "cubic": cubic}[how]
-    kind = grid.schema["meter_id"].dataType.simpleString()
+    from .pipeline import by_meter
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts")
-        full = fill(group[value].to_numpy(float))
-        out = group.assign(imputed=full)[["meter_id", "ts", value, "imputed"]].astype({value: object, "imputed": object})
-        return out.where(out.notna(), None)
+        return group.assign(imputed=fill(group[value].to_numpy(float)))[["meter_id", "ts", value, "imputed"]]
 
-    return grid.select("meter_id", "ts", value).groupBy("meter_id").applyInPandas(run, f"meter_id {kind}, ts timestamp, {value} double, imputed double")
+    return by_meter(grid.select("meter_id", "ts", value), run, f"ts timestamp, {value} double, imputed double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,16 +23,20 @@ def removed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, *, tolerance: float = 300.0, value: str = "reading") -> DataFrame:
-    """Each left row with the nearest right row of its meter in time, within ``tolerance`` seconds; of two equally near, the earlier.
+    """Each left row with the nearest right row of its meter in time, within ``tolerance`` seconds; of two equally near, the earlier, and of several at one time, that of the largest value.
 
     Both sides are merged and sorted once by meter and time, and the last and next right row are
     carried to each left row: no pairs are formed.
     """
     mine = left.select("meter_id", "ts", F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema["ts"].dataType).alias("_t"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     theirs = right.select("meter_id", "ts", F.lit(1).alias("_side"), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"), F.col("ts").alias("_t"), F.col(value).alias("_v"))
-    each = Window.partitionBy("meter_id").orderBy("ts", F.col("_side").desc())
     found = F.when(F.col("_side") == 1, F.struct("_t", "_v"))
-    both = mine.unionByName(theirs).withColumns({"_last": F.last(found, ignorenulls=True).over(each.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.first(found, ignorenulls=True).over(each.rowsBetween(0, Window.unboundedFollowing))})
+
+    def seen(*order) -> Column:
+        """The last right row up to here; the next one is the last seen from the end, so that frames only grow."""
+        return F.last(found, ignorenulls=True).over(Window.partitionBy("meter_id").orderBy(*order, F.desc("_side"), "_v").rowsBetween(Window.unboundedPreceding, 0))
+
+    both = mine.unionByName(theirs).withColumns({"_last": seen("ts"), "_next": seen(F.desc("ts"))})
     back, ahead = seconds(F.col("ts")) - seconds(F.col("_last._t")), seconds(F.col("_next._t")) - seconds(F.col("ts"))
     rows = both.where("_side = 0").withColumns({"_back": F.when(back <= tolerance, back), "_ahead": F.when(ahead <= tolerance, ahead)})
     pick = F.when(F.col("_back").isNotNull() & (F.col("_ahead").isNull() | (F.col("_back") <= F.col("_ahead"))), F.col("_last")).when(F.col("_ahead").isNotNull(), F.col("_next"))
@@ -44,11 +48,12 @@ def interval_sums(actual: DataFrame, predicted: DataFrame) -> DataFrame:
 
     Each prediction finds the actual that ends its interval by a window over both in order.
     """
-    each = Window.partitionBy("meter_id").orderBy("ts", "_side")
+    # from the end: at one time, the actual comes before the predictions that it ends
+    each = Window.partitionBy("meter_id").orderBy(F.desc("ts"), F.desc("_side"))
     ends = actual.select("meter_id", "ts", F.lit(1).alias("_side"), F.col("diff"), F.lit(None).cast("double").alias("predicted"))
     inner = predicted.select("meter_id", "ts", F.lit(0).alias("_side"), F.lit(None).cast("double").alias("diff"), "predicted")
     both = ends.unionByName(inner)
-    end = F.first(F.when(F.col("_side") == 1, F.col("ts")), ignorenulls=True).over(each.rowsBetween(0, Window.unboundedFollowing))
+    end = F.last(F.when(F.col("_side") == 1, F.col("ts")), ignorenulls=True).over(each.rowsBetween(Window.unboundedPreceding, 0))
     first = F.min(F.when(F.col("_side") == 1, F.col("ts"))).over(Window.partitionBy("meter_id"))
     placed = both.withColumns({"_end": end, "_first": first}).where(F.col("_end") > F.col("_first"))
     return placed.groupBy("meter_id", F.col("_end").alias("ts")).agg(F.max("diff").alias("actual"), F.sum("predicted").alias("predicted"), F.count("predicted").alias("n_predicted")).where("n_predicted > 0")

@@ -67,8 +67,12 @@ class Run:
     llf: float
 
 
-def run_filter(sys: System, y: np.ndarray, x: np.ndarray | None = None, P: np.ndarray | None = None, *, mask=None, burn: int | None = None) -> Run:
-    """One-step predictions over ``y``; missing values, and those for which ``mask(k, value, prediction)`` says so, don't update the state (Joseph form)."""
+def run_filter(sys: System, y: np.ndarray, x: np.ndarray | None = None, P: np.ndarray | None = None, *, mask=None, burn: int | None = None, lead: bool = False) -> Run:
+    """One-step predictions over ``y``; missing values, and those for which ``mask(k, value, prediction)`` says so, don't update the state (Joseph form).
+
+    A given state is what is expected at the first value, before it is seen; with ``lead``, at the
+    one before it. Without one, the first state is unknown.
+    """
     n = len(sys.Z)
     burn = (n if x is None else 0) if burn is None else burn
     x = np.zeros(n) if x is None else x.copy()
@@ -77,8 +81,9 @@ def run_filter(sys: System, y: np.ndarray, x: np.ndarray | None = None, P: np.nd
     predicted, innovation, variance = np.empty(len(y)), np.full(len(y), np.nan), np.empty(len(y))
     llf = 0.0
     for k, value in enumerate(y):
-        x = T @ x
-        P = T @ P @ T.T + Q
+        if k or lead:
+            x = T @ x
+            P = T @ P @ T.T + Q
         predicted[k] = Z @ x
         PZ = P @ Z
         S = Z @ PZ + H
@@ -97,63 +102,124 @@ def run_filter(sys: System, y: np.ndarray, x: np.ndarray | None = None, P: np.nd
     return Run(predicted, innovation, variance, x, P, llf)
 
 
-def fit(y: np.ndarray, daily: int, weekly: int, variant: str = "fourier", *, start: np.ndarray | None = None, x: np.ndarray | None = None, P: np.ndarray | None = None, most: int = 120) -> tuple[np.ndarray, float, bool]:
-    """Variances of largest likelihood by a simplex search over their logarithms; with the log likelihood and whether it settled."""
-    spread = np.nanvar(y)
+def likelihoods(thetas: np.ndarray, y: np.ndarray, daily: int, weekly: int, variant: str = "fourier", x: np.ndarray | None = None, P: np.ndarray | None = None) -> np.ndarray:
+    """Log likelihoods of several variance vectors in one pass over ``y``; each as in ``run_filter``.
+
+    Levels and Fourier blocks only turn from step to step, and their noise is alike in all
+    directions. So the state is followed in coordinates that turn with it: there it stands still,
+    and what turns is the load. Other variants take the matrices as they are.
+    """
+    sys = [system(t, daily, weekly, variant) for t in thetas]
+    T, Z, m = sys[0].T, sys[0].Z, len(sys)
+    n = len(Z)
+    burn = n if x is None else 0
+    H, Q = np.array([s.H for s in sys]), np.stack([s.Q for s in sys])
+    x = np.zeros((m, n)) if x is None else np.tile(x, (m, 1))
+    P = np.tile(np.eye(n) * 1e6 if P is None else P, (m, 1, 1))
+    turning = not VARIANTS[variant][0]
+    spread, noise, scale = np.zeros(m), np.zeros(m), 0
+    load = Z.copy()
+    with np.errstate(all="ignore"):
+        for k, value in enumerate(y):
+            if k:
+                if turning:
+                    load = load @ T
+                    P = P + Q
+                else:
+                    x = x @ T.T
+                    P = T @ P @ T.T + Q
+            if value != value:
+                continue
+            PZ = P @ load
+            S = PZ @ load + H
+            v = value - x @ load
+            if k >= burn:
+                spread += np.log(S)
+                noise += v * v / S
+                scale += 1
+            K = PZ / S[:, None]
+            x = x + K * v[:, None]
+            A = P - K[:, :, None] * PZ[:, None, :]
+            P = A - (A @ load)[:, :, None] * K[:, None, :] + (H[:, None] * K)[:, :, None] * K[:, None, :]
+    return -0.5 * (spread + noise + scale * np.log(2 * np.pi))
+
+
+def fit(y: np.ndarray, daily: int, weekly: int, variant: str = "fourier", *, start: np.ndarray | None = None, x: np.ndarray | None = None, P: np.ndarray | None = None, most: int = 200) -> tuple[np.ndarray, float, bool]:
+    """Variances of largest likelihood by a quasi-Newton search over their logarithms; with the log likelihood and whether it settled.
+
+    A gradient's differences, and the steps tried along a direction, are each one pass. The search
+    ends when neither the direction nor plain descent gains any more, or after ``most`` steps.
+    """
+    spread = np.nanvar(y) if np.isfinite(y).any() else 0.0
     if not spread > 0:
         spread = 1e-6
-    guess = np.log(spread * np.array([0.5, 0.05] + [0.005] * (n_theta(variant) - 2))) if start is None else np.log(np.maximum(start, 1e-12))
+    d = n_theta(variant)
+    p = np.log(spread * np.array([0.5, 0.05] + [0.005] * (d - 2))) if start is None else np.log(np.maximum(start, 1e-12))
 
-    def loss(p: np.ndarray) -> float:
-        theta = np.exp(np.clip(p, -35, 35))
-        value = -run_filter(system(theta, daily, weekly, variant), y, x, P).llf
-        return value if np.isfinite(value) else 1e300
+    def losses(points: np.ndarray) -> np.ndarray:
+        found = -likelihoods(np.exp(np.clip(points, -35, 35)), y, daily, weekly, variant, x, P)
+        return np.where(np.isfinite(found), found, 1e300)
 
-    n = len(guess)
-    points = [guess] + [guess + np.eye(n)[k] * 1.5 for k in range(n)]
-    values = [loss(p) for p in points]
-    settled = False
+    shift = 1e-2 * np.eye(d)  # wide enough to stand above the rounding of an unknown first state
+    steps = 2.0 ** np.arange(2, -7, -1)
+    curve, before, settled = np.eye(d), None, False
+    best = float(losses(p[None])[0])
     for _ in range(most):
-        order = np.argsort(values)
-        points, values = [points[k] for k in order], [values[k] for k in order]
-        if abs(values[-1] - values[0]) < 1e-4 * (1 + abs(values[0])):
+        around = losses(np.vstack([p + shift, p - shift]))
+        slope = (around[:d] - around[d:]) / 2e-2
+        if before is not None:  # the inverse curvature learns from the last step
+            s, g = before[0], slope - before[1]
+            if (rho := s @ g) > 1e-10:
+                if (curve == np.eye(d)).all():
+                    curve = curve * rho / (g @ g)
+                left = np.eye(d) - np.outer(s, g) / rho
+                curve = left @ curve @ left.T + np.outer(s, s) / rho
+        moved = False
+        for direction in (-curve @ slope, -slope):
+            size = np.abs(direction).max()
+            if not size > 0:
+                continue
+            direction = direction * min(1.0, 3.0 / size)  # no variance changes by more than some ten times at once
+            tried = p + steps[:, None] * direction
+            found = losses(tried)
+            k = int(found.argmin())
+            if found[k] < best - 1e-7 * (1 + abs(best)):
+                before, p, best, moved = (tried[k] - p, slope), np.clip(tried[k], -35, 35), float(found[k]), True
+                break
+            curve = np.eye(d)
+        if not moved:
             settled = True
             break
-        middle = np.mean(points[:-1], axis=0)
-        mirrored = middle + (middle - points[-1])
-        f = loss(mirrored)
-        if f < values[0]:
-            further = middle + 2 * (middle - points[-1])
-            g = loss(further)
-            points[-1], values[-1] = (further, g) if g < f else (mirrored, f)
-        elif f < values[-2]:
-            points[-1], values[-1] = mirrored, f
-        else:
-            inner = middle + 0.5 * (points[-1] - middle)
-            g = loss(inner)
-            if g < values[-1]:
-                points[-1], values[-1] = inner, g
-            else:
-                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-                values = [values[0]] + [loss(p) for p in points[1:]]
-    return np.exp(np.clip(points[int(np.argmin(values))], -35, 35)), -float(min(values)), settled
+    return np.exp(p), -best, settled
+
+
+def _lagged(lags: list[int]) -> np.ndarray:
+    """Moves each value a place on and puts the mean of those at the lags in front."""
+    A = np.eye(max(lags), k=-1)
+    A[0] = 0
+    A[0, [k - 1 for k in lags]] = 1 / len(lags)
+    return A
+
+
+def regular(A: np.ndarray, most: float = 1.0) -> np.ndarray:
+    """A transition whose eigenvalues are no larger than ``most``: shrunk as a whole if one is."""
+    largest = float(np.abs(np.linalg.eigvals(A)).max()) if len(A) else 0.0
+    return A * (most / largest) if largest > most * (1 + 1e-9) else A
 
 
 def seasonal_lag_filter(y: np.ndarray, lags: list[int], q: float, r: float) -> Run:
     """A filter whose state holds the latest values at some lags; the first value fills it. The prediction is their mean, and values that are missing don't update."""
     n = max(lags)
     state, P = np.full(n, y[0]), np.eye(n) * r
-    A = np.eye(n, k=-1)
-    A[0] = 0
-    A[0, [k - 1 for k in lags]] = 1 / len(lags)
+    A = regular(_lagged(lags))
     Q = np.zeros((n, n))
     Q[0, 0] = q
     Z = np.eye(n)[0]
-    return run_filter(System(A, Z, r, Q), y, state, P)
+    return run_filter(System(A, Z, r, Q), y, state, P, lead=True)
 
 
-def recursive_transition(states: np.ndarray, forget: float = 0.9999, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Transition matrix by weighted recursive least squares, row by row over successive states, and the residuals' covariance."""
+def recursive_transition(states: np.ndarray, forget: float = 0.9999, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transition matrix by weighted recursive least squares, row by row over successive states, the residuals' covariance, and the mean of the rows' own."""
     n = states.shape[1]
     A = np.zeros((n, n)) if start is None else start.copy()
     P = np.stack([np.eye(n) * 1000.0] * n)
@@ -164,8 +230,8 @@ def recursive_transition(states: np.ndarray, forget: float = 0.9999, start: np.n
             g = P[k] @ before / (before @ P[k] @ before + 1 / forget)
             A[k] += g * (after[k] - A[k] @ before)
             P[k] = (P[k] - np.outer(g, before) @ P[k]) / forget
-    res = np.array(left) if left else np.zeros((1, n))
-    return A, np.cov(res.T).reshape(n, n) + 1e-9 * np.eye(n) if len(res) > 1 else np.eye(n) * 1e-9
+    Q = np.cov(np.array(left).T).reshape(n, n) if len(left) > 1 else np.zeros((n, n))
+    return A, Q + 1e-9 * np.eye(n), P.mean(axis=0)
 
 
 def unstable(A: np.ndarray) -> int:

@@ -4,48 +4,67 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The least denominator of a relative error (the double's machine epsilon).
+#: The least denominator of a mean relative error (the double's machine epsilon), and what is added to one elsewhere.
 EPSILON = 2.220446049250313e-16
+SMALL = 1e-8
+
+
+def _number(name: str) -> Column:
+    """A column as a double, NaN as null."""
+    return F.nullif(F.col(name).cast("double"), F.lit(float("nan")))
 
 
 def regression(rows: DataFrame, *keys: str, nonzero: bool = False, suffix: str = "") -> DataFrame:
-    """Errors of predictions by key, over rows with actual and predicted; ``nonzero`` takes rows whose actual isn't 0, and groups of more than two of them.
+    """Errors of predictions by key, over rows with actual, predicted and residual (taken as their distance where there is no such column).
 
-    Deviations of residuals are those of a population. The direction agreement compares
-    successive rows that have both values.
+    ``total_count`` and its kind are of all rows; a key without a valid row has null errors. With
+    ``nonzero``, only rows whose actual isn't 0 count, keys of more than two of them are given,
+    and the median relative error has nothing added to its denominator. Statistics of residuals are
+    those of the column, their deviation that of a population. The direction agreement compares
+    successive valid rows: whether both rise, or neither does.
     """
-    rows = rows.where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
+    rows = rows.withColumns({"actual": _number("actual"), "predicted": _number("predicted")})
+    rows = rows.withColumn("residual", _number("residual") if "residual" in rows.columns else F.abs(F.col("actual") - F.col("predicted")))
+    valid = F.col("actual").isNotNull() & F.col("predicted").isNotNull() & F.col("residual").isNotNull()
+    rows = rows.withColumn("_ok", valid & (F.col("actual") != 0) if nonzero else valid)
+    before = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    own = {name: F.when(F.col("_ok"), F.col(name)) for name in ("actual", "predicted", "residual")}
+    rows = rows.withColumns({f"_{name}": c for name, c in own.items()} | {f"_{name}_before": F.last(own[name], ignorenulls=True).over(before) for name in ("actual", "predicted")})
+    e, size = F.col("_actual") - F.col("_predicted"), F.abs("_actual")
+    rows = rows.withColumns({"_e": e, "_ape": F.abs(e) / F.greatest(size, F.lit(EPSILON)), "_pe": e / (size + SMALL), "_small_ape": F.abs(e) / (size if nonzero else size + SMALL), "_rises": (F.col("_actual") > F.col("_actual_before")) == (F.col("_predicted") > F.col("_predicted_before"))})
+    squares, spread, n = F.sum(F.col("_e") * F.col("_e")), F.var_pop("_actual"), F.count("_e")
+    stats = {
+        "rmse": F.sqrt(F.avg(F.col("_e") * F.col("_e"))),
+        "mae": F.avg(F.abs("_e")),
+        "medae": F.expr("percentile(abs(_e), 0.5)"),
+        "p75_ae": F.expr("percentile(abs(_e), 0.75)"),
+        "p90_ae": F.expr("percentile(abs(_e), 0.9)"),
+        "r2": F.when(n >= 2, F.when(spread > 0, 1 - squares / (spread * n)).when(squares == 0, 1.0).otherwise(0.0)),
+        "mape": F.avg("_ape"),
+        "median_ape": F.expr("percentile(_small_ape, 0.5)"),
+        "wape": F.try_divide(F.sum(F.abs("_e")), F.sum(F.abs("_actual"))),
+        "mean_residual": F.avg("_residual"),
+        "std_residual": F.stddev_pop("_residual"),
+        "max_residual": F.max("_residual"),
+        "min_residual": F.min("_residual"),
+        "normalized_rmse": F.when(spread > 0, F.sqrt(F.avg(F.col("_e") * F.col("_e"))) / F.sqrt(spread)),
+        "prediction_bias": F.avg(-F.col("_e")),
+        "mpe": F.avg("_pe"),
+        "direction_accuracy": F.avg(F.col("_rises").cast("double")),
+    }
     if nonzero:
-        rows = rows.where("actual != 0")
-    each = Window.partitionBy(*keys).orderBy("ts")
-    rows = rows.withColumns({"e": F.col("actual") - F.col("predicted"), "da": F.col("actual") - F.lag("actual").over(each), "dp": F.col("predicted") - F.lag("predicted").over(each)})
-    rows = rows.withColumn("ape", F.abs("e") / F.greatest(F.abs("actual"), F.lit(EPSILON)))
-    out = rows.groupBy(*keys).agg(
-        F.count("*").alias("count"),
-        F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
-        F.avg(F.abs("e")).alias("mae"),
-        F.expr("percentile(abs(e), 0.5)").alias("medae"),
-        F.expr("percentile(abs(e), 0.75)").alias("p75_ae"),
-        F.expr("percentile(abs(e), 0.9)").alias("p90_ae"),
-        (1 - F.try_divide(F.sum(F.col("e") * F.col("e")), F.var_pop("actual") * F.count("*"))).alias("r2"),
-        F.avg("ape").alias("mape"),
-        F.expr("percentile(ape, 0.5)").alias("median_ape"),
-        F.try_divide(F.sum(F.abs("e")), F.sum(F.abs("actual"))).alias("wape"),
-        F.avg("e").alias("mean_residual"),
-        F.stddev_pop("e").alias("std_residual"),
-        F.max("e").alias("max_residual"),
-        F.min("e").alias("min_residual"),
-        F.try_divide(F.sqrt(F.avg(F.col("e") * F.col("e"))), F.stddev_pop("actual")).alias("normalized_rmse"),
-        F.avg(F.col("predicted") - F.col("actual")).alias("prediction_bias"),
-        F.avg(F.col("e") / F.greatest(F.abs("actual"), F.lit(EPSILON))).alias("mpe"),
-        F.avg(F.when(F.col("da").isNotNull(), (F.signum("da") == F.signum("dp")).cast("double"))).alias("direction_accuracy"),
-    )
-    out = out.where("count > 2") if nonzero else out
-    return out.withColumnsRenamed({c: f"metric_{c}{suffix}" for c in out.columns if c not in keys})
+        counts = {"count": n}
+    else:
+        zero = F.count_if(F.col("_actual") == 0)
+        counts = {"total_count": F.count("*"), "valid_count": n, "nan_count": F.count("*") - n, "valid_percentage": 100 * n / F.count("*"), "non_zero_count": n - zero, "zero_count": zero, "non_zero_percentage": F.try_divide(100 * (n - zero), n)}
+    out = rows.groupBy(*keys).agg(*(c.alias(f"metric_{name}{suffix}") for name, c in (counts | stats).items()))
+    return out.where(F.col(f"metric_count{suffix}") > 2) if nonzero else out
 
 
 def confusion(rows: DataFrame, *keys: str, predicted: str = "is_anomaly_predicted", actual: str = "is_anomaly_actual") -> DataFrame:
@@ -67,41 +86,121 @@ def common_meters(results: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.intersect(b), (df.select("meter_id") for df in results.values()))
 
 
-def model_summary(results: dict[str, DataFrame], metrics: list[str], *, most_mae: float | None = None, only_common: bool = True) -> DataFrame:
-    """A row per metric with each model's mean, sample deviation and median, over meters that all models have."""
+def converged(results: DataFrame) -> DataFrame:
+    """Results of meters both of whose fits have settled."""
+    return results.where(F.col("converged_train") & F.col("converged_second"))
+
+
+def model_summary(results: dict[str, DataFrame], metrics: list[str], *, most_mae: float | None = None, only_common: bool = True, only_converged: bool = False, most_size: float | None = None) -> DataFrame:
+    """A row per metric, in the order given, with each model's mean, sample deviation and median.
+
+    Each model's meters are filtered first (settled fits, a mean error of at most ``most_mae``);
+    then those that all models still have count. Values of ``most_size`` or more are left out.
+    """
+    if only_converged:
+        results = {name: converged(df) for name, df in results.items()}
+    if most_mae is not None:
+        results = {name: df.where(F.col("metric_mae") <= most_mae) for name, df in results.items()}
     parts = [df.withColumn("model", F.lit(name)).select("model", "meter_id", *metrics) for name, df in results.items()]
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    if most_mae is not None:
-        rows = rows.where(F.col("metric_mae") <= most_mae)
     if only_common:
         rows = rows.join(common_meters(results), "meter_id", "left_semi")
     long = rows.unpivot(["model", "meter_id"], metrics, "metric", "value")
+    if most_size is not None:
+        long = long.where(F.abs("value") < most_size)
     stats = (F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.expr("percentile(value, 0.5)").alias("median"))
-    return long.groupBy("metric").pivot("model", list(results)).agg(*stats)
+    return in_order(long.groupBy("metric").pivot("model", list(results)).agg(*stats), "metric", metrics)
+
+
+def in_order(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Rows sorted by where a column's value stands in a list; those that aren't in it come last, by name."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(column))
+    return rows.orderBy(F.when(place > 0, place).otherwise(len(names) + 1), column)
+
+
+def quantiles(rows: DataFrame, feature: str, shares: list[float], *, rows_a_bucket: int = 1_000_000) -> list[float]:
+    """Exact quantiles of a column over all rows, interpolated between neighbours; none for an empty one.
+
+    Rough quantiles part the values into buckets, the buckets' counts tell which hold the rows
+    that are asked for, and only those are looked at row by row, each in a task; equal values are
+    summed before. So no task holds more than a bucket's different values.
+    """
+    some = rows.where(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias("v"))
+    n = some.count()
+    if not n:
+        return []
+    parts = min(10_000, max(16, n // rows_a_bucket))
+    cuts = sorted(set(some.agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], F.lit(20 * parts))).first()[0]))
+    placed = some.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))) if len(cuts) <= 64 else _bucket_of(F.col("v"), cuts))
+    counts = dict(placed.groupBy("bucket").count().collect())  # a row for each bucket
+    first, at = {}, 0
+    for bucket in sorted(counts):
+        first[bucket] = at
+        at += counts[bucket]
+    wanted = sorted({r for share in shares for r in (int(share * (n - 1)), min(n - 1, int(share * (n - 1)) + 1))})
+    holding = {}
+    for r in wanted:
+        holding.setdefault(max(b for b in first if first[b] <= r), []).append(r)
+    values: dict[int, float] = {}
+    up_to = F.sum("n").over(Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.where(F.col("bucket").isin(list(holding))).groupBy("bucket", "v").agg(F.count("*").alias("n")).withColumn("last", up_to)
+    asked = F.create_map(*(F.lit(x) for b, own in holding.items() for x in (b, F.array(*(F.lit(r - first[b]) for r in own)))))
+    hit = F.filter(asked[F.col("bucket")], lambda r: (r < F.col("last")) & (r >= F.col("last") - F.col("n")))
+    for row in ranked.select("bucket", "v", F.explode(hit).alias("r")).collect():  # a row for each rank asked for
+        values[first[row["bucket"]] + row["r"]] = row["v"]
+    out = []
+    for share in shares:
+        low = int(share * (n - 1))
+        high = min(n - 1, low + 1)
+        out.append(values[low] + (values[high] - values[low]) * (share * (n - 1) - low))
+    return out
+
+
+def _bucket_of(value: Column, cuts: list[float]) -> Column:
+    """How many cuts are below the value, by halving."""
+    if not cuts:
+        return F.lit(0)
+    k = len(cuts) // 2
+    return F.when(value > cuts[k], k + 1 + _bucket_of(value, cuts[k + 1 :])).otherwise(_bucket_of(value, cuts[:k]))
 
 
 def quantile_bins(rows: DataFrame, feature: str, bins: int = 8) -> DataFrame:
     """Add ``bin``: which right-closed quantile interval the feature lies in (the lowest value is in the first); equal edges count once."""
-    edges = rows.where(F.col(feature).isNotNull()).agg(F.array_sort(F.array_distinct(F.expr(f"percentile({feature}, array({', '.join(str(k / bins) for k in range(bins + 1))}))"))).alias("_edges"))
-    below = F.size(F.filter("_edges", lambda e: e < F.col(feature)))
-    return rows.join(F.broadcast(edges)).withColumn("bin", F.when(F.col(feature).isNotNull(), F.greatest(below, F.lit(1)))).drop("_edges")  # edges is one row
+    edges = sorted(set(quantiles(rows, feature, [k / bins for k in range(bins + 1)])))
+    below = F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda e: e < F.col(feature)))
+    return rows.withColumn("bin", F.when(F.col(feature).isNotNull(), F.greatest(below, F.lit(1))))
+
+
+def quantile_profile(rows: DataFrame, feature: str, bins: int = 8) -> DataFrame:
+    """By quantile bin of a feature: meters, summed ``tp, fp, fn``, and precision, recall and F1 from the sums; null where a denominator is 0."""
+    sums = quantile_bins(rows.where(F.col(feature).isNotNull()), feature, bins).groupBy("bin").agg(F.count("*").alias("n"), F.min(feature).alias("low"), F.max(feature).alias("high"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    out = sums.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn"))})
+    good = (F.col("precision") > 0) & (F.col("recall") > 0)
+    return out.withColumn("f1", F.when(good, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, *keys: str) -> DataFrame:
-    """Counts in equal bins from ``low`` to ``high`` (closed at the top), with bin 0 below and ``bins + 1`` above."""
+    """Counts in equal bins from ``low`` to ``high`` (closed at the top), with bin 0 below and ``bins + 1`` above, and least, largest, mean and population deviation of the values in each."""
     width = (high - low) / bins
     v = F.col(value)
     bin_ = F.when(v < low, 0).when(v > high, bins + 1).otherwise(F.least(F.floor((v - low) / width) + 1, F.lit(bins)))
-    return rows.where(v.isNotNull()).groupBy(*keys, bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return rows.where(v.isNotNull()).groupBy(*keys, bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("largest"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
 
 
-def intermittency(rows: DataFrame, value: str = "diff") -> DataFrame:
-    """Average distance between non-zero values, their squared variation and share, by meter."""
+def value_box(rows: DataFrame, value: str, *keys: str, beyond: float = 3.0) -> DataFrame:
+    """Least, largest, mean, population deviation and kurtosis (3 for a normal law) of a value by key, and the share of rows beyond a size."""
     v = F.col(value)
-    some = F.count_if(v.isNotNull())
-    hits = F.count_if(v != 0)
-    own = F.when(v != 0, v)
-    return rows.groupBy("meter_id").agg(F.try_divide(some, hits).alias("adi"), F.pow(F.try_divide(F.stddev_pop(own), F.avg(own)), 2).alias("cv2"), F.try_divide(hits, some).alias("nonzero_share"))
+    return rows.where(v.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("largest"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), (F.kurtosis(v) + 3).alias("kurtosis"), F.avg((F.abs(v) > beyond).cast("double")).alias("beyond"))
+
+
+def intermittency(rows: DataFrame, value: str = "diff", zero: float = 0.0) -> DataFrame:
+    """Average distance between values above ``zero`` (infinite without any), their squared variation (deviation of a sample, 0 of a single one), counts and share, by meter; missing values are no periods."""
+    v = _number(value)
+    some, hits, own = F.count(v), F.count_if(v > zero), F.when(v > zero, v)
+    spread = F.when(hits == 1, 0.0).otherwise(F.stddev_samp(own))
+    return rows.groupBy("meter_id").agg(
+        F.when(some == 0, F.lit(None)).when(hits == 0, F.lit(float("inf"))).otherwise(some / F.nullif(hits, F.lit(0))).alias("adi"), F.pow(F.try_divide(spread, F.avg(own)), 2).alias("cv2"), some.alias("n_periods"), hits.alias("n_nonzero"), F.try_divide(hits, some).alias("nonzero_fraction")
+    )
 
 
 def scaled_errors(rows: DataFrame, season: int, *, trained: DataFrame | None = None) -> DataFrame:
@@ -113,40 +212,125 @@ def scaled_errors(rows: DataFrame, season: int, *, trained: DataFrame | None = N
     return mae.join(naive, "meter_id", "left").select("meter_id", "mae", F.try_divide("mae", "_1").alias("mase_naive"), F.try_divide("mae", "_m").alias("mase_seasonal"))
 
 
-def autocorrelation(rows: DataFrame, most: int, value: str = "diff") -> DataFrame:
-    """Autocorrelation of each meter up to ``most`` steps; none for a meter of fewer than twice as many rows or without variance.
+def _acf(x: np.ndarray, most: int) -> np.ndarray | None:
+    """Autocorrelations of lag 1 to ``most``; none for fewer than twice as many values or without variance."""
+    x = x[np.isfinite(x)]
+    if most < 1 or len(x) < 2 * most or len(x) < 2:
+        return None
+    x = x - x.mean()
+    size = 1 << int(2 * len(x) - 1).bit_length()
+    power = np.abs(np.fft.rfft(x, size)) ** 2
+    sums = np.fft.irfft(power, size)[: most + 1]
+    return sums[1:] / sums[0] if sums[0] > 0 and np.ptp(x) > 0 else None
 
-    Every row goes to as many windows as there are lags, so it suits a bounded number of them.
+
+def autocorrelation(rows: DataFrame, most: int, value: str = "diff") -> DataFrame:
+    """Autocorrelation of each meter up to ``most`` steps, by one transform of its rows in time; none for a meter of fewer than twice as many rows or without variance."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = _acf(group.sort_values("ts", kind="stable")[value].to_numpy(float), most)
+        n = 0 if found is None else most
+        return pd.DataFrame({"meter_id": [group["meter_id"].iloc[0]] * n, "lag": np.arange(1, n + 1), "acf": found if n else []})
+
+    return rows.select("meter_id", "ts", F.col(value).cast("double").alias(value)).groupBy("meter_id").applyInPandas(run, f"meter_id {rows.schema['meter_id'].dataType.simpleString()}, lag long, acf double")
+
+
+def autocorrelation_facts(rows: DataFrame, facts: DataFrame, value: str = "diff", seconds: float = 7 * 86400) -> DataFrame:
+    """By meter, over the lags that a week of its ``period`` holds: the autocorrelation of largest size and its lag, their mean and population deviation; nulls where there is none."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        period = group["period"].iloc[0]
+        found = _acf(group.sort_values("ts", kind="stable")[value].to_numpy(float), int(seconds // period) if period > 0 else 0)
+        k = int(np.abs(found).argmax()) if found is not None else None
+        out = {"max_autocorr": found[k], "max_autocorr_lag": k + 1, "autocorr_mean": found.mean(), "autocorr_std": found.std()} if found is not None else dict.fromkeys(("max_autocorr", "max_autocorr_lag", "autocorr_mean", "autocorr_std"))
+        return pd.DataFrame([{"meter_id": group["meter_id"].iloc[0]} | out]).astype({"max_autocorr_lag": object})
+
+    joined = rows.select("meter_id", "ts", F.col(value).cast("double").alias(value)).join(facts.select("meter_id", F.col("period").cast("double").alias("period")), "meter_id")
+    return joined.groupBy("meter_id").applyInPandas(run, f"meter_id {rows.schema['meter_id'].dataType.simpleString()}, max_autocorr double, max_autocorr_lag long, autocorr_mean double, autocorr_std double")
+
+
+def _normality(n: Column, skew: Column, kurtosis: Column) -> Column:
+    """Probability of skewness and excess kurtosis at least as far from a normal law's (D'Agostino and Pearson); null below 8 rows."""
+    y = skew * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+    beta = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + F.sqrt(2 * (beta - 1))
+    scaled = y / F.sqrt(2 / (w2 - 1))
+    by_skew = F.log(scaled + F.sqrt(scaled * scaled + 1)) / F.sqrt(0.5 * F.log(w2))
+    mean = 3.0 * (n - 1) / (n + 1)
+    spread = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3.0) * (n + 5))
+    x = (kurtosis + 3 - mean) / F.sqrt(spread)
+    third = 6.0 * (n * n - 5 * n + 2) / ((n + 7.0) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
+    a = 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / (third * third)))
+    lower = 1 + x * F.sqrt(2 / (a - 4))
+    cube = F.signum(lower) * F.pow((1 - 2 / a) / F.abs(lower), 1 / 3.0)
+    by_tails = (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
+    return F.when(n >= 8, F.exp(-0.5 * (by_skew * by_skew + by_tails * by_tails)))
+
+
+def filter_metrics(rows: DataFrame, *, nonzero_above: float = 0.0, tiny: float = 1e-10) -> DataFrame:
+    """Quality of a filter's run by meter, from ``actual, predicted, filtered, innovation, innovation_var`` and, where there is one, ``flagged``.
+
+    Errors of predictions and of filtered values, over all rows and (``_nonzero``) over those of
+    some size; how much smoother the filtered values are; whether innovations look like white
+    noise; what stands out at flagged rows; how steady the gain and the variance are. Variances are
+    those of a population, and ``tiny`` is added to denominators.
     """
     each = Window.partitionBy("meter_id").orderBy("ts")
-    centered = rows.where(F.col(value).isNotNull()).withColumns({"_x": F.col(value) - F.avg(value).over(Window.partitionBy("meter_id")), "_n": F.count("*").over(Window.partitionBy("meter_id"))}).where(F.col("_n") >= 2 * most)
-    lagged = centered.select("meter_id", "_x", *(F.lag("_x", k).over(each).alias(f"_{k}") for k in range(1, most + 1)))
-    sums = lagged.groupBy("meter_id").agg(F.sum(F.col("_x") * F.col("_x")).alias("_v"), *(F.sum(F.col("_x") * F.col(f"_{k}")).alias(f"_{k}") for k in range(1, most + 1)))
-    return sums.where("_v > 0").select("meter_id", "_v", F.posexplode(F.array(*(F.col(f"_{k}") for k in range(1, most + 1)))).alias("_k", "_s")).select("meter_id", (F.col("_k") + 1).alias("lag"), (F.col("_s") / F.col("_v")).alias("acf"))
-
+    earlier = each.rowsBetween(Window.unboundedPreceding, -1)
+    big = F.abs("actual") > nonzero_above
+    flagged = F.coalesce(F.col("flagged").cast("boolean"), F.lit(False)) if "flagged" in rows.columns else F.lit(False)
+    rows = rows.withColumns(
+        {
+            "_p": F.col("actual") - F.col("predicted"),
+            "_f": F.col("actual") - F.col("filtered"),
+            "_s": F.abs(F.col("innovation") / F.sqrt(F.col("innovation_var"))),
+            "_gain": F.try_divide(F.col("filtered") - F.col("predicted"), F.col("innovation")),
+            "_flagged": flagged,
+            "_innovation": F.lag("innovation").over(each),
+            "_filtered": F.lag("filtered").over(each),
+            "_da": F.col("actual") - F.lag("actual").over(each),
+            "_df": F.col("filtered") - F.lag("filtered").over(each),
+            "_da_nz": F.when(big, F.col("actual") - F.last(F.when(big, F.col("actual")), ignorenulls=True).over(earlier)),
+            "_df_nz": F.when(big, F.col("filtered") - F.last(F.when(big, F.col("filtered")), ignorenulls=True).over(earlier)),
+        }
+    )
 
-def filter_metrics(rows: DataFrame) -> DataFrame:
-    """Quality of a filter's run by meter, from measurements, predictions, filtered values, innovations and their variance."""
-    each = Window.partitionBy("meter_id").orderBy("ts")
-    tiny = 1e-10
-    rows = rows.withColumns({"_e": F.col("actual") - F.col("predicted"), "_s": F.col("innovation") / F.sqrt(F.col("innovation_var"))})
-    rows = rows.withColumns({"_before": F.lag("innovation").over(each), "_d": F.col("actual") - F.lag("actual").over(each), "_df": F.col("filtered") - F.lag("filtered").over(each)})
-    return rows.groupBy("meter_id").agg(
-        F.count("*").alias("n"),
-        F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("prediction_rmse"),
-        F.avg(F.abs("_e")).alias("prediction_mae"),
-        (100 * F.avg(F.when(F.col("actual") != 0, F.abs(F.col("_e") / F.col("actual"))))).alias("prediction_mape"),
-        F.avg(F.when(F.col("actual") != 0, F.abs("_e"))).alias("nonzero_mae"),
-        F.corr("actual", "filtered").alias("filter_corr"),
-        (F.var_pop("_df") / (F.var_pop("_d") + tiny)).alias("smoothing_ratio"),
-        F.avg("innovation").alias("innovation_mean"),
-        F.stddev_pop("innovation").alias("innovation_std"),
-        F.skewness("innovation").alias("innovation_skew"),
-        F.kurtosis("innovation").alias("innovation_kurtosis"),
-        F.corr("innovation", "_before").alias("innovation_autocorr"),
-        F.avg((F.abs("_s") > 3).cast("double")).alias("anomaly_rate"),
-        F.max(F.abs("_s")).alias("max_score"),
+    def errors(name: str, column: str, suffix: str, where: Column) -> dict[str, Column]:
+        e = F.when(where, F.col(column))
+        square = F.sum(e * e)
+        own = F.when(where, F.col("actual"))
+        out = {"mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "me": F.avg(e), "medae": F.percentile(F.abs(e), F.lit(0.5))}
+        if name == "prediction" or suffix:
+            out["r2"] = 1 - square / (F.var_pop(own) * F.count(own) + tiny)
+        return {f"{name}_{k}{suffix}": c for k, c in out.items()}
+
+    def smoothing(suffix: str, where: Column, da: str, df: str) -> dict[str, Column]:
+        a, f = F.when(where, F.col("actual")), F.when(where, F.col("filtered"))
+        ma, mf = F.coalesce(F.var_pop(da), F.lit(0.0)), F.coalesce(F.var_pop(df), F.lit(0.0))
+        return {f"measurement_variance{suffix}": F.var_pop(a), f"filtered_variance{suffix}": F.var_pop(f), f"variance_ratio{suffix}": F.var_pop(f) / (F.var_pop(a) + tiny), f"measurement_smoothness{suffix}": ma, f"filtered_smoothness{suffix}": mf, f"smoothness_gain{suffix}": (ma - mf) / (ma + tiny), f"filter_corr{suffix}": F.corr(a, f)}
+
+    every = F.lit(True)
+    normal = _normality(F.count("innovation").cast("double"), F.skewness("innovation"), F.kurtosis("innovation"))
+    autocorr = F.corr("innovation", "_innovation")
+    at, off = F.avg(F.when(F.col("_flagged"), F.abs("_f"))), F.avg(F.when(~F.col("_flagged"), F.abs("_f")))
+    stats = (
+        {"n": F.count("*"), "n_nonzero": F.count_if(big), "nonzero_pct": 100 * F.avg(big.cast("double"))}
+        | errors("prediction", "_p", "", every)
+        | {"prediction_mape": 100 * F.avg(F.abs(F.col("_p") / (F.col("actual") + tiny))), "prediction_nrmse": F.sqrt(F.avg(F.col("_p") * F.col("_p"))) / (F.stddev_pop("actual") + tiny)}
+        | errors("filtered", "_f", "", every)
+        | smoothing("", every, "_da", "_df")
+        | {"filtered_autocorr": F.corr("filtered", "_filtered")}
+        | errors("prediction", "_p", "_nonzero", big)
+        | errors("filtered", "_f", "_nonzero", big)
+        | smoothing("_nonzero", big, "_da_nz", "_df_nz")
+        | {"innovation_mean": F.avg("innovation"), "innovation_std": F.stddev_pop("innovation"), "innovation_skew": F.skewness("innovation"), "innovation_kurtosis": F.kurtosis("innovation"), "innovation_normality": normal, "innovation_autocorr": autocorr, "innovation_white": (F.abs(autocorr) < 0.1) & (normal > 0.05)}
+        | {"n_flagged": F.count_if("_flagged"), "flagged_pct": 100 * F.avg(F.col("_flagged").cast("double")), "mae_at_flagged": at, "mae_elsewhere": off, "suppression_ratio": at / (off + tiny), "score_at_flagged": F.avg(F.when(F.col("_flagged"), F.col("_s"))), "max_score": F.max("_s")}
+        | {f"gain_{n}": f("_gain") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))}
+        | {"gain_steady": F.stddev_pop("_gain") < 0.1}
+        | {f"variance_{n}": f("innovation_var") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))}
+        | {"variance_steady": F.max("innovation_var") / (F.min("innovation_var") + tiny) < 10}
     )
+    return rows.groupBy("meter_id").agg(*(c.alias(name) for name, c in stats.items()))
 
 
 GATES = {"initial": (10.0, 0.5, 0.95), "retrain": (15.0, 0.6, 1.0)}
@@ -174,9 +358,13 @@ def compared(results: dict[str, DataFrame], names: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, ["meter_id", "metric"], "full"), parts)
 
 
-def batch_totals(results: DataFrame) -> DataFrame:
-    """Meters by outcome and what their grids gained, over all."""
-    return results.agg(F.count("*").alias("n"), F.count_if(F.col("n_after") > 0).alias("n_success"), F.sum("n_before").alias("rows_before"), F.sum("n_after").alias("rows_after"), F.avg("fill_pct").alias("mean_fill_pct"))
+def batch_totals(results: DataFrame, unmatched: DataFrame | None = None) -> DataFrame:
+    """Meters by outcome and what their grids gained, over all; with ``unmatched``, the readings that grids left out as well."""
+    good = F.col("n_after") > 0
+    out = results.agg(
+        F.count("*").alias("n"), F.count_if(good).alias("n_success"), F.count_if(~F.coalesce(good, F.lit(False))).alias("n_failed"), F.sum("n_before").alias("rows_before"), F.sum("n_after").alias("rows_after"), F.sum("n_made_up").alias("rows_made_up"), F.avg("fill_pct").alias("mean_fill_pct")
+    )
+    return out if unmatched is None else out.join(unmatched.agg(F.count("*").alias("n_unmatched")))  # one row each
 
 
 def innovation_diagnostics(rows: DataFrame, most: int = 30) -> DataFrame:

@@ -37,13 +37,23 @@ def good_meters(rows: DataFrame) -> DataFrame:
     return out.withColumn("good", reduce(lambda a, b: a & b, (F.col(k) for k in checks)))
 
 
-def segments(rows: DataFrame, starts: DataFrame, *, train_days: int, second_days: int, predict_days: int) -> DataFrame:
-    """Rows in a meter's segments that follow each other from its ``start``: train, second, predict. Each is closed before and open after."""
+def segments(rows: DataFrame, starts: DataFrame, *, train_days: int | Column, second_days: int, predict_days: int) -> DataFrame:
+    """Rows in a meter's segments that follow each other from its ``start``: train, second, predict. Each is closed before and open after.
+
+    ``train_days`` may be a column, such as seven times ``weeks_to_train`` of the meter's period.
+    """
     day = F.datediff(F.col("ts"), F.col("start"))
-    name = F.when(day < train_days, "train").when(day < train_days + second_days, "second").when(day < train_days + second_days + predict_days, "predict")
+    train = train_days if isinstance(train_days, Column) else F.lit(train_days)
+    name = F.when(day < train, "train").when(day < train + second_days, "second").when(day < train + second_days + predict_days, "predict")
     return rows.join(starts, "meter_id").where(F.col("ts") >= F.col("start")).withColumn("segment", name).where(F.col("segment").isNotNull())
 
 
+def window_rows(rows: DataFrame, starts: DataFrame, *, weeks: int, train_weeks: int | None = None) -> DataFrame:
+    """Rows of each meter's window of ``weeks`` from its ``start``; with ``train_weeks``, ``segment`` tells the first ones (train) from the rest (stream)."""
+    out = rows.join(starts, "meter_id").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("start") + F.make_interval(weeks=F.lit(weeks))))
+    return out if train_weeks is None else out.withColumn("segment", F.when(F.col("ts") < F.col("start") + F.make_interval(weeks=F.lit(train_weeks)), "train").otherwise("stream"))
+
+
 def month_segments(rows: DataFrame, months: int = 3) -> DataFrame:
     """The last ``months`` calendar months of a meter: all but the last for training, that for prediction."""
     last = rows.groupBy("meter_id").agg(F.date_trunc("month", F.max("ts")).alias("_last"))
@@ -68,31 +78,73 @@ def seed_of(name: Column, seed: int) -> Column:
     return ((F.lit(seed).cast("decimal(38,0)") * 1000003 + F.crc32(name.cast("string").cast("binary"))) % F.lit(str(1 << 63)).cast("decimal(38,0)")).cast("long")
 
 
-def random_starts(facts: DataFrame, *, days: int, tries: int = 30) -> DataFrame:
-    """A day on which a window of ``days`` begins, drawn for each meter with its id as seed; meters whose data are too short have none."""
-    key = facts.schema["meter_id"].dataType.simpleString()
+def recent(rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """Rows of the year before ``now`` (the current time where it isn't given)."""
+    now = F.current_timestamp() if now is None else now
+    return rows.where(F.col("ts") > now - F.expr("INTERVAL 1 YEAR"))
+
+
+def active(facts: DataFrame, since: Column) -> DataFrame:
+    """Meters whose last reading isn't before ``since``."""
+    return facts.where(F.col("last_ts") >= since)
+
+
+def sampled(rows: DataFrame, key: str, n: int = 1, seed: int = 42) -> DataFrame:
+    """``n`` rows drawn by a seeded hash of their key: the same whatever their order or partitions."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
-    def draw(rows):
-        for pdf in rows:
+
+def first_meters(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of the first ``n`` meters by id."""
+    return rows.join(rows.select("meter_id").distinct().orderBy("meter_id").limit(n), "meter_id", "left_semi")
+
+
+def weeks_to_train(period: Column, long: int = 4, short: int = 2) -> Column:
+    """Weeks of training: fewer where a meter reads more often than every 20 minutes."""
+    return F.when(period < 20 * 60, short).otherwise(long)
+
+
+def random_starts(facts: DataFrame, *, days: int, tries: int = 30, seed: int | None = None, covered: DataFrame | None = None) -> DataFrame:
+    """A midnight at which a window of ``days`` begins, drawn for each meter.
+
+    A draw is a uniform time up to the last at which a window fits, taken back to midnight; it
+    counts if the window ends within the data and, with ``covered`` (rows with ``ts``), each of its
+    days has one. The seed is the meter's id if that is a number, else its checksum; with ``seed``
+    it is that of ``seed_of``. Meters whose data are too short, or whose draws all fail, have none.
+    """
+    key = facts.schema["meter_id"].dataType.simpleString()
+    number = F.col("meter_id").cast("string").try_cast("long")
+    own = F.coalesce(number, F.crc32(F.col("meter_id").cast("string").cast("binary"))) if seed is None else seed_of(F.col("meter_id"), seed)
+    rows = facts.where(F.col("meter_id").isNotNull()).select("meter_id", "first_ts", "last_ts", F.abs(own).alias("seed"))
+    if covered is not None:
+        held = covered.groupBy("meter_id").agg(F.collect_set(F.unix_date(F.to_date("ts"))).alias("held"))  # a number for each day of a meter
+        rows = rows.join(held, "meter_id", "left")
+
+    def draw(frames):
+        for pdf in frames:
             out = []
-            for meter, first, last in pdf.itertuples(index=False):
-                rng = np.random.default_rng(int(meter))
-                span = (last - first).total_seconds() - days * 86400
-                for _ in range(tries if span > 0 else 0):
-                    start = (first + pd.Timedelta(seconds=int(rng.integers(0, int(span) + 1)))).floor("D")
-                    if start >= first.floor("D") and start + pd.Timedelta(days=days) <= last:
+            for meter, first, last, number, *held in pdf.itertuples(index=False):
+                if pd.isna(first) or pd.isna(last):
+                    continue
+                rng = np.random.default_rng(int(number))
+                span = last - first - pd.Timedelta(days=days)
+                own = set() if not held or held[0] is None else set(held[0])
+                for _ in range(tries if span >= pd.Timedelta(0) else 0):
+                    start = (first + span * rng.random()).floor("D")
+                    day = (start - pd.Timestamp(0)).days
+                    if start + pd.Timedelta(days=days) <= last and (not held or all(day + k in own for k in range(days))):
                         out.append((meter, start))
                         break
             yield pd.DataFrame(out, columns=["meter_id", "start"])
 
-    return facts.select("meter_id", "first_ts", "last_ts").mapInPandas(draw, f"meter_id {key}, start timestamp")
+    return rows.mapInPandas(draw, f"meter_id {key}, start timestamp")
 
 
 def split_meters(meters: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Add ``part``: train for that share of the meters, rounded down, in the order of a seeded hash; test for the others."""
-    n = meters.count()
-    first = meters.select("meter_id").distinct().orderBy(F.xxhash64("meter_id", F.lit(seed)), "meter_id").limit(int(share * n)).withColumn("part", F.lit("train"))
-    return meters.join(first, "meter_id", "left").fillna("test", ["part"])
+    """Add ``part``: train for that share of the different meters, rounded down, in the order of a seeded hash; test for the others. A null id is a meter too."""
+    ids = meters.select("meter_id").distinct()
+    first = ids.orderBy(F.xxhash64("meter_id", F.lit(seed)), "meter_id").limit(int(share * ids.count())).select(F.col("meter_id").alias("_train"))
+    return meters.join(first, F.col("meter_id").eqNullSafe(F.col("_train")), "left_semi").withColumn("part", F.lit("train")).unionByName(meters.join(first, F.col("meter_id").eqNullSafe(F.col("_train")), "left_anti").withColumn("part", F.lit("test")))
 
 
 def inject_spikes(rows: DataFrame, *, least: int = 1, most: int = 10, low: float = 3.0, high: float = 10.0, seed: int = 42) -> DataFrame:

@@ -40,17 +40,19 @@ def stable(rows: DataFrame, n: int = 24, value: str = "diff", quantile: float =
 
 
 def filled(rows: DataFrame, value: str = "reading") -> DataFrame:
-    """Missing values from the row before, from the row after, and between both by row and by time (ends are carried on)."""
-    back, ahead = by_time().rowsBetween(Window.unboundedPreceding, 0), by_time().rowsBetween(0, Window.unboundedFollowing)
+    """Missing values from the row before (0 where there is none, which ``_any`` tells), from the row after, and between both by row and by time (ends are carried on)."""
+    # the row after is the last one seen from the end: a frame that only grows, where one that shrinks would be gone through anew for each row
+    back = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("meter_id").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), seconds(F.col("ts")).alias("t"), F.col("_n").alias("n")))
-    out = rows.withColumn("_n", F.row_number().over(by_time())).withColumns({"_a": F.last(known, ignorenulls=True).over(back), "_b": F.first(known, ignorenulls=True).over(ahead)})
+    out = rows.withColumn("_n", F.row_number().over(by_time())).withColumns({"_a": F.last(known, ignorenulls=True).over(back), "_b": F.last(known, ignorenulls=True).over(ahead)})
 
     def between(at, field: str):
         share = F.try_divide(at - F.col(f"_a.{field}"), F.col(f"_b.{field}") - F.col(f"_a.{field}"))
         inner = F.col("_a.v") + F.coalesce(share, F.lit(0.0)) * (F.col("_b.v") - F.col("_a.v"))
         return F.coalesce(inner, F.col("_a.v"), F.col("_b.v"))
 
-    return out.withColumns({f"{value}_ffill": F.coalesce(F.col("_a.v"), F.lit(0.0)), f"{value}_bfill": F.col("_b.v"), f"{value}_linear": between(F.col("_n"), "n"), f"{value}_time": between(seconds(F.col("ts")), "t")}).drop("_n", "_a", "_b")
+    return out.withColumns({f"{value}_any": F.col("_a").isNotNull(), f"{value}_ffill": F.coalesce(F.col("_a.v"), F.lit(0.0)), f"{value}_bfill": F.col("_b.v"), f"{value}_linear": between(F.col("_n"), "n"), f"{value}_time": between(seconds(F.col("ts")), "t")}).drop("_n", "_a", "_b")
 
 
 def cumulative(rows: DataFrame, value: str = "diff") -> DataFrame:
@@ -64,6 +66,15 @@ def valid_pairs(rows: DataFrame, period: float, tolerance: float = 0.1) -> DataF
     return out.withColumn("warned", F.coalesce(F.col("valid_pct") < 80, F.lit(True)))
 
 
+def state_vectors(rows: DataFrame, size: int, period: float, *, tolerance: float = 0.1, value: str = "diff") -> DataFrame:
+    """The ``size`` values up to each row, in order, and the value after it, where the distances of all these rows from those before them are within ``tolerance`` of the period; rows without a value don't count."""
+    known = rows.where(F.col(value).isNotNull()).withColumn("_gap", seconds(F.col("ts")) - F.lag(seconds(F.col("ts"))).over(by_time()))
+    odd = F.max((~F.coalesce(F.abs(F.col("_gap") - period) <= tolerance * period, F.lit(False))).cast("int")).over(by_time().rowsBetween(1 - size, 1))
+    own = by_time().rowsBetween(1 - size, 0)
+    held = known.withColumns({"state": F.collect_list(value).over(own), "next": F.lead(value).over(by_time()), "_odd": odd, "_n": F.count("*").over(own)})
+    return held.where((F.col("_n") == size) & F.col("next").isNotNull() & (F.col("_odd") == 0)).select("meter_id", "ts", "state", "next")
+
+
 def warmed_up(rows: DataFrame, n: int = 480) -> DataFrame:
     """Rows of a meter after its first ``n``."""
     return rows.withColumn("_n", F.row_number().over(by_time())).where(F.col("_n") > n).drop("_n")

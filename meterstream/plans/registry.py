@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import clock, columns
 from ..operators import grid, impute, joins, metrics, pipeline, prep, scores, split, windows
 from ..streaming import detector
-from . import views
-from .views import HOURLY, PAIRS, forecast_pairs, hourly_meters, rounded, table
+from ..sources import tables
+from ..sources.shared import shared_path
+from .views import DAY_BEFORE, GAPPY, HOURLY, PAIRS, PATTERNED, day_before, forecast_pairs, gappy_meters, hourly_meters, patterned_meters, rounded, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +25,7 @@ def query(sql: str | None = None, digits: int | None = 6) -> Callable:
         name = make.__name__
         QUERIES[name] = (lambda spark, sf_dir: rounded(make(spark, sf_dir), digits)) if digits is not None else make
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = sql.replace(', 6) AS', f', {digits}) AS') if digits == 3 else sql
         return make
 
     return register
@@ -79,10 +80,15 @@ def prj_rename_clash(spark, sf_dir):
     return columns.renamed(rows, {"o_custkey": "meter_id", "o_orderdate": "ts", "o_totalprice": "reading"}).where("reading > 1000").select("meter_id", "ts", "reading")
 
 
-@query("SELECT 'metric_mae' AS name UNION ALL SELECT 'metric_rmse'", None)
+@query(f"WITH {PAIRS} SELECT meter_id, round(avg(residual), 6) AS metric_mae, round(sqrt(avg(residual ** 2)), 6) AS metric_rmse, count(*) FILTER (actual <> 0) AS metric_non_zero_count FROM s GROUP BY 1")
 def prj_metric_columns(spark, sf_dir):
-    names = columns.metric_columns(["filename", "metric_mae", "metric_rmse", "metric_mae_nz", "unresampled_metric_mae"])
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    rows = forecast_pairs(spark, sf_dir)
+    all_of = metrics.regression(rows, "meter_id").join(metrics.regression(rows, "meter_id", nonzero=True, suffix="_nz"), "meter_id").withColumn("unresampled_metric_mae", F.lit(0.0))
+    own = all_of.select("meter_id", *columns.metric_columns(all_of.columns))
+    twins = columns.metric_columns(all_of.columns, nonzero=True)
+    if set(twins) & set(own.columns) - {"metric_total_count", "metric_valid_count", "metric_nan_count", "metric_non_zero_count", "metric_zero_count"}:
+        raise AssertionError(f"errors over all rows among {twins}")
+    return own.select("meter_id", "metric_mae", "metric_rmse", "metric_non_zero_count")
 
 
 @query(f"WITH {HOURLY}, d AS (SELECT meter_id, ts, reading - lag(reading) {_W} - 150 AS x FROM m) SELECT meter_id, {_E}, round(CASE WHEN x <= -0.002 THEN NULL WHEN x < 0 THEN 0 ELSE x END, 6) AS cleaned, round(CASE WHEN x < 0 THEN 0 ELSE x END, 6) AS clipped FROM d")
@@ -133,25 +139,43 @@ def ts_period(spark, sf_dir):
     return grid.periods(hourly_meters(spark, sf_dir))
 
 
-@query("SELECT p AS mode, CASE WHEN p < 180 THEN NULL WHEN p IN (180, 240) THEN p * 5 WHEN p IN (300, 360) THEN p * 3 WHEN p IN (420, 500) THEN p * 2 ELSE p END AS period FROM (SELECT unnest([120, 180, 240, 300, 360, 420, 500, 600, 3619]) AS p)", None)
+@query("WITH p AS (SELECT p_partkey, 90 + p_partkey % 700 AS p FROM part) SELECT p_partkey AS meter_id, p AS mode, CASE WHEN p < 180 THEN NULL WHEN p < 300 THEN p * 5 WHEN p < 420 THEN p * 3 WHEN p < 600 THEN p * 2 ELSE p END AS period FROM p", None)
 def ts_effective_period(spark, sf_dir):
-    modes = spark.createDataFrame([(p,) for p in (120, 180, 240, 300, 360, 420, 500, 600, 3619)], "mode int")
-    return modes.select("mode", clock.effective_period(F.col("mode")).alias("period"))
+    modes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("meter_id"), (90 + F.col("p_partkey") % 700).alias("mode"))
+    return modes.withColumn("period", clock.effective_period(F.col("mode")))
 
 
-@query(f"SELECT event_id, (round_even((hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 1800.0, 0)::BIGINT % 48) AS position, 48::BIGINT AS daily, 336::BIGINT AS weekly, 4::BIGINT AS k FROM events")
+@query(f"SELECT event_id, (round_even((hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts))) / 1800.0, 0)::BIGINT % 48) AS position, 48::BIGINT AS daily, 336::BIGINT AS weekly, 4::BIGINT AS k, 2::BIGINT AS k_coarse FROM events")
 def ts_position(spark, sf_dir):
     p = F.lit(1800.0)
     daily = clock.steps_per_day(p)
-    return table(spark, sf_dir, "events").select("event_id", clock.position(F.col("ts"), p, daily).cast("long").alias("position"), daily.cast("long").alias("daily"), clock.steps_per_cycle(p, "weekly").cast("long").alias("weekly"), clock.neighbourhood(daily).cast("long").alias("k"))
-
-
-@query("""
-    SELECT event_id, floor(epoch(ts - INTERVAL 1 HOUR))::BIGINT AS ts_utc FROM events
-""")
+    return table(spark, sf_dir, "events").select("event_id", clock.position(F.col("ts"), p, daily).cast("long").alias("position"), daily.cast("long").alias("daily"), clock.steps_per_cycle(p, "weekly").cast("long").alias("weekly"), clock.neighbourhood(daily).cast("long").alias("k"), clock.neighbourhood(clock.steps_per_day(F.lit(14400.0))).cast("long").alias("k_coarse"))
+
+
+#: Local times around both clock changes of a year, and what they are in UTC: for meters with an even number, whose hour that occurs twice comes whole and in order, and for the others, who have it once.
+_CLOCK = [
+    ("2024-03-31 01:30:00", "2024-03-31 00:30:00", "2024-03-31 00:30:00"),
+    ("2024-03-31 02:00:00", None, None),
+    ("2024-03-31 02:45:00", None, None),
+    ("2024-03-31 03:00:00", "2024-03-31 01:00:00", "2024-03-31 01:00:00"),
+    ("2024-07-01 12:00:00", "2024-07-01 10:00:00", "2024-07-01 10:00:00"),
+    ("2024-10-27 01:30:00", "2024-10-26 23:30:00", "2024-10-26 23:30:00"),
+    ("2024-10-27 02:00:00", "2024-10-27 00:00:00", None),
+    ("2024-10-27 02:30:00", "2024-10-27 00:30:00", None),
+    ("2024-10-27 02:00:00", "2024-10-27 01:00:00", "absent"),
+    ("2024-10-27 02:30:00", "2024-10-27 01:30:00", "absent"),
+    ("2024-10-27 03:00:00", "2024-10-27 02:00:00", "2024-10-27 02:00:00"),
+    ("2024-12-01 00:00:00", "2024-11-30 23:00:00", "2024-11-30 23:00:00"),
+]
+_CLOCK_SQL = " UNION ALL ".join(f"SELECT {k} AS ordinal, {'NULL::TIMESTAMP' if a is None else f'TIMESTAMP {a!r}'} AS even, {'NULL::TIMESTAMP' if b in (None, 'absent') else f'TIMESTAMP {b!r}'} AS odd, {str(b == 'absent').lower()} AS absent" for k, (_, a, b) in enumerate(_CLOCK))
+
+
+@query(f"WITH c AS ({_CLOCK_SQL}) SELECT c_custkey AS meter_id, ordinal, epoch(CASE WHEN c_custkey % 2 = 0 THEN even ELSE odd END)::BIGINT AS ts_utc FROM customer, c WHERE c_custkey % 2 = 0 OR NOT absent")
 def ts_local_to_utc(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("meter_id"), F.col("ts").cast("timestamp").alias("ts_local"), F.col("event_id").alias("ordinal"))
-    return clock.local_to_utc(rows).select("event_id", "ts_utc")
+    times = F.array(*(F.struct(F.lit(k).alias("ordinal"), F.lit(t).alias("text"), F.lit(b == "absent").alias("absent")) for k, (t, _, b) in enumerate(_CLOCK)))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meter_id"), F.inline(times)).where((F.col("meter_id") % 2 == 0) | ~F.col("absent"))
+    local = rows.select("meter_id", "ordinal", clock.parsed_local(F.col("text")).alias("ts_local"))
+    return clock.local_to_utc(local).select("meter_id", "ordinal", "ts_utc")
 
 
 @query(f"WITH {HOURLY}, c AS (SELECT meter_id, ts::DATE AS day, count(*) AS n FROM m GROUP BY 1, 2), d AS (SELECT meter_id, unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM m GROUP BY 1) SELECT meter_id, strftime(day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM d LEFT JOIN c USING (meter_id, day)")
@@ -225,27 +249,58 @@ def mdl_sigma_floor(spark, sf_dir):
     return joined.select("meter_id", "ts", scores.floored(F.col("sd"), F.col("global_std"), F.col("typical")).alias("sd"))
 
 
-def _regression_sql(where: str, suffix: str, having: str) -> str:
+def _regression_sql(view: str, nonzero: bool) -> str:
+    suffix = "_nz" if nonzero else ""
+    errors = {
+        "rmse": "sqrt(avg(e * e))",
+        "mae": "avg(abs(e))",
+        "medae": "quantile_cont(abs(e), 0.5)",
+        "p75_ae": "quantile_cont(abs(e), 0.75)",
+        "p90_ae": "quantile_cont(abs(e), 0.9)",
+        "r2": "CASE WHEN count(e) < 2 THEN NULL WHEN var_pop(a) > 0 THEN 1 - sum(e * e) / (var_pop(a) * count(e)) WHEN sum(e * e) = 0 THEN 1 ELSE 0 END",
+        "mape": "avg(abs(e) / greatest(abs(a), 2.220446049250313e-16))",
+        "median_ape": f"quantile_cont(abs(e) / (abs(a) + {0 if nonzero else '1e-8'}), 0.5)",
+        "wape": "sum(abs(e)) / nullif(sum(abs(a)), 0)",
+        "mean_residual": "avg(r)",
+        "std_residual": "stddev_pop(r)",
+        "max_residual": "max(r)",
+        "min_residual": "min(r)",
+        "normalized_rmse": "sqrt(avg(e * e)) / nullif(stddev_pop(a), 0)",
+        "prediction_bias": "avg(p - a)",
+        "mpe": "avg(e / (abs(a) + 1e-8))",
+        "direction_accuracy": "avg(((a > a0) = (p > p0))::INT)",
+    }
+    counts = "count(*) AS metric_count_nz" if nonzero else "any_value(n) AS metric_total_count, count(e) AS metric_valid_count, any_value(n) - count(e) AS metric_nan_count, round(100 * count(e) / any_value(n), 6) AS metric_valid_percentage, count(*) FILTER (a <> 0) AS metric_non_zero_count, count(*) FILTER (a = 0) AS metric_zero_count, round(100 * count(*) FILTER (a <> 0) / nullif(count(e), 0), 6) AS metric_non_zero_percentage"
     return f"""
-    WITH {PAIRS}, v AS (SELECT *, actual - predicted AS e, abs(actual - predicted) / greatest(abs(actual), 2.220446049250313e-16) AS ape, actual - lag(actual) {_W} AS da, predicted - lag(predicted) {_W} AS dp FROM s WHERE {where})
-    SELECT meter_id, count(*) AS metric_count{suffix}, round(sqrt(avg(e * e)), 6) AS metric_rmse{suffix}, round(avg(abs(e)), 6) AS metric_mae{suffix}, round(quantile_cont(abs(e), 0.5), 6) AS metric_medae{suffix}, round(quantile_cont(abs(e), 0.75), 6) AS metric_p75_ae{suffix}, round(quantile_cont(abs(e), 0.9), 6) AS metric_p90_ae{suffix},
-           round(1 - sum(e * e) / nullif(var_pop(actual) * count(*), 0), 6) AS metric_r2{suffix}, round(avg(ape), 6) AS metric_mape{suffix}, round(quantile_cont(ape, 0.5), 6) AS metric_median_ape{suffix}, round(sum(abs(e)) / nullif(sum(abs(actual)), 0), 6) AS metric_wape{suffix},
-           round(avg(e), 6) AS metric_mean_residual{suffix}, round(stddev_pop(e), 6) AS metric_std_residual{suffix}, round(max(e), 6) AS metric_max_residual{suffix}, round(min(e), 6) AS metric_min_residual{suffix}, round(sqrt(avg(e * e)) / nullif(stddev_pop(actual), 0), 6) AS metric_normalized_rmse{suffix},
-           round(avg(predicted - actual), 6) AS metric_prediction_bias{suffix}, round(avg(e / greatest(abs(actual), 2.220446049250313e-16)), 6) AS metric_mpe{suffix}, round(avg(CASE WHEN da IS NOT NULL THEN (sign(da) = sign(dp))::INT END), 6) AS metric_direction_accuracy{suffix}
-    FROM v GROUP BY 1 {having}
+    WITH {view}, n AS (SELECT meter_id, count(*) AS n FROM s GROUP BY 1),
+    v0 AS (SELECT meter_id, ts, actual AS a, predicted AS p, residual AS r FROM s WHERE actual IS NOT NULL AND NOT isnan(actual) AND predicted IS NOT NULL AND NOT isnan(predicted) AND residual IS NOT NULL AND NOT isnan(residual){' AND actual <> 0' if nonzero else ''}),
+    v AS (SELECT *, a - p AS e, lag(a) {_W} AS a0, lag(p) {_W} AS p0 FROM v0)
+    SELECT n.meter_id, {counts}, {', '.join(f'round({c}, 6) AS metric_{name}{suffix}' for name, c in errors.items())}
+    FROM n LEFT JOIN v ON n.meter_id = v.meter_id GROUP BY 1 {'HAVING count(e) > 2' if nonzero else ''}
     """
 
 
-@query(_regression_sql("true", "", ""))
+@query(_regression_sql(PAIRS, False))
 def agg_regression(spark, sf_dir):
     return metrics.regression(forecast_pairs(spark, sf_dir), "meter_id")
 
 
-@query(_regression_sql("actual <> 0", "_nz", "HAVING count(*) > 2"))
+@query(_regression_sql(PAIRS, True))
 def agg_regression_nonzero(spark, sf_dir):
     return metrics.regression(forecast_pairs(spark, sf_dir), "meter_id", nonzero=True, suffix="_nz")
 
 
+@query(_regression_sql(DAY_BEFORE, False), 3)
+def agg_regression_of_gaps(spark, sf_dir):
+    """Zeros, flat steps, missing values and residuals that aren't the distance; relative errors against zeros are large, so few decimals are compared."""
+    return metrics.regression(day_before(spark, sf_dir), "meter_id")
+
+
+@query(_regression_sql(DAY_BEFORE, True))
+def agg_regression_of_gaps_nonzero(spark, sf_dir):
+    return metrics.regression(day_before(spark, sf_dir), "meter_id", nonzero=True, suffix="_nz")
+
+
 _CONFUSION = _FLAGGED + ", cm AS (SELECT meter_id, count(*) FILTER (is_anomaly_actual = 1 AND is_anomaly_predicted = 1) AS tp, count(*) FILTER (is_anomaly_actual = 0 AND is_anomaly_predicted = 0) AS tn, count(*) FILTER (is_anomaly_actual = 0 AND is_anomaly_predicted = 1) AS fp, count(*) FILTER (is_anomaly_actual = 1 AND is_anomaly_predicted = 0) AS fn FROM f GROUP BY 1)"
 
 
@@ -290,7 +345,7 @@ def agg_quantile_bins(spark, sf_dir):
     return metrics.quantile_bins(table(spark, sf_dir, "lineitem").select("l_quantity"), "l_quantity").groupBy("bin").agg(F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
-@query("SELECT l_returnflag, (CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity > 40 THEN 7 ELSE least(floor((l_quantity - 10) / 5.0) + 1, 6) END)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_returnflag, (CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity > 40 THEN 7 ELSE least(floor((l_quantity - 10) / 5.0) + 1, 6) END)::BIGINT AS bin, count(*) AS n, round(min(l_quantity), 6) AS least, round(max(l_quantity), 6) AS largest, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY 1, 2")
 def agg_histogram(spark, sf_dir):
     return metrics.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 10.0, 40.0, 6, "l_returnflag")
 
@@ -300,9 +355,15 @@ def agg_hour_profile(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.hour("ts").alias("hour"), F.date_format("ts", "EEEE").alias("day")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query(f"WITH {HOURLY} SELECT meter_id, round(count(*)::DOUBLE / count(*) FILTER (diff <> 0), 6) AS adi, round((stddev_pop(diff) FILTER (diff <> 0) / avg(diff) FILTER (diff <> 0)) ** 2, 6) AS cv2, round(count(*) FILTER (diff <> 0) / count(*)::DOUBLE, 6) AS nonzero_share FROM m GROUP BY 1")
+_UNEVEN = PATTERNED + ", u AS (SELECT meter_id, CASE WHEN k % 50 = 49 THEN NULL WHEN k % 11 = 0 THEN -diff WHEN meter_id % 3 = 0 AND k <> 30 THEN 0 ELSE diff END AS diff FROM pm)"
+
+
+@query(f"WITH {_UNEVEN} SELECT meter_id, round(count(diff) / nullif(count(*) FILTER (diff > 0), 0)::DOUBLE, 6) AS adi, round((CASE WHEN count(*) FILTER (diff > 0) = 1 THEN 0 ELSE stddev_samp(diff) FILTER (diff > 0) END / avg(diff) FILTER (diff > 0)) ** 2, 6) AS cv2, count(diff) AS n_periods, count(*) FILTER (diff > 0) AS n_nonzero, round(count(*) FILTER (diff > 0) / count(diff)::DOUBLE, 6) AS nonzero_fraction FROM u GROUP BY 1")
 def agg_intermittency(spark, sf_dir):
-    return metrics.intermittency(hourly_meters(spark, sf_dir))
+    k = F.col("k")
+    diff = F.when(k % 50 == 49, F.lit(None)).when(k % 11 == 0, -F.col("diff")).when((F.col("meter_id") % 3 == 0) & (k != 30), 0.0).otherwise(F.col("diff"))
+    found = metrics.intermittency(patterned_meters(spark, sf_dir).withColumn("diff", diff))
+    return found.withColumn("adi", F.nullif("adi", F.lit(float("inf"))))  # SQL's division gives null
 
 
 @query(f"WITH {PAIRS}, n AS (SELECT meter_id, abs(actual - lag(actual) {_W}) AS a, abs(actual - lag(actual, 24) {_W}) AS b, residual FROM s) SELECT meter_id, round(avg(residual), 6) AS mae, round(avg(residual) / nullif(avg(a), 0), 6) AS mase_naive, round(avg(residual) / nullif(avg(b), 0), 6) AS mase_seasonal FROM n GROUP BY 1")
@@ -319,6 +380,17 @@ def agg_acf(spark, sf_dir):
     return metrics.autocorrelation(hourly_meters(spark, sf_dir), 6)
 
 
+@query(f"""
+    WITH {PATTERNED}, c AS (SELECT meter_id, k, diff - avg(diff) OVER (PARTITION BY meter_id) AS x FROM pm),
+    l AS (SELECT meter_id, x, {', '.join(f'lag(x, {k}) OVER (PARTITION BY meter_id ORDER BY k) AS l{k}' for k in range(1, 31))} FROM c),
+    a AS ({' UNION ALL '.join(f'SELECT meter_id, {k}::BIGINT AS lag, sum(x * l{k}) / sum(x * x) AS acf FROM l GROUP BY 1 HAVING sum(x * x) > 0' for k in range(1, 31))})
+    SELECT meter_id, round(arg_max(acf, abs(acf)), 6) AS max_autocorr, arg_max(lag, abs(acf)) AS max_autocorr_lag, round(avg(acf), 6) AS autocorr_mean, round(stddev_pop(acf), 6) AS autocorr_std FROM a GROUP BY 1
+""")
+def agg_acf_facts(spark, sf_dir):
+    rows = patterned_meters(spark, sf_dir).select("meter_id", "ts", "diff")
+    return metrics.autocorrelation_facts(rows, grid.periods(rows), seconds=30 * 3600)
+
+
 @query("""
     WITH r AS (SELECT c_custkey AS meter_id, CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN c_custkey % 3 = 0 THEN (CASE WHEN c_custkey % 2 = 0 THEN 'ValueError' ELSE 'KeyError' END) || ': ' || c_custkey END AS error FROM customer)
     SELECT split_part(error, ':', 1) AS reason, count(*) AS n FROM r WHERE status <> 'success' GROUP BY 1 ORDER BY n DESC, reason LIMIT 5
@@ -422,7 +494,7 @@ def ts_segments(spark, sf_dir):
     SELECT meter_id, {_E}, round(reading, 6) AS reading, CASE WHEN reading IS NULL THEN 0 ELSE 1 END::BIGINT AS readings_count, reading IS NULL AS interpolated FROM c LEFT JOIN x USING (meter_id, ts)
 """)
 def ts_hourly(spark, sf_dir):
-    return grid.hourly(hourly_meters(spark, sf_dir).where(F.hour("ts") % 7 != 3))
+    return grid.hourly(hourly_meters(spark, sf_dir).where(F.hour("ts") % 7 != 3)).drop("time_gap")
 
 
 @query(f"WITH {HOURLY}, x AS (SELECT * FROM m WHERE hour(ts) % 7 < 5), g AS (SELECT meter_id, ts, (floor((epoch(lead(ts) {_W}) - epoch(ts)) / 3600) - 1)::INT AS n FROM x) SELECT meter_id, epoch(ts)::BIGINT + 3600 * unnest(range(1, n + 1)) AS ts FROM g WHERE n >= 1")
@@ -431,12 +503,44 @@ def ts_gap_rows(spark, sf_dir):
 
 
 @query(f"""
-    WITH {HOURLY}, g AS (SELECT meter_id, unnest(generate_series(min(ts) + INTERVAL 1 HOUR, max(ts), INTERVAL 1 HOUR)) AS ts FROM m GROUP BY 1 HAVING count(*) > 1),
-    f AS (SELECT g.meter_id, g.ts, m.reading FROM g LEFT JOIN m USING (meter_id, ts))
-    SELECT meter_id, {_E}, round(reading, 6) AS reading, round(reading - lag(reading) {_W}, 6) AS diff, reading IS NULL AS synthetic FROM f
+    WITH {PATTERNED}, f AS (SELECT meter_id, k, ts + CASE WHEN k % 24 = 13 THEN INTERVAL 2 MINUTE ELSE INTERVAL 0 MINUTE END AS ts, k % 24 IN (3, 10, 17) AS synthetic, CASE WHEN k % 24 IN (3, 10, 17) THEN NULL ELSE reading END AS reading FROM pm WHERE k > 0)
+    SELECT meter_id, {_E}, round(reading, 6) AS reading, round(reading - lag(reading) OVER (PARTITION BY meter_id ORDER BY k), 6) AS diff, synthetic FROM f
 """)
 def ts_gap_fill(spark, sf_dir):
-    return grid.fill_gaps(hourly_meters(spark, sf_dir)).select("meter_id", "ts", "reading", "diff", "synthetic")
+    return grid.fill_gaps(gappy_meters(spark, sf_dir)).select("meter_id", "ts", "reading", "diff", "synthetic")
+
+
+@query(f"""
+    WITH {HOURLY}, x AS (SELECT * FROM m WHERE hour(ts) % 7 <> 3), t AS (SELECT *, epoch(ts) - lag(epoch(ts)) {_W} AS gap FROM x), c AS (SELECT meter_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM x GROUP BY 1),
+    f AS (SELECT c.meter_id, c.ts, x.reading, x.gap FROM c LEFT JOIN t AS x USING (meter_id, ts))
+    SELECT meter_id, {_E}, round(last_value(reading IGNORE NULLS) OVER (PARTITION BY meter_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS reading, reading IS NULL AS interpolated, round(gap, 6) AS time_gap FROM f
+""")
+def ts_hourly_filled(spark, sf_dir):
+    return grid.hourly(hourly_meters(spark, sf_dir).where(F.hour("ts") % 7 != 3), "last", "ffill").select("meter_id", "ts", "reading", "interpolated", "time_gap")
+
+
+@query(f"""
+    WITH {PATTERNED}, x AS (SELECT meter_id, k, ts, reading FROM pm WHERE k % 24 % 7 < 5 AND reading IS NOT NULL), g AS (SELECT *, lead(k) OVER (PARTITION BY meter_id ORDER BY k) AS k2, lead(reading) OVER (PARTITION BY meter_id ORDER BY k) AS r2 FROM x)
+    SELECT meter_id, {_E}, round(reading, 6) AS reading, false AS synthetic FROM x
+    UNION ALL SELECT meter_id, epoch(ts)::BIGINT + 3600 * o, round(reading + (r2 - reading) * o / (k2 - k), 6), true FROM (SELECT *, unnest(range(1, k2 - k)) AS o FROM g)
+""")
+def ts_gap_filled(spark, sf_dir):
+    return grid.gap_filled(patterned_meters(spark, sf_dir).where((F.col("k") % 24 % 7 < 5) & F.col("reading").isNotNull()), 3600.0)
+
+
+@query(f"WITH {GAPPY}, w AS (SELECT meter_id, epoch(ts) - lag(epoch(ts)) {_W} AS gap FROM gm), c AS (SELECT meter_id, gap, count(*) AS n FROM w WHERE gap IS NOT NULL GROUP BY 1, 2), t AS (SELECT meter_id, arg_min(gap, (-n, gap)) AS mode_seconds FROM c GROUP BY 1) SELECT meter_id, round(any_value(mode_seconds), 6) AS mode_seconds, count(*) FILTER (gap > mode_seconds + 300) AS n_late, round(max(gap), 6) AS longest_gap, count(*) FILTER (gap > mode_seconds + 300) = 0 AS periodic FROM w JOIN t USING (meter_id) GROUP BY 1")
+def ts_off_period(spark, sf_dir):
+    return grid.off_period(gappy_meters(spark, sf_dir))
+
+
+@query(f"""
+    WITH {GAPPY}, d AS (SELECT meter_id, ts, diff, row_number() {_W} AS n, epoch(ts) - lag(epoch(ts)) {_W} AS gap FROM gm),
+    w AS (SELECT *, [{', '.join(f'lag(diff, {4 - k}) {_W}' for k in range(5))}] AS state, lead(diff) {_W} AS next, max(CASE WHEN abs(gap - 3600) <= 360 THEN 0 ELSE 1 END) OVER (PARTITION BY meter_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 1 FOLLOWING) AS odd FROM d)
+    SELECT meter_id, {_E}, array_to_string(list_transform(state, lambda x: (x * 8)::BIGINT), ',') AS state, round(next, 6) AS next FROM w WHERE n >= 5 AND next IS NOT NULL AND odd = 0
+""")
+def win_state_vectors(spark, sf_dir):
+    found = windows.state_vectors(gappy_meters(spark, sf_dir), 5, 3600.0)
+    return found.withColumn("state", F.array_join(F.transform("state", lambda x: (x * 8).cast("long").cast("string")), ","))
 
 
 _LEVEL = f"""
@@ -444,14 +548,14 @@ _LEVEL = f"""
     rec AS (SELECT meter_id, k, ts, y, y AS x, 10.0::DOUBLE AS p, NULL::DOUBLE AS predicted, NULL::DOUBLE AS variance FROM o WHERE k = 1
             UNION ALL
             SELECT o.meter_id, o.k, o.ts, o.y, {{update}}, rec.x, rec.p + 4.0 + 25.0 FROM rec JOIN o ON o.meter_id = rec.meter_id AND o.k = rec.k + 1)
-    SELECT meter_id, epoch(ts)::BIGINT AS ts, round(y, 6) AS actual, round(greatest(predicted, 0), 6) AS predicted, round(variance, 6) AS variance FROM rec WHERE k > 1
+    SELECT meter_id, epoch(ts)::BIGINT AS ts, round(y, 6) AS actual, round(greatest(predicted, 0), 6) AS predicted, round(variance, 6) AS variance, round(abs(y - predicted) / sqrt(variance), 6) AS magnitude FROM rec WHERE k > 1
 """
 _GAIN = "(rec.p + 4.0) / (rec.p + 4.0 + 25.0)"
 
 
 @query(f"WITH RECURSIVE {HOURLY}, {_LEVEL.format(update=f'rec.x + {_GAIN} * (o.y - rec.x), (rec.p + 4.0) * 25.0 / (rec.p + 4.0 + 25.0)')}")
 def mdl_local_level(spark, sf_dir):
-    return pipeline.local_level(hourly_meters(spark, sf_dir), q=4.0, r=25.0, p0=10.0)
+    return pipeline.local_level(hourly_meters(spark, sf_dir), q=4.0, r=25.0, p0=10.0).drop("error")
 
 
 _SMALL = "abs(o.y - rec.x) <= 20.0 * sqrt(rec.p + 4.0 + 25.0)"
@@ -459,7 +563,7 @@ _SMALL = "abs(o.y - rec.x) <= 20.0 * sqrt(rec.p + 4.0 + 25.0)"
 
 @query(f"WITH RECURSIVE {HOURLY}, {_LEVEL.format(update=f'CASE WHEN {_SMALL} THEN rec.x + {_GAIN} * (o.y - rec.x) ELSE rec.x END, CASE WHEN {_SMALL} THEN (rec.p + 4.0) * 25.0 / (rec.p + 4.0 + 25.0) ELSE rec.p + 4.0 END')}")
 def mdl_local_level_masked(spark, sf_dir):
-    return pipeline.local_level(hourly_meters(spark, sf_dir), q=4.0, r=25.0, p0=10.0, threshold=20.0)
+    return pipeline.local_level(hourly_meters(spark, sf_dir), q=4.0, r=25.0, p0=10.0, threshold=20.0).drop("error")
 
 
 @query()
@@ -491,14 +595,14 @@ def mdl_seasonal_strength(spark, sf_dir):
 
 @query()
 def mdl_fit(spark, sf_dir):
-    return pipeline.fit_meters(hourly_meters(spark, sf_dir), checked=False, most=30).drop("seconds", "model", "theta")
+    return pipeline.fit_meters(hourly_meters(spark, sf_dir), checked=False).drop("seconds", "model", "theta")
 
 
 @query()
 def mdl_evaluate(spark, sf_dir):
     filled = grid.fill_gaps(hourly_meters(spark, sf_dir))
     starts = filled.select("meter_id").distinct().withColumn("start", F.lit("2024-01-02").cast("timestamp"))
-    return metrics.regression(pipeline.evaluate_meters(split.segments(filled, starts, train_days=14, second_days=7, predict_days=5), most=20).where("segment = 'predict'"), "meter_id")
+    return metrics.regression(pipeline.evaluate_meters(split.segments(filled, starts, train_days=14, second_days=7, predict_days=5)).where("segment = 'predict'"), "meter_id")
 
 
 @query()
@@ -513,7 +617,7 @@ def mdl_negative_binomial(spark, sf_dir):
 
 @query()
 def mdl_recurrent(spark, sf_dir):
-    return pipeline.recurrent(hourly_meters(spark, sf_dir), epochs=2)
+    return pipeline.recurrent(hourly_meters(spark, sf_dir))
 
 
 @query()
@@ -528,14 +632,14 @@ def mdl_lag_filter(spark, sf_dir):
 
 @query()
 def mdl_recursive_least_squares(spark, sf_dir):
-    return pipeline.transitions(hourly_meters(spark, sf_dir), steps=24).select("meter_id", "unstable", F.size("a").alias("n"))
+    return pipeline.transitions(hourly_meters(spark, sf_dir)).select("meter_id", "unstable", F.size("a").alias("n"))
 
 
 @query()
 def str_replay(spark, sf_dir):
     rows = hourly_meters(spark, sf_dir)
     cut = F.lit("2024-01-22").cast("timestamp")
-    models = pipeline.fit_meters(rows.where(F.col("ts") < cut), checked=False, most=20).where("status = 'success'").select("meter_id", "model")
+    models = pipeline.fit_meters(rows.where(F.col("ts") < cut), checked=False).where("status = 'success'").select("meter_id", "model")
     return detector.status_counts(detector.replay(rows.where(F.col("ts") >= cut), models))
 
 
@@ -552,10 +656,13 @@ def ts_at_frequency(spark, sf_dir):
     return grid.at_frequency(hourly_meters(spark, sf_dir).where(F.hour("ts") % 7 != 3))
 
 
-@query(f"WITH {HOURLY}, n AS (SELECT meter_id, ts, lead(ts) {_W} AS after_ts, row_number() {_W} AS k FROM m) SELECT meter_id, {_E}, epoch(after_ts)::BIGINT AS after_ts FROM n WHERE k = 1")
+@query(f"""
+    WITH {GAPPY}, n AS (SELECT meter_id, k, ts, lag(ts) {_W} AS before_ts, lead(ts) {_W} AS after_ts, minute(ts) = 20 AS extra FROM gm)
+    SELECT meter_id, {_E}, epoch(before_ts)::BIGINT AS before_ts, epoch(after_ts)::BIGINT AS after_ts, epoch(CASE WHEN extra THEN before_ts ELSE after_ts END)::BIGINT AS slot_ts, CASE WHEN extra THEN -1200.0 ELSE 3600.0 END AS slot_distance, false AS slot_synthetic FROM n WHERE extra OR k = 0
+""")
 def ts_unmatched(spark, sf_dir):
-    rows = hourly_meters(spark, sf_dir)
-    return grid.unmatched(rows, grid.fill_gaps(rows)).select("meter_id", "ts", "after_ts")
+    rows = gappy_meters(spark, sf_dir)
+    return grid.unmatched(rows, grid.fill_gaps(rows)).select("meter_id", "ts", "before_ts", "after_ts", "slot_ts", "slot_distance", "slot_synthetic")
 
 
 @query(f"WITH {HOURLY}, x AS (SELECT *, epoch(ts) - lag(epoch(ts)) {_W} AS gap FROM m) SELECT meter_id, {_E}, round(gap, 6) AS gap_seconds FROM x WHERE gap < 1800 OR gap > 5400")
@@ -572,19 +679,22 @@ def ts_month_segments(spark, sf_dir):
     return split.month_segments(rows).groupBy("meter_id", "segment").agg(F.count("*").alias("n"))
 
 
-_REPORT = HOURLY + ", g AS (SELECT meter_id, count(*) AS n_before, (epoch(max(ts)) - epoch(min(ts)))::BIGINT // 3600 AS n_after FROM m GROUP BY 1 HAVING count(*) > 1), rp AS (SELECT meter_id, n_before, n_after, 100.0 * (n_after - (n_before - 1)) / n_after AS fill_pct FROM g)"
+_REPORT = GAPPY + """, b AS (SELECT meter_id, count(*) AS n_before FROM gm GROUP BY 1), g AS (SELECT meter_id, count(*) AS n_after, count(*) FILTER (k % 24 IN (3, 10, 17)) AS n_made_up, count(reading) FILTER (k % 24 NOT IN (3, 10, 17)) AS kept FROM pm WHERE k > 0 GROUP BY 1),
+    rp AS (SELECT meter_id, n_before, n_after, n_made_up, 100.0 * (n_after - kept) / n_after AS fill_pct, 1 - n_after / n_before AS reduction, kept / n_before AS preserved, 238 / 239.0 AS coverage, n_made_up / n_after AS made_up_rate FROM b JOIN g USING (meter_id))
+"""
 
 
-@query(f"WITH {_REPORT} SELECT meter_id, n_before, n_after, round(fill_pct, 6) AS fill_pct, round(1 - n_after / n_before, 6) AS reduction, round((n_before - 1) / n_before, 6) AS preserved FROM rp")
+@query(f"WITH {_REPORT} SELECT meter_id, n_before, n_after, n_made_up, {_round('fill_pct reduction preserved coverage made_up_rate')} FROM rp")
 def agg_fill_report(spark, sf_dir):
-    rows = hourly_meters(spark, sf_dir)
+    rows = gappy_meters(spark, sf_dir)
     return grid.fill_report(rows, grid.fill_gaps(rows))
 
 
-@query(f"WITH {_REPORT} SELECT count(*) AS n, count(*) FILTER (n_after > 0) AS n_success, sum(n_before)::BIGINT AS rows_before, sum(n_after)::BIGINT AS rows_after, round(avg(fill_pct), 6) AS mean_fill_pct FROM rp")
+@query(f"WITH {_REPORT} SELECT count(*) AS n, count(*) FILTER (n_after > 0) AS n_success, 0::BIGINT AS n_failed, sum(n_before)::BIGINT AS rows_before, sum(n_after)::BIGINT AS rows_after, sum(n_made_up)::BIGINT AS rows_made_up, round(avg(fill_pct), 6) AS mean_fill_pct, (SELECT count(*) FROM gm WHERE k = 0 OR minute(ts) = 20) AS n_unmatched FROM rp")
 def agg_batch_totals(spark, sf_dir):
-    rows = hourly_meters(spark, sf_dir)
-    return metrics.batch_totals(grid.fill_report(rows, grid.fill_gaps(rows)))
+    rows = gappy_meters(spark, sf_dir)
+    filled = grid.fill_gaps(rows)
+    return metrics.batch_totals(grid.fill_report(rows, filled), grid.unmatched(rows, filled))
 
 
 @query("SELECT c_custkey AS meter_id, (c_custkey % 10) / 10.0 >= 0.5 AS good_strength, CASE WHEN c_custkey % 7 = 0 THEN false ELSE (c_custkey % 13) / 10.0 < 0.95 END AS good_mase, c_custkey % 20 <= 10 AS good_fill FROM customer")
@@ -635,11 +745,274 @@ def win_cubic_imputation(spark, sf_dir):
 @query()
 def mdl_warm_start(spark, sf_dir):
     rows = hourly_meters(spark, sf_dir)
-    previous = pipeline.fit_meters(rows, checked=False, most=10).select("meter_id", "theta", "signature")
-    return pipeline.fit_meters(rows, previous=previous, checked=False, most=10).select("meter_id", "status", "warm_started", "llf")
+    cut = F.lit("2024-01-20").cast("timestamp")
+    previous = pipeline.fit_meters(rows.where(F.col("ts") < cut), checked=False)
+    return pipeline.fit_meters(rows, previous=previous, checked=False).select("meter_id", "status", "warm_started", "converged", "llf", "mase", "mase_seasonal", "error")
 
 
 @query()
 def str_rolling_refit(spark, sf_dir):
-    records = pipeline.rolling_refit(hourly_meters(spark, sf_dir), train_days=14, predict_days=7, slide_days=7, most=8)
+    records = pipeline.rolling_refit(hourly_meters(spark, sf_dir), train_days=14, predict_days=7, slide_days=7, checked=False)
     return records.groupBy("meter_id", "window_start", "status").agg(F.count("*").alias("n"))
+
+
+@query()
+def str_rolling_summary(spark, sf_dir):
+    return pipeline.rolling_summary(pipeline.rolling_refit(hourly_meters(spark, sf_dir), train_days=14, predict_days=7, slide_days=7, checked=False))
+
+
+@query()
+def mdl_count_thresholds(spark, sf_dir):
+    """Thresholds stored for each meter from its first weeks, and the later rows scored by them."""
+    rows = hourly_meters(spark, sf_dir)
+    cut = F.lit("2024-01-20").cast("timestamp")
+    models = pipeline.count_models(rows.where(F.col("ts") < cut), scale=50.0)
+    path = shared_path(spark, "count-models")
+    tables.write_models(models, path)
+    scored = pipeline.count_scores(rows.where(F.col("ts") >= cut), tables.read_models(spark, path))
+    return scored.groupBy("meter_id").agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged"), F.avg("score").alias("mean_score"))
+
+
+@query()
+def mdl_reconstruction(spark, sf_dir):
+    found = pipeline.reconstruction(hourly_meters(spark, sf_dir))
+    return found.groupBy("meter_id").agg(F.count("*").alias("n"), F.avg("residual").alias("mean_residual"), F.sum("rolling_flag").alias("n_flagged"))
+
+
+# --- sources and sinks: written to the shared folder, read back, and held against the table itself
+
+
+@query("SELECT user_id AS meter_id, floor(epoch(ts))::BIGINT AS ts_local, CASE WHEN event_id % 9 = 0 THEN NULL ELSE round(value, 6) END AS reading FROM events")
+def src_delivery(spark, sf_dir):
+    path = shared_path(spark, "delivery")
+    text = F.when(F.col("event_id") % 9 == 0, "nan").otherwise(F.col("value").cast("string"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), text.alias("hodnota"), (F.col("event_id") % 3).alias("part"))
+    rows.write.partitionBy("part").option("sep", ";").option("header", True).csv(path)
+    return tables.read_delivery(spark, path).select("meter_id", "ts_local", "reading")
+
+
+@query("SELECT user_id AS meter_id, floor(epoch(ts))::BIGINT AS ts_local, round(value, 6) AS reading FROM events")
+def src_vendor_export(spark, sf_dir):
+    path = shared_path(spark, "export")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("VAR_ID"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Time of reading"), F.col("value").alias("Value"), F.lit(0).alias("Unit"))
+    rows.write.option("sep", ";").option("header", True).csv(path)
+    return tables.read_delivery(spark, path).select("meter_id", "ts_local", "reading")
+
+
+@query("SELECT s_suppkey AS meter_id, epoch(TIMESTAMP '2024-05-31 22:00:00' + to_hours((k)::INT))::BIGINT AS ts, s_acctbal + k AS reading FROM supplier, range(48) AS r(k)")
+def src_segments(spark, sf_dir):
+    """Segments in local time, a folder for each meter, with rows without a time."""
+    path = shared_path(spark, "segments")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("meter_id"), F.explode(F.sequence(F.lit(0), F.lit(48))).alias("k"), "s_acctbal")
+    local = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit("2024-06-01 00:00:00")) + F.col("k") * 3600), "yyyy-MM-dd HH:mm:ss")
+    rows.select("meter_id", F.when(F.col("k") < 48, local).alias("timestamp"), (F.col("s_acctbal") + F.col("k")).alias("hodnota")).write.partitionBy("meter_id").option("header", True).csv(path)
+    return tables.read_segment(spark, path)
+
+
+@query("SELECT c_custkey AS meter_id, round(c_acctbal, 6) AS mean_reading FROM customer WHERE c_custkey % 4 <> 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey % 4 = 0")
+def src_metadata_key(spark, sf_dir):
+    path = shared_path(spark, "metadata")
+    tables.write_metadata(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meter_id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("mean_reading"), F.col("c_name").alias("name")), path)
+    return tables.read_key(spark, path, "mean_reading")
+
+
+@query("""
+    WITH a AS (SELECT c_custkey AS meter_id, c_nationkey AS zone, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS kind FROM customer), b AS (SELECT o_custkey + 7 AS meter_id, max(o_orderstatus) AS kind, count(*) AS n FROM orders GROUP BY 1)
+    SELECT coalesce(a.meter_id, b.meter_id) AS meter_id, zone::BIGINT AS zone, coalesce(b.kind, a.kind) AS kind, n FROM a FULL JOIN b USING (meter_id)
+""")
+def snk_metadata_upsert(spark, sf_dir):
+    facts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meter_id"), F.col("c_nationkey").alias("zone"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("kind"))
+    more = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 7).alias("meter_id")).agg(F.max("o_orderstatus").alias("kind"), F.count("*").alias("n"))
+    return tables.augmented(facts, more)
+
+
+@query("SELECT c_custkey AS meter_id, round(c_acctbal, 6) AS metric_mae FROM customer WHERE c_custkey % 3 <> 0")
+def src_successes(spark, sf_dir):
+    path = shared_path(spark, "results")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meter_id"), F.when(F.col("c_custkey") % 3 == 0, "failed").otherwise("success").alias("status"), F.col("c_acctbal").alias("metric_mae"), F.array(F.lit(0.0)).alias("z_scores"))
+    tables.write_results(rows, path)
+    return tables.successes(spark.read.parquet(f"{path}/results")).select("meter_id", "metric_mae")
+
+
+@query(f"WITH {_STATS}, n AS (SELECT meter_id, row_number() {_W} - 1 AS step, z_score FROM z) SELECT meter_id, step, round(z_score, 6) AS z_score FROM n")
+def snk_flat_scores(spark, sf_dir):
+    path = shared_path(spark, "scores")
+    whole = _scored(spark, sf_dir).groupBy("meter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "z_score"))), lambda x: x["z_score"]).alias("z_scores"))
+    tables.write_results(whole, path)
+    return spark.read.parquet(f"{path}/scores")
+
+
+@query("SELECT user_id AS meter_id, year(ts)::BIGINT AS year, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2", 2)
+def snk_shards(spark, sf_dir):
+    """Written by meter and year, and the shards of both halves put together again."""
+    path = shared_path(spark, "shards")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("meter_id"), "ts", F.col("value").alias("reading"))
+    for half in (0, 1):
+        split.shards(rows.where(F.col("meter_id") % 2 == half), f"{path}/{half}")
+    back = tables.concatenated([spark.read.parquet(f"{path}/{half}") for half in (0, 1)])
+    return back.groupBy("meter_id", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"), F.sum("reading").alias("total"))
+
+
+@query(f"WITH {_FLAGGED} SELECT meter_id, count(*) AS n_predictions, sum(is_anomaly_predicted)::BIGINT AS n_flagged, (SELECT count(*) FROM f f2 WHERE f2.meter_id = f.meter_id) AS n_written FROM f GROUP BY 1")
+def snk_predictions(spark, sf_dir):
+    path = shared_path(spark, "predictions")
+    records = scores.flags_and_bands(_scored(spark, sf_dir))
+    tables.write_predictions(records, records.groupBy("meter_id").agg(F.count("*").alias("n_predictions"), F.sum("is_anomaly_predicted").alias("n_flagged")), path)
+    written = spark.read.parquet(f"{path}/predictions").groupBy("meter_id").agg(F.count("*").alias("n_written"))
+    return spark.read.parquet(f"{path}/summary").join(written, "meter_id")
+
+
+@query(f"""
+    WITH {PATTERNED}, w AS (SELECT meter_id, TIMESTAMP '2024-03-02' + to_days((meter_id % 4)::INT) AS start FROM (SELECT DISTINCT meter_id FROM pm)), x AS (SELECT w.meter_id, w.start, pm.ts FROM w LEFT JOIN pm ON pm.meter_id = w.meter_id AND meter_id % 5 <> 0 AND pm.ts >= w.start AND pm.ts < w.start + INTERVAL 7 DAY)
+    SELECT meter_id, epoch(CASE WHEN count(ts) > 0 THEN any_value(start) END)::BIGINT AS start, epoch(min(ts))::BIGINT AS first_ts, epoch(max(ts))::BIGINT AS last_ts, count(ts) AS n_rows, CASE WHEN count(ts) > 0 THEN 'success' ELSE 'no_window' END AS status FROM x GROUP BY 1
+""".replace("meter_id % 5 <> 0", "w.meter_id % 5 <> 0"))
+def snk_segments(spark, sf_dir):
+    rows = patterned_meters(spark, sf_dir)
+    starts = rows.select("meter_id").distinct().withColumn("start", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-02 00:00:00")) + F.col("meter_id") % 4 * 86400))
+    windows_ = split.window_rows(rows.where(F.col("meter_id") % 5 != 0), starts, weeks=1)
+    return tables.write_segments(windows_, starts, shared_path(spark, "segments"))
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE round(value, 6) END AS value, event_id % 4 = 0 AS has_null FROM events")
+def snk_json_records(spark, sf_dir):
+    path = shared_path(spark, "records")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value"))
+    tables.as_json(rows).write.text(path)
+    read = spark.read.text(path).select(F.from_json("value", "event_id long, event_type string, value double").alias("r"), F.col("value").contains('"value":null').alias("has_null"))
+    return read.select("r.*", "has_null")
+
+
+@query("SELECT c_nationkey::BIGINT AS k, count(*) AS n FROM customer GROUP BY 1")
+def src_computed_once(spark, sf_dir):
+    path = shared_path(spark, "once")
+    tables.computed_once(spark, path, lambda: table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n")))
+
+    def never():
+        raise AssertionError("computed twice")
+
+    return tables.computed_once(spark, path, never)
+
+
+@query("SELECT s_suppkey AS meter_id, (s_suppkey % 5)::BIGINT AS unstable, round(s_acctbal, 6) AS a0, round(s_acctbal / 4, 6) AS a1 FROM supplier")
+def snk_models(spark, sf_dir):
+    path = shared_path(spark, "models")
+    own = F.col("s_acctbal")
+    tables.write_models(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("meter_id"), F.array(own, own / 4).alias("a"), (F.col("s_suppkey") % 5).alias("unstable")), path)
+    return tables.read_models(spark, path).select("meter_id", "unstable", F.col("a")[0].alias("a0"), F.col("a")[1].alias("a1"))
+
+
+@query("SELECT event_id, user_id AS meter_id, floor(epoch(ts))::BIGINT AS ts, CASE WHEN event_id % 4 = 3 THEN round(value, 6) END AS reading, event_id % 4 = 3 AS valid FROM events")
+def src_single_readings(spark, sf_dir):
+    """Readings as a caller gives them, all text."""
+    text = F.element_at(F.array(F.lit("NaN"), F.lit(" null "), F.lit(""), F.col("value").cast("string")), (F.col("event_id") % 4 + 1).cast("int"))
+    given = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("meter"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), text.alias("text"))
+    return given.select("event_id", F.col("meter").try_cast("long").alias("meter_id"), clock.parsed_local(F.col("at")).alias("ts"), columns.number(F.col("text")).alias("reading"), columns.number(F.col("text")).isNotNull().alias("valid"))
+
+
+# --- filters, orders and samples
+
+
+@query("SELECT o_orderkey, epoch(o_orderdate::TIMESTAMP)::BIGINT AS ts FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders)::TIMESTAMP - INTERVAL 1 YEAR")
+def flt_recent_year(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
+    now = rows.agg(F.max("ts")).first()[0]
+    return split.recent(rows, F.lit(now))
+
+
+@query("SELECT o_custkey AS meter_id, epoch(max(o_orderdate)::TIMESTAMP)::BIGINT AS last_ts FROM orders GROUP BY 1 HAVING max(o_orderdate) >= DATE '1998-01-01'")
+def flt_active(spark, sf_dir):
+    facts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("meter_id")).agg(F.max("o_orderdate").cast("timestamp").alias("last_ts"))
+    return split.active(facts, F.lit("1998-01-01").cast("timestamp"))
+
+
+@query("SELECT event_id, floor(epoch(ts))::BIGINT AS ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-09'")
+def flt_closed_slice(spark, sf_dir):
+    return split.between(table(spark, sf_dir, "events"), F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-09").cast("timestamp_ntz"), closed=True).select("event_id", "ts")
+
+
+_FILTERED = """
+    r AS (SELECT c_custkey AS meter_id, 'one' AS model, c_acctbal AS metric_mae, c_custkey % 5 <> 0 AS ok, abs(c_acctbal) * 2 AS metric_rmse FROM customer UNION ALL SELECT c_custkey, 'two', c_acctbal / 2, c_custkey % 7 <> 0, abs(c_acctbal) FROM customer),
+    f AS (SELECT * FROM r WHERE ok AND metric_mae <= 5000), g AS (SELECT * FROM f WHERE meter_id IN (SELECT meter_id FROM f GROUP BY 1 HAVING count(*) = 2)),
+    l AS (SELECT model, 1 AS place, 'metric_rmse' AS metric, metric_rmse AS v FROM g UNION ALL SELECT model, 2, 'metric_mae', metric_mae FROM g)
+"""
+
+
+@query(f"WITH {_FILTERED} SELECT any_value(place)::BIGINT AS place, metric, {', '.join(f'round({f}(v) FILTER (model = {m!r}), 6) AS {m}_{n}' for m in ('one', 'two') for n, f in (('mean', 'avg'), ('std', 'stddev_samp'), ('median', 'median')))} FROM l WHERE abs(v) < 8000 GROUP BY metric")
+def agg_filtered_summary(spark, sf_dir):
+    """Settled fits only, no large errors, meters that both models still have, no extreme values, metrics in the order asked for."""
+    own = table(spark, sf_dir, "customer")
+    one = own.select(F.col("c_custkey").alias("meter_id"), F.lit(True).alias("converged_train"), (F.col("c_custkey") % 5 != 0).alias("converged_second"), F.col("c_acctbal").alias("metric_mae"), (F.abs("c_acctbal") * 2).alias("metric_rmse"))
+    two = own.select(F.col("c_custkey").alias("meter_id"), (F.col("c_custkey") % 7 != 0).alias("converged_train"), F.lit(True).alias("converged_second"), (F.col("c_acctbal") / 2).alias("metric_mae"), F.abs("c_acctbal").alias("metric_rmse"))
+    found = metrics.model_summary({"one": one, "two": two}, ["metric_rmse", "metric_mae"], most_mae=5000.0, only_converged=True, most_size=8000.0)
+    return found.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("WITH f AS (SELECT DISTINCT user_id FROM events ORDER BY 1 LIMIT 25) SELECT user_id AS meter_id, event_id FROM events WHERE user_id IN (SELECT user_id FROM f)")
+def srt_first_meters(spark, sf_dir):
+    return split.first_meters(table(spark, sf_dir, "events").select(F.col("user_id").alias("meter_id"), "event_id"), 25)
+
+
+@query()
+def smp_sampled_row(spark, sf_dir):
+    return split.sampled(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("meter_id"), "c_name"), "meter_id")
+
+
+@query("SELECT floor(0.8 * count(DISTINCT user_id))::BIGINT AS n_train, (count(DISTINCT user_id) - floor(0.8 * count(DISTINCT user_id)))::BIGINT AS n_test, 0::BIGINT AS n_both, count(*) AS n_rows FROM events")
+def smp_split_counts(spark, sf_dir):
+    parts = split.split_meters(table(spark, sf_dir, "events").select(F.col("user_id").alias("meter_id")))
+    each = parts.groupBy("meter_id").agg(F.collect_set("part").alias("parts"), F.count("*").alias("n"))
+    return each.agg(F.count_if(F.col("parts")[0] == "train").alias("n_train"), F.count_if(F.col("parts")[0] == "test").alias("n_test"), F.count_if(F.size("parts") > 1).alias("n_both"), F.sum("n").alias("n_rows"))
+
+
+@query(f"WITH {HOURLY} SELECT meter_id, count(*) AS n, round(sum(diff), 2) AS total, true AS adds_up, true AS few FROM m GROUP BY 1", 2)
+def ts_spike_counts(spark, sf_dir):
+    rows = split.inject_spikes(hourly_meters(spark, sf_dir))
+    return rows.groupBy("meter_id").agg(F.count("*").alias("n"), F.sum("diff_original").alias("total"), F.bool_and(F.abs(F.col("diff") - F.col("diff_original") - F.col("is_anomaly")) < 1e-9).alias("adds_up"), F.count_if(F.col("is_anomaly") != 0).between(1, 10).alias("few"))
+
+
+@query(f"WITH {PATTERNED}, w AS (SELECT meter_id, CASE WHEN meter_id % 2 = 0 THEN 1 ELSE 2 END AS weeks FROM (SELECT DISTINCT meter_id FROM pm)) SELECT meter_id, CASE WHEN ts < TIMESTAMP '2024-03-01' + to_days(CASE WHEN meter_id % 2 = 0 THEN 2 ELSE 4 END) THEN 'train' ELSE 'second' END AS segment, count(*) AS n FROM pm JOIN w USING (meter_id) WHERE ts < TIMESTAMP '2024-03-01' + to_days(CASE WHEN meter_id % 2 = 0 THEN 3 ELSE 5 END) GROUP BY 1, 2")
+def ts_short_training(spark, sf_dir):
+    """Meters that read often train on half as long; here a week is a day."""
+    rows = patterned_meters(spark, sf_dir)
+    starts = rows.select("meter_id").distinct().select("meter_id", F.lit("2024-03-01").cast("timestamp").alias("start"), F.when(F.col("meter_id") % 2 == 0, 600.0).otherwise(3600.0).alias("period"))
+    return split.segments(rows, starts, train_days=split.weeks_to_train(F.col("period")), second_days=1, predict_days=0).groupBy("meter_id", "segment").agg(F.count("*").alias("n"))
+
+
+# --- profiles and boxes
+
+
+@query("""
+    WITH d AS (SELECT c_custkey, c_acctbal AS feature, c_custkey % 7 AS tp, c_custkey % 3 AS fp, c_custkey % 4 AS fn FROM customer), e AS (SELECT list_sort(list_distinct(quantile_cont(feature, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]))) AS edges FROM d),
+    b AS (SELECT d.*, greatest(len(list_filter(edges, lambda x: x < feature)), 1)::BIGINT AS bin FROM d, e)
+    SELECT bin, count(*) AS n, round(min(feature), 6) AS low, round(max(feature), 6) AS high, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(sum(tp) / sum(tp + fp), 6) AS precision, round(sum(tp) / sum(tp + fn), 6) AS recall, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1 FROM b GROUP BY 1
+""")
+def agg_quantile_profile(spark, sf_dir):
+    k = F.col("c_custkey")
+    return metrics.quantile_profile(table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("feature"), (k % 7).alias("tp"), (k % 3).alias("fp"), (k % 4).alias("fn")), "feature")
+
+
+@query(f"WITH {_STATS} SELECT meter_id, count(*) AS n, round(min(z_score), 6) AS least, round(max(z_score), 6) AS largest, round(avg(z_score), 6) AS mean, round(stddev_pop(z_score), 6) AS std, round(kurtosis_pop(z_score) + 3, 6) AS kurtosis, round(avg((abs(z_score) > 3)::INT), 6) AS beyond FROM z WHERE abs(z_score) <= 5 GROUP BY 1")
+def agg_score_box(spark, sf_dir):
+    return metrics.value_box(_scored(spark, sf_dir).where("abs(z_score) <= 5"), "z_score", "meter_id")
+
+
+_RUN = f"""{PATTERNED}, r AS (SELECT meter_id, ts, k, diff AS a, lag(diff, 2) OVER (PARTITION BY meter_id ORDER BY k) AS p, diff * 0.75 + 1 AS f, (s_k % 9 - 4) / 2.0 + 0.25 AS v, 1 + k % 3 AS w, k % 17 = 0 AS flagged FROM (SELECT *, (meter_id + k * k) AS s_k FROM pm)),
+    e AS (SELECT * FROM r WHERE p IS NOT NULL), x AS (SELECT *, a - p AS ep, a - f AS ef, abs(v / sqrt(w)) AS s, lag(v) OVER o AS v0, lag(f) OVER o AS f0, a - lag(a) OVER o AS da, f - lag(f) OVER o AS df FROM e WINDOW o AS (PARTITION BY meter_id ORDER BY k)),
+    nz AS (SELECT meter_id, a, f, ep, ef, a - lag(a) OVER o AS da, f - lag(f) OVER o AS df FROM x WHERE abs(a) > 0 WINDOW o AS (PARTITION BY meter_id ORDER BY k)),
+    q AS (SELECT meter_id, count(*) AS n_nonzero, avg(abs(ep)) AS prediction_mae_nonzero, median(abs(ef)) AS filtered_medae_nonzero, 1 - sum(ep * ep) / (var_pop(a) * count(*) + 1e-10) AS prediction_r2_nonzero, var_pop(da) AS measurement_smoothness_nonzero, (var_pop(da) - var_pop(df)) / (var_pop(da) + 1e-10) AS smoothness_gain_nonzero, corr(a, f) AS filter_corr_nonzero FROM nz GROUP BY 1),
+    c AS (SELECT meter_id, avg(v) AS mv, stddev_pop(v) AS sv FROM x GROUP BY 1),
+    y AS (SELECT x.meter_id, count(*) AS n, sqrt(avg(ep * ep)) AS prediction_rmse, avg(ep) AS prediction_me, median(abs(ep)) AS prediction_medae, 1 - sum(ep * ep) / (var_pop(a) * count(*) + 1e-10) AS prediction_r2, sqrt(avg(ep * ep)) / (stddev_pop(a) + 1e-10) AS prediction_nrmse, sqrt(avg(ef * ef)) AS filtered_rmse,
+          var_pop(f) / (var_pop(a) + 1e-10) AS variance_ratio, var_pop(df) AS filtered_smoothness, (var_pop(da) - var_pop(df)) / (var_pop(da) + 1e-10) AS smoothness_gain, corr(f, f0) AS filtered_autocorr, avg(v) AS innovation_mean, stddev_pop(v) AS innovation_std, avg(((v - mv) / sv) ** 3) AS innovation_skew, avg(((v - mv) / sv) ** 4) - 3 AS innovation_kurtosis, corr(v, v0) AS innovation_autocorr,
+          count(*) FILTER (flagged) AS n_flagged, avg(abs(ef)) FILTER (flagged) AS mae_at_flagged, avg(abs(ef)) FILTER (NOT flagged) AS mae_elsewhere, avg(s) FILTER (flagged) AS score_at_flagged, max(s) AS max_score, avg(w) AS variance_mean, max(w) / (min(w) + 1e-10) < 10 AS variance_steady FROM x JOIN c ON c.meter_id = x.meter_id GROUP BY 1)
+"""
+_RUN_COLUMNS = "prediction_rmse prediction_me prediction_medae prediction_r2 prediction_nrmse filtered_rmse variance_ratio filtered_smoothness smoothness_gain filtered_autocorr innovation_mean innovation_std innovation_skew innovation_kurtosis innovation_autocorr mae_at_flagged mae_elsewhere score_at_flagged max_score variance_mean prediction_mae_nonzero filtered_medae_nonzero prediction_r2_nonzero measurement_smoothness_nonzero smoothness_gain_nonzero filter_corr_nonzero"
+
+
+@query(f"WITH {_RUN} SELECT y.meter_id, n, n_nonzero, n_flagged, variance_steady, {_round(_RUN_COLUMNS)} FROM y JOIN q ON q.meter_id = y.meter_id")
+def agg_filter_metrics(spark, sf_dir):
+    rows = patterned_meters(spark, sf_dir)
+    k = F.col("k")
+    run = rows.select(
+        "meter_id", "ts", F.col("diff").alias("actual"), F.lag("diff", 2).over(prep.by_time()).alias("predicted"), (F.col("diff") * 0.75 + 1).alias("filtered"), ((F.col("meter_id") + k * k) % 9 / 2.0 - 2 + 0.25).alias("innovation"), (1 + k % 3).cast("double").alias("innovation_var"), (k % 17 == 0).alias("flagged")
+    ).where(F.col("predicted").isNotNull())
+    return metrics.filter_metrics(run).select("meter_id", "n", "n_nonzero", "n_flagged", "variance_steady", *_RUN_COLUMNS.split())

@@ -17,6 +17,23 @@ PAIRS = HOURLY + """,
     s AS (SELECT *, abs(actual - predicted) AS residual FROM p)
 """
 
+#: Ten days of hourly readings of a meter for each supplier: quiet nights, steps that are flat now and then, increments in eighths, and no reading at every 50th hour.
+PATTERNED = """
+    k AS (SELECT s_suppkey AS meter_id, k, TIMESTAMP '2024-03-01' + to_hours(k::INT) AS ts, CASE WHEN k % 24 < 5 THEN 0 ELSE ((s_suppkey * 7 + (k // 2) * 13) % 40) / 8.0::DOUBLE END AS diff FROM supplier, range(240) AS r(k)),
+    m AS (SELECT meter_id, k, ts, diff, 100.0::DOUBLE + sum(diff) OVER (PARTITION BY meter_id ORDER BY k) AS total FROM k),
+    pm AS (SELECT meter_id, k, ts, diff, CASE WHEN k % 50 = 49 THEN NULL ELSE total END AS reading FROM m)
+"""
+#: The same with three hours of the day missing, a late reading each day (within the tolerance) and one too many.
+GAPPY = PATTERNED + """,
+    gm AS (SELECT meter_id, k, ts + CASE WHEN k % 24 = 13 THEN INTERVAL 2 MINUTE ELSE INTERVAL 0 MINUTE END AS ts, diff, reading FROM pm WHERE k % 24 NOT IN (3, 10, 17)
+           UNION ALL SELECT meter_id, k, ts + INTERVAL 20 MINUTE, diff, reading FROM pm WHERE k % 24 = 20)
+"""
+#: A forecast by the day before, on the pattern; residuals are twice the distance, and missing at every 31st hour.
+DAY_BEFORE = PATTERNED + """,
+    s AS (SELECT meter_id, ts, CASE WHEN k % 50 = 49 THEN NULL ELSE diff END AS actual, CASE WHEN k % 37 = 5 THEN 'NaN'::DOUBLE ELSE lag(diff, 24) OVER (PARTITION BY meter_id ORDER BY k) END AS predicted,
+                 CASE WHEN k % 31 = 0 THEN NULL ELSE 2 * abs(diff - lag(diff, 24) OVER (PARTITION BY meter_id ORDER BY k)) END AS residual FROM pm)
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +48,30 @@ def hourly_meters(spark: SparkSession, sf_dir: str, key: str = "event_type") ->
     return hours.select("meter_id", "ts", (F.col("units") / 100.0).alias("diff"), (F.sum("units").over(each) / 100.0).alias("reading"))
 
 
+def patterned_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``meter_id, k, ts, diff, reading`` of ``PATTERNED``."""
+    hours = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("meter_id"), F.explode(F.sequence(F.lit(0), F.lit(239))).alias("k"))
+    diff = F.when(F.col("k") % 24 < 5, 0.0).otherwise((F.col("meter_id") * 7 + F.floor(F.col("k") / 2) * 13) % 40 / 8.0)
+    rows = hours.select("meter_id", "k", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-01 00:00:00")) + F.col("k") * 3600).alias("ts"), diff.alias("diff"))
+    total = 100 + F.sum("diff").over(Window.partitionBy("meter_id").orderBy("k"))
+    return rows.withColumn("reading", total).withColumn("reading", F.when(F.col("k") % 50 != 49, F.col("reading")))
+
+
+def gappy_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``GAPPY``."""
+    rows = patterned_meters(spark, sf_dir)
+    hour = F.col("k") % 24
+    late = rows.where(~hour.isin(3, 10, 17)).withColumn("ts", F.when(hour == 13, F.col("ts") + F.expr("INTERVAL 2 MINUTE")).otherwise(F.col("ts")))
+    return late.unionByName(rows.where(hour == 20).withColumn("ts", F.col("ts") + F.expr("INTERVAL 20 MINUTE")))
+
+
+def day_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``DAY_BEFORE``."""
+    guess = F.lag("diff", 24).over(Window.partitionBy("meter_id").orderBy("k"))
+    k = F.col("k")
+    return patterned_meters(spark, sf_dir).select("meter_id", "ts", F.when(k % 50 != 49, F.col("diff")).alias("actual"), F.when(k % 37 == 5, F.lit(float("nan"))).otherwise(guess).alias("predicted"), F.when(k % 31 != 0, 2 * F.abs(F.col("diff") - guess)).alias("residual"))
+
+
 def forecast_pairs(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFrame:
     each = Window.partitionBy("meter_id").orderBy("ts")
     rows = hourly_meters(spark, sf_dir, key).select("meter_id", "ts", F.col("diff").alias("actual"), F.lag("diff").over(each).alias("predicted"), F.when(F.floor(F.unix_timestamp("ts") / 3600) % 13 == 0, 1.0).otherwise(0.0).alias("is_anomaly"), F.hour("ts").alias("position"))
