@@ -249,22 +249,25 @@ def autocorrelation_facts(rows: DataFrame, facts: DataFrame, value: str = "diff"
     return joined.groupBy("meter_id").applyInPandas(run, f"meter_id {rows.schema['meter_id'].dataType.simpleString()}, max_autocorr double, max_autocorr_lag long, autocorr_mean double, autocorr_std double")
 
 
-def _normality(n: Column, skew: Column, kurtosis: Column) -> Column:
-    """Probability of skewness and excess kurtosis at least as far from a normal law's (D'Agostino and Pearson); null below 8 rows."""
-    y = skew * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
-    beta = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + F.sqrt(2 * (beta - 1))
-    scaled = y / F.sqrt(2 / (w2 - 1))
-    by_skew = F.log(scaled + F.sqrt(scaled * scaled + 1)) / F.sqrt(0.5 * F.log(w2))
-    mean = 3.0 * (n - 1) / (n + 1)
-    spread = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3.0) * (n + 5))
-    x = (kurtosis + 3 - mean) / F.sqrt(spread)
-    third = 6.0 * (n * n - 5 * n + 2) / ((n + 7.0) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
-    a = 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / (third * third)))
+def with_normality(rows: DataFrame, name: str, n: str, skewness: str, kurtosis: str) -> DataFrame:
+    """Add the probability of skewness and excess kurtosis at least as far from a normal law's in ``n`` values (D'Agostino and Pearson); null below 8.
+
+    Step by step, as each is used more than once by the next.
+    """
+    count, skew, tails = F.col(n).cast("double"), F.col(skewness), F.col(kurtosis)
+    y = skew * F.sqrt((count + 1) * (count + 3) / (6.0 * (count - 2)))
+    beta = 3.0 * (count * count + 27 * count - 70) * (count + 1) * (count + 3) / ((count - 2.0) * (count + 5) * (count + 7) * (count + 9))
+    spread = 24.0 * count * (count - 2) * (count - 3) / ((count + 1) * (count + 1) * (count + 3.0) * (count + 5))
+    third = 6.0 * (count * count - 5 * count + 2) / ((count + 7.0) * (count + 9)) * F.sqrt(6.0 * (count + 3) * (count + 5) / (count * (count - 2.0) * (count - 3)))
+    many = lambda c: F.when(count >= 8, c)
+    out = rows.withColumns({"_w2": many(-1 + F.sqrt(2 * (beta - 1))), "_third": many(third), "_x": many((tails + 3 - 3.0 * (count - 1) / (count + 1)) / F.sqrt(spread))})
+    w2, third, x = F.col("_w2"), F.col("_third"), F.col("_x")
+    out = out.withColumns({"_y": many(y / F.sqrt(2 / (w2 - 1))), "_a": 6 + 8 / third * (2 / third + F.sqrt(1 + 4 / (third * third)))})
+    y, a = F.col("_y"), F.col("_a")
     lower = 1 + x * F.sqrt(2 / (a - 4))
-    cube = F.signum(lower) * F.pow((1 - 2 / a) / F.abs(lower), 1 / 3.0)
-    by_tails = (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
-    return F.when(n >= 8, F.exp(-0.5 * (by_skew * by_skew + by_tails * by_tails)))
+    out = out.withColumns({"_by_skew": F.log(y + F.sqrt(y * y + 1)) / F.sqrt(0.5 * F.log(w2)), "_cube": F.signum(lower) * F.pow((1 - 2 / a) / F.abs(lower), 1 / 3.0)})
+    by_tails = (1 - 2 / (9 * a) - F.col("_cube")) / F.sqrt(2 / (9 * a))
+    return out.withColumn(name, F.exp(-0.5 * (F.col("_by_skew") * F.col("_by_skew") + by_tails * by_tails))).drop("_w2", "_third", "_x", "_y", "_a", "_by_skew", "_cube")
 
 
 def filter_metrics(rows: DataFrame, *, nonzero_above: float = 0.0, tiny: float = 1e-10) -> DataFrame:
@@ -310,7 +313,6 @@ def filter_metrics(rows: DataFrame, *, nonzero_above: float = 0.0, tiny: float =
         return {f"measurement_variance{suffix}": F.var_pop(a), f"filtered_variance{suffix}": F.var_pop(f), f"variance_ratio{suffix}": F.var_pop(f) / (F.var_pop(a) + tiny), f"measurement_smoothness{suffix}": ma, f"filtered_smoothness{suffix}": mf, f"smoothness_gain{suffix}": (ma - mf) / (ma + tiny), f"filter_corr{suffix}": F.corr(a, f)}
 
     every = F.lit(True)
-    normal = _normality(F.count("innovation").cast("double"), F.skewness("innovation"), F.kurtosis("innovation"))
     autocorr = F.corr("innovation", "_innovation")
     at, off = F.avg(F.when(F.col("_flagged"), F.abs("_f"))), F.avg(F.when(~F.col("_flagged"), F.abs("_f")))
     stats = (
@@ -323,14 +325,15 @@ def filter_metrics(rows: DataFrame, *, nonzero_above: float = 0.0, tiny: float =
         | errors("prediction", "_p", "_nonzero", big)
         | errors("filtered", "_f", "_nonzero", big)
         | smoothing("_nonzero", big, "_da_nz", "_df_nz")
-        | {"innovation_mean": F.avg("innovation"), "innovation_std": F.stddev_pop("innovation"), "innovation_skew": F.skewness("innovation"), "innovation_kurtosis": F.kurtosis("innovation"), "innovation_normality": normal, "innovation_autocorr": autocorr, "innovation_white": (F.abs(autocorr) < 0.1) & (normal > 0.05)}
+        | {"innovation_mean": F.avg("innovation"), "innovation_std": F.stddev_pop("innovation"), "innovation_skew": F.skewness("innovation"), "innovation_kurtosis": F.kurtosis("innovation"), "innovation_autocorr": autocorr, "_n": F.count("innovation")}
         | {"n_flagged": F.count_if("_flagged"), "flagged_pct": 100 * F.avg(F.col("_flagged").cast("double")), "mae_at_flagged": at, "mae_elsewhere": off, "suppression_ratio": at / (off + tiny), "score_at_flagged": F.avg(F.when(F.col("_flagged"), F.col("_s"))), "max_score": F.max("_s")}
         | {f"gain_{n}": f("_gain") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))}
         | {"gain_steady": F.stddev_pop("_gain") < 0.1}
         | {f"variance_{n}": f("innovation_var") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))}
         | {"variance_steady": F.max("innovation_var") / (F.min("innovation_var") + tiny) < 10}
     )
-    return rows.groupBy("meter_id").agg(*(c.alias(name) for name, c in stats.items()))
+    out = with_normality(rows.groupBy("meter_id").agg(*(c.alias(name) for name, c in stats.items())), "innovation_normality", "_n", "innovation_skew", "innovation_kurtosis").drop("_n")
+    return out.withColumn("innovation_white", (F.abs("innovation_autocorr") < 0.1) & (F.col("innovation_normality") > 0.05))
 
 
 GATES = {"initial": (10.0, 0.5, 0.95), "retrain": (15.0, 0.6, 1.0)}

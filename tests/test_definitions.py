@@ -80,7 +80,9 @@ def test_normality_statistic(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(size=60), rng.exponential(size=25)])
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
-    got = df.agg(metrics._normality(F.count("v").cast("double"), F.skewness("v"), F.kurtosis("v")).alias("p")).first()["p"]
+    facts = df.agg(F.count("v").alias("n"), F.skewness("v").alias("s"), F.kurtosis("v").alias("k"))
+    got = metrics.with_normality(facts, "p", "n", "s", "k").first()["p"]
+    assert metrics.with_normality(facts.withColumn("n", F.lit(7)), "p", "n", "s", "k").first()["p"] is None
     n, d = len(x), x - x.mean()
     m2, skew, kurt = (d**2).mean(), (d**3).mean() / (d**2).mean() ** 1.5, (d**4).mean() / (d**2).mean() ** 2
     y = skew * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
