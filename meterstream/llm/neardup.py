@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import MOST_BROADCAST, saved, scratch, slices, small
 from .components import components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -172,8 +172,8 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.withColumn("shared", F.col("n_a") - F.size("novel"))
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
-    """One row per document: ``doc_id, class_id`` (the least doc_id of its class), ``class_size``, ``n_copies`` of its very shingles.
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 28, rows: int = 5, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """One row per document: ``doc_id, class_id`` (the least doc_id of its class), ``class_size``, ``n_copies`` of its very shingles, ``n_links`` and ``similarity``.
 
     Two documents are linked if the weighted Jaccard similarity of their shingles of ``width``
     words is ``threshold`` or more; classes are what links connect. Texts with equal shingles are
@@ -190,24 +190,29 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5,
     Null texts and texts without words are classes of their own, equal ids are kept as rows, null
     ids come last as a class's name, an empty table gives no rows, other columns are ignored.
     """
+    with scratch():
+        return saved(_classes(docs, threshold, width, bands, rows, most_broadcast), "near-duplicates", outlive=True)
+
+
+def _classes(docs: DataFrame, threshold: float, width: int, bands: int, rows: int, most_broadcast: int) -> DataFrame:
     part = threshold / (1 + threshold)  # bags are linked if they share this much of the sum of their sizes
     linked = F.col("shared") >= part * (F.col("n_a") + F.col("n_b")) - 1e-9
     signed = saved(_signed(docs, width, bands, rows), "signed")
     nodes = saved(signed.where(F.col("bag").isNotNull()).groupBy("bag").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "keys")).alias("least"), F.count("*").alias("n_copies")).select("bag", "least.doc_id", "n_copies", "least.keys"), "nodes")
     spread = nodes.select(F.col("bag").alias("a"), F.explode("keys").alias("key"))
-    crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = saved(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
     met = saved(spread.join(crowded, "key"), "buckets")
     # a bucket's centre is the member that meets most others in all bands: of edited copies, the text that they come from
     reach = met.groupBy("a").agg(F.sum("n").alias("reach"))
-    centres = met.join(reach, "a").groupBy("key").agg(F.min(F.struct(-F.col("reach"), F.xxhash64("a").alias("order"), F.col("a").alias("b"))).alias("least")).select("key", F.col("least.b").alias("b"))
+    centres = saved(met.join(reach, "a").groupBy("key").agg(F.min(F.struct(-F.col("reach"), F.xxhash64("a").alias("order"), F.col("a").alias("b"))).alias("least")).select("key", F.col("least.b").alias("b")), "centres")
     stars = saved(met.join(centres, "key").where("a != b").select("a", "b").distinct(), "stars")
     wanted = stars.select(F.col("a").alias("bag")).union(stars.select(F.col("b").alias("bag"))).distinct()
     owners = saved(nodes.join(wanted, "bag", "left_semi").select("bag", "doc_id"), "candidates")
     ids = owners.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if owners.count() <= most_broadcast else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = docs.select("doc_id", "text").join(small(ids, most_broadcast), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = saved(_bags(texts, width).join(owners.select("bag"), "bag", "left_semi").dropDuplicates(["bag"]), "bags")
     around = saved(_measured(stars, sets), "measured")
-    first = saved(components(around.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    first = components(around.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     def named(table: DataFrame, bag: str, name: str) -> DataFrame:
         """The table with the component of one of its bags, its own name where it has no link."""
@@ -217,7 +222,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5,
     novel = around.select("a", "b", F.explode("novel").alias("h"))
     twice = novel.groupBy("b", "h").agg(F.count("*").alias("n")).where("n > 1").select("b", "h")
     common = novel.join(twice, ["b", "h"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    least = around.groupBy("b").agg(F.min("n_a").alias("least"))
+    least = saved(around.groupBy("b").agg(F.min("n_a").alias("least")), "least-size")
     sized = around.drop("novel").join(common, ["a", "b"], "left").fillna(0, ["common"]).join(least, "b")
     able = F.col("shared") + F.col("common") >= part * (F.col("n_a") + F.greatest(F.col("least"), F.ceil(threshold * F.col("n_a")))) - 1e-9
     able = saved(named(sized.where(able).withColumn("near", linked), "a", "component"), "able")
@@ -226,18 +231,26 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5,
     both = part * (F.col("n_x") + F.col("n_y")) - 1e-9
     fits = (F.col("u") != F.col("v")) & (F.col("near_y") | (F.col("x") < F.col("y"))) & (F.least("s_x", "s_y") + F.least("c_x", "c_y") >= both) & (F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y"))
     pairs = saved(left.join(right, "b").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"), "u", "v").distinct(), "pairs")
+    likeness = (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("similarity")
+    links = around.where(linked).select("a", "b", likeness)
     joined = None
     if not pairs.isEmpty():
-        found = _measured(pairs.select("a", "b").distinct(), sets).where(linked).select("a", "b")
-        joined = saved(pairs.join(found, ["a", "b"]).select("u", "v").distinct(), "component-links")
-    whole = named(nodes.select("bag", "doc_id", "n_copies"), "bag", "component")
+        found = saved(_measured(pairs.select("a", "b").distinct(), sets).where(linked).select("a", "b", likeness), "further-links")
+        links = links.unionByName(found)
+        joined = saved(pairs.join(found.select("a", "b"), ["a", "b"]).select("u", "v").distinct(), "component-links")
+    # a centre's own count is one row a task before the shuffle
+    ends = links.select(F.col("a").alias("bag"), "similarity").unionByName(links.select(F.col("b").alias("bag"), "similarity")).groupBy("bag").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
+    whole = named(nodes.select("bag", "doc_id", "n_copies"), "bag", "component").join(ends, "bag", "left").fillna(0, ["n_links"])
     if joined is not None and not joined.isEmpty():
         second = components(joined).select(F.col("node").alias("component"), F.col("component").alias("joined"))
         whole = whole.join(second, "component", "left").withColumn("component", F.coalesce("joined", "component"))
-    classes = whole.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n_copies").alias("class_size"))
-    by_bag = whole.join(classes, "component").select("bag", "class_id", "class_size", "n_copies")
-    found = signed.where(F.col("bag").isNotNull()).select("doc_id", "bag").join(by_bag, "bag").select("doc_id", "class_id", "class_size", "n_copies")
-    alone = signed.where(F.col("bag").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(1).cast("long").alias("n_copies"))
+    whole = saved(whole, "texts")
+    classes = saved(whole.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n_copies").alias("class_size")), "classes")
+    facts = ["class_id", "class_size", "n_copies", "n_links", "similarity"]
+    by_bag = whole.join(classes, "component").select("bag", *facts)
+    found = signed.where(F.col("bag").isNotNull()).select("doc_id", "bag").join(by_bag, "bag").select("doc_id", *facts)
+    one = F.lit(1).cast("long")
+    alone = signed.where(F.col("bag").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), one.alias("class_size"), one.alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("double").alias("similarity"))
     return found.unionByName(alone)
 
 
@@ -251,11 +264,11 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     while row in docs.columns:
         row += "_"
     numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), **options)
-    members = found.where("class_size > 1").select(F.col("doc_id").alias("_member"), "class_id")
-    members = saved(members.join(numbered.select("doc_id", row), F.col("_member") == F.col(row)).select("_member", "class_id", "doc_id"), "members")
-    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_member")).alias("least")).select(F.col("least._member").alias("_member"))
-    drop = saved(members.select("_member").join(first, "_member", "left_anti"), "duplicates")
-    if drop.count() <= options.get("most_broadcast", 1_000_000):
-        drop = F.broadcast(drop)
+    with scratch():
+        found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), **options)
+        members = found.where("class_size > 1").select(F.col("doc_id").alias("_member"), "class_id")
+        members = saved(members.join(numbered.select("doc_id", row), F.col("_member") == F.col(row)).select("_member", "class_id", "doc_id"), "members")
+        first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_member")).alias("least")).select(F.col("least._member").alias("_member"))
+        drop = saved(members.select("_member").join(first, "_member", "left_anti"), "duplicates", outlive=True)
+    drop = small(drop, options.get("most_broadcast", MOST_BROADCAST))
     return numbered.join(drop, numbered[row] == drop["_member"], "left_anti").select(*docs.columns)
