@@ -7,7 +7,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import MOST_BROADCAST, saved, scratch, small
 
 LEAK_COLUMNS = ["doc_id", "item_id", "n_shared", "n_item", "containment"]
 
@@ -69,19 +69,25 @@ def sketches(items: DataFrame, threshold: float, functions: int, miss: float) ->
     )
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, width: int = 5, functions: int = 32, miss: float = 1e-6, most_broadcast: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, width: int = 5, functions: int = 32, miss: float = 1e-6, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Pairs of a document and a benchmark item of whose distinct shingles it contains ``threshold`` or more.
 
     Returns ``doc_id, item_id, n_shared, n_item, containment``. Documents are searched whole:
     their shingles meet the sketches of the items, documents too short for an item are left out by
     size, those with enough hits are candidates, and each candidate is verified by exact
-    containment of shingles. Small tables (the sketches, the ids of candidates) are counted first
-    and broadcast up to ``most_broadcast`` rows, and joined by shuffle beyond.
+    containment of shingles. Small tables (the sketches, the ids of candidates, the items) are
+    measured first and broadcast up to ``most_broadcast`` bytes; beyond, they are written out and
+    joined by shuffles that Spark splits where a shingle or document is common.
 
     Null texts and items without words match nothing; rows with equal doc_id are one document, and
     rows with equal item_id one item, each shingle counted once; null ids are matched like any
     other, but each text with a null item_id is an item of its own; empty tables give no rows.
     """
+    with scratch():
+        return saved(_leaks(docs, benchmark, threshold, width, functions, miss, most_broadcast), "leaks", outlive=True)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, width: int, functions: int, miss: float, most_broadcast: int) -> DataFrame:
     items = saved(item_shingles(benchmark, width), "benchmark-items")
     index = saved(sketches(items, threshold, functions, miss), "benchmark-index")
     widths = [r[0] for r in items.select(F.explode("widths")).distinct().collect()]  # at most ``width`` values
@@ -92,26 +98,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, widt
         found = F.concat(*(_shingles(w) for w in widths)) if len(widths) > 1 else _shingles(widths[0])
         return rows.withColumn("_words", _words(F.col("text"))).withColumn("_shingles", found).withColumn("_size", F.size("_shingles"))
 
-    def small(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if table.count() <= most_broadcast else table
-
     # explode_outer: for explode, Spark would put a filter on the array below, and there take the text apart for every shingle again
     terms = shingled(docs.select("doc_id", "text")).select("doc_id", "_size", F.explode_outer("_shingles").alias("hash"))
-    hits = terms.join(small(index), "hash").where(F.col("_size") >= F.col("least_shingles"))
+    hits = terms.join(small(index, most_broadcast), "hash").where(F.col("_size") >= F.col("least_shingles"))
     hits = hits.groupBy("doc_id", "number", "hash").agg(F.first("votes").alias("votes"), F.first("least_votes").alias("least_votes"))
     found = hits.groupBy("doc_id", "number").agg(F.sum("votes").alias("votes"), F.first("least_votes").alias("least_votes"))
     pairs = saved(found.where(F.col("votes") >= F.col("least_votes")).select("doc_id", "number"), "leak-candidates")
-    ids = small(pairs.select("doc_id").distinct())
+    ids = small(saved(pairs.select("doc_id").distinct(), "leak-documents"), most_broadcast)
     again = docs.select("doc_id", "text").join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     parts = shingled(again).select("doc_id", F.explode_outer("_shingles").alias("hash")).distinct()
-    wanted = pairs.withColumnRenamed("doc_id", "_id").join(small(items.select("number", "item_id", "item")), "number").select("_id", "number", "item_id", F.size("item").alias("n_item"), F.explode("item").alias("_hash"))
+    wanted = pairs.withColumnRenamed("doc_id", "_id").join(small(items.select("number", "item_id", "item"), most_broadcast), "number").select("_id", "number", "item_id", F.size("item").alias("n_item"), F.explode("item").alias("_hash"))
     exact = wanted.join(parts, wanted["_id"].eqNullSafe(parts["doc_id"]) & (wanted["_hash"] == parts["hash"])).groupBy("doc_id", "number", "item_id", "n_item").agg(F.count("*").cast("int").alias("n_shared"))
     return exact.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= threshold).select(*LEAK_COLUMNS)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, *, most_broadcast: int = 1_000_000, **options) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, most_broadcast: int = MOST_BROADCAST, **options) -> DataFrame:
     """The documents that hold no benchmark item, with the columns that they came with."""
     found = saved(leaks(docs, benchmark, most_broadcast=most_broadcast, **options).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked-ids")
-    if found.count() <= most_broadcast:
-        found = F.broadcast(found)
+    found = small(found, most_broadcast)
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaked"]), "left_anti")
