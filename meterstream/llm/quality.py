@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import MOST_BROADCAST, saved, small
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -133,7 +133,7 @@ def thresholds(features: DataFrame, keys: tuple[str, str] = ("lang", "source"),
     return both.groupBy(lang, source).agg(F.map_from_entries(F.collect_list(F.struct("metric", chosen))).alias("fences"))
 
 
-def judged(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, most_broadcast: int = 20_000, least_rows: int = 100, spread: int = 4) -> DataFrame:
+def judged(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, most_broadcast: int = MOST_BROADCAST, least_rows: int = 100, spread: int = 4) -> DataFrame:
     """Add features, ``base_failed``, ``kept`` and ``outside`` (the metrics beyond their fences) to every document.
 
     ``keep`` names the input columns to return (all by default). Documents that fail the fixed
@@ -148,8 +148,7 @@ def judged(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None =
     counted = saved(text_features(plain, "_body").drop("_body").withColumn("base_failed", base_failed()), "quality-features")
     limits = saved(thresholds(counted.where(~F.col("base_failed")), least_rows=least_rows, spread=spread), "quality-thresholds")
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fences")
-    if limits.count() <= most_broadcast:  # else a shuffled join, whose skewed groups Spark splits
-        limits = F.broadcast(limits)
+    limits = small(limits, most_broadcast)  # beyond, a shuffled join, whose skewed groups Spark splits
     out = counted.join(limits, counted["lang"].eqNullSafe(limits["_lang"]) & counted["source"].eqNullSafe(limits["_source"]), "left")
 
     def beyond(name: str, part: str, whole: str) -> Column:
