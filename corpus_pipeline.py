@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meterstream.llm import decontaminate, langid, neardup, packing, quality
-from meterstream.llm.common import saved
+from meterstream.llm.common import forget, saved, scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage has written goes when the next one is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scratch():
+            docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}", outlive=True)
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
