@@ -117,31 +117,37 @@ def likelihoods(thetas: np.ndarray, y: np.ndarray, daily: int, weekly: int, vari
     x = np.zeros((m, n)) if x is None else np.tile(x, (m, 1))
     P = np.tile(np.eye(n) * 1e6 if P is None else P, (m, 1, 1))
     turning = not VARIANTS[variant][0]
-    spread, noise, scale = np.zeros(m), np.zeros(m), 0
-    load = Z.copy()
+    loads = np.tile(Z, (len(y), 1))
+    if turning:
+        k = np.arange(len(y))
+        for at in range(1, n, 2):  # a block's first row holds the cosine and sine of its step
+            angle = k * np.arctan2(T[at, at + 1], T[at, at])
+            loads[:, at], loads[:, at + 1] = np.cos(angle), np.sin(angle)
+    variances, innovations = np.ones((len(y), m)), np.zeros((len(y), m))
+    known = np.flatnonzero(np.isfinite(y))
+    seen = 0
     with np.errstate(all="ignore"):
-        for k, value in enumerate(y):
-            if k:
-                if turning:
-                    load = load @ T
-                    P = P + Q
-                else:
-                    x = x @ T.T
-                    P = T @ P @ T.T + Q
-            if value != value:
+        for k in known if turning else range(len(y)):
+            if turning:
+                P = P + Q * (k - seen)  # noise of all steps since the last value
+                seen = k
+            elif k:
+                x = x @ T.T
+                P = T @ P @ T.T + Q
+            if y[k] != y[k]:
                 continue
+            load = loads[k]
             PZ = P @ load
             S = PZ @ load + H
-            v = value - x @ load
-            if k >= burn:
-                spread += np.log(S)
-                noise += v * v / S
-                scale += 1
+            v = y[k] - x @ load
+            variances[k], innovations[k] = S, v
             K = PZ / S[:, None]
             x = x + K * v[:, None]
             A = P - K[:, :, None] * PZ[:, None, :]
-            P = A - (A @ load)[:, :, None] * K[:, None, :] + (H[:, None] * K)[:, :, None] * K[:, None, :]
-    return -0.5 * (spread + noise + scale * np.log(2 * np.pi))
+            P = A - (A @ load - H[:, None] * K)[:, :, None] * K[:, None, :]
+        counted = known[known >= burn]
+        S, v = variances[counted], innovations[counted]
+        return -0.5 * (np.log(2 * np.pi * S) + v * v / S).sum(axis=0)
 
 
 def fit(y: np.ndarray, daily: int, weekly: int, variant: str = "fourier", *, start: np.ndarray | None = None, x: np.ndarray | None = None, P: np.ndarray | None = None, most: int = 200) -> tuple[np.ndarray, float, bool]:

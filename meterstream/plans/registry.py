@@ -598,6 +598,13 @@ def mdl_fit(spark, sf_dir):
     return pipeline.fit_meters(hourly_meters(spark, sf_dir), checked=False).drop("seconds", "model", "theta")
 
 
+@query()
+def mdl_fit_many(spark, sf_dir):
+    """Four weeks of made-up readings of four meters a nation, fitted to their end: what many meters cost."""
+    meters = 4 * table(spark, sf_dir, "nation").count()
+    return pipeline.fit_meters(tables.synthetic_series(spark, meters, days=28, steps=24), checked=False).select("meter_id", "status", "converged", "mase_seasonal", "error")
+
+
 @query()
 def mdl_evaluate(spark, sf_dir):
     filled = grid.fill_gaps(hourly_meters(spark, sf_dir))
