@@ -30,6 +30,11 @@ def number(text: Column) -> Column:
     return F.when(F.isnan(parsed) | F.abs(parsed).isin(float("inf")), F.lit(None)).otherwise(parsed)
 
 
+def numbers(df: DataFrame, *names: str) -> DataFrame:
+    """Columns as finite doubles by ``number``; a column that is missing is added as nulls."""
+    return df.withColumns({n: number(F.col(n).cast("string")) if n in df.columns else F.lit(None).cast("double") for n in names})
+
+
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Rename to canonical names; a column that already has one of these is dropped first."""
     clashing = [new for old, new in names.items() if new != old and new in df.columns]

@@ -423,6 +423,30 @@ def transitions(rows: DataFrame, *, harmonics_: int = 1, forget: float = 0.9999,
     return by_meter(rows.select("meter_id", "ts", "diff").where(F.col("diff").isNotNull()), run, "a array<double>, q array<double>, p array<double>, r double, unstable int")
 
 
+def transition_filter(rows: DataFrame, models: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """Each meter's rows through a filter with a transition of its own (``a, q, r`` as ``transitions`` gives them).
+
+    The state begins at nothing with the noise for its uncertainty; its first part is what is
+    measured, and every value updates it. Score is the innovation over its deviation. Rows without
+    a value and meters without a model give none.
+    """
+    own = models.where("error IS NULL").select("meter_id", F.col("a").alias("_a"), F.col("q").alias("_q"), F.col("r").alias("_r"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ts", kind="stable")
+        y, r = group["diff"].to_numpy(float), float(group["_r"].iloc[0])
+        A, Q = (np.array(group[c].iloc[0], float) for c in ("_a", "_q"))
+        n = int(round(len(A) ** 0.5))
+        sys = kalman.System(A.reshape(n, n), np.eye(n)[0], r, Q.reshape(n, n))
+        found = kalman.run_filter(sys, y, np.zeros(n), sys.Q, lead=True)
+        score = np.abs(found.innovation) / np.sqrt(found.variance)
+        filtered = found.predicted + (found.variance - r) / found.variance * found.innovation
+        return pd.DataFrame({"meter_id": group["meter_id"], "ts": group["ts"], "actual": y, "predicted": found.predicted, "filtered": filtered, "innovation": found.innovation, "innovation_var": found.variance, "score": score, "flagged": score > threshold})
+
+    joined = rows.where(F.col("diff").isNotNull()).select("meter_id", "ts", "diff").join(own, "meter_id")
+    return by_meter(joined, run, "ts timestamp, actual double, predicted double, filtered double, innovation double, innovation_var double, score double, flagged boolean")
+
+
 ROLLED = "iteration int, window_start timestamp, train_end timestamp, window_end timestamp, ts timestamp, reading double, status string, flag boolean, diff double, z_current double, pred_current double, pred_next double, lower_band_next double, upper_band_next double, stage string, reasons string, error string"
 
 

@@ -122,16 +122,16 @@ def flt_warm_up_and_tail(spark, sf_dir):
 
 _META = HOURLY + f""", w AS (SELECT *, epoch(ts) - lag(epoch(ts)) {_W} AS gap FROM m),
     c AS (SELECT meter_id, gap, count(*) AS n FROM w WHERE gap IS NOT NULL GROUP BY 1, 2),
-    t AS (SELECT meter_id, min(gap) AS period, count(*) AS n_tied FROM c WHERE n = (SELECT max(n) FROM c c2 WHERE c2.meter_id = c.meter_id) GROUP BY 1),
+    t AS (SELECT meter_id, min(gap) AS period, array_to_string(list_slice(list_sort(list(gap::BIGINT)), 1, 10), ',') AS periods FROM c WHERE n = (SELECT max(n) FROM c c2 WHERE c2.meter_id = c.meter_id) GROUP BY 1),
     o AS (SELECT meter_id, coalesce(sum(n) FILTER (abs(gap - period) > 300), 0)::BIGINT AS gaps_fixed, coalesce(sum(n) FILTER (gap < 0.9 * period OR gap > 1.1 * period), 0)::BIGINT AS gaps_share FROM c JOIN t USING (meter_id) GROUP BY 1),
     f AS (SELECT meter_id, count(*) AS n_rows, count(*) FILTER (reading IS NULL) AS null_readings, count(*) FILTER (diff IS NULL) AS null_diffs, epoch(min(ts))::BIGINT AS first_ts, epoch(max(ts))::BIGINT AS last_ts,
                  min(reading) AS min_reading, max(reading) AS max_reading, avg(reading) AS mean_reading, stddev_samp(reading) AS std_reading, min(diff) AS min_diff, max(diff) AS max_diff, avg(diff) AS mean_diff, stddev_samp(diff) AS std_diff FROM m GROUP BY 1)
 """
 
 
-@query(f"WITH {_META} SELECT meter_id, n_rows, null_readings, null_diffs, first_ts, last_ts, {', '.join(f'round({n}, 4) AS {n}' for n in 'min_reading max_reading mean_reading std_reading min_diff max_diff mean_diff std_diff'.split())}, round(period, 4) AS period, n_tied, gaps_fixed, gaps_share, round(gaps_fixed / n_rows, 4) AS share_fixed, round(gaps_share / n_rows, 4) AS share_share FROM f LEFT JOIN t USING (meter_id) LEFT JOIN o USING (meter_id)", 4)
+@query(f"WITH {_META} SELECT meter_id, n_rows, null_readings, null_diffs, first_ts, last_ts, {', '.join(f'round({n}, 4) AS {n}' for n in 'min_reading max_reading mean_reading std_reading min_diff max_diff mean_diff std_diff'.split())}, round(period, 4) AS period, periods, gaps_fixed, gaps_share, round(gaps_fixed / n_rows, 4) AS share_fixed, round(gaps_share / n_rows, 4) AS share_share FROM f LEFT JOIN t USING (meter_id) LEFT JOIN o USING (meter_id)", 4)
 def agg_metadata(spark, sf_dir):
-    return prep.metadata(hourly_meters(spark, sf_dir)).withColumn("n_tied", F.size("periods").cast("long")).drop("periods")
+    return prep.metadata(hourly_meters(spark, sf_dir)).withColumn("periods", F.array_join(F.transform("periods", lambda p: p.cast("long").cast("string")), ","))
 
 
 @query(f"WITH {_META} SELECT meter_id, round(period, 6) AS mode_seconds, round(CASE WHEN period >= 180 THEN period END, 6) AS period FROM t")
@@ -637,6 +637,31 @@ def mdl_lag_filter(spark, sf_dir):
     return metrics.filter_metrics(pipeline.fourier_filter(hourly_meters(spark, sf_dir), steps=24, lags=[1, 24]))
 
 
+@query()
+def mdl_transition_filter(spark, sf_dir):
+    """Transitions from the first weeks, written and read again, and the later rows filtered by them."""
+    rows = hourly_meters(spark, sf_dir)
+    cut = F.lit("2024-01-20").cast("timestamp")
+    path = shared_path(spark, "transitions")
+    tables.write_models(pipeline.transitions(rows.where(F.col("ts") < cut)), path)
+    found = pipeline.transition_filter(rows.where(F.col("ts") >= cut), tables.read_models(spark, path))
+    return metrics.filter_metrics(found).select("meter_id", "n", "prediction_mae", "prediction_r2", "innovation_std", "innovation_autocorr", "n_flagged", "gain_mean")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE round(value, 6) END AS value, round(event_id::DOUBLE, 6) AS number, NULL::DOUBLE AS missing FROM events")
+def prj_numbers(spark, sf_dir):
+    """Text, whole numbers and a column that isn't there."""
+    text = F.when(F.col("event_id") % 6 == 0, F.lit("-Infinity")).otherwise(F.col("value").cast("string"))
+    return columns.numbers(table(spark, sf_dir, "events").select("event_id", text.alias("value"), F.col("event_id").alias("number")), "value", "number", "missing")
+
+
+@query("WITH f AS (SELECT (c_custkey % 10) / 10.0 >= 0.5 AS good_strength, CASE WHEN c_custkey % 7 = 0 THEN false ELSE (c_custkey % 13) / 10.0 < 0.95 END AS good_mase, c_custkey % 20 <= 10 AS good_fill FROM customer) SELECT *, good_strength AND good_mase AND good_fill AS good, count(*) AS n FROM f GROUP BY ALL")
+def set_meter_flags(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("meter_id"), (k % 10 / 10.0).alias("f_s_daily"), F.when(k % 7 != 0, k % 13 / 10.0).alias("mase_seasonal"), (k % 20).alias("filled_pct_second"))
+    return split.membership(split.good_meters(rows), "good_strength", "good_mase", "good_fill", "good")
+
+
 @query()
 def mdl_recursive_least_squares(spark, sf_dir):
     return pipeline.transitions(hourly_meters(spark, sf_dir)).select("meter_id", "unstable", F.size("a").alias("n"))

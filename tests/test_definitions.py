@@ -296,6 +296,24 @@ def test_rolled_network_equals_one_window_at_a_time(spark):
     assert any(r["flagged"] for r in got)
 
 
+def test_transition_filter_steps(spark):
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(1, at(k), None if k == 5 else float(v)) for k, v in enumerate(rng.normal(4, 1, 60))] + [(2, at(0), 1.0)], "meter_id long, ts timestamp, diff double")
+    A, Q, r = np.array([[0.9, 0.1], [-0.1, 0.8]]), np.array([[0.3, 0.05], [0.05, 0.2]]), 0.7
+    models = spark.createDataFrame([(1, A.ravel().tolist(), Q.ravel().tolist(), r, None)], "meter_id long, a array<double>, q array<double>, r double, error string")
+    got = pipeline.transition_filter(df, models).orderBy("ts").collect()
+    x, P = np.zeros(2), Q.copy()
+    values = [row["diff"] for row in df.where("meter_id = 1 AND diff IS NOT NULL").orderBy("ts").collect()]
+    assert len(got) == 59
+    for row, y in zip(got, values):
+        x, P = A @ x, A @ P @ A.T + Q
+        S = P[0, 0] + r
+        assert row["predicted"] == pytest.approx(x[0]) and row["innovation_var"] == pytest.approx(S) and row["flagged"] == (abs(y - x[0]) / S**0.5 > 3)
+        K = P[:, 0] / S
+        x, P = x + K * (y - x[0]), P - np.outer(K, P[0])
+        assert row["filtered"] == pytest.approx(x[0])
+
+
 def test_splines_repeat_cubics():
     t = np.arange(40.0)
     y = 500 + 0.01 * (t - 20) ** 3 + 0.2 * t
