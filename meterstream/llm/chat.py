@@ -72,7 +72,7 @@ def _content(render: Template, before: Turns, role: str, output: str) -> tuple[i
     return start, len(output) - (len(one) - start - 1)
 
 
-def locate(render: Template, turns: Turns, segment: int = 32, context: int = 2) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+def locate(render: Template, turns: Turns, segment: int | None = 32, context: int = 2) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """Output, spans and whether the template rewrites history.
 
     A turn's span is what its prefix's output adds to that of the prefix before; with it goes the
@@ -80,23 +80,32 @@ def locate(render: Template, turns: Turns, segment: int = 32, context: int = 2)
     shows a template that rewrites history; then spans start where the two outputs part.
 
     Successive prefixes cost the square of the number of turns. So a conversation of more than
-    ``segment`` turns is rendered in segments, each behind the last ``context`` turns before it;
-    if what the segments add up to isn't the output of the whole conversation, the template looks
-    further back and all prefixes are rendered.
+    ``segment`` turns is rendered in segments, each behind the last ``context`` turns before it, and
+    the outputs of the prefixes that end with a segment are held against each other; if these part,
+    or what the segments add up to isn't the output of the whole conversation, the template looks
+    further back and all prefixes are rendered. What this gives up: a template that rewrites turns
+    more than ``context`` back within a segment, and undoes it before the segment ends, isn't
+    found out. Without a ``segment``, all prefixes are rendered at once.
     """
     whole = render(turns)
-    if len(turns) > segment:
-        spans, added, rewrites = [], [render([])], False
-        at = len(added[0])
+    if segment and len(turns) > segment:
+        spans, before, rewrites = [], render([]), False
+        added = [before]
+        at = len(before)
         for first in range(0, len(turns), segment):
+            now = render(turns[: first + segment])
+            if not now.startswith(before):
+                break
+            before = now
             lead = turns[max(0, first - context) : first]
             base, got, changed = _prefixes(render, lead, turns[first : first + segment])
             rewrites |= changed
             spans += [tuple(x - base + at for x in span) for span in got[1]]
             added.append(got[0][base:])
             at += len(added[-1])
-        if not rewrites and "".join(added) == whole:
-            return whole, spans, False
+        else:
+            if not rewrites and "".join(added) == whole:
+                return whole, spans, False
     _, (_, spans), rewrites = _prefixes(render, [], turns)
     return whole, spans, rewrites
 
@@ -118,13 +127,14 @@ def _prefixes(render: Template, lead: Turns, turns: Turns) -> tuple[int, tuple[s
 SCHEMA = "formatted string, spans array<struct<start:long,end:long,text_start:long,text_end:long,loss:boolean>>, n_turns long, rewrites boolean"
 
 
-def format_chats(conversations: DataFrame, render: Template = turn_tags, *, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def format_chats(conversations: DataFrame, render: Template = turn_tags, *, loss_roles: tuple[str, ...] = ("assistant",), segment: int | None = 32) -> DataFrame:
     """One row per conversation: ``conv_id, formatted, spans, n_turns, rewrites``.
 
     Rows are ordered by turn (then role and text, for ties); null roles and texts count as empty;
     null turns come first; rows with a null conv_id form one conversation; repeated rows stay.
     Spans are code-point ranges of ``formatted``, and those under the loss mask are flagged.
-    Conversations reach the tasks sorted, and a task holds one of them at a time.
+    Conversations reach the tasks sorted, and a task holds one of them at a time, so each must fit;
+    ``segment`` is that of ``locate``.
     """
     kind = conversations.schema["conv_id"].dataType
 
@@ -148,7 +158,7 @@ def format_chats(conversations: DataFrame, render: Template = turn_tags, *, loss
         names = ["conv_id", "formatted", "spans", "n_turns", "rewrites"]
         out, size = [], 0
         for conv, turns in rows(batches):
-            text, spans, rewrites = locate(render, turns)
+            text, spans, rewrites = locate(render, turns, segment)
             marked = [dict(zip(("start", "end", "text_start", "text_end"), s), loss=role in loss_roles) for s, (role, _) in zip(spans, turns)]
             out.append((conv, text, marked, len(turns), rewrites))
             size += len(text)
