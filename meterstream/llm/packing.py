@@ -40,12 +40,16 @@ def encoder(vocabulary: str):
     special = {x["content"] for x in model["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    steady = Tokenizer.from_file(vocabulary)
-    steady.encode_special_tokens = True  # in a text, their names are text
+
+    @lru_cache(maxsize=1)
+    def steady() -> Tokenizer:  # loaded by the first text that needs it
+        out = Tokenizer.from_file(vocabulary)
+        out.encode_special_tokens = True  # in a text, their names are text
+        return out
 
     def encode(text: str) -> list[int]:
         if len(text) >= LONG_BLANK and _LONG_BLANK.search(text):
-            return steady.encode(text, add_special_tokens=False).ids
+            return steady().encode(text, add_special_tokens=False).ids
         return fast(text)
 
     return encode
