@@ -114,8 +114,8 @@ def likelihoods(thetas: np.ndarray, y: np.ndarray, daily: int, weekly: int, vari
     n = len(Z)
     burn = n if x is None else 0
     H, Q = np.array([s.H for s in sys]), np.stack([s.Q for s in sys])
-    x = np.zeros((m, n)) if x is None else np.tile(x, (m, 1))
-    P = np.tile(np.eye(n) * 1e6 if P is None else P, (m, 1, 1))
+    x = np.zeros((m, n)) if x is None else np.tile(x, (m, 1)).astype(float)
+    P = np.tile(np.eye(n) * 1e6 if P is None else P, (m, 1, 1)).astype(float)
     turning = not VARIANTS[variant][0]
     loads = np.tile(Z, (len(y), 1))
     if turning:
@@ -125,11 +125,11 @@ def likelihoods(thetas: np.ndarray, y: np.ndarray, daily: int, weekly: int, vari
             loads[:, at], loads[:, at + 1] = np.cos(angle), np.sin(angle)
     variances, innovations = np.ones((len(y), m)), np.zeros((len(y), m))
     known = np.flatnonzero(np.isfinite(y))
-    seen = 0
+    wide, guarded, seen = np.empty((m, n, n)), 4 * max(n, daily), 0
     with np.errstate(all="ignore"):
-        for k in known if turning else range(len(y)):
+        for k in known.tolist() if turning else range(len(y)):
             if turning:
-                P = P + Q * (k - seen)  # noise of all steps since the last value
+                P += Q if k - seen == 1 else Q * (k - seen)  # noise of all steps since the last value
                 seen = k
             elif k:
                 x = x @ T.T
@@ -137,14 +137,16 @@ def likelihoods(thetas: np.ndarray, y: np.ndarray, daily: int, weekly: int, vari
             if y[k] != y[k]:
                 continue
             load = loads[k]
-            PZ = P @ load
+            PZ = (P.reshape(m * n, n) @ load).reshape(m, n)
             S = PZ @ load + H
             v = y[k] - x @ load
             variances[k], innovations[k] = S, v
             K = PZ / S[:, None]
-            x = x + K * v[:, None]
-            A = P - K[:, :, None] * PZ[:, None, :]
-            P = A - (A @ load - H[:, None] * K)[:, :, None] * K[:, None, :]
+            x += K * v[:, None]
+            P -= np.multiply(K[:, :, None], PZ[:, None, :], out=wide)
+            if k < guarded:  # as long as the state is all but unknown, what rounding has left behind is taken out
+                left = (P.reshape(m * n, n) @ load).reshape(m, n) - H[:, None] * K
+                P -= np.multiply(left[:, :, None], K[:, None, :], out=wide)
         counted = known[known >= burn]
         S, v = variances[counted], innovations[counted]
         return -0.5 * (np.log(2 * np.pi * S) + v * v / S).sum(axis=0)
