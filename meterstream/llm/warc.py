@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import forget_path, fresh_path, saved, scratch
 
 CRLF = "\r\n"
 #: Fixed values of the WARC 1.1 format.
@@ -27,13 +29,15 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)
 
 
-def write_pages(pages: DataFrame, path: str, *, dedup_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", rows_per_file: int = 4096, partitions: int | None = None) -> None:
+def write_pages(pages: DataFrame, path: str, *, dedup_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", rows_per_file: int = 4096) -> None:
     """Write a request, a response or revisit, and a metadata record for each page row.
 
     Of rows with equal payloads of ``dedup_bytes`` or more, the one with the largest ``page_id`` is
-    written as response and the others as revisits that refer to it (equal rows that tie on the
-    largest id are all responses). Spark's text writer puts the records into gzip files through
-    its commit protocol, so a lost or repeated task leaves no partial archive.
+    written as response and the others as revisits that refer to its record (equal rows that tie on
+    the largest id are all responses, and one of them is referred to). Spark's text writer puts the
+    records into gzip files (one member each) through its commit protocol, so a lost or repeated
+    task leaves no partial archive. Rows are told apart by their place, so ``pages`` must come in
+    one order each time that it is read, as files do.
 
     A null html counts as an empty payload, a null url as ``about:blank``; a null page_id stays
     distinct from every other and never wins against a number.
@@ -46,12 +50,15 @@ def write_pages(pages: DataFrame, path: str, *, dedup_bytes: int = 1000, date: s
         F.monotonically_increasing_id().alias("row"),
     ).withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "bytes": F.octet_length("html").cast("long")})
     # only digests move here; sums are made before the shuffle, so a payload that a third of the rows share costs one row a task
-    firsts = rows.where(F.col("bytes") >= dedup_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies"))
-    shared = firsts.where((F.col("copies") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id")
+    firsts = rows.where(F.col("bytes") >= dedup_bytes).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.max_by("row", "page_id").alias("first_row"), F.count("*").alias("copies"))
+    shared = firsts.where((F.col("copies") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id", "first_row")
     rows = rows.join(shared, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    name = F.concat(F.lit("<urn:capture:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("row").cast("string"), F.lit(":"))
-    main, asked, about = (F.concat(name, F.lit(f"{kind}>")) for kind in ("main", "request", "metadata"))
+
+    def name(page: str, row: str, kind: str) -> Column:
+        return F.concat(F.lit("<urn:capture:"), F.coalesce(F.col(page).cast("string"), F.lit("none")), F.lit(":"), F.col(row).cast("string"), F.lit(f":{kind}>"))
+
+    main, asked, about = (name("page_id", "row", kind) for kind in ("main", "request", "metadata"))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
     head = F.lit(HTTP_OK)
@@ -73,7 +80,7 @@ def write_pages(pages: DataFrame, path: str, *, dedup_bytes: int = 1000, date: s
                         *common,
                         ("WARC-Payload-Digest", digest),
                         ("WARC-Profile", F.when(revisit, PROFILE)),
-                        ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:capture:"), F.col("first_id").cast("string"), F.lit(">")))),
+                        ("WARC-Refers-To", F.when(revisit, name("first_id", "first_row", "main"))),
                         ("Content-Type", F.lit("application/http; msgtype=response")),
                         sized(answer),
                     ],
@@ -86,28 +93,31 @@ def write_pages(pages: DataFrame, path: str, *, dedup_bytes: int = 1000, date: s
     records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
+def inflated(raw: bytes, piece: int = 1 << 18) -> Iterator[bytes]:
+    """An archive's bytes in pieces: of its gzip members one after the other, or as they are."""
+    if raw[:2] != b"\x1f\x8b":
+        yield from (raw[at : at + piece] for at in range(0, len(raw), piece))
+        return
+    member = zlib.decompressobj(31)
+    for at in range(0, len(raw), piece):
+        data = raw[at : at + piece]
+        while data:
+            if member.eof:
+                member = zlib.decompressobj(31)
+            yield member.decompress(data)
+            data = member.unused_data
+
+
 class _Source:
-    """Bytes of gzip members or of plain text, read forward; memory holds a piece and the record asked for."""
+    """Bytes that come in pieces, read forward; memory holds a piece and the record asked for."""
 
-    def __init__(self, raw: bytes, piece: int = 1 << 18):
-        self.raw, self.piece, self.at, self.kept, self.pos = raw, piece, 0, b"", 0
-        self.zip = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.kept, self.pos = pieces, b"", 0
 
     def _more(self) -> bool:
-        if self.at >= len(self.raw):
+        data = next(self.pieces, None)
+        if data is None:
             return False
-        data = self.raw[self.at : self.at + self.piece]
-        self.at += len(data)
-        if self.zip is not None:
-            out = [self.zip.decompress(data)]
-            while self.zip.eof and (rest := self.zip.unused_data):  # the next member
-                if rest[:2] != b"\x1f\x8b":
-                    break
-                self.zip = zlib.decompressobj(31)
-                out.append(self.zip.decompress(rest))
-            if self.zip.eof and not self.zip.unused_data and self.at < len(self.raw):
-                self.zip = zlib.decompressobj(31)
-            data = b"".join(out)
         self.kept, self.pos = self.kept[self.pos :] + data, 0
         return True
 
@@ -129,9 +139,9 @@ class _Source:
                 return b"".join(parts)
 
 
-def parse(raw: bytes, payload: bool = True) -> Iterator[tuple]:
+def parse(pieces: Iterator[bytes], payload: bool = True) -> Iterator[tuple]:
     """Records of one archive, as in ``RECORDS``. The payload of an HTTP message is what follows its header."""
-    source = _Source(raw)
+    source = _Source(iter(pieces))
     while (head := source.until(b"\r\n\r\n")) is not None:
         lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
@@ -153,53 +163,98 @@ def parse(raw: bytes, payload: bool = True) -> Iterator[tuple]:
         yield (one("warc-record-id"), kind, one("warc-target-uri"), fields.get("warc-concurrent-to", []), one("warc-refers-to"), one("warc-payload-digest") if kind == "revisit" else f"sha1:{hashlib.sha1(body).hexdigest()}", len(body), n, body.decode("utf-8", "replace").split(CRLF)[:-1] if one("content-type") == "application/warc-fields" else None, body if payload else None)
 
 
-def read(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
-    """Read archives (plain, gzip, or a gzip member a record) as one row per record.
-
-    Digest and length of a payload are computed from the bytes read; a revisit has no payload and
-    keeps the digest that it states.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary()]
-        names = [x.split()[0] for x in RECORDS.split(", ")]
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows), types)], names=names)
+def _record_batches(rows: Iterator[tuple], payload: bool) -> Iterator[pa.RecordBatch]:
+    types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary()]
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 300 + row[7] * payload
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*held), types)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*held), types)], names=names)
 
-        rows, size = [], 0
-        for found in batches:
-            for content in found.column(0):
-                for row in parse(content.as_py(), payload):
-                    rows.append(row)
-                    size += 300 + row[7] * payload
-                    if size > 4 << 20:
-                        yield batch(rows)
-                        rows, size = [], 0
-        if rows:
-            yield batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+def read(spark: SparkSession, path: str, *, payload: bool = True, most_whole: int = 32 << 20) -> DataFrame:
+    """Read archives (gzip files, of a member a record or fewer, or plain ones) as one row per record.
 
-
-def assemble(records: DataFrame) -> DataFrame:
+    Digest and length of a payload are computed from the bytes read; a revisit has no payload and
+    keeps the digest that it states. Files come to the tasks as they are and are inflated a piece
+    at a time; gzip files of more than ``most_whole`` bytes, which might be too much for that, are
+    inflated by Spark instead and come in pieces. Both give the same rows. Plain files must fit
+    into a task (2 GB at most).
+    """
+    end = CRLF + CRLF
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[int, bytes]]:
+            for batch in batches:
+                number, values = batch.column(0).to_numpy(), batch.column(1)
+                cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+                for at, to in zip(cuts, cuts[1:]):  # what comes of one file, joined as it was
+                    if to > at:
+                        yield number[at], end.encode().join([*values[at:to].to_pylist(), b""])
+
+        files = groupby(pieces(), key=lambda x: x[0])  # a file's pieces follow each other in one task
+        yield from _record_batches((row for _, own in files for row in parse((data for _, data in own), payload)), payload)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _record_batches((row for batch in batches for content in batch.column(0) for row in parse(inflated(content.as_py()), payload)), payload)
+
+    some = spark.read.format("binaryFile").load(path).where((F.col("length") <= most_whole) | ~F.col("path").endswith(".gz")).select("content")
+    large = spark.read.option("lineSep", end).option("pathGlobFilter", "*.gz").text(path).where(F.col("_metadata.file_size") > most_whole)
+    parts = large.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    return some.mapInArrow(whole, RECORDS).unionByName(parts.mapInArrow(streamed, RECORDS))
+
+
+ANSWERS = ("response", "revisit", "resource", "conversion")
+
+
+def _resolved(answers: DataFrame, others: DataFrame) -> DataFrame:
+    """``record_id, capture_id`` of the other records: what the references of either side lead to, followed to an answer or to something that the archive lacks or that names nothing."""
+    given = others.select("record_id", F.explode("concurrent_to").alias("capture_id"))
+    taken = answers.select(F.explode("concurrent_to").alias("record_id"), F.col("record_id").alias("capture_id"))
+    links = given.unionByName(taken).where("record_id IS NOT NULL AND capture_id IS NOT NULL AND record_id != capture_id").distinct()
+    onward = links.join(answers.select("record_id").distinct(), "record_id", "left_anti")  # an answer is where a reference ends
+    steps = onward.select(F.col("record_id").alias("via"), F.col("capture_id").alias("next"))
+    open_ = onward.join(steps.select("via").distinct(), F.col("capture_id") == F.col("via"), "left_semi")
+    if open_.isEmpty():
+        return onward
+    links, steps = saved(onward, "links"), saved(steps, "steps")
+    seen, done = links, None
+    while True:  # as often as the longest chain has steps; a round of records that only name each other ends when nothing new is met
+        at = links.join(steps, F.col("capture_id") == F.col("via"), "left")
+        ends = at.where(F.col("via").isNull()).select("record_id", "capture_id")
+        done = ends if done is None else done.unionByName(ends)
+        ahead = at.where(F.col("via").isNotNull()).select("record_id", F.col("next").alias("capture_id")).where("record_id != capture_id").distinct()
+        links = saved(ahead.join(seen, ["record_id", "capture_id"], "left_anti"), "links")
+        if links.isEmpty():
+            return done.distinct()
+        seen = saved(seen.unionByName(links), "seen-links")
+
+
+def assemble(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Join request, response and metadata records into one nested row per capture.
 
-    A record belongs to the capture of the record that it is concurrent to; chains of such
-    references are followed to the response or revisit at their end (two steps: a metadata record
-    may name a request). Returns ``capture_id``, ``response`` (struct; null if the archive lacks
-    it), ``requests`` and ``metadata`` (arrays of structs without payload). Request and metadata
-    records that name nothing found in the archive make captures of their own; records without
-    any identifier each stand alone. Repeated references count once.
+    A record belongs to the capture of the record that it is concurrent to, or that says so of it;
+    chains of such references, of any length, are followed to the response or revisit at their
+    end. Returns ``capture_id``, ``response`` (struct; null if the archive lacks it), ``requests``
+    and ``metadata`` (arrays of structs without payload). Request and metadata records that lead to
+    nothing found in the archive make captures of their own, named by what they lead to, or by
+    themselves; records without any identifier each stand alone. Repeated records and references
+    count once. A capture is one row, so its records must fit into one. ``heads`` may hold the
+    same records without payload, written out, so that archives aren't read for each step.
     """
-    answers = records.where(F.col("record_type").isin("response", "revisit", "resource", "conversion"))
-    others = records.where(~F.col("record_type").isin("response", "revisit", "resource", "conversion", "warcinfo"))
+    heads = records if heads is None else heads
+    answers = records.where(F.col("record_type").isin(*ANSWERS))
+    others = heads.where(~F.col("record_type").isin(*ANSWERS, "warcinfo"))
     brief = ["record_id", "record_type", "target_uri", "block_bytes", "payload_bytes", "payload_digest", "fields"]
-    linked = others.select("record_id", F.array_distinct("concurrent_to").alias("names"), F.struct(*brief).alias("record"))
-    named = linked.select("record", F.explode_outer("names").alias("to"))
-    steps = others.select(F.col("record_id").alias("via"), F.explode("concurrent_to").alias("next")).where(F.col("next").isNotNull()).distinct()
-    # a reference to another request or metadata record is replaced by what that one names
-    followed = named.join(steps, named["to"] == steps["via"], "left").select("record", F.coalesce("next", "to", F.col("record.record_id")).alias("capture_id"))
+    named = heads.where(F.col("record_type").isin(*ANSWERS)).select("record_id", "concurrent_to").where("record_id IS NOT NULL")
+    found = _resolved(named, others.select("record_id", "concurrent_to")).withColumnRenamed("record_id", "_from")
+    linked = others.select(F.struct(*brief).alias("record"))
+    followed = linked.join(found, F.col("record.record_id") == F.col("_from"), "left").select("record", F.coalesce("capture_id", F.col("record.record_id")).alias("capture_id"))
     sides = followed.groupBy("capture_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("record.record_type") == "request", F.col("record")))).alias("requests"),
         F.array_sort(F.collect_set(F.when(F.col("record.record_type") != "request", F.col("record")))).alias("metadata"),
@@ -219,22 +274,33 @@ def empty_type(sides: DataFrame):
 
 def captures(pages: DataFrame, *, payload: bool = True, path: str | None = None) -> DataFrame:
     """Write pages as WARC files in the shared folder, read them back and assemble the captures."""
-    path = path or fresh_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    path = path or fresh_path(spark, "warc")
     write_pages(pages, path)
-    return assemble(read(pages.sparkSession, path, payload=payload))
+    heads = saved(read(spark, path, payload=False), "warc-heads")
+    return assemble(read(spark, path) if payload else heads, heads)
 
 
 def page_of(name: Column) -> Column:
     """The page id in a record name made by ``write_pages``; null where it has none."""
-    return F.regexp_extract(name, r"^<urn:capture:(-?\d+)[:>]", 1).try_cast("long")
+    return F.regexp_extract(name, r"^<urn:capture:(-?\d+):", 1).try_cast("long")
 
 
 def page_digests(pages: DataFrame) -> DataFrame:
     """One row per page as read back: digest and size of the full payload, record type, and whom a revisit refers to.
 
-    A revisit carries no payload; its size comes from the metadata record assembled with it.
+    A revisit carries no payload; its size comes from the metadata record assembled with it. The
+    archives go when the digests are written.
     """
-    found = captures(pages, payload=False).where(F.col("response").isNotNull())
+    with scratch():
+        path = fresh_path(pages.sparkSession, "warc")
+        try:
+            return saved(_digests(captures(pages, payload=False, path=path).where(F.col("response").isNotNull())), "page-digests", outlive=True)
+        finally:
+            forget_path(pages.sparkSession, path)
+
+
+def _digests(found: DataFrame) -> DataFrame:
     stated = F.regexp_extract(F.get(F.get(F.col("metadata.fields"), F.lit(0)), F.lit(0)), r"^payloadBytes: (\d+)$", 1).try_cast("long")
     return found.select(
         page_of(F.col("capture_id")).alias("page_id"),
