@@ -58,7 +58,26 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_class_lm": op2_class_lm, "op3_chat": op3_chat, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_html": op10_html}
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op6_near_duplicates``."""
+    return op6_near_duplicates(spark, sf_dir).drop("n_links", "similarity")
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op4_licenses``."""
+    return op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def packing_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op9_packing``: each document's pieces, and sequences without gaps or padding."""
+    pieces = op9_packing(spark, sf_dir)
+    ends = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("starts"), F.count("*").alias("pieces"))
+    good = ends.select("sequence_id", ((F.col("n") == F.col("end")) & (F.col("starts") == F.col("pieces")) & (F.col("n") <= 1024) & (F.bit_count("n") == 1)).alias("full"))
+    whole = (F.sum("length") == F.sum_distinct("doc_tokens") * F.count_if(F.col("start") == 0)) & (F.min("start") == 0) & (F.max(F.col("start") + F.col("length")) == F.max("doc_tokens"))
+    return pieces.join(good, "sequence_id").groupBy("doc_id").agg(whole.alias("covered"), F.bool_and("full").alias("sequences_full"), F.count_if(F.col("start") == 0).alias("n_rows"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_class_lm": op2_class_lm, "op3_chat": op3_chat, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_near_duplicates": op6_near_duplicates, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_packing": op9_packing, "op10_html": op10_html, "near_duplicate_classes": near_duplicate_classes, "license_phrases": license_phrases, "packing_coverage": packing_coverage}
 
 ORACLES = {
     "op1_warc": """
@@ -71,6 +90,39 @@ ORACLES = {
                1::BIGINT AS n_requests, 1::BIGINT AS n_metadata
         FROM p LEFT JOIN r USING (payload_digest)
     """,
+    # a backslash goes behind the first character of each control string, of those that hold some as well
+    "op3_chat": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        m AS (SELECT *, '<\\*\||\|\\*>|<\\*/s>|<\\*s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>|<\\*start_of_turn>|<\\*end_of_turn>' AS p, replace(replace(role, '\', '\\'), chr(10), '\n') AS name FROM c),
+        t AS (SELECT *, length(text) + len(regexp_extract_all(text, p)) AS text_chars, length(name) + len(regexp_extract_all(name, p)) AS name_chars FROM m)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(8 + name_chars + 1 + text_chars + 8)::BIGINT AS formatted_chars, false AS rewrites
+        FROM t GROUP BY conv_id
+    """,
+    "license_phrases": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT r, i - 1 AS place, CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END AS label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        b AS (SELECT r, count(*) AS n, min(place) AS a, max(place) AS z, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM p WHERE label IS NOT NULL GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN b USING (r)
+    """,
+    "near_duplicate_classes": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT r, s, count(*) AS c FROM (SELECT r, array_to_string(w[i:i + 4], chr(10)) AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)) GROUP BY 1, 2),
+        bag AS (SELECT r, sum(c) AS n, md5(string_agg(s || c, chr(11) ORDER BY s)) AS bag FROM g GROUP BY 1),
+        node AS (SELECT bag, min(r) AS node, any_value(n) AS n FROM bag GROUP BY 1),
+        h AS (SELECT g.r AS node, s, c FROM g JOIN node ON node.node = g.r),
+        l AS (SELECT a.node AS u, b.node AS v, sum(least(a.c, b.c)) AS shared FROM h a JOIN h b ON a.s = b.s AND a.node <> b.node GROUP BY 1, 2),
+        e AS (SELECT u, v FROM l JOIN node x ON x.node = u JOIN node y ON y.node = v WHERE shared >= 0.8 / 1.8 * (x.n + y.n) - 1e-9),
+        reach AS (SELECT node, node AS root FROM node UNION SELECT e.v, reach.root FROM reach JOIN e ON e.u = reach.node),
+        comp AS (SELECT node, min(root) AS root FROM reach GROUP BY 1),
+        m AS (SELECT d.doc_id, bag.bag, comp.root FROM d JOIN bag USING (r) JOIN node USING (bag) JOIN comp ON comp.node = node.node)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size, count(*) OVER (PARTITION BY bag) AS n_copies FROM m
+        UNION ALL SELECT doc_id, doc_id, 1, 1 FROM d WHERE len(w) = 0
+    """,
+    # no tokens in SQL: every document must be covered by its pieces, and every sequence be full
+    "packing_coverage": "SELECT doc_id, true AS covered, true AS sequences_full, count(*) AS n_rows FROM documents GROUP BY doc_id",
     "op8_quality": r"""
         WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
         w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterstream.llm import boosting, chat, classlm, components, decontaminate, html_extract, langid, license_scan, neardup, packing, quality, warc
+from meterstream.llm import boosting, chat, classlm, common, components, decontaminate, html_extract, langid, license_scan, neardup, packing, quality, warc
 from meterstream.llm.dom import Page, features
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,6 +129,24 @@ def test_warc_round_trip(spark):
     assert warc.page_digests(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_references_resolve(spark, tmp_path):
+    """Every Refers-To and Concurrent-To names a record of the archive, and a Refers-To one with that very payload."""
+    body = "<p>é</p>" * 200
+    rows = [(k % 7 or None, "u", body if k % 2 else body + str(k % 3)) for k in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages")
+    warc.write_pages(spark.read.parquet(f"{tmp_path}/pages"), f"{tmp_path}/a")
+    found = warc.read(spark, f"{tmp_path}/a").collect()
+    by = {r["record_id"]: r for r in found}
+    assert len(found) == len(by) == 180
+    for r in found:
+        assert all(by[x]["record_type"] in ("response", "revisit") for x in r["concurrent_to"]) and len(r["concurrent_to"]) == (r["record_type"] in ("request", "metadata"))
+        if r["record_type"] == "revisit":
+            main = by[r["refers_to"]]
+            assert main["record_type"] == "response" and main["payload_digest"] == r["payload_digest"]
+        else:
+            assert r["refers_to"] is None
+
+
 def test_warc_assembly(spark):
     rec = lambda i, kind, to=(): (i, kind, "u", list(to), None, None, 0, 0, None, None)
     df = spark.createDataFrame([rec("r", "response"), rec("q", "request", ["r"]), rec("m", "metadata", ["q"]), rec("lost", "metadata", ["gone"]), rec(None, "response"), rec("w", "warcinfo")], warc.RECORDS)
@@ -137,12 +155,46 @@ def test_warc_assembly(spark):
     assert got["gone"]["response"] is None and got[None]["response"] is not None and len(got) == 3
 
 
-def test_warc_parses_member_per_record():
+def test_warc_chains_of_any_length_and_either_direction(spark):
+    rec = lambda i, kind, to=(): (i, kind, "u", list(to), None, None, 0, 0, None, None)
+    rows = [rec("r", "response", ["q"]), rec("q", "request"), rec("m0", "metadata", ["q"])]  # the response names its request
+    rows += [rec(f"m{k}", "metadata", [f"m{k - 1}"]) for k in range(1, 7)]
+    rows += [rec("v", "revisit"), rec("both", "metadata", ["v", "m6"])]  # part of two captures
+    rows += [rec("a", "metadata", ["b"]), rec("b", "metadata", ["a"]), rec("s", "request", ["s"]), rec("n", "request"), rec(None, "request", ["v"])]
+    got = {r["capture_id"]: r for r in warc.assemble(spark.createDataFrame(rows + rows[:3], warc.RECORDS)).collect()}
+    name = lambda r, side: [x["record_id"] for x in r[side]]
+    assert name(got["r"], "requests") == ["q"] and name(got["r"], "metadata") == ["both", *(f"m{k}" for k in range(7))]
+    assert name(got["v"], "metadata") == ["both"] and name(got["s"], "requests") == ["s"] and name(got["n"], "requests") == ["n"]
+    assert {x for k in ("a", "b") if k in got for x in name(got[k], "metadata")} == {"a", "b"} and got[None]["response"] is None
+
+
+def test_warc_parses_member_per_record(spark, tmp_path):
     import gzip
 
     one = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    found = list(warc.parse(gzip.compress(one) + gzip.compress(one.replace(b"<a>", b"<b>"))))
-    assert [(r[0], r[-1]) for r in found] == [("<a>", b"abc"), ("<b>", b"abc")]
+    raw = gzip.compress(one) + gzip.compress(one.replace(b"<a>", b"<b>"))
+    for piece in (1 << 18, 7, 1):
+        assert [(r[0], r[-1]) for r in warc.parse(warc.inflated(raw, piece))] == [("<a>", b"abc"), ("<b>", b"abc")]
+    rng = random.Random(23)
+    want = []
+    for name, pack in (("x.warc.gz", lambda parts: b"".join(map(gzip.compress, parts))), ("y.warc", b"".join), ("z.gz", lambda parts: gzip.compress(b"".join(parts)))):
+        parts = []
+        for k in range(300):  # blocks of line ends in all mixes, and of bytes that are no text
+            block = b"".join(rng.choice([b"\r", b"\n", b"\r\n", b"\r\n\r\n", b"WARC/1.0\r\n", b"\xff\x00", b"ab"]) for _ in range(rng.randrange(40)))
+            want.append((f"<{name}{k}>", block))
+            parts.append(b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%s%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (name.encode(), k, len(block), block))
+        (tmp_path / name).write_bytes(pack(parts))
+    for most_whole in (32 << 20, 0):  # whole, and inflated by Spark
+        got = warc.read(spark, str(tmp_path), most_whole=most_whole).collect()
+        assert sorted((r["record_id"], bytes(r["payload"])) for r in got) == sorted(want)
+    assert all(r["payload_digest"] == "sha1:" + hashlib.sha1(bytes(r["payload"])).hexdigest() for r in got)
+
+
+def test_warc_of_long_pages(spark):
+    rows = [(k, "u", chr(97 + k % 3) * 3_000_000) for k in range(6)] + [(9, "u", "\r\n\r\n" * 100_000)]
+    got = {r["page_id"]: r for r in warc.page_digests(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: (r["payload_bytes"], r["record_type"], r["refers_to"]) for i, r in got.items()} == {**{k: (3_000_000, "revisit", k + 3) for k in range(3)}, **{k: (3_000_000, "response", None) for k in range(3, 6)}, 9: (400_000, "response", None)}
+    assert all(got[i]["payload_digest"] == hashlib.sha1(t.encode()).hexdigest() for i, _, t in rows)
 
 
 # --- chat
@@ -169,10 +221,18 @@ def test_chat_detects_rewriting():
     turns = [("user", "hi there"), ("assistant", "well"), ("user", "so")]
     assert chat.locate(last_only, turns)[2] and not chat.locate(chat.turn_tags, turns)[2]
 
+    many = [("user", f"word {k}") for k in range(80)]
+
+    def shortens(turns):  # the first turn loses its text once there are 50
+        return "".join(f"[{r}]{t if k or len(turns) < 50 else '...'};" for k, (r, t) in enumerate(turns))
+
+    for segment in (32, None, 1000):
+        assert chat.locate(shortens, many, segment)[2] and not chat.locate(chat.turn_tags, many, segment)[2]
+    assert chat.locate(chat.turn_tags, many) == chat.locate(chat.turn_tags, many, None)
+
     def looks_back(turns):  # the first turn shows up in every other one: segments can't render it alone
         return "".join(f"<{r}:{turns[0][1]}>{t};" for r, t in turns)
 
-    many = [("user", f"word {k}") for k in range(80)]
     text, spans, _ = chat.locate(looks_back, many)
     assert all(text[a:b] == t for (_, _, a, b), (_, t) in zip(spans[1:], many[1:]))  # the first stands in two places
 
@@ -475,6 +535,11 @@ def test_near_duplicates_against_brute_force(spark):
     rows += [(1000, "tiny"), (1001, "Tiny"), (1002, "a b c"), (1003, rows[0][1])]
     got = neardup.near_duplicates(docs(spark, rows).withColumn("class_id", F.lit(0))).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == classes_of(rows)
+    for r in got:  # links hold classes of several texts together, and are as similar as they say
+        others = [jaccard(dict(rows)[r["doc_id"]], t) for _, t in rows if jaccard(dict(rows)[r["doc_id"]], t) < 1]
+        assert (r["n_links"] > 0) == (r["class_size"] > r["n_copies"]) == (r["similarity"] is not None)
+        assert r["similarity"] is None or 0.8 <= r["similarity"] < 1 and min(abs(r["similarity"] - x) for x in others) < 1e-9
+        assert r["n_links"] <= sum(x >= 0.8 for x in others)
 
 
 def test_near_duplicates_of_odd_rows(spark):
@@ -487,7 +552,7 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
-@pytest.mark.parametrize("most_broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("most_broadcast", [64 << 20, 0])
 def test_kept_rows_of_repeated_and_null_ids(spark, most_broadcast):
     rng = random.Random(14)
     a, b, c, d, e, f = (prose(rng, 40) for _ in range(6))
@@ -522,6 +587,29 @@ def test_components(spark):
     assert {got[k] for k in range(31)} == {0} and {got[k] for k in range(100, 140)} == {100}
 
 
+def test_tables_go_with_their_scope(spark):
+    import os
+
+    def there(df):
+        return os.path.exists(df._saved_at.removeprefix("file:"))
+
+    with common.scratch():
+        outer = common.saved(spark.range(3), "outer")
+        with common.scratch():
+            inner, kept = common.saved(spark.range(3), "inner"), common.saved(spark.range(3), "kept", outlive=True)
+            assert there(inner) and there(kept)
+        assert not there(inner) and there(kept) and kept.count() == 3
+    assert not there(outer) and not there(kept)
+    assert there(common.saved(spark.range(3), "free"))
+
+
+def test_broadcasts_are_of_measured_bytes(spark):
+    df = spark.range(1000).select("id", F.sequence(F.lit(0), F.lit(99)).alias("a"), F.create_map(F.lit("k"), F.struct(F.lit("text" * 10))).alias("m"), F.lit(None).cast("string").alias("n"))
+    assert 800_000 < common.weight(df) < 1_200_000 and common.weight(df.limit(0)) == 0
+    plan = lambda most: df.join(common.small(spark.range(500), most), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(1 << 20) and "strategy=broadcast" not in plan(100)
+
+
 # --- decontamination
 
 
@@ -555,7 +643,7 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("most_broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("most_broadcast", [64 << 20, 0])
 def test_leaks_of_repeated_and_null_items(spark, most_broadcast):
     rng = random.Random(15)
     a, b, c, d, e, f = (prose(rng, 44) for _ in range(6))
@@ -578,7 +666,7 @@ def test_leaks_of_repeated_and_null_items(spark, most_broadcast):
 def test_class_scores_against_brute_force(spark):
     rng = random.Random(10)
     rows = odd(rng) + [(k, prose(rng, rng.randrange(0, 200)).replace("the", "THE")) for k in range(10, 60)]
-    got = classlm.score(docs(spark, rows).withColumn("score", F.lit(0)), classes=8, forms=16, share=1e-2, rounds=3).collect()
+    got = classlm.score(docs(spark, rows).withColumn("score", F.lit(0)), classes=8, forms=16, share=5e-3, frequent=1e-2, rounds=3).collect()
     tokens = [(i, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows]
     tokens = [(i, [*WORDS.findall(t), None]) for i, t in tokens]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
@@ -591,6 +679,63 @@ def test_class_scores_against_brute_force(spark):
     assert classlm.score(docs(spark, [])).count() == 0
 
 
+def test_exchange_over_tables_equals_one_in_memory(spark):
+    """Moves worked out where profiles are, and coarse bigrams, against dense matrices; the likelihood never falls."""
+    rng = np.random.default_rng(3)
+    units, classes = 40, 5
+    sequence = rng.integers(0, units, 4000) // rng.integers(1, 4, 4000)
+    full = np.zeros((units, units))
+    np.add.at(full, (sequence, np.roll(sequence, -1)), 1)
+    rows = [(int(u), int(v), int(full[u, v])) for u, v in zip(*full.nonzero())]
+    bigrams = spark.createDataFrame(rows, "u int, v int, n long").repartition(4)
+    of, pairs, history = classlm.exchange(bigrams, units, classes, 10)
+    one = np.eye(classes)[of]
+    assert (pairs == one.T @ full @ one).all() and history == sorted(history) and abs(history[-1] - classlm.likelihood(pairs)) < 1e-9
+    start = np.arange(units) % classes
+    again, _, later = classlm.exchange(bigrams, units, classes, 10, start=of)
+    assert later[0] == history[-1] and len(later) <= 2
+    profiles, counted = classlm._profiles(bigrams, start, classes)
+    to, gain = classlm._moves(profiles, start, np.diagonal(full).copy(), counted)
+    one = np.eye(classes)[start]
+    want = classlm.best_moves(start, full @ one, full.T @ one, np.diagonal(full), one.T @ full @ one)
+    assert (to == want[0]).all() and np.allclose(gain, want[1])
+    group = rng.integers(0, 7, units)
+    got = {(r["u"], r["v"]): r["n"] for r in classlm.coarse(bigrams, group).collect()}
+    half = np.eye(7)[group]
+    assert got == {(u, v): n for (u, v), n in np.ndenumerate(half.T @ full @ half) if n}
+
+
+def test_class_scores_are_the_models(spark):
+    """Scores against the model's formula from its own classes, token by token, and held-out text better than by single words."""
+    rng = random.Random(24)
+    a, b = [[f"{x}{k}" for k in range(40)] for x in "ab"]
+    rows = [(k, " ".join(rng.choice(a if j % 2 else b) for j in range(120))) for k in range(120)]
+    kept = {}
+    plain = classlm._scored
+    classlm._scored = lambda docs, scorer: kept.setdefault("scorer", scorer) and plain(docs, scorer)
+    try:
+        got = {r["doc_id"]: r for r in classlm.score(docs(spark, rows), classes=4, forms=8, share=2e-3, frequent=1e-2).collect()}
+    finally:
+        classlm._scored = plain
+    scorer = kept["scorer"]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    count = collections.Counter(w for t in train for w in t.split())
+    tokens = classlm.Tokens(8)
+    for i, text in rows[:20]:
+        parts = list(tokens.of([text.encode()]))
+        hashes, form = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        unit, _ = scorer.units.of(hashes, form)
+        cls, last, total = scorer.of[unit], scorer.of[scorer.units.end()], 0.0
+        for c, w in zip(cls, [*text.split(), None]):
+            n = count[w] if w else len(train)
+            total += scorer.step[last, c] + math.log10(n + 0.5) - scorer.mass[c]
+            last = c
+        assert abs(total - got[i]["score"]) < 1e-6
+        assert abs(got[i]["perplexity"] - 10 ** (-total / (len(cls)))) < 1e-6
+    assert np.allclose((10**scorer.step).sum(1), 1, atol=1e-6)
+    assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
+
+
 def test_exchange_moves_gain_what_they_say():
     rng = np.random.default_rng(1)
     units, classes = 12, 4
