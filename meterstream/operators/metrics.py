@@ -119,16 +119,23 @@ def in_order(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, feature: str, shares: list[float], *, rows_a_bucket: int = 1_000_000) -> list[float]:
-    """Exact quantiles of a column over all rows, interpolated between neighbours; none for an empty one.
+    """Exact quantiles of a column over all rows, interpolated between neighbours; none for an empty one."""
+    n = rows.where(F.col(feature).isNotNull()).count()
+    if not n:
+        return []
+    low = [int(share * (n - 1)) for share in shares]
+    values = at_ranks(rows, feature, sorted({r for k in low for r in (k, min(n - 1, k + 1))}), n, rows_a_bucket=rows_a_bucket)
+    return [values[k] + (values[min(n - 1, k + 1)] - values[k]) * (share * (n - 1) - k) for k, share in zip(low, shares)]
+
+
+def at_ranks(rows: DataFrame, feature: str, wanted: list[int], n: int, *, rows_a_bucket: int = 1_000_000) -> dict[int, float]:
+    """The values at some ranks (from 0) of a column that has ``n`` of them.
 
     Rough quantiles part the values into buckets, the buckets' counts tell which hold the rows
     that are asked for, and only those are looked at row by row, each in a task; equal values are
     summed before. So no task holds more than a bucket's different values.
     """
     some = rows.where(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias("v"))
-    n = some.count()
-    if not n:
-        return []
     parts = min(10_000, max(16, n // rows_a_bucket))
     cuts = sorted(set(some.agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], F.lit(20 * parts))).first()[0]))
     placed = some.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))) if len(cuts) <= 64 else _bucket_of(F.col("v"), cuts))
@@ -137,7 +144,6 @@ def quantiles(rows: DataFrame, feature: str, shares: list[float], *, rows_a_buck
     for bucket in sorted(counts):
         first[bucket] = at
         at += counts[bucket]
-    wanted = sorted({r for share in shares for r in (int(share * (n - 1)), min(n - 1, int(share * (n - 1)) + 1))})
     holding = {}
     for r in wanted:
         holding.setdefault(max(b for b in first if first[b] <= r), []).append(r)
@@ -148,12 +154,7 @@ def quantiles(rows: DataFrame, feature: str, shares: list[float], *, rows_a_buck
     hit = F.filter(asked[F.col("bucket")], lambda r: (r < F.col("last")) & (r >= F.col("last") - F.col("n")))
     for row in ranked.select("bucket", "v", F.explode(hit).alias("r")).collect():  # a row for each rank asked for
         values[first[row["bucket"]] + row["r"]] = row["v"]
-    out = []
-    for share in shares:
-        low = int(share * (n - 1))
-        high = min(n - 1, low + 1)
-        out.append(values[low] + (values[high] - values[low]) * (share * (n - 1) - low))
-    return out
+    return values
 
 
 def _bucket_of(value: Column, cuts: list[float]) -> Column:

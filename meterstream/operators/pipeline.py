@@ -50,6 +50,24 @@ def by_meter(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schem
     return rows.groupBy("meter_id").applyInPandas(guarded(run, ["meter_id", *_names(schema)]), f"meter_id {_key(rows)}, {schema}")
 
 
+def with_models(rows: DataFrame, models: DataFrame, run: Callable[[pd.DataFrame, pd.Series | None], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` on each meter's rows and its row of ``models`` (null without one), guarded like ``by_meter``.
+
+    Both sides are shuffled by meter once; a join would carry a model along with every row.
+    """
+    schema = schema if "error string" in schema else f"{schema}, error string"
+    columns = ["meter_id", *_names(schema)]
+
+    def both(group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame(columns=columns)
+        return guarded(lambda g: run(g, own.iloc[0] if len(own) else None), columns)(group)
+
+    kind = _key(rows)
+    keyed = models.withColumn("meter_id", F.col("meter_id").cast(kind))
+    return rows.groupBy("meter_id").cogroup(keyed.groupBy("meter_id")).applyInPandas(both, f"meter_id {kind}, {schema}")
+
+
 def signature(period: float, daily: int, weekly: int, variant: str) -> str:
     """What two fits must share for one to start from the other."""
     return json.dumps({"daily": daily, "period": round(period), "variant": variant, "weekly": weekly}, sort_keys=True)
@@ -141,17 +159,13 @@ def fit_meters(readings: DataFrame, *, previous: DataFrame | None = None, **opti
     that is kept with its model. Rejected meters say at which stage and why and have no model.
     ``options`` are those of ``fit_frame``.
     """
-    rows = marked(readings)
-    if previous is not None:
-        rows = rows.join(previous.select("meter_id", F.col("signature").alias("_signature"), F.col("model").alias("_model")), "meter_id", "left")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        before = None
-        if "_model" in group and isinstance(text := group["_model"].iloc[0], str):
-            before = (group["_signature"].iloc[0], load_model(text)[1])
+    def run(group: pd.DataFrame, own: pd.Series | None = None) -> pd.DataFrame:
+        before = (own["signature"], load_model(own["model"])[1]) if own is not None and isinstance(own["model"], str) else None
         return pd.DataFrame([fit_frame(group, before, **options)[0]])
 
-    return by_meter(rows, run, FITTED)
+    if previous is None:
+        return by_meter(marked(readings), run, FITTED)
+    return with_models(marked(readings), previous.select("meter_id", "signature", "model"), run, FITTED)
 
 
 SCORED = "ts timestamp, actual double, predicted double, residual double, position int, is_anomaly double, segment string, status string, converged boolean, error string"
@@ -283,14 +297,16 @@ def count_models(rows: DataFrame, *, quantile: float = 0.99, least_rows: int = 5
 
 def count_scores(rows: DataFrame, models: DataFrame) -> DataFrame:
     """Rows scored by stored count models: expected count, score and whether it is above the model's threshold. Meters without a model give none."""
-    own = models.where("status = 'success'").select("meter_id", "scale", "mean", "sd", "beta", "dispersion", "threshold")
+    names = ["scale", "mean", "sd", "beta", "dispersion", "threshold"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        model = {k: np.array(v, float) if k in ("mean", "sd", "beta") else float(v) for k, v in group.iloc[0][["scale", "mean", "sd", "beta", "dispersion", "threshold"]].items()}
+    def run(group: pd.DataFrame, own: pd.Series | None) -> pd.DataFrame:
+        if own is None:
+            return pd.DataFrame(columns=["meter_id"])
+        model = {k: np.array(v, float) if k in ("mean", "sd", "beta") else float(v) for k, v in own[names].items()}
         mu, s = _count_scores(np.round(group["diff"].to_numpy(float) / model["scale"]), group[COUNT_FEATURES].to_numpy(float), model)
         return pd.DataFrame({"meter_id": group["meter_id"], "ts": group["ts"], "diff": group["diff"], "expected": mu, "score": s, "flagged": s > model["threshold"]})
 
-    return by_meter(_count_features(rows).join(own, "meter_id"), run, "ts timestamp, diff double, expected double, score double, flagged boolean")
+    return with_models(_count_features(rows), models.where("status = 'success'").select("meter_id", *names), run, "ts timestamp, diff double, expected double, score double, flagged boolean")
 
 
 def count_model(rows: DataFrame, **options) -> DataFrame:
@@ -430,12 +446,13 @@ def transition_filter(rows: DataFrame, models: DataFrame, threshold: float = 3.0
     measured, and every value updates it. Score is the innovation over its deviation. Rows without
     a value and meters without a model give none.
     """
-    own = models.where("error IS NULL").select("meter_id", F.col("a").alias("_a"), F.col("q").alias("_q"), F.col("r").alias("_r"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame, own: pd.Series | None) -> pd.DataFrame:
+        if own is None:
+            return pd.DataFrame(columns=["meter_id"])
         group = group.sort_values("ts", kind="stable")
-        y, r = group["diff"].to_numpy(float), float(group["_r"].iloc[0])
-        A, Q = (np.array(group[c].iloc[0], float) for c in ("_a", "_q"))
+        y, r = group["diff"].to_numpy(float), float(own["r"])
+        A, Q = (np.array(own[c], float) for c in ("a", "q"))
         n = int(round(len(A) ** 0.5))
         sys = kalman.System(A.reshape(n, n), np.eye(n)[0], r, Q.reshape(n, n))
         found = kalman.run_filter(sys, y, np.zeros(n), sys.Q, lead=True)
@@ -443,8 +460,8 @@ def transition_filter(rows: DataFrame, models: DataFrame, threshold: float = 3.0
         filtered = found.predicted + (found.variance - r) / found.variance * found.innovation
         return pd.DataFrame({"meter_id": group["meter_id"], "ts": group["ts"], "actual": y, "predicted": found.predicted, "filtered": filtered, "innovation": found.innovation, "innovation_var": found.variance, "score": score, "flagged": score > threshold})
 
-    joined = rows.where(F.col("diff").isNotNull()).select("meter_id", "ts", "diff").join(own, "meter_id")
-    return by_meter(joined, run, "ts timestamp, actual double, predicted double, filtered double, innovation double, innovation_var double, score double, flagged boolean")
+    known = rows.where(F.col("diff").isNotNull()).select("meter_id", "ts", "diff")
+    return with_models(known, models.where("error IS NULL").select("meter_id", "a", "q", "r"), run, "ts timestamp, actual double, predicted double, filtered double, innovation double, innovation_var double, score double, flagged boolean")
 
 
 ROLLED = "iteration int, window_start timestamp, train_end timestamp, window_end timestamp, ts timestamp, reading double, status string, flag boolean, diff double, z_current double, pred_current double, pred_next double, lower_band_next double, upper_band_next double, stage string, reasons string, error string"

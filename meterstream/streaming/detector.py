@@ -43,17 +43,19 @@ def _names(schema: str) -> list[str]:
 
 
 def replay(readings: DataFrame, models: DataFrame) -> DataFrame:
-    """Records of all readings in order of time, meter by meter; meters without a model get ``no_model`` and null times ``invalid_timestamp``."""
+    """Records of all readings in order of time, meter by meter; meters without a model get ``no_model`` and null times ``invalid_timestamp``.
+
+    Readings and models are shuffled by meter once each, so that a model doesn't go along with every reading.
+    """
     kind = readings.schema["meter_id"].dataType.simpleString()
     schema = f"meter_id {kind}, {RECORD}"
-    joined = readings.select("meter_id", "ts", "reading").join(models.select("meter_id", "model"), "meter_id", "left")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts", kind="stable", na_position="first")
-        text = group["model"].iloc[0]
-        own = load_model(text) if text is not None else None
+        text = given["model"].iloc[0] if len(given) else None
+        own = load_model(text) if isinstance(text, str) else None
         out = []
-        for key, ts, reading, _ in group.itertuples(index=False):
+        for key, ts, reading in group.itertuples(index=False):
             if pd.isna(ts):
                 record = Record("invalid_timestamp")
             elif own is None:
@@ -64,7 +66,8 @@ def replay(readings: DataFrame, models: DataFrame) -> DataFrame:
             out.append(_row(key, ts, reading, record))
         return pd.DataFrame(out, columns=_names(schema))
 
-    return joined.groupBy("meter_id").applyInPandas(run, schema)
+    known = models.select(F.col("meter_id").cast(kind).alias("meter_id"), "model")
+    return readings.select("meter_id", "ts", "reading").groupBy("meter_id").cogroup(known.groupBy("meter_id")).applyInPandas(run, schema)
 
 
 class Detector(StatefulProcessor):
