@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved, slices
+from .common import forget, saved, scratch, slices
 from .langid import fold
 
 #: Hash and form of the token that ends every text.
@@ -191,56 +191,120 @@ def best_moves(of: np.ndarray, after: np.ndarray, before: np.ndarray, itself: np
     return to, gain
 
 
-def _profiles(bigrams: DataFrame, of: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Followers and predecessors of each unit by class, and class bigrams; sized by units and classes alone."""
-    spark = bigrams.sparkSession
-    table = F.broadcast(spark.createDataFrame([(int(u), int(c)) for u, c in enumerate(of)], "unit int, class int"))  # as many rows as units
-    after = bigrams.join(table, F.col("v") == F.col("unit")).groupBy(F.col("u").alias("unit"), "class").agg(F.sum("n").alias("n")).withColumn("side", F.lit(0))
-    before = bigrams.join(table, F.col("u") == F.col("unit")).groupBy(F.col("v").alias("unit"), "class").agg(F.sum("n").alias("n")).withColumn("side", F.lit(1))
-    counts = np.zeros((2, len(of), classes))
-    for batch in after.unionByName(before).toArrow().to_batches():
-        unit, cls, n, side = (batch.column(k).to_numpy() for k in range(4))
-        counts[side, unit, cls] = n
+def _units(bigrams: DataFrame, of: np.ndarray) -> DataFrame:
+    """The class of each unit, to be broadcast: a row for each unit."""
+    return F.broadcast(bigrams.sparkSession.createDataFrame(pa.table({"unit": pa.array(np.arange(len(of), dtype=np.int32)), "class": pa.array(of.astype(np.int32))})))
+
+
+def _class_bigrams(bigrams: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """How often a class follows another."""
+    table = _units(bigrams, of)
+    after = bigrams.join(table.select(F.col("unit").alias("u"), F.col("class").alias("a")), "u").join(table.select(F.col("unit").alias("v"), F.col("class").alias("b")), "v")
+    pairs = np.zeros((classes, classes))
+    for row in after.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
+        pairs[row["a"], row["b"]] = row["n"]
+    return pairs
+
+
+def _profiles(bigrams: DataFrame, of: np.ndarray, classes: int) -> tuple[DataFrame, np.ndarray]:
+    """Followers (side 0) and predecessors (side 1) of each unit by class, written out, and class bigrams."""
+    table = _units(bigrams, of)
+    after = bigrams.join(table, F.col("v") == F.col("unit")).select(F.col("u").alias("unit"), F.lit(0).alias("side"), "class", "n")
+    before = bigrams.join(table, F.col("u") == F.col("unit")).select(F.col("v").alias("unit"), F.lit(1).alias("side"), "class", "n")
+    found = saved(after.unionByName(before).groupBy("unit", "side", "class").agg(F.sum("n").alias("n")), "profiles")
     pairs = np.zeros((classes, classes))
-    np.add.at(pairs, of, counts[0])
-    return counts[0], counts[1], pairs
+    own = table.withColumnRenamed("class", "own")
+    for row in found.where("side = 0").join(own, "unit").groupBy("own", "class").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
+        pairs[row["own"], row["class"]] = row["n"]
+    return found, pairs
 
 
-def exchange(bigrams: DataFrame, units: int, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def _moves(profiles: DataFrame, of: np.ndarray, itself: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_moves`` of all units, each worked out where its profile is; a class and a gain for each come back."""
+    shared = profiles.sparkSession.sparkContext.broadcast((of, itself, pairs))  # bounded by units and classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        unit, side, cls, n = (np.concatenate([b.column(k).to_numpy() for b in parts]) for k in range(4))
+        own_of, own_itself, own_pairs = shared.value
+        units, at = np.unique(unit, return_inverse=True)
+        for first in range(0, len(units), 1 << 14):
+            some = (at >= first) & (at < first + (1 << 14))
+            which = units[first : first + (1 << 14)]
+            counts = np.zeros((2, len(which), len(own_pairs)))
+            counts[side[some], at[some] - first, cls[some]] = n[some]
+            to, gain = best_moves(own_of[which], counts[0], counts[1], own_itself[which], own_pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), pa.array(to.astype(np.int64)), pa.array(gain)], names=["unit", "to", "gain"])
+
+    found = profiles.repartition("unit").mapInArrow(run, "unit long, to long, gain double").toArrow()
+    to, gain = of.copy(), np.zeros(len(of))
+    at = found["unit"].to_numpy()
+    to[at], gain[at] = found["to"].to_numpy(), found["gain"].to_numpy()
+    return to, gain
+
+
+def exchange(bigrams: DataFrame, units: int, classes: int, rounds: int, start: np.ndarray | None = None, least_gain: float = 2e-4) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Class of each unit, class bigram counts, and the likelihood before each round.
 
     A round works out every unit's best class against the classes of the round before; of the
     units that want to move, a different half does each round, so that they don't all chase each
-    other. A round that lowers the likelihood is taken back and a quarter moves.
+    other. A round that lowers the likelihood is taken back and half as many move. It ends when a
+    round gains less than ``least_gain`` of the likelihood, none wants to move, or after ``rounds``.
+    Without classes to ``start`` from, units are dealt out by their frequency; with them, all that
+    want to move do at first.
     """
-    itself = np.zeros(units)
-    for row in bigrams.where("u = v").toArrow().to_pylist():  # a row for each unit at most
-        itself[row["u"]] = row["n"]
-    totals = np.zeros(units)
-    for row in bigrams.groupBy("u").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        totals[row["u"]] = row["n"]
-    of = np.empty(units, np.int64)
-    of[np.argsort(-totals, kind="stable")] = np.arange(units) % classes
-    after, before, pairs = _profiles(bigrams, of, classes)
+
+    def by_unit(table: DataFrame) -> np.ndarray:
+        out, found = np.zeros(units), table.toArrow()  # a row for each unit at most
+        out[found["u"].to_numpy()] = found["n"].to_numpy()
+        return out
+
+    itself = by_unit(bigrams.where("u = v").select("u", "n"))
+    of = start
+    if of is None:
+        of = np.empty(units, np.int64)
+        of[np.argsort(-by_unit(bigrams.groupBy("u").agg(F.sum("n").alias("n"))), kind="stable")] = np.arange(units) % classes
+    profiles, pairs = _profiles(bigrams, of, classes)
     history = [likelihood(pairs)]
     rng = np.random.default_rng(11)
-    share = 0.5
-    for _ in range(rounds):
-        to, gain = best_moves(of, after, before, itself, pairs)
+    share, to = 0.5 if start is None else 1.0, None
+    for left in range(rounds, 0, -1):
+        if to is None:
+            to, _ = _moves(profiles, of, itself, pairs)
         chosen = (to != of) & (rng.random(units) < share)
         if not chosen.any():
             break
         tried = np.where(chosen, to, of)
-        found = _profiles(bigrams, tried, classes)
-        reached = likelihood(found[2])
+        found = _profiles(bigrams, tried, classes) if left > 1 else (profiles, _class_bigrams(bigrams, tried, classes))
+        reached = likelihood(found[1])
         if reached <= history[-1]:
+            if found[0] is not profiles:
+                forget(found[0])
             share /= 2
             continue
-        of, (after, before, pairs) = tried, found
+        if found[0] is not profiles:
+            forget(profiles)
+        of, to, (profiles, pairs) = tried, None, found
         history.append(reached)
+        if reached - history[-2] < least_gain * abs(history[-2]):
+            break
+    forget(profiles)
     return of, pairs, history
 
 
+def coarse(bigrams: DataFrame, to: np.ndarray) -> DataFrame:
+    """Bigrams of the units that each unit goes ``to``."""
+    spark = bigrams.sparkSession
+    table = spark.createDataFrame(pa.table({"unit": pa.array(np.arange(len(to), dtype=np.int32)), "to": pa.array(to.astype(np.int32))}))
+
+    def named(column: str) -> DataFrame:
+        return F.broadcast(table.select(F.col("unit").alias(column), F.col("to").alias(f"to_{column}")))  # a row for each unit
+
+    return bigrams.join(named("u"), "u").join(named("v"), "v").groupBy(F.col("to_u").alias("u"), F.col("to_v").alias("v")).agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class Scorer:
     """What scoring a token needs but for the counts of infrequent words."""
@@ -295,7 +359,7 @@ def _scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return docs.select("text", F.struct("doc_id", "held_out").alias("key")).mapInArrow(run, f"number long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, counted double, classes double, word long, places array<int>")
 
 
-def score(docs: DataFrame, *, classes: int = 64, forms: int = 256, share: float = 5e-5, rounds: int = 8, smooth: float = 50.0) -> DataFrame:
+def score(docs: DataFrame, *, classes: int = 64, forms: int = 256, share: float = 2e-6, frequent: float = 5e-5, rounds: int = 30, later_rounds: int = 1, smooth: float = 50.0) -> DataFrame:
     """Score every whole text by a class bigram model learned from the documents whose fold modulo 5 isn't 1.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``.
@@ -306,23 +370,35 @@ def score(docs: DataFrame, *, classes: int = 64, forms: int = 256, share: float
 
     Classes hold units: a word that makes up ``share`` of the training tokens or more is a unit (so
     there are 1/share of these at most, whatever the corpus), and all other words with the same
-    last letters are one unit of the ``forms``; so every word, unseen ones too, has a class.
+    last letters are one unit of the ``forms``; so every word, unseen ones too, has a class. The
+    exchange goes in two steps, as late rounds over all bigrams cost most: for ``rounds`` or until it
+    settles with words of a ``frequent`` share for units, and from there ``later_rounds`` with all.
     Counts cover all training tokens. The counts of infrequent words come by a shuffle on the
     word, in which a row has a word and all its places in a block of texts.
 
     Null texts count as empty (the end token alone); repeated rows are scored alike; a null doc_id
     trains; without training documents every word is unknown; other columns are ignored.
     """
+    with scratch():
+        return saved(_scores(docs, classes, forms, share, frequent, rounds, later_rounds, smooth), "class-scores", outlive=True)
+
+
+def _scores(docs: DataFrame, classes: int, forms: int, share: float, most: float, rounds: int, later_rounds: int, smooth: float) -> DataFrame:
     folded = docs.select("doc_id", "text", (fold(docs, 5) == 1).alias("held_out"))
     training = folded.where(~F.col("held_out"))
     vocabulary = saved(count_words(training, forms), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = vocabulary.where(F.col("c") >= share * total).select("word", "c").toPandas().sort_values("word")  # 1 / share rows at most
+    head = vocabulary.where(F.col("c") >= share * total).select("word", "form", "c").toPandas().sort_values("word")  # 1 / share rows at most
     units = Units(head["word"].to_numpy(np.int64), forms)
     frequent = head["c"].to_numpy(np.float64)
     n_units = forms + len(units.words)
     bigrams = saved(count_bigrams(training, units), "bigrams")
-    of, pairs, _ = exchange(bigrams, n_units, classes, rounds)
+    to = np.arange(n_units)  # the units of the first step: frequent words, and the forms of all others
+    shift = np.cumsum(frequent >= most * total) + forms - 1
+    to[forms:] = np.where(frequent >= most * total, shift, head["form"].to_numpy(np.int64))
+    first = saved(coarse(bigrams, to), "coarse-bigrams")
+    of, _, _ = exchange(first, int(to.max()) + 1, classes, rounds)
+    of, pairs, _ = exchange(bigrams, n_units, classes, later_rounds, start=of[to])
     # tokens and distinct words of each class
     mass, kinds = np.zeros(classes), np.zeros(classes)
     np.add.at(mass, of[forms:], frequent)
