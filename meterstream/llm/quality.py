@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from .common import MOST_BROADCAST, saved, small
 
 SYMBOLS = "#*$%&|<>"
-WHITE = " \t\n\x0b\x0c\r"
 #: Metric, the least distance of its fences from the middle half, and its parts: a count and what it is a share of.
 METRICS = [
     ("symbols", 150, "n_symbols", "n_words"),
@@ -22,8 +21,9 @@ METRICS = [
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks"]
 
 
-def _without(chars: str) -> Column:
-    return F.char_length(F.translate("_text", chars, ""))
+def _count(chars: str) -> Column:
+    """How many of the text's characters are among these (ASCII ones, as in a regex's brackets)."""
+    return F.octet_length(F.regexp_replace("_text", f"[^{chars}]+", "")).cast("long")
 
 
 def _repeats(out: DataFrame, hashed: str) -> DataFrame:
@@ -68,15 +68,15 @@ def text_features(docs: DataFrame, text_col: str = "text", *, hashed: str = "xxh
         {
             "_words": F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), ""),
             "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "word_chars": _without(WHITE).cast("long"),
-            "n_symbols": (F.char_length("_text") - _without(SYMBOLS)).cast("long"),
-            "n_capitals": (F.char_length("_text") - _without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long"),
-            "n_marks": (F.char_length("_text") - _without("!")).cast("long"),
+            "n_symbols": _count(SYMBOLS),
+            "n_capitals": _count("A-Z"),
+            "n_marks": _count("!"),
         }
     )
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
+            "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
