@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -24,6 +26,13 @@ def loess(y: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray
     return my - np.where(sxx > 1e-12, sxy / np.maximum(sxx, 1e-12), 0) * mx
 
 
+@lru_cache(maxsize=8)
+def _cycle_smoother(n: int, width: int) -> np.ndarray:
+    """The smoother of a series of ``n`` as a matrix, which gives one value more at either end."""
+    spots = np.arange(-1, n + 1, dtype=float)
+    return np.column_stack([loess(unit, width, spots) for unit in np.eye(n)])
+
+
 def _mean(y: np.ndarray, n: int) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(y)])
     return (total[n:] - total[:-n]) / n
@@ -36,13 +45,17 @@ def stl(y: np.ndarray, period: int, seasonal: int = 7, rounds: int = 5) -> tuple
     width += 1 - width % 2
     low = period + 1 + period % 2
     trend, season = np.zeros(n), np.zeros(n)
+    longer = (n - 1) % period + 1  # the first places of a cycle occur once more than the others
     for _ in range(rounds):
         free = y - trend
         cycle = np.zeros(n + 2 * period)
-        for k in range(period):
-            part = free[k::period]
-            spots = np.arange(-1, len(part) + 1, dtype=float)
-            cycle[k::period][: len(spots)] = loess(part, seasonal, spots)
+        for first, last in ((0, longer), (longer, period)):
+            if last > first:
+                rows = len(range(first, n, period))
+                own = free[np.arange(rows)[:, None] * period + np.arange(first, last)]
+                spots = np.arange(-1, rows + 1, dtype=float)
+                smooth = _cycle_smoother(rows, seasonal) @ own if rows <= 4000 else np.column_stack([loess(part, seasonal, spots) for part in own.T])  # the matrix of more would not fit
+                cycle[np.arange(rows + 2)[:, None] * period + np.arange(first, last)] = smooth
         passed = loess(_mean(_mean(_mean(cycle, period), period), 3), low)
         season = cycle[period : period + n] - passed[:n]
         trend = loess(y - season, width)

@@ -119,6 +119,24 @@ def test_seasons_are_taken_out_together():
     assert math.isnan(decompose.diagnostics(np.full(30, np.nan), 24, 168)["f_s_daily"])
 
 
+def test_places_of_a_cycle_are_smoothed_one_by_one(monkeypatch):
+    rng = np.random.default_rng(12)
+    for n, period in ((240, 24), (247, 24), (50, 7), (41, 2)):
+        y = rng.normal(size=n)
+        want = decompose.stl(y, period)
+        monkeypatch.setattr(decompose, "_cycle_smoother", lambda rows, width: np.column_stack([decompose.loess(e, width, np.arange(-1, rows + 1, dtype=float)) for e in np.eye(rows)]))
+        assert all(np.allclose(a, b) for a, b in zip(want, decompose.stl(y, period)))
+        monkeypatch.undo()
+        trend, season, rest = want
+        assert np.allclose(trend + season + rest, y)
+        cycle = np.zeros(n + 2 * period)
+        for k in range(period):
+            part = y[k::period]
+            cycle[k::period][: len(part) + 2] = decompose.loess(part, 7, np.arange(-1, len(part) + 1, dtype=float))
+        passed = decompose.loess(decompose._mean(decompose._mean(decompose._mean(cycle, period), period), 3), period + 1 + period % 2)
+        assert np.allclose(decompose.stl(y, period, rounds=1)[1], cycle[period : period + n] - passed[:n])
+
+
 def test_smoother_repeats_lines_and_reaches_the_ends():
     y = 3 + 0.5 * np.arange(50.0)
     assert np.allclose(decompose.loess(y, 7), y) and np.allclose(decompose.loess(y, 7, np.array([-1.0, 50.0])), [2.5, 28.0]) and np.allclose(decompose.loess(y[:5], 11), y[:5])
