@@ -15,7 +15,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local["):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"

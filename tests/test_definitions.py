@@ -377,6 +377,19 @@ def test_upsert_keeps_meters_of_either_side(spark):
 
 def test_shared_folder_must_be_named_on_a_cluster(spark):
     assert shared.shared_path(spark, "x").startswith("file:")
+
+    class Conf:
+        def get(self, name):
+            return None if name == "spark.checkpoint.dir" else "file:/w"
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"getConf": lambda self: Conf(), "getCheckpointDir": lambda self: None, "master": "local"})()
+
+    assert shared.shared_path(Session(), "x").startswith("file:/w-work/x-")
+    Session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        shared.shared_path(Session(), "x")
     assert shared.kept(spark.range(3), "kept").count() == 3
 
 
