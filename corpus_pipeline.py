@@ -8,13 +8,20 @@ from meterstream.llm import decontaminate, langid, neardup, packing, quality
 from meterstream.llm.common import forget, saved, scratch
 
 
+def settled(spark: SparkSession) -> None:
+    """What the stages ask of the session: few rows in a batch for Python, as a task holds a batch of whole texts on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the base rule and the thresholds of their language and source."""
+    settled(spark)
     return quality.kept_documents(docs)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
+    settled(spark)
     return langid.kept_documents(docs)
 
 
@@ -30,6 +37,7 @@ def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
+    settled(spark)
     return packing.pack(docs, with_ids=False)
 
 
