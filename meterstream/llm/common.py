@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local["):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
         context.setCheckpointDir(named)
@@ -110,6 +110,33 @@ def small(table: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(table) if weight(table) <= most_broadcast else table
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int = 500) -> Iterator[None]:
+    """Tables written in here go to Python in batches of few rows, as both sides hold a batch at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+_BLANKS = frozenset(b" \t\n\x0b\x0c\r")
+
+
+def blank_cut(raw: bytes, piece: int = 1 << 18) -> Iterator[bytes]:
+    """A text in pieces that end at white space, so that no word is cut."""
+    at = 0
+    while len(raw) - at > piece:
+        to = at + piece
+        while to < len(raw) and raw[to] not in _BLANKS:
+            to += 1
+        yield raw[at:to]
+        at = to
+    yield raw[at:]
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples, a few at a time so that long texts aren't all decoded at once."""
     for batch in batches:

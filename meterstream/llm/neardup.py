@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, saved, scratch, slices, small
+from .common import MOST_BROADCAST, arrow_rows, blank_cut, saved, scratch, slices, small
 from .components import components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -31,17 +31,35 @@ def _gap(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the distinct windows of ``width`` lower-cased words, and how often each occurs. A shorter text is one window."""
-    words = text.lower().encode("utf-8", "surrogatepass").split()
-    if not words:
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    hashed = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) for words in map(bytes.split, blank_cut(raw))])
+    if not len(hashed):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
+    n = max(1, len(hashed) - width + 1)
     rolled = np.zeros(n, np.uint64)
-    for k in range(min(width, len(words))):
+    for k in range(min(width, len(hashed))):
         rolled = _mix(rolled * _A + hashed[k : k + n])
     return np.unique(rolled, return_counts=True)
 
 
+def _first_points(h: np.ndarray, w: np.ndarray, doc: np.ndarray, bound: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The processes of some elements that have a point within their bag's bound (few do): seed, number and place of the first one, bound, where they begin, how wide they are, weight and bag."""
+    owner, low, wide = [np.arange(len(h))], [np.zeros(len(h), np.int64)], [np.ones(len(h), np.int64)]
+    k = 1
+    while len(more := np.flatnonzero(w > k)):
+        owner.append(more)
+        low.append(np.full(len(more), k))
+        wide.append(np.full(len(more), k))
+        k *= 2
+    owner, low, wide = np.concatenate(owner), np.concatenate(low), np.concatenate(wide)
+    seed = _mix(h[owner] ^ (low.astype(np.uint64) * _C))
+    number = np.zeros(len(seed), np.uint64)
+    limit = bound[doc[owner]]
+    at = _gap(seed, number) / (size * wide)
+    live = at <= limit
+    return tuple(x[live] for x in (seed, number, at, limit, low, wide, w[owner], doc[owner]))
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
     """BagMinHash signatures of non-empty bags of hashes with whole weights, one row of ``size`` floats each.
 
@@ -58,26 +76,13 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarr
     todo = np.arange(len(bags))
     reach = 3.0
     while len(todo):
-        h = np.concatenate([bags[i][0] for i in todo])
-        w = np.concatenate([bags[i][1] for i in todo])
         lengths = [len(bags[i][0]) for i in todo]
-        doc = np.repeat(np.arange(len(todo)), lengths)
         total = np.array([bags[i][1].sum() for i in todo], dtype=np.float64)
         bound = (np.log(size) + reach) / total
-        low, wide = [np.zeros(len(h), np.int64)], [np.ones(len(h), np.int64)]
-        owner = [np.arange(len(h))]
-        k = 1
-        while len(more := np.flatnonzero(w > k)):
-            owner.append(more)
-            low.append(np.full(len(more), k))
-            wide.append(np.full(len(more), k))
-            k *= 2
-        owner, low, wide = np.concatenate(owner), np.concatenate(low), np.concatenate(wide)
-        h, w, doc = h[owner], w[owner], doc[owner]
-        seed = _mix(h ^ (low.astype(np.uint64) * _C))
-        number = np.zeros(len(seed), np.uint64)
-        limit = bound[doc]
-        at = _gap(seed, number) / (size * wide)
+        hashes, weights, docs = np.concatenate([bags[i][0] for i in todo]), np.concatenate([bags[i][1] for i in todo]), np.repeat(np.arange(len(todo)), lengths)
+        begun = [_first_points(*(x[at : at + (1 << 15)] for x in (hashes, weights, docs)), bound, size) for at in range(0, len(hashes), 1 << 15)]
+        seed, number, at, limit, low, wide, w, doc = (np.concatenate(x) for x in zip(*begun))
+        del hashes, weights, docs, begun
         flat = np.full(len(todo) * size, np.inf)
         while True:
             live = at <= limit
@@ -197,7 +202,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5,
 def _classes(docs: DataFrame, threshold: float, width: int, bands: int, rows: int, most_broadcast: int) -> DataFrame:
     part = threshold / (1 + threshold)  # bags are linked if they share this much of the sum of their sizes
     linked = F.col("shared") >= part * (F.col("n_a") + F.col("n_b")) - 1e-9
-    signed = saved(_signed(docs, width, bands, rows), "signed")
+    with arrow_rows(docs.sparkSession):
+        signed = saved(_signed(docs, width, bands, rows), "signed")
     nodes = saved(signed.where(F.col("bag").isNotNull()).groupBy("bag").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "keys")).alias("least"), F.count("*").alias("n_copies")).select("bag", "least.doc_id", "n_copies", "least.keys"), "nodes")
     spread = nodes.select(F.col("bag").alias("a"), F.explode("keys").alias("key"))
     crowded = saved(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
@@ -210,7 +216,8 @@ def _classes(docs: DataFrame, threshold: float, width: int, bands: int, rows: in
     owners = saved(nodes.join(wanted, "bag", "left_semi").select("bag", "doc_id"), "candidates")
     ids = owners.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select("doc_id", "text").join(small(ids, most_broadcast), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = saved(_bags(texts, width).join(owners.select("bag"), "bag", "left_semi").dropDuplicates(["bag"]), "bags")
+    with arrow_rows(docs.sparkSession):
+        sets = saved(_bags(texts, width).join(owners.select("bag"), "bag", "left_semi").dropDuplicates(["bag"]), "bags")
     around = saved(_measured(stars, sets), "measured")
     first = components(around.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
