@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved, scratch, slices
+from .common import arrow_rows, blank_cut, forget, saved, scratch, slices
 from .langid import fold
 
 #: Hash and form of the token that ends every text.
@@ -63,14 +63,10 @@ class Tokens:
                 first, size = k, 0
             size += len(raw)
             if len(raw) > self.piece:
-                at = 0
-                while len(raw) - at > self.piece:  # cut at blanks
-                    to = at + self.piece
-                    while to < len(raw) and not _BLANK[raw[to]]:
-                        to += 1
-                    yield k, *self._words([raw[at:to]])
-                    at = to
-                yield closed(k, *self._words([raw[at:]]))
+                parts = list(blank_cut(raw, self.piece))
+                for part in parts[:-1]:
+                    yield k, *self._words([part])
+                yield closed(k, *self._words([parts[-1]]))
                 first, size = k + 1, 0
         if first < len(texts):
             yield closed(first, *self._words(texts[first:]))
@@ -386,13 +382,15 @@ def score(docs: DataFrame, *, classes: int = 64, forms: int = 256, share: float
 def _scores(docs: DataFrame, classes: int, forms: int, share: float, most: float, rounds: int, later_rounds: int, smooth: float) -> DataFrame:
     folded = docs.select("doc_id", "text", (fold(docs, 5) == 1).alias("held_out"))
     training = folded.where(~F.col("held_out"))
-    vocabulary = saved(count_words(training, forms), "vocabulary")
+    with arrow_rows(docs.sparkSession):
+        vocabulary = saved(count_words(training, forms), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = vocabulary.where(F.col("c") >= share * total).select("word", "form", "c").toPandas().sort_values("word")  # 1 / share rows at most
     units = Units(head["word"].to_numpy(np.int64), forms)
     frequent = head["c"].to_numpy(np.float64)
     n_units = forms + len(units.words)
-    bigrams = saved(count_bigrams(training, units), "bigrams")
+    with arrow_rows(docs.sparkSession):
+        bigrams = saved(count_bigrams(training, units), "bigrams")
     to = np.arange(n_units)  # the units of the first step: frequent words, and the forms of all others
     shift = np.cumsum(frequent >= most * total) + forms - 1
     to[forms:] = np.where(frequent >= most * total, shift, head["form"].to_numpy(np.int64))
@@ -410,7 +408,8 @@ def _scores(docs: DataFrame, classes: int, forms: int, share: float, most: float
     step = np.log10((pairs + smooth * prior) / (pairs.sum(1, keepdims=True) + smooth))
     scorer = Scorer(units, of, step, frequent, np.log10(mass + 0.5 * (kinds + 1)))
     forget(bigrams)
-    parts = saved(_scored(folded, scorer), "scored-parts")
+    with arrow_rows(docs.sparkSession):
+        parts = saved(_scored(folded, scorer), "scored-parts")
     value = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     places = parts.where(F.col("word").isNotNull()).select("number", "word", "places").join(vocabulary.select("word", "c"), "word", "left")
     at = places.select("number", F.explode("places").alias("at"), value.alias("counted"), F.when(F.col("c") > 0, 1).otherwise(0).cast("long").alias("n_known")).select((F.col("number") + F.col("at")).alias("number"), "n_known", "counted")
