@@ -47,7 +47,16 @@ def guarded(run: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str]) ->
 def by_meter(rows: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``run`` on each meter's rows; a meter on which it fails gives one row with the ``error`` and nulls. ``schema`` comes without ``meter_id``."""
     schema = schema if "error string" in schema else f"{schema}, error string"
-    return rows.groupBy("meter_id").applyInPandas(guarded(run, ["meter_id", *_names(schema)]), f"meter_id {_key(rows)}, {schema}")
+    return _dealt(rows).groupBy("meter_id").applyInPandas(guarded(run, ["meter_id", *_names(schema)]), f"meter_id {_key(rows)}, {schema}")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by meter to as many tasks as the session shuffles to.
+
+    Left to itself, Spark would put meters together by their bytes, which are few for what a fit
+    of them takes; the grouping that follows needs no other shuffle.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "meter_id")
 
 
 def with_models(rows: DataFrame, models: DataFrame, run: Callable[[pd.DataFrame, pd.Series | None], pd.DataFrame], schema: str) -> DataFrame:
@@ -65,7 +74,7 @@ def with_models(rows: DataFrame, models: DataFrame, run: Callable[[pd.DataFrame,
 
     kind = _key(rows)
     keyed = models.withColumn("meter_id", F.col("meter_id").cast(kind))
-    return rows.groupBy("meter_id").cogroup(keyed.groupBy("meter_id")).applyInPandas(both, f"meter_id {kind}, {schema}")
+    return _dealt(rows).groupBy("meter_id").cogroup(_dealt(keyed).groupBy("meter_id")).applyInPandas(both, f"meter_id {kind}, {schema}")
 
 
 def signature(period: float, daily: int, weekly: int, variant: str) -> str:
