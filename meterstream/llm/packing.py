@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 LONG_BLANK = 20_000
 _LONG_BLANK = re.compile(rf"(?<!\s)\s{{{LONG_BLANK}}}")
+_CUT = re.compile(r"\S(?= \S)")
 PIECES = "length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 
 
@@ -25,7 +26,8 @@ def encoder(vocabulary: str):
     In such a vocabulary ids follow the order of the merges, so its ids serve as ranks and the
     faster of the installed encoders gives the same ids (a test holds the two against each other).
     Its splitter backtracks through white space and breaks down on very long runs of it; texts
-    that hold one of ``LONG_BLANK`` characters are left to the other.
+    that hold one of ``LONG_BLANK`` characters are left to the other. Long texts go in pieces, cut
+    before a blank between two other characters: there the splitter begins anew anyway.
     """
     import tiktoken
     from public_tokenizers import PATTERN
@@ -47,10 +49,16 @@ def encoder(vocabulary: str):
         out.encode_special_tokens = True  # in a text, their names are text
         return out
 
-    def encode(text: str) -> list[int]:
-        if len(text) >= LONG_BLANK and _LONG_BLANK.search(text):
-            return steady().encode(text, add_special_tokens=False).ids
-        return fast(text)
+    def one(text: str) -> np.ndarray:
+        long = len(text) >= LONG_BLANK and _LONG_BLANK.search(text)
+        return np.array(steady().encode(text, add_special_tokens=False).ids if long else fast(text), "<u4")
+
+    def encode(text: str, piece: int = 1 << 20) -> np.ndarray:
+        parts, at = [], 0
+        while len(text) - at > piece and (cut := _CUT.search(text, at + piece)):
+            parts.append(one(text[at : cut.end()]))
+            at = cut.end()
+        return np.concatenate([*parts, one(text[at:])])
 
     return encode
 
@@ -114,9 +122,8 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], id_type: pa.DataType, voc
     for batch in batches:
         keys, texts = batch.columns
         for i in range(batch.num_rows):
-            ids = encode(texts[i].as_py() or "")
-            ids.append(end_id)
-            docs.append((keys[i].as_py(), np.array(ids, dtype="<u4")))
+            ids = np.append(encode(texts[i].as_py() or ""), np.uint32(end_id))
+            docs.append((keys[i].as_py(), ids))
             waiting += len(ids)
             if waiting >= block:
                 yield packed()
