@@ -74,20 +74,23 @@ class Model:
     least: float
     bits: int
 
-    def logits(self, text: str) -> np.ndarray | None:
-        """Scores before the softmax; null for a text without letters."""
-        points = code_points(text)
-        if len(points) == 0:
-            return None
-        total, count = np.zeros(len(self.languages)), 0
-        for at in range(0, len(points), 1 << 20):  # long texts in pieces that overlap by the longest subword
-            found = subwords(points[at : at + (1 << 20) + 3], self.bits)
+    def logits(self, text: str, piece: int = 1 << 18) -> np.ndarray | None:
+        """Scores before the softmax; null for a text without letters.
+
+        Long texts go in pieces, cut at a blank or line end where their second half has one.
+        """
+        total, count, at = np.zeros(len(self.languages)), 0, 0
+        while at < len(text):
+            to = len(text) if len(text) - at <= piece else max(text.rfind(" ", at + piece // 2, at + piece), text.rfind("\n", at + piece // 2, at + piece))
+            to = at + piece if to <= at else to
+            found = subwords(code_points(text[at:to]), self.bits)
+            at = to
             if len(found) > len(self.table):
                 total += np.bincount(found, minlength=len(self.table)) @ self.table
             else:
                 total += self.table[found].sum(axis=0, dtype=np.float64)
             count += len(found)
-        return total / max(1, count) + self.bias
+        return total / count + self.bias if count else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether it falls short of the least confidence.
