@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from .license_rules import GAP, Rule, rules
 
+_RUN = re.compile(rb"  +")
 #: Bytes of words become ``a`` and all others blanks, so that splitting counts words. Bytes from 0x80 on belong to words.
 _WORDS = bytes(97 if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -24,7 +25,7 @@ _BASE = [(label, phrase.split()[0].encode(), re.compile(rf"(?<![0-9a-z\x80-\xff]
 
 def spaced(lowered: bytes) -> str:
     """The words with one blank for each gap between them, as a string of a character a byte: however a notice is wrapped, it reads the same."""
-    return b" ".join(lowered.translate(_GAPS).split()).decode("latin-1")
+    return _RUN.sub(b" ", lowered.translate(_GAPS)).strip(b" ").decode("latin-1")
 
 
 @lru_cache(maxsize=1)
@@ -45,7 +46,8 @@ def _gate():
 
 
 def count_words(lowered: bytes) -> int:
-    return len(lowered.translate(_WORDS).split())
+    marks = lowered.translate(_WORDS)
+    return marks.count(b" a") + marks.startswith(b"a")
 
 
 def detect(lowered: bytes) -> list[tuple[int, int, Rule]]:
