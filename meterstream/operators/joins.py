@@ -9,17 +9,26 @@ from pyspark.sql.window import Window
 from ..functions.clock import seconds
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that shuffles both sides by their keys.
+
+    Spark guesses the size of exploded rows and of Python's output from that of what they are made
+    of, and would send millions of such rows through the driver to broadcast them.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def day_coverage(readings: DataFrame) -> DataFrame:
     """Readings of each meter on every day from its first to its last, 0 on days without."""
     counts = readings.groupBy("meter_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     days = readings.groupBy("meter_id").agg(F.explode(F.sequence(F.to_date(F.min("ts")), F.to_date(F.max("ts")), F.expr("INTERVAL 1 DAY"))).alias("day"))
-    return days.join(counts, ["meter_id", "day"], "left").fillna(0, ["n"])
+    return shuffled(days, counts, ["meter_id", "day"], "left").fillna(0, ["n"])
 
 
 def removed(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows whose meter and time aren't in the other table, or have no reading there."""
     other = after.select("meter_id", "ts", F.col("reading").alias("_kept"))
-    return before.join(other, ["meter_id", "ts"], "left").where(F.col("reading").isNotNull() & F.col("_kept").isNull()).drop("_kept")
+    return shuffled(before, other, ["meter_id", "ts"], "left").where(F.col("reading").isNotNull() & F.col("_kept").isNull()).drop("_kept")
 
 
 def nearest(left: DataFrame, right: DataFrame, *, tolerance: float = 300.0, value: str = "reading") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.clock import seconds
 from ..functions.columns import clean_increment
+from .joins import shuffled
 
 def by_time():
     """A meter's rows in time."""
@@ -98,7 +99,7 @@ def repair_order(readings: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
-    """Rows with some of their meter's facts; Spark broadcasts the facts if they are small."""
-    return rows.join(facts.select("meter_id", *columns), "meter_id")
+    """Rows with some of their meter's facts."""
+    return shuffled(rows, facts.select("meter_id", *columns), "meter_id")
 
 

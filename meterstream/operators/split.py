@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics
+from .joins import shuffled
 
 _COMPARE = {"==": lambda c, v: c.eqNullSafe(v), "!=": lambda c, v: ~c.eqNullSafe(v), "<": lambda c, v: c < v, ">": lambda c, v: c > v, "<=": lambda c, v: c <= v, ">=": lambda c, v: c >= v}
 
@@ -47,19 +48,19 @@ def segments(rows: DataFrame, starts: DataFrame, *, train_days: int | Column, se
     day = F.datediff(F.col("ts"), F.col("start"))
     train = train_days if isinstance(train_days, Column) else F.lit(train_days)
     name = F.when(day < train, "train").when(day < train + second_days, "second").when(day < train + second_days + predict_days, "predict")
-    return rows.join(starts, "meter_id").where(F.col("ts") >= F.col("start")).withColumn("segment", name).where(F.col("segment").isNotNull())
+    return shuffled(rows, starts, "meter_id").where(F.col("ts") >= F.col("start")).withColumn("segment", name).where(F.col("segment").isNotNull())
 
 
 def window_rows(rows: DataFrame, starts: DataFrame, *, weeks: int, train_weeks: int | None = None) -> DataFrame:
     """Rows of each meter's window of ``weeks`` from its ``start``; with ``train_weeks``, ``segment`` tells the first ones (train) from the rest (stream)."""
-    out = rows.join(starts, "meter_id").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("start") + F.make_interval(weeks=F.lit(weeks))))
+    out = shuffled(rows, starts, "meter_id").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("start") + F.make_interval(weeks=F.lit(weeks))))
     return out if train_weeks is None else out.withColumn("segment", F.when(F.col("ts") < F.col("start") + F.make_interval(weeks=F.lit(train_weeks)), "train").otherwise("stream"))
 
 
 def month_segments(rows: DataFrame, months: int = 3) -> DataFrame:
     """The last ``months`` calendar months of a meter: all but the last for training, that for prediction."""
     last = rows.groupBy("meter_id").agg(F.date_trunc("month", F.max("ts")).alias("_last"))
-    out = rows.join(last, "meter_id").where(F.col("ts") >= F.add_months("_last", -(months - 1)).cast("timestamp"))
+    out = shuffled(rows, last, "meter_id").where(F.col("ts") >= F.add_months("_last", -(months - 1)).cast("timestamp"))
     return out.withColumn("segment", F.when(F.col("ts") < F.col("_last"), "train").otherwise("predict")).drop("_last")
 
 

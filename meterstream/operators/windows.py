@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.clock import seconds
+from .joins import shuffled
 
 def by_time():
     """A meter's rows in time."""
@@ -36,7 +37,7 @@ def stable(rows: DataFrame, n: int = 24, value: str = "diff", quantile: float =
     trailing = by_time().rowsBetween(1 - n, 0)
     out = rows.withColumn("_std", F.when(F.count(value).over(trailing) == n, F.stddev_samp(value).over(trailing)))
     cut = out.groupBy("meter_id").agg(F.expr(f"percentile(_std, {quantile})").alias("_cut"))
-    return out.join(cut, "meter_id").withColumn("is_stable", F.coalesce(F.col("_std") < F.col("_cut"), F.lit(False))).drop("_std", "_cut")
+    return shuffled(out, cut, "meter_id").withColumn("is_stable", F.coalesce(F.col("_std") < F.col("_cut"), F.lit(False))).drop("_std", "_cut")
 
 
 def filled(rows: DataFrame, value: str = "reading") -> DataFrame:

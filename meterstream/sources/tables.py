@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import local_to_utc, parsed_local
 from ..functions.columns import number, renamed
+from ..operators.joins import shuffled
 
 #: Names that deliveries use, and ours.
 CANONICAL = {"id": "meter_id", "timestamp": "ts_local", "hodnota": "reading", "VAR_ID": "meter_id", "Time of reading": "ts_local", "Value": "reading", "Diff.": "diff", "Diff": "diff", "timestamp_utc": "ts"}
@@ -97,7 +98,7 @@ def write_segments(rows: DataFrame, starts: DataFrame, path: str) -> DataFrame:
     """Segments by meter (rows with ``start``) and their manifest, which is returned: for every meter asked for its first and last time, rows, and status, ``no_window`` where it has none."""
     rows.write.partitionBy("meter_id").parquet(f"{path}/segments")
     made = rows.groupBy("meter_id").agg(F.min("start").alias("start"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_rows"))
-    manifest = starts.select("meter_id").distinct().join(made, "meter_id", "left").fillna(0, ["n_rows"]).withColumn("status", F.when(F.col("n_rows") > 0, "success").otherwise("no_window"))
+    manifest = shuffled(starts.select("meter_id").distinct(), made, "meter_id", "left").fillna(0, ["n_rows"]).withColumn("status", F.when(F.col("n_rows") > 0, "success").otherwise("no_window"))
     manifest.write.parquet(f"{path}/manifest")
     return rows.sparkSession.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
