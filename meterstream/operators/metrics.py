@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import shuffled
+
 #: The least denominator of a mean relative error (the double's machine epsilon), and what is added to one elsewhere.
 EPSILON = 2.220446049250313e-16
 SMALL = 1e-8
@@ -246,7 +248,7 @@ def autocorrelation_facts(rows: DataFrame, facts: DataFrame, value: str = "diff"
         out = {"max_autocorr": found[k], "max_autocorr_lag": k + 1, "autocorr_mean": found.mean(), "autocorr_std": found.std()} if found is not None else dict.fromkeys(("max_autocorr", "max_autocorr_lag", "autocorr_mean", "autocorr_std"))
         return pd.DataFrame([{"meter_id": group["meter_id"].iloc[0]} | out]).astype({"max_autocorr_lag": object})
 
-    joined = rows.select("meter_id", "ts", F.col(value).cast("double").alias(value)).join(facts.select("meter_id", F.col("period").cast("double").alias("period")), "meter_id")
+    joined = shuffled(rows.select("meter_id", "ts", F.col(value).cast("double").alias(value)), facts.select("meter_id", F.col("period").cast("double").alias("period")), "meter_id")
     return joined.groupBy("meter_id").applyInPandas(run, f"meter_id {rows.schema['meter_id'].dataType.simpleString()}, max_autocorr double, max_autocorr_lag long, autocorr_mean double, autocorr_std double")
 
 
@@ -376,5 +378,5 @@ def innovation_diagnostics(rows: DataFrame, most: int = 30) -> DataFrame:
     some = rows.where(F.col("innovation").isNotNull())
     acf = autocorrelation(some.withColumnRenamed("innovation", "diff").select("meter_id", "ts", "diff"), most)
     base = some.groupBy("meter_id").agg(F.avg("innovation").alias("mean"), F.stddev_pop("innovation").alias("std"), F.expr("percentile(innovation, array(0.05, 0.25, 0.5, 0.75, 0.95))").alias("q"), (1.96 / F.sqrt(F.count("*"))).alias("band"))
-    out = base.join(acf, "meter_id", "left").groupBy("meter_id", "mean", "std", "q", "band").agg(F.count_if(F.abs("acf") > F.col("band")).alias("n_outside"))
+    out = shuffled(base, acf, "meter_id", "left").groupBy("meter_id", "mean", "std", "q", "band").agg(F.count_if(F.abs("acf") > F.col("band")).alias("n_outside"))
     return out.select("meter_id", "mean", "std", "band", "n_outside", *(F.col("q")[k].alias(f"q{p}") for k, p in enumerate((5, 25, 50, 75, 95))))
