@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.clock import effective_period, seconds
 from ..functions.columns import NOISE, clean_increment
+from .joins import nearest, shuffled
 
 GRID = "meter_id {key}, ts timestamp, reading double, is_anomaly double, diff double, period double, synthetic boolean"
 
@@ -114,11 +115,9 @@ def fill_gaps(readings: DataFrame, *, tolerance_pct: float = 10.0) -> DataFrame:
 
 def unmatched(readings: DataFrame, grid: DataFrame) -> DataFrame:
     """Readings that the grid left out, with the readings before and after them and the nearest grid time (the earlier of equally near ones) and how far it is."""
-    from .joins import nearest
-
     each = Window.partitionBy("meter_id").orderBy("ts")
     around = readings.withColumns({"before_ts": F.lag("ts").over(each), "after_ts": F.lead("ts").over(each)})
-    lost = around.join(grid.where(~F.col("synthetic")).select("meter_id", "ts"), ["meter_id", "ts"], "left_anti")
+    lost = shuffled(around, grid.where(~F.col("synthetic")).select("meter_id", "ts"), ["meter_id", "ts"], "left_anti")
     slots = grid.select("meter_id", F.col("ts").cast("timestamp").alias("ts"), F.col("synthetic").alias("slot"))
     out = nearest(lost.withColumn("ts", F.col("ts").cast("timestamp")), slots, tolerance=float("inf"), value="slot")
     return out.withColumn("slot_distance", seconds(F.col("nearest_ts")) - seconds(F.col("ts"))).withColumnsRenamed({"nearest_ts": "slot_ts", "nearest_slot": "slot_synthetic"})
@@ -148,7 +147,7 @@ def hourly(readings: DataFrame, how: str = "mean", fill: str | None = None) -> D
     each = Window.partitionBy("meter_id").orderBy("ts")
     hours = readings.groupBy("meter_id", F.date_trunc("hour", "ts").alias("_hour")).agg(pick.alias("reading"), F.count("reading").alias("readings_count"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
     hours = hours.withColumnRenamed("_hour", "ts").withColumn("time_gap", seconds(F.col("_first")) - seconds(F.lag("_last").over(each))).drop("_first", "_last")
-    out = _calendar(hours, "1 HOUR").join(hours, ["meter_id", "ts"], "left").withColumn("interpolated", F.col("readings_count").isNull()).fillna(0, ["readings_count"])
+    out = shuffled(_calendar(hours, "1 HOUR"), hours, ["meter_id", "ts"], "left").withColumn("interpolated", F.col("readings_count").isNull()).fillna(0, ["readings_count"])
     if fill is None:
         return out
     from .windows import filled
@@ -164,7 +163,7 @@ def _calendar(rows: DataFrame, step: str) -> DataFrame:
 def at_frequency(readings: DataFrame, step: str = "30 MINUTES") -> DataFrame:
     """Readings at exact steps from the first; null where there is none."""
     rows = readings.select("meter_id", F.col("ts").cast("timestamp").alias("ts"), "reading")
-    return _calendar(rows, step).join(rows, ["meter_id", "ts"], "left")
+    return shuffled(_calendar(rows, step), rows, ["meter_id", "ts"], "left")
 
 
 def gap_rows(readings: DataFrame, period: float) -> DataFrame:
@@ -187,7 +186,7 @@ def gap_filled(readings: DataFrame, period: float) -> DataFrame:
 def off_period(readings: DataFrame, slack: float = 300.0) -> DataFrame:
     """By meter: the most frequent distance, how many distances are longer than it by more than ``slack`` seconds, the longest of all, and whether there is none such."""
     each = Window.partitionBy("meter_id").orderBy("ts")
-    gaps = readings.withColumn("_gap", seconds(F.col("ts")) - F.lag(seconds(F.col("ts"))).over(each)).join(periods(readings).select("meter_id", "mode_seconds"), "meter_id")
+    gaps = shuffled(readings.withColumn("_gap", seconds(F.col("ts")) - F.lag(seconds(F.col("ts"))).over(each)), periods(readings).select("meter_id", "mode_seconds"), "meter_id")
     late = F.count_if(F.col("_gap") > F.col("mode_seconds") + slack)
     return gaps.groupBy("meter_id", "mode_seconds").agg(late.alias("n_late"), F.max("_gap").alias("longest_gap")).withColumn("periodic", F.col("n_late") == 0)
 

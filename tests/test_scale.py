@@ -29,6 +29,9 @@ SHUFFLED = {
     "month_segments": split.month_segments,
     "autocorrelation_facts": lambda r: metrics.autocorrelation_facts(r, grid.periods(r), seconds=36000),
     "with_facts": lambda r: prep.with_facts(r, grid.periods(r), "period"),
+    "unmatched": lambda r: grid.unmatched(r, grid.fill_gaps(r)),
+    "off_period": grid.off_period,
+    "hourly": grid.hourly,
     "at_frequency": grid.at_frequency,
     "stable": windows.stable,
     "removed": lambda r: joins.removed(r, r.where("diff = 1")),
