@@ -197,7 +197,7 @@ def fill_report(before: DataFrame, after: DataFrame) -> DataFrame:
     b = after.groupBy("meter_id").agg(
         F.count("*").alias("n_after"), (100 * F.avg(F.col("reading").isNull().cast("int"))).alias("fill_pct"), F.count("reading").alias("_kept"), F.count_if("synthetic").alias("n_made_up"), (seconds(F.max("ts")) - seconds(F.min("ts"))).alias("_covered")
     )
-    out = a.join(b, "meter_id", "left").fillna(0, ["n_after", "n_made_up"])
+    out = shuffled(a, b, "meter_id", "left").fillna(0, ["n_after", "n_made_up"])
     return out.withColumns({"reduction": 1 - F.col("n_after") / F.col("n_before"), "preserved": F.col("_kept") / F.col("n_before"), "coverage": F.try_divide("_covered", "_span"), "made_up_rate": F.try_divide("n_made_up", "n_after")}).drop("_kept", "_span", "_covered")
 
 

@@ -30,6 +30,8 @@ SHUFFLED = {
     "autocorrelation_facts": lambda r: metrics.autocorrelation_facts(r, grid.periods(r), seconds=36000),
     "with_facts": lambda r: prep.with_facts(r, grid.periods(r), "period"),
     "unmatched": lambda r: grid.unmatched(r, grid.fill_gaps(r)),
+    "fill_report": lambda r: grid.fill_report(r, grid.fill_gaps(r)),
+    "batch_totals": lambda r: metrics.batch_totals(grid.fill_report(r, grid.fill_gaps(r)), None),
     "off_period": grid.off_period,
     "hourly": grid.hourly,
     "at_frequency": grid.at_frequency,
