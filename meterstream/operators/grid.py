@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +40,7 @@ def walk(stamps: np.ndarray, period: float, tolerance: float) -> tuple[list[floa
     are passed by once, so the walk is linear. The first row is where it starts and isn't emitted.
     """
     times, rows = [], []
+    stamps = np.asarray(stamps).tolist()
     n = len(stamps)
     if n < 2:
         return times, rows
@@ -62,7 +65,7 @@ def walk(stamps: np.ndarray, period: float, tolerance: float) -> tuple[list[floa
             steps = round((stamps[best] - now) / period)
             at = now
             for _ in range(steps - 1):
-                at = float(np.round(at + (stamps[best] - now) / steps))
+                at = float(round(at + (stamps[best] - now) / steps))
                 times.append(at)
                 rows.append(-1)
         times.append(float(stamps[best]))
@@ -76,41 +79,53 @@ def marked(readings: DataFrame) -> DataFrame:
     return readings.select("meter_id", "ts", F.col("reading").cast("double").alias("reading"), (F.col("is_anomaly").cast("double") if "is_anomaly" in readings.columns else F.lit(0.0)).alias("is_anomaly"))
 
 
-def filled_frame(group: pd.DataFrame, tolerance_pct: float = 10.0) -> pd.DataFrame:
-    """The grid of one meter's rows: ``meter_id, ts, reading, is_anomaly, diff, period, synthetic``, missing numbers as NaN."""
-    group = group[group["ts"].notna()].sort_values("ts", kind="stable").drop_duplicates("ts", keep="first")
-    stamps = group["ts"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
+def _filled(stamps: np.ndarray, value: np.ndarray, mark: np.ndarray, tolerance_pct: float) -> dict[str, np.ndarray]:
+    """The grid of one meter's rows: ``ts`` in microseconds, ``reading, is_anomaly, diff, period, synthetic``, missing numbers as NaN; ``stamps`` are seconds, sorted and different."""
     period = period_of(stamps)
     times, at = walk(stamps, period, tolerance_pct / 100 * period) if period else ([], [])
     at = np.array(at, dtype=int)
-    value, mark = group["reading"].to_numpy(float), group["is_anomaly"].to_numpy(float)
     reading = np.where(at >= 0, value[at], np.nan) if len(at) else np.array([])
     diff = np.diff(reading, prepend=np.nan)
-    return pd.DataFrame(
-        {
-            "meter_id": group["meter_id"].iloc[0] if len(group) else None,
-            "ts": pd.to_datetime(np.round(np.array(times) * 1e6).astype("int64"), unit="us"),
-            "reading": reading,
-            "is_anomaly": np.where(at >= 0, mark[at], 0.0) if len(at) else reading,
-            "diff": np.where(diff <= -NOISE, np.nan, np.where(diff < 0, 0.0, diff)),
-            "period": period if period else np.nan,
-            "synthetic": at < 0,
-        }
-    )
+    return {
+        "ts": np.round(np.array(times) * 1e6).astype("int64"),
+        "reading": reading,
+        "is_anomaly": np.where(at >= 0, mark[at], 0.0) if len(at) else reading,
+        "diff": np.where(diff <= -NOISE, np.nan, np.where(diff < 0, 0.0, diff)),
+        "period": np.full(len(at), period if period else np.nan),
+        "synthetic": at < 0,
+    }
+
+
+def filled_frame(group: pd.DataFrame, tolerance_pct: float = 10.0) -> pd.DataFrame:
+    """The grid of one meter's rows: ``meter_id, ts, reading, is_anomaly, diff, period, synthetic``, missing numbers as NaN."""
+    group = group[group["ts"].notna()].sort_values("ts", kind="stable").drop_duplicates("ts", keep="first")
+    stamps = group["ts"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
+    found = _filled(stamps, group["reading"].to_numpy(float), group["is_anomaly"].to_numpy(float), tolerance_pct)
+    return pd.DataFrame({"meter_id": group["meter_id"].iloc[0] if len(group) else None, **found, "ts": pd.to_datetime(found["ts"], unit="us")})
 
 
 def fill_gaps(readings: DataFrame, *, tolerance_pct: float = 10.0) -> DataFrame:
     """Put each meter's readings on a grid that follows them; made-up rows have no reading.
 
     Increments are taken anew on the grid, so that a made-up row and the row after it have none.
-    Meters without a usable period, or with one row, give no rows. One meter is held at a time.
+    Meters without a usable period, or with one row, give no rows. One meter is held at a time, as
+    columns: a frame for each meter would cost several times its walk.
     """
     key = readings.schema["meter_id"].dataType.simpleString()
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        return filled_frame(group, tolerance_pct).astype({"reading": object, "diff": object}).where(lambda x: x.notna(), None)
-
-    return marked(readings).groupBy("meter_id").applyInPandas(fill, GRID.format(key=key))
+    def fill(group: pa.Table) -> pa.Table:
+        ids = group.column("meter_id").slice(0, 1).combine_chunks()
+        known = group.filter(pc.is_valid(group.column("ts")))
+        micros = known.column("ts").cast(pa.int64()).to_numpy()
+        order = np.argsort(micros, kind="stable")
+        order = order[np.diff(micros[order], prepend=-1 << 63) != 0] if len(order) else order
+        value, mark = (known.column(c).to_numpy()[order] for c in ("reading", "is_anomaly"))
+        found = _filled(micros[order] / 1e6, value, mark, tolerance_pct)
+        columns = {c: pa.array(v, from_pandas=True) for c, v in found.items()} | {"ts": pa.array(found["ts"]).cast(pa.timestamp("us", "UTC"))}
+        return pa.table({"meter_id": ids.take(pa.array(np.zeros(len(found["ts"]), dtype=np.int64))), **columns})
+
+    rows = marked(readings).withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.groupBy("meter_id").applyInArrow(fill, GRID.format(key=key))
 
 
 def unmatched(readings: DataFrame, grid: DataFrame) -> DataFrame:

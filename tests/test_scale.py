@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterstream.operators import grid, joins, metrics, prep, split, windows
-from meterstream.plans import registry, views
+from meterstream.plans import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,18 @@ SHUFFLED = {
 @pytest.mark.parametrize("name", SHUFFLED)
 def test_made_up_rows_are_never_broadcast(spark, name):
     assert "Broadcast" not in plan(SHUFFLED[name](made_up(spark)))
+
+
+def test_gap_fill_makes_no_frame_for_each_meter(spark):
+    """Columns in, columns out, with the rows of the frame's version: null and repeated times, names for ids, null readings."""
+    times = [None, 0, 3600, 3600, 7200, 18000, 21650, 25200, 25200 + 1200, 28800]
+    rows = [(m, t, None if t == 7200 else float(k)) for m in ("a", None) for k, t in enumerate(times)] + [("b", 0, 1.0), ("c", None, 2.0)]
+    given = spark.createDataFrame(rows, "meter_id string, t long, reading double").select("meter_id", F.timestamp_seconds("t").alias("ts"), "reading")
+    found = grid.fill_gaps(given)
+    assert "InArrow" in plan(found) and "InPandas" not in plan(found)
+    frame = grid.marked(given.where("meter_id = 'a'")).toPandas().drop_duplicates("ts", keep="first")
+    want = [(t.timestamp(), None if r != r else r, s) for t, r, s in zip(grid.filled_frame(frame)["ts"].dt.tz_localize("UTC"), *(grid.filled_frame(frame)[c] for c in ("reading", "synthetic")))]
+    got = found.select("meter_id", F.unix_timestamp("ts").alias("t"), "reading", "synthetic").collect()
+    for m in ("a", None):
+        assert sorted(((r["t"], r["synthetic"]) for r in got if r["meter_id"] == m)) == [(t, s) for t, _, s in want] and len(want) == 8
+    assert {r["meter_id"] for r in got} == {"a", None}
