@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,9 +50,24 @@ def hourly_meters(spark: SparkSession, sf_dir: str, key: str = "event_type") ->
     return hours.select("meter_id", "ts", (F.col("units") / 100.0).alias("diff"), (F.sum("units").over(each) / 100.0).alias("reading"))
 
 
+#: Rows made up in one task.
+ROWS_A_TASK = 100_000
+
+
+def dealt_meters(spark: SparkSession, sf_dir: str, rows_each: int) -> DataFrame:
+    """A meter for each supplier as ``meter_id``, with ``s_acctbal``, dealt by meter to tasks that make up ``ROWS_A_TASK`` rows at ``rows_each`` a meter.
+
+    Made-up rows pack so well that tasks put together by their bytes would hold ever more of them;
+    what goes by meter next needs no other shuffle.
+    """
+    suppliers = table(spark, sf_dir, "supplier")
+    tasks = max(ceil(suppliers.count() * rows_each / ROWS_A_TASK), spark.sparkContext.defaultParallelism)
+    return suppliers.select(F.col("s_suppkey").alias("meter_id"), "s_acctbal").repartition(tasks, "meter_id")
+
+
 def patterned_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``meter_id, k, ts, diff, reading`` of ``PATTERNED``."""
-    hours = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("meter_id"), F.explode(F.sequence(F.lit(0), F.lit(239))).alias("k"))
+    hours = dealt_meters(spark, sf_dir, 240).select("meter_id", F.explode(F.sequence(F.lit(0), F.lit(239))).alias("k"))
     diff = F.when(F.col("k") % 24 < 5, 0.0).otherwise((F.col("meter_id") * 7 + F.floor(F.col("k") / 2) * 13) % 40 / 8.0)
     rows = hours.select("meter_id", "k", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-01 00:00:00")) + F.col("k") * 3600).alias("ts"), diff.alias("diff"))
     total = 100 + F.sum("diff").over(Window.partitionBy("meter_id").orderBy("k"))
@@ -61,8 +78,8 @@ def gappy_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``GAPPY``."""
     rows = patterned_meters(spark, sf_dir)
     hour = F.col("k") % 24
-    late = rows.where(~hour.isin(3, 10, 17)).withColumn("ts", F.when(hour == 13, F.col("ts") + F.expr("INTERVAL 2 MINUTE")).otherwise(F.col("ts")))
-    return late.unionByName(rows.where(hour == 20).withColumn("ts", F.col("ts") + F.expr("INTERVAL 20 MINUTE")))
+    times = F.when(hour == 13, F.array(F.col("ts") + F.expr("INTERVAL 2 MINUTE"))).when(hour == 20, F.array("ts", F.col("ts") + F.expr("INTERVAL 20 MINUTE"))).otherwise(F.array("ts"))
+    return rows.where(~hour.isin(3, 10, 17)).select("meter_id", "k", F.explode(times).alias("ts"), "diff", "reading")
 
 
 def day_before(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,14 @@ def test_gap_fill_makes_no_frame_for_each_meter(spark):
     for m in ("a", None):
         assert sorted(((r["t"], r["synthetic"]) for r in got if r["meter_id"] == m)) == [(t, s) for t, _, s in want] and len(want) == 8
     assert {r["meter_id"] for r in got} == {"a", None}
+
+
+def test_tasks_grow_with_the_rows_made_up(spark, monkeypatch):
+    """Tasks of rows that pack well would otherwise hold all that comes."""
+    monkeypatch.setattr(views, "ROWS_A_TASK", 100)
+    meters = views.table(spark, SF, "supplier").count()
+    rows = views.patterned_meters(spark, SF)
+    tasks = meters * 240 // 100
+    assert tasks > 4 and rows.rdd.getNumPartitions() == tasks and rows.count() == meters * 240
+    for made in (views.gappy_meters(spark, SF), grid.fill_gaps(views.gappy_meters(spark, SF)), grid.gap_filled(rows.where("k % 24 < 5 AND reading IS NOT NULL"), 3600.0)):
+        assert made.rdd.getNumPartitions() >= tasks
