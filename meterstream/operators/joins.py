@@ -18,6 +18,15 @@ def shuffled(left: DataFrame, right: DataFrame, on: str | list[str], how: str =
     return left.join(right.hint("merge"), on, how)
 
 
+def clustered(rows: DataFrame, *more: str, tasks: int | None = None) -> DataFrame:
+    """Rows as a sink writes them: a meter's rows lie together in one file of many meters, which the file's statistics tell.
+
+    Folders of one meter each would be as many as the meters, and their writing, commit and listing cost more than their rows.
+    """
+    dealt = rows.repartition("meter_id") if tasks is None else rows.repartition(tasks, "meter_id")
+    return dealt.sortWithinPartitions(*more, "meter_id", "ts")
+
+
 def day_coverage(readings: DataFrame) -> DataFrame:
     """Readings of each meter on every day from its first to its last, 0 on days without."""
     counts = readings.groupBy("meter_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))

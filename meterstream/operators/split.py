@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics
-from .joins import shuffled
+from .joins import clustered, shuffled
 
 _COMPARE = {"==": lambda c, v: c.eqNullSafe(v), "!=": lambda c, v: ~c.eqNullSafe(v), "<": lambda c, v: c < v, ">": lambda c, v: c > v, "<=": lambda c, v: c <= v, ">=": lambda c, v: c >= v}
 
@@ -192,10 +192,10 @@ def membership(flags: DataFrame, *names: str) -> DataFrame:
     return flags.groupBy(*names).agg(F.count("*").alias("n"))
 
 
-def shards(readings: DataFrame, path: str) -> int:
-    """Write readings by meter and year of each row; the rows read back are counted and must be as many."""
+def shards(readings: DataFrame, path: str, *, rows_a_file: int = 500_000) -> int:
+    """Write readings by meter and year of each row: a folder for each year, files of whole meters in it; the rows read back are counted and must be as many."""
     n = readings.count()
-    readings.withColumn("year", F.year("ts")).write.partitionBy("meter_id", "year").parquet(path)
+    clustered(readings.withColumn("year", F.year("ts")), "year", tasks=max(-(-n // rows_a_file), 1)).write.partitionBy("year").parquet(path)
     found = readings.sparkSession.read.parquet(path).count()
     if found != n:
         raise RuntimeError(f"{n} rows were written and {found} read back")

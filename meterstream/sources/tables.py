@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import local_to_utc, parsed_local
 from ..functions.columns import number, renamed
-from ..operators.joins import shuffled
+from ..operators.joins import clustered, shuffled
 
 #: Names that deliveries use, and ours.
 CANONICAL = {"id": "meter_id", "timestamp": "ts_local", "hodnota": "reading", "VAR_ID": "meter_id", "Time of reading": "ts_local", "Value": "reading", "Diff.": "diff", "Diff": "diff", "timestamp_utc": "ts"}
@@ -25,7 +25,7 @@ def read_delivery(spark: SparkSession, path: str, *, separator: str = ";", patte
 
 
 def read_series(spark: SparkSession, path: str, *, pattern: str = "*.csv", key: str = "long") -> DataFrame:
-    """Files of one meter each (or of one of its years), named by the meter, or in folders ``meter_id=...`` as the sinks write them; paths may hold globs."""
+    """Files of one meter each (or of one of its years), named by the meter, or in folders ``meter_id=...``, or files of many meters that name theirs in each row; paths may hold globs."""
     raw = spark.read.option("header", True).option("pathGlobFilter", pattern).csv(path)
     rows = renamed(raw, {c: CANONICAL[c] for c in raw.columns if c in CANONICAL and c != "id"})
     required(rows, "reading")
@@ -34,7 +34,7 @@ def read_series(spark: SparkSession, path: str, *, pattern: str = "*.csv", key:
 
 
 def read_segment(spark: SparkSession, path: str, *, zone: str = "Europe/Prague", key: str = "long") -> DataFrame:
-    """Segments of one meter each, with local times: ``meter_id, ts, reading`` in UTC, rows without a time left out.
+    """Segments with local times: ``meter_id, ts, reading`` in UTC, rows without a time left out.
 
     Rows come in the order of their files, which tells repeated local times apart.
     """
@@ -89,14 +89,14 @@ def write_results(results: DataFrame, path: str, *, scores: str = "z_scores") ->
 
 
 def write_predictions(records: DataFrame, summary: DataFrame, path: str) -> None:
-    """Records by meter, and the summary that stands beside them."""
-    records.write.partitionBy("meter_id").parquet(f"{path}/predictions")
+    """Records in files of whole meters, and the summary that stands beside them."""
+    clustered(records).write.parquet(f"{path}/predictions")
     summary.write.parquet(f"{path}/summary")
 
 
 def write_segments(rows: DataFrame, starts: DataFrame, path: str) -> DataFrame:
-    """Segments by meter (rows with ``start``) and their manifest, which is returned: for every meter asked for its first and last time, rows, and status, ``no_window`` where it has none."""
-    rows.write.partitionBy("meter_id").parquet(f"{path}/segments")
+    """Segments in files of whole meters (rows with ``start``) and their manifest, which is returned: for every meter asked for its first and last time, rows, and status, ``no_window`` where it has none."""
+    clustered(rows).write.parquet(f"{path}/segments")
     made = rows.groupBy("meter_id").agg(F.min("start").alias("start"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_rows"))
     manifest = shuffled(starts.select("meter_id").distinct(), made, "meter_id", "left").fillna(0, ["n_rows"]).withColumn("status", F.when(F.col("n_rows") > 0, "success").otherwise("no_window"))
     manifest.write.parquet(f"{path}/manifest")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from meterstream.operators import grid, joins, metrics, prep, split, windows
 from meterstream.plans import views
+from meterstream.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,22 @@ def test_tasks_grow_with_the_rows_made_up(spark, monkeypatch):
     assert tasks > 4 and rows.rdd.getNumPartitions() == tasks and rows.count() == meters * 240
     for made in (views.gappy_meters(spark, SF), grid.fill_gaps(views.gappy_meters(spark, SF)), grid.gap_filled(rows.where("k % 24 < 5 AND reading IS NOT NULL"), 3600.0)):
         assert made.rdd.getNumPartitions() >= tasks
+
+
+def files_of(folder) -> list:
+    return [p for p in folder.rglob("part-*") if not p.name.startswith(".")]
+
+
+def test_shards_are_files_of_many_meters(spark, tmp_path):
+    """As many files as the rows ask for, whatever the number of meters, and each meter's year in one."""
+    rows = made_up(spark).select((F.col("meter_id") * 100 + F.col("diff")).alias("meter_id"), "ts", "reading")
+    later = rows.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 YEAR"))
+    assert split.shards(rows.unionByName(later), str(tmp_path / "shards"), rows_a_file=200) == 600
+    assert 2 <= len(files_of(tmp_path / "shards")) <= 6
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    each = back.withColumn("file", F.input_file_name()).groupBy("meter_id", "year").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")).collect()
+    assert len(each) == 42 and {r["files"] for r in each} == {1} and sum(r["n"] for r in each) == 600
+    tables.write_segments(rows.withColumn("start", F.col("ts")), starts_of(rows), str(tmp_path / "segments"))
+    assert len(files_of(tmp_path / "segments" / "segments")) <= 4
+    tables.write_predictions(rows, starts_of(rows), str(tmp_path / "predictions"))
+    assert len(files_of(tmp_path / "predictions" / "predictions")) <= 4
