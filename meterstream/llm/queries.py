@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, classlm, decontaminate, html_extract, langid, license_scan, neardup, packing, quality, warc
+from .common import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +71,7 @@ def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of ``op9_packing``: each document's pieces, and sequences without gaps or padding."""
-    pieces = op9_packing(spark, sf_dir)
+    pieces = saved(op9_packing(spark, sf_dir), "pieces")  # both sides of the join read them, and would each encode every text
     ends = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("starts"), F.count("*").alias("pieces"))
     good = ends.select("sequence_id", ((F.col("n") == F.col("end")) & (F.col("starts") == F.col("pieces")) & (F.col("n") <= 1024) & (F.bit_count("n") == 1)).alias("full"))
     whole = (F.sum("length") == F.sum_distinct("doc_tokens") * F.count_if(F.col("start") == 0)) & (F.min("start") == 0) & (F.max(F.col("start") + F.col("length")) == F.max("doc_tokens"))

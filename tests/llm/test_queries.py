@@ -32,3 +32,11 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_every_operator_is_registered():
     assert {name.split("_")[0] for name in queries.QUERIES} >= {f"op{k}" for k in range(1, 11)} and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_coverage_encodes_texts_once(spark):
+    """Pieces are read from a table by both sides of the join, not made for each."""
+    from meterstream.llm import queries
+
+    plan = queries.packing_coverage(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FileScan parquet" in plan
